@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op5_token_shards": tokens.op5_token_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {}
