@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, tokens
+from . import mixing, packing, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op5_token_shards": tokens.op5_token_shards,
+    "op9_packing": packing.op9_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
