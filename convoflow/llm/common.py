@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Fixed values of the contracts: what a word is, as a Java/Python pattern.
@@ -41,3 +46,22 @@ def cut(df: DataFrame) -> DataFrame:
 def words(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8. bytes.split() parts exactly at 0x20 and 0x09-0x0D; multi-byte characters hold none of them."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
+
+
+def text_runs(texts: pa.Array, chars: int = 1 << 20) -> Iterator[list[str | None]]:
+    """A batch's texts in runs of about `chars` bytes (or one text), so that only a run at a time is made into Python strings."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chars)))
+        yield texts[at:upto].to_pylist()
+        at = upto
+
+
+def tidy() -> None:
+    """Hands memory that a batch has freed back to the system: Python workers live on, beside executors that need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

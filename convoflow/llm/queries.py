@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, tokens
+from . import mixing, packing, quality, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op5_token_shards": tokens.op5_token_shards,
+    "op6_quality": quality.op6_quality,
     "op9_packing": packing.op9_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_quality": quality.ORACLE_SQL,
+}
