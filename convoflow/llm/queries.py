@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, tokens
+from . import mixing, packing, quality, secrets, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op5_token_shards": tokens.op5_token_shards,
     "op6_quality": quality.op6_quality,
+    "op7_secrets": secrets.op7_secrets,
     "op9_packing": packing.op9_packing,
 }
 
