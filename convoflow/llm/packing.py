@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, text_runs, tidy
 from .tokens import Encoder, default_tokenizer
 
 CAPACITY = 1024
@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             done = 0
-            for part in encoder.batches(batch.column(1).to_pylist()):
+            for part in map(encoder, text_runs(batch.column(1))):
                 at, piece, start, length, crc = [], [], [], [], []
                 for i, ids in enumerate(part, done):
                     wide = np.frombuffer(ids + end, encoder.dtype).astype("<u4")
@@ -60,6 +60,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                 done += len(part)
                 columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+            tidy()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE)
 

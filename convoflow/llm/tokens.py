@@ -12,6 +12,7 @@ twice leaves the same files.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import uuid
@@ -23,12 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, new_folder, table
+from .common import cut, new_folder, table, text_runs, tidy
 
 SHARD_BYTES = 64 << 20
-#: Pieces an encoder remembers before it starts anew, and characters that it encodes at a time.
-CACHE_PIECES = 600_000
-ENCODE_CHARS = 4 << 20
+#: Pieces an encoder remembers before it starts anew.
+CACHE_PIECES = 400_000
 
 
 def default_tokenizer() -> str:
@@ -37,6 +37,20 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.lru_cache(maxsize=2)
+def _loaded(path: str):
+    """The tokenizer of a file, the narrowest type of its ids, and which ids open with a space."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    vocabulary = tokenizer.get_vocab()
+    size = max(vocabulary.values()) + 1
+    opens = np.zeros(size, dtype=bool)
+    opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+    return tokenizer, np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4"), opens
+
+
 class Encoder:
     """Ids of texts under a byte-level BPE file of the tokenizers library, as little-endian bytes of `dtype`.
 
@@ -46,15 +60,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab()
-        size = max(vocabulary.values()) + 1
-        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.opens = np.zeros(size, dtype=bool)
-        self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+        self.tokenizer, self.dtype, self.opens = _loaded(path)
         self.cache: dict[str, bytes | None] = {}
         self.cache_pieces = cache_pieces
         self.stops = {c: self._whole([c])[0] for c in ".,"}
@@ -123,18 +129,6 @@ class Encoder:
         ids = self._whole([pieces[0], *(" " + p for p in pieces[1:])])
         return b"".join(ids)
 
-    def batches(self, texts: list[str | None]) -> Iterator[list[bytes]]:
-        """Runs of at most ENCODE_CHARS characters (or one text) at a time."""
-        part, chars = [], 0
-        for text in texts:
-            part.append(text)
-            chars += len(text or "")
-            if chars >= ENCODE_CHARS:
-                yield self(part)
-                part, chars = [], 0
-        if part:
-            yield self(part)
-
 
 # ---- minimal perfect hash ----------------------------------------------------------------------------------------------
 
@@ -295,12 +289,13 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, bounds: list[in
             ids, null = _ids_of(batch.column(0))
             shard = np.where(null, len(edges), np.searchsorted(edges, ids, side="left"))
             done = 0
-            for part in encoder.batches(batch.column(1).to_pylist()):
+            for part in map(encoder, text_runs(batch.column(1))):
                 rows = slice(done, done + len(part))
                 done += len(part)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[rows], pa.array(shard[rows], pa.int32()), pa.array([p + end for p in part], pa.binary())], ["doc_id", "shard", "ids"]
                 )
+            tidy()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, shard int, ids binary")
 
@@ -327,6 +322,7 @@ def _writer(folder: str, itemsize: int):
         for batch in batches:
             shards = batch.column(1).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            tidy()
             for a, z in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == z:
                     continue
