@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing, quality, secrets, tokens
+from . import jaccard, mixing, packing, quality, secrets, suffix, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_suffix_dedup": suffix.op2_suffix_dedup,
     "op4_jaccard_join": jaccard.op4_jaccard_join,
     "op5_token_shards": tokens.op5_token_shards,
     "op6_quality": quality.op6_quality,
