@@ -1,15 +1,16 @@
 """N-gram Jaccard join by T-occurrence search.
 
 Documents with the same set of shingles are one class from the start. Two classes of sizes s and t can only reach the
-similarity if they share T = ceil(r / (1 + r) * (s + t)) shingles, so in any common order of all shingles they meet among the
-first s - ceil(r * s) + 1 of each. The order is by corpus frequency: the inverted lists that are built and joined are the short
-ones of rare shingles, while long lists (shared passages, boilerplate) are never walked. The order comes from a sketch of
-frequencies over all documents, of fixed size; it only orders, so its errors cost time and never a link.
-
-Classes of a list are first checked against one of them; lists whose members then hang together need no more, and in the
-others exactly the pairs between different components are checked. A check is DivideSkip: the candidates' inverted lists are
-parted into long and short ones, the short ones heap-merged, and only candidates with enough occurrences there are looked up
-in the long ones by binary search, until the overlap T is reached or out of reach.
+similarity if they share T = ceil(r / (1 + r) * (s + t)) shingles, so in any common order of all shingles k of them lie among
+the first s - ceil(r * s) + k of each. The order is by corpus frequency: the inverted lists that are built and joined are those
+of rare shingles, while the lists of passages and boilerplate that many share are never walked. The order comes from a sketch
+of frequencies over all documents, of fixed size; it only orders, so its errors cost time and never a link.
+
+Lists of the same members are one with a weight. In lists of up to SMALL members occurrences are counted pair by pair, and k of
+them make a candidate. Members of longer lists (large groups of near copies) are first checked against one of them; if a list
+then hangs together it needs no more, and otherwise exactly the pairs between different components are checked. A check is
+DivideSkip: the candidates' inverted lists are parted into long and short ones, the short ones heap-merged, and only candidates
+with enough occurrences there are looked up in the long ones by binary search, until T is reached or out of reach.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from .common import cut, table, text_runs, tidy, words
 from .graph import components
 
 WORDS, PERCENT = 5, 80
-SKETCH_BITS, SKETCH_BLOCKS = 22, 64
+SKETCH_BITS, SKETCH_BLOCKS = 24, 64
+SMALL = 64
 #: DivideSkip's trade-off between merging and probing.
 MU = 0.01
 NO_ID = -(1 << 63)
@@ -60,6 +62,11 @@ def least_overlap(size: int, percent: int) -> int:
     return -(-size * percent // 100)
 
 
+def occurrences_needed(size):
+    """Short lists that two linked classes share at least, if neither has fewer shingles."""
+    return np.clip(size // 16, 1, 8)
+
+
 def _first_pass(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row of kind 0 for each document, and the task's counts of shingles in rows of kind 1."""
@@ -100,7 +107,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequency_sketch(first: DataFrame) -> np.ndarray:
-    """Counts by the leading bits of a shingle's hash, 8 MB however large the corpus is."""
+    """Counts by the leading bits of a shingle's hash, 32 MB however large the corpus is."""
     blocks = first.where("block IS NOT NULL").select("block", "counts").repartition("block").mapInArrow(_add_up, "block int, counts binary").collect()
     sketch = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), np.uint16)
     for row in blocks:
@@ -126,7 +133,7 @@ def _prefixes(n: int, percent: int, sketch):
                     if not len(h) or (c := class_of(h)) in seen:
                         continue
                     seen.add(c)
-                    keys.append(rare_first(h, sketch.value)[: len(h) - least_overlap(len(h), percent) + 1])
+                    keys.append(rare_first(h, sketch.value)[: len(h) - least_overlap(len(h), percent) + int(occurrences_needed(len(h)))])
                     classes.append(np.full(len(keys[-1]), c, np.int64))
                     sizes.append(np.full(len(keys[-1]), len(h), np.int32))
                 if keys:
@@ -137,26 +144,25 @@ def _prefixes(n: int, percent: int, sketch):
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Inverted lists of two classes and more; rows come sorted by shingle. A list that repeats another's members is left out."""
-    seen: set[int] = set()
+    """Inverted lists of two classes and more; rows come sorted by shingle. n: the shingles of a stretch that have these members."""
     rest: tuple[np.ndarray, ...] | None = None
 
     def lists(keys: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch | None:
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(keys))
-        out: tuple[list, list, list] = ([], [], [])
+        found: dict[bytes, list] = {}
         many = ends - starts > 1
         for a, z in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
             members, at = np.unique(classes[a:z], return_index=True)
-            name = xxhash.xxh3_64_intdigest(members.tobytes())
-            if len(members) > 1 and name not in seen:
-                seen.add(name)
-                out[0].append(np.uint64(name).astype(np.int64))
-                out[1].append(members)
-                out[2].append(sizes[a:z][at])
-        if not out[0]:
+            if len(members) > 1:
+                if (name := members.tobytes()) in found:
+                    found[name][2] += 1
+                else:
+                    found[name] = [members, sizes[a:z][at], 1]
+        if not found:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.int32()))], ["list", "members", "sizes"])
+        columns = list(zip(*found.values(), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.list_(pa.int64())), pa.array(columns[1], pa.list_(pa.int32())), pa.array(columns[2], pa.int64())], ["members", "sizes", "n"])
 
     for batch in batches:
         columns = tuple(c.to_numpy() for c in batch.columns)
@@ -206,9 +212,9 @@ def divide_skip(query: np.ndarray, candidates: list[np.ndarray], percent: int =
     return out
 
 
-def _verify(percent: int):
+def _verify(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """a, b, linked for rows (a, b, set_a, set_b); neighbouring rows of one a are searched together."""
+        """a, b, linked for rows (a, b, text_a, text_b); rows of one a are searched together."""
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -217,24 +223,42 @@ def _verify(percent: int):
             linked = np.zeros(len(a), bool)
             cuts = [0, *(np.flatnonzero(np.diff(a[order])) + 1).tolist(), len(a)]
             for i, z in zip(cuts[:-1], cuts[1:], strict=True):
+                query = shingles(batch.column(2)[int(order[i])].as_py(), n)
                 for k in range(i, z, 128):
                     rows = order[k : min(k + 128, z)]
-                    query = np.frombuffer(batch.column(2)[int(rows[0])].as_py(), "<u8")
-                    linked[rows] = divide_skip(query, [np.frombuffer(batch.column(3)[int(r)].as_py(), "<u8") for r in rows], percent)
+                    linked[rows] = divide_skip(query, [shingles(batch.column(3)[int(r)].as_py(), n) for r in rows], percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], ["a", "b", "linked"])
             tidy()
 
     return run
 
 
-def _pairs(rows: pa.RecordBatch, percent: int, stars: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of each list whose sizes allow a link: of its first class with each other (stars), or of classes whose labels differ."""
+def _counted(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """a, b, needed, n: the pairs of short lists whose sizes allow a link, with the shingles they share there."""
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            for members, sizes, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                members, sizes = np.array(members, np.int64), np.array(sizes, np.int64)
+                i, j = np.triu_indices(len(members), 1)
+                low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+                fits = 100 * low >= percent * high
+                for column, values in zip(out, (members[i], members[j], occurrences_needed(low), np.full(len(i), n)), strict=True):
+                    column.append(values[fits])
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], ["a", "b", "needed", "n"])
+
+    return run
+
+
+def _pairs(rows: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each long list the pairs whose sizes allow a link: of its first class with each other, or, given labels, of classes whose labels differ."""
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(rows.num_rows):
         members = np.array(rows.column(0)[k].as_py(), np.int64)
         sizes = np.array(rows.column(1)[k].as_py(), np.int64)
-        labels = None if stars else np.array(rows.column(2)[k].as_py(), np.int64)
-        for i in range(1 if stars else len(members) - 1):
+        labels = np.array(rows.column(2)[k].as_py(), np.int64) if rows.num_columns > 2 else None
+        for i in range(1 if labels is None else len(members) - 1):
             others = slice(i + 1, None)
             fits = 100 * np.minimum(sizes[i], sizes[others]) >= percent * np.maximum(sizes[i], sizes[others])
             if labels is not None:
@@ -244,11 +268,11 @@ def _pairs(rows: pa.RecordBatch, percent: int, stars: bool) -> tuple[np.ndarray,
     return np.concatenate(left), np.concatenate(right)
 
 
-def _candidates(percent: int, stars: bool):
+def _candidates(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                a, b = _pairs(batch.slice(at, 256), percent, stars)
+                a, b = _pairs(batch.slice(at, 256), percent)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -292,32 +316,31 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return bits.ravel()
 
 
-def _sets(n: int, wanted):
+def _texts(n: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """class and set of the documents that may be wanted."""
+        """class and text of the documents that may be wanted, one of a class in each task."""
         seen: set[int] = set()
         for batch in batches:
             at = _bloom_bits(batch.column(0).to_numpy())
             mine = batch.filter(pa.array((wanted.value[at >> 3] >> (at & 7) & 1).astype(bool)))
             for run_ in text_runs(mine.column(1)):
-                classes, sets = [], []
+                found: dict[int, str] = {}
                 for text in run_:
                     h = shingles(text, n)
                     if len(h) and (c := class_of(h)) not in seen:
                         seen.add(c)
-                        classes.append(c)
-                        sets.append(h.tobytes())
-                if sets:
-                    yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], ["class", "set"])
+                        found[c] = text
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], ["class", "text"])
             tidy()
 
     return run
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _checked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """pairs (a, b) -> a, b, linked."""
-    whole = pairs.join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
-    return cut(whole.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long, linked boolean"))
+    whole = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
+    return cut(whole.select("a", "b", "text_a", "text_b").mapInArrow(_verify(n, percent), "a long, b long, linked boolean"))
 
 
 def jaccard_links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -332,23 +355,26 @@ def jaccard_links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> tu
     documents = first.where("block IS NULL").select("doc_id", "n_shingles", "class")
     sketch = spark.sparkContext.broadcast(frequency_sketch(first))
     prefixes = rows.select("text").mapInArrow(_prefixes(n, percent, sketch), "shingle long, class long, size int")
-    lists = prefixes.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_lists, "list long, members array<long>, sizes array<int>")
-    lists = cut(lists.dropDuplicates(["list"]))
-    involved = lists.select(F.explode("members").alias("class")).distinct()
+    lists = prefixes.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_lists, "members array<long>, sizes array<int>, n long")
+    lists = cut(lists.groupBy("members", "sizes").agg(F.sum("n").alias("n")))
+    short, long = lists.where(F.size("members") <= SMALL), lists.where(F.size("members") > SMALL).select("members", "sizes")
+    counted = short.mapInArrow(_counted(percent), "a long, b long, needed long, n long").groupBy("a", "b", "needed").agg(F.sum("n").alias("n"))
+    stars = long.mapInArrow(_candidates(percent), "a long, b long")
+    pairs = cut(counted.where("n >= needed").select("a", "b").unionByName(stars).distinct())
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(long.select(F.explode("members").alias("class"))).distinct()
     ids = documents.join(involved, "class", "left_semi").groupBy("class").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("doc_id"))
     wanted = spark.sparkContext.broadcast(id_filter(ids.select("doc_id")))
     known = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    sets = cut(known.mapInArrow(_sets(n, wanted), "class long, set binary").join(involved, "class", "left_semi"))
-    stars = lists.select("members", "sizes").mapInArrow(_candidates(percent, True), "a long, b long").distinct()
-    checked = _checked(stars, sets, percent)
+    texts = cut(known.mapInArrow(_texts(n, wanted), "class long, text string"))
+    checked = _checked(pairs, texts, n, percent)
     links = checked.where("linked").select("a", "b")
     labels = cut(components(links))
-    # Lists whose classes are still apart: every pair between components that no star has checked.
-    member = lists.select("list", F.explode(F.arrays_zip("members", "sizes")).alias("m")).select("list", F.col("m.members").alias("node"), F.col("m.sizes").alias("size"))
-    named = member.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # Long lists whose classes are still apart: every pair between components that has not been checked.
+    member = long.withColumn("list", F.monotonically_increasing_id()).select("list", F.explode(F.arrays_zip("members", "sizes")).alias("m"))
+    named = member.select("list", F.col("m.members").alias("node"), F.col("m.sizes").alias("size")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = named.groupBy("list").agg(F.collect_list(F.struct("node", "size", "label")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    rest = apart.select(F.array_sort("m").alias("m")).select("m.node", "m.size", "m.label").mapInArrow(_candidates(percent, False), "a long, b long").distinct()
-    more = _checked(rest.join(checked.select("a", "b"), ["a", "b"], "left_anti"), sets, percent)
+    rest = apart.select(F.array_sort("m").alias("m")).select("m.node", "m.size", "m.label").mapInArrow(_candidates(percent), "a long, b long").distinct()
+    more = _checked(rest.join(checked.select("a", "b"), ["a", "b"], "left_anti"), texts, n, percent)
     return documents, links.unionByName(more.where("linked").select("a", "b"))
 
 

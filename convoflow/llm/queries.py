@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing, quality, scoring, secrets, suffix, tokens
+from . import jaccard, mixing, neighbours, packing, quality, scoring, secrets, suffix, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_suffix_dedup": suffix.op2_suffix_dedup,
+    "op3_nearest_neighbours": neighbours.op3_nearest_neighbours,
     "op4_jaccard_join": jaccard.op4_jaccard_join,
     "op5_token_shards": tokens.op5_token_shards,
     "op6_quality": quality.op6_quality,
