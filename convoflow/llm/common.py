@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Fixed values of the contracts: what a word is, as a Java/Python pattern.
 WORD = r"[^\x20\x09-\x0D]+"
+#: The characters that part words.
+SPACES = " \t\n\r\x0b\x0c"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_runs, tidy, words
+from .common import SPACES, cut, table, text_runs, tidy, words
 
 MIN_GROUP = 200
 #: Quartile distances that a measure may lie beyond the quartiles.
@@ -23,7 +23,6 @@ REACH = 4
 #: Measure, least quartile distance, and whether low values are rejected as well. Shares are in millionths, lengths in thousandths.
 MEASURES = [("symbol_share", 5_000, False), ("dup_line_share", 100_000, False), ("repeat_share", 100_000, False), ("mean_word", 400, True)]
 SYMBOLS = "#*$%&|<>"
-SPACES = " \t\n\r\x0b\x0c"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 

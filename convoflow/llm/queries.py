@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, neighbours, packing, quality, scoring, secrets, suffix, tokens
+from . import jaccard, mixing, neighbours, packing, quality, scoring, secrets, suffix, tokens, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_shards": tokens.op5_token_shards,
     "op6_quality": quality.op6_quality,
     "op7_secrets": secrets.op7_secrets,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_packing": packing.op9_packing,
     "op10_lm_scores": scoring.op10_lm_scores,
 }
