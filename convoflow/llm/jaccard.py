@@ -7,8 +7,9 @@ of rare shingles, while the lists of passages and boilerplate that many share ar
 of frequencies over all documents, of fixed size; it only orders, so its errors cost time and never a link.
 
 Lists of the same members are one with a weight. In lists of up to SMALL members occurrences are counted pair by pair, and k of
-them make a candidate. Members of longer lists (large groups of near copies) are first checked against one of them; if a list
-then hangs together it needs no more, and otherwise exactly the pairs between different components are checked. A check is
+them make a candidate. Classes that longer lists tie together (large groups of near copies) are a family: all are first checked
+against the one that is in most lists, and then, block by block, those that are still apart against each other; pairs of a
+family are never rows, only the links found are. A check is
 DivideSkip: the candidates' inverted lists are parted into long and short ones, the short ones heap-merged, and only candidates
 with enough occurrences there are looked up in the long ones by binary search, until T is reached or out of reach.
 """
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +33,8 @@ from .common import cut, table, text_runs, tidy, words
 from .graph import components
 
 WORDS, PERCENT = 5, 80
-SKETCH_BITS, SKETCH_BLOCKS = 24, 64
-SMALL = 64
+SKETCH_BITS, SKETCH_BLOCKS = 23, 64
+SMALL, FAMILY_BLOCK = 64, 128
 #: DivideSkip's trade-off between merging and probing.
 MU = 0.01
 NO_ID = -(1 << 63)
@@ -107,7 +109,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequency_sketch(first: DataFrame) -> np.ndarray:
-    """Counts by the leading bits of a shingle's hash, 32 MB however large the corpus is."""
+    """Counts by the leading bits of a shingle's hash, 16 MB however large the corpus is."""
     blocks = first.where("block IS NOT NULL").select("block", "counts").repartition("block").mapInArrow(_add_up, "block int, counts binary").collect()
     sketch = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), np.uint16)
     for row in blocks:
@@ -251,32 +253,54 @@ def _counted(percent: int):
     return run
 
 
-def _pairs(rows: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each long list the pairs whose sizes allow a link: of its first class with each other, or, given labels, of classes whose labels differ."""
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k in range(rows.num_rows):
-        members = np.array(rows.column(0)[k].as_py(), np.int64)
-        sizes = np.array(rows.column(1)[k].as_py(), np.int64)
-        labels = np.array(rows.column(2)[k].as_py(), np.int64) if rows.num_columns > 2 else None
-        for i in range(1 if labels is None else len(members) - 1):
-            others = slice(i + 1, None)
+def _apart(n: int, percent: int):
+    """Links between classes of two blocks of a family whose labels differ, as few as connect what can be connected."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["side", "node"], kind="stable").drop_duplicates("node")
+        nodes, sides = rows["node"].to_numpy(np.int64), rows["side"].to_numpy()
+        sets = [shingles(t, n) for t in rows["text"]]
+        sizes = np.array([len(h) for h in sets])
+        label = np.unique(rows["label"].to_numpy(np.int64), return_inverse=True)[1]
+        out: list[tuple[int, int]] = []
+        inside = not (sides == 1).any()  # a block with itself
+        for i in range(len(nodes)):
+            others = np.arange(i + 1, len(nodes)) if inside else np.flatnonzero(sides == 1) if sides[i] == 0 else np.zeros(0, int)
             fits = 100 * np.minimum(sizes[i], sizes[others]) >= percent * np.maximum(sizes[i], sizes[others])
-            if labels is not None:
-                fits &= labels[others] != labels[i]
-            right.append(members[others][fits])
-            left.append(np.full(len(right[-1]), members[i], np.int64))
-    return np.concatenate(left), np.concatenate(right)
+            others = others[fits & (label[others] != label[i])]
+            if not len(others):
+                continue
+            for j, linked in zip(others.tolist(), divide_skip(sets[i], [sets[j] for j in others], percent), strict=True):
+                if linked and label[j] != label[i]:
+                    out.append((int(nodes[i]), int(nodes[j])))
+                    label[label == label[j]] = label[i]
+        tidy()
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
+    return run
 
-def _candidates(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                a, b = _pairs(batch.slice(at, 256), percent)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return run
+def _family_links(families: DataFrame, texts: DataFrame, labels: DataFrame, n: int, percent: int) -> DataFrame:
+    """families (family, node), labels (node, label) -> a, b: links between members that labels leave apart."""
+    named = families.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = named.groupBy("family").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("family", "m")
+    named = named.join(mixed, "family")
+    # Ranges of labels are blocks: a hash of the family's largest component alone fills blocks that need no look at each other.
+    parts = named.groupBy("family", "label").agg(F.count(F.lit(1)).alias("k"))
+    named = named.join(parts, ["family", "label"])
+    large = F.col("k") > FAMILY_BLOCK
+    split = F.ceil(F.when(large, F.col("k")).otherwise(F.col("m")) / FAMILY_BLOCK)
+    block = F.when(large, F.xxhash64("label", F.pmod(F.xxhash64("node"), split))).otherwise(F.xxhash64(F.lit("rest"), F.pmod(F.xxhash64("label"), split)))
+    placed = cut(named.withColumn("block", block).select("family", "node", "label", "block"))
+    blocks = placed.groupBy("family", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    i, j = blocks.alias("i"), blocks.alias("j")
+    apart = (F.col("i.lo") != F.col("i.hi")) | (F.col("j.lo") != F.col("j.hi")) | (F.col("i.lo") != F.col("j.lo"))
+    pairs = cut(i.join(j, F.col("i.family") == F.col("j.family")).where((F.col("i.block") <= F.col("j.block")) & apart).select(F.col("i.family").alias("family"), F.col("i.block").alias("i"), F.col("j.block").alias("j")))
+    held = placed.join(texts.select(F.col("class").alias("node"), "text"), "node")
+    first = held.join(pairs.withColumn("block", F.col("i")), ["family", "block"]).withColumn("side", F.lit(0))
+    second = held.join(pairs.where("i <> j").withColumn("block", F.col("j")), ["family", "block"]).withColumn("side", F.lit(1))
+    columns = ["family", "i", "j", "side", "node", "label", "text"]
+    return first.select(*columns).unionByName(second.select(*columns)).groupBy("family", "i", "j").applyInPandas(_apart(n, percent), "a long, b long")
 
 
 BLOOM_BITS = 1 << 26
@@ -357,25 +381,25 @@ def jaccard_links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> tu
     prefixes = rows.select("text").mapInArrow(_prefixes(n, percent, sketch), "shingle long, class long, size int")
     lists = prefixes.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_lists, "members array<long>, sizes array<int>, n long")
     lists = cut(lists.groupBy("members", "sizes").agg(F.sum("n").alias("n")))
-    short, long = lists.where(F.size("members") <= SMALL), lists.where(F.size("members") > SMALL).select("members", "sizes")
+    short, long = lists.where(F.size("members") <= SMALL), lists.where(F.size("members") > SMALL)
     counted = short.mapInArrow(_counted(percent), "a long, b long, needed long, n long").groupBy("a", "b", "needed").agg(F.sum("n").alias("n"))
-    stars = long.mapInArrow(_candidates(percent), "a long, b long")
+    member = long.select(F.element_at("members", 1).alias("a"), "n", F.explode(F.arrays_zip("members", "sizes")).alias("m")).select("a", F.col("m.members").alias("node"), F.col("m.sizes").alias("size"), "n")
+    weight = member.groupBy("node").agg(F.sum("n").alias("n"), F.first("size").alias("size"))
+    family = components(member.select("a", F.col("node").alias("b"))).withColumnRenamed("label", "family")
+    families = cut(weight.join(family, "node"))
+    hubs = families.groupBy("family").agg(F.max(F.struct("n", "node", "size")).alias("h"))
+    fits = 100 * F.least("size", "h.size") >= percent * F.greatest("size", "h.size")
+    stars = families.join(hubs, "family").where(fits & (F.col("node") != F.col("h.node"))).select(F.col("h.node").alias("a"), F.col("node").alias("b"))
     pairs = cut(counted.where("n >= needed").select("a", "b").unionByName(stars).distinct())
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(long.select(F.explode("members").alias("class"))).distinct()
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(families.select(F.col("node").alias("class"))).distinct()
     ids = documents.join(involved, "class", "left_semi").groupBy("class").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("doc_id"))
     wanted = spark.sparkContext.broadcast(id_filter(ids.select("doc_id")))
     known = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     texts = cut(known.mapInArrow(_texts(n, wanted), "class long, text string"))
     checked = _checked(pairs, texts, n, percent)
     links = checked.where("linked").select("a", "b")
-    labels = cut(components(links))
-    # Long lists whose classes are still apart: every pair between components that has not been checked.
-    member = long.withColumn("list", F.monotonically_increasing_id()).select("list", F.explode(F.arrays_zip("members", "sizes")).alias("m"))
-    named = member.select("list", F.col("m.members").alias("node"), F.col("m.sizes").alias("size")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = named.groupBy("list").agg(F.collect_list(F.struct("node", "size", "label")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    rest = apart.select(F.array_sort("m").alias("m")).select("m.node", "m.size", "m.label").mapInArrow(_candidates(percent), "a long, b long").distinct()
-    more = _checked(rest.join(checked.select("a", "b"), ["a", "b"], "left_anti"), texts, n, percent)
-    return documents, links.unionByName(more.where("linked").select("a", "b"))
+    more = _family_links(families.select("family", "node"), texts, cut(components(links)), n, percent)
+    return documents, links.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -394,5 +418,26 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     return joined.unionByName(documents.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")))
 
 
+def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs without all but one document of each group of near copies; the one with the least id stays, with all its columns.
+
+    Documents without words stay. Of rows that repeat an id and a text one stays. Only documents that a filter of fixed size
+    cannot clear are joined with the ids that go, so most texts are not shuffled.
+    """
+    found = cut(near_duplicates(docs, n, percent).where("n_shingles > 0").select("doc_id", "component_id"))
+    gone = found.where("NOT (doc_id <=> component_id)").select("doc_id").distinct()
+    twice = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(gone.unionByName(twice).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))))
+
+    def listed(ids: pa.Array) -> pa.Array:
+        at = _bloom_bits(ids.fill_null(NO_ID).to_numpy(zero_copy_only=False))
+        return pa.array((bits.value[at >> 3] >> (at & 7) & 1).astype(bool))
+
+    named = docs.withColumn("_listed", F.arrow_udf(listed, "boolean")(F.col("doc_id").cast("long")))
+    clear, rest = named.where("NOT _listed"), named.where("_listed").dropDuplicates(["doc_id", "text"])
+    stay = rest.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti")
+    return clear.unionByName(stay).drop("_listed")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
