@@ -75,7 +75,7 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: float, window: int
         take[i] = min(count, max(0, int((due - got) // size)))
         got += size * int(take[i])
     rest = budget - got
-    goal = int(rest)
+    goal = int(rest + 0.5)
     mask = (1 << (2 * goal + 2)) - 1
     sums, steps = 1, []  # bit s: a sum of s can be reached
     for i in order[::-1]:
@@ -90,7 +90,7 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: float, window: int
     low = below.bit_length() - 1
     above = sums >> (goal + 1)
     high = goal + 1 + ((above & -above).bit_length() - 1) if above else None
-    at = low if high is None or rest - low <= high - rest else high
+    at = low if high is None or abs(rest - low) <= high - rest else high
     for i, unit, before in reversed(steps):
         if not before >> at & 1:
             take[i] += unit
@@ -111,13 +111,12 @@ def _plan(window: int):
     return plan
 
 
-def mix(docs: DataFrame, budget: float = 1.5, weights: Sequence[int] = (5, 2, 1), repeats: int = 2, seed: int = 17, window: int = DP_WINDOW) -> DataFrame:
-    """docs with doc_id, source, size -> doc_id, source, size, source_size, target, copies: one row per row of docs.
+#: Strata (sources times distinct lengths) that are sent to every executor; more are joined.
+BROADCAST_STRATA = 500_000
 
-    copies is how often the mix takes a document, at most `repeats`. Documents without words are never taken; a null source is
-    a source of its own, last in order; null ids are ranked like any other value; repeated rows count and are taken one by one,
-    in an order that their equal values cannot tell apart; an empty table gives an empty result. Other columns are not read.
-    """
+
+def ranked(docs: DataFrame, budget: float, weights: Sequence[int], repeats: int, seed: int, window: int) -> DataFrame:
+    """docs (doc_id, source, size) -> plus source_no, source_size, target, whole, _hash and _extra: whether this row is taken once more."""
     rows = cut(docs.select("doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size")))
     histogram = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     targets = cut(source_targets(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), budget, weights, repeats))
@@ -125,19 +124,56 @@ def mix(docs: DataFrame, budget: float = 1.5, weights: Sequence[int] = (5, 2, 1)
     plan = cut(by_source.groupBy("source_no").applyInPandas(_plan(window), "source_no long, size long, n long, whole long, extra long"))
     placed = rows.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("doc_id", "r.source", "size", "source_no", "source_size", "target")
     placed = placed.join(plan, ["source_no", "size"])
-    hashed = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    unit = F.shiftrightunsigned(hashed, 11) / F.lit(float(1 << 53))
-    placed = placed.withColumn("_hash", hashed).withColumn("_bucket", F.floor(unit * F.ceil(F.col("n") / RANK_BUCKET)))
+    unit = F.shiftrightunsigned("_hash", 11) / F.lit(float(1 << 53))
+    placed = placed.withColumn("_hash", _hash(seed)).withColumn("_bucket", F.floor(unit * F.ceil(F.col("n") / RANK_BUCKET)))
     key = ["source_no", "size", "_bucket"]
     # Only lengths of more than one bucket need to know what the buckets before theirs hold.
     before = Window.partitionBy("source_no", "size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     held = placed.where(F.col("n") > RANK_BUCKET).groupBy(*key).agg(F.count(F.lit(1)).alias("_held"))
     held = held.select(*key, F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("_hash", "doc_id"))
-    ranked = placed.withColumn("_rank", rank).join(held, key, "left")
-    chosen = F.col("_rank") + F.coalesce(F.col("_before"), F.lit(0)) <= F.col("extra")
-    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("whole") + chosen.cast("int"))
-    return ranked.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(_order(F.col("_hash")), "doc_id"))
+    found = placed.withColumn("_rank", rank).join(held, key, "left")
+    return found.withColumn("_extra", F.col("_rank") + F.coalesce(F.col("_before"), F.lit(0)) <= F.col("extra"))
+
+
+def _hash(seed: int) -> F.Column:
+    return F.xxhash64(F.col("doc_id"), F.lit(seed))
+
+
+def _order(hashed: F.Column) -> F.Column:
+    """Hashes in the order of the buckets: as unsigned numbers."""
+    return hashed.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def mix(docs: DataFrame, budget: float = 1.5, weights: Sequence[int] = (5, 2, 1), repeats: int = 2, seed: int = 17, window: int = DP_WINDOW) -> DataFrame:
+    """docs with doc_id, source, size -> doc_id, source, size, source_size, target, copies: one row per row of docs.
+
+    copies is how often the mix takes a document, at most `repeats`. Documents without words are never taken; a null source is
+    a source of its own, last in order; null ids are ranked like any other value; repeated rows count and are taken one by one,
+    in an order that their equal values cannot tell apart; an empty table gives an empty result. Other columns are not read.
+    """
+    found = ranked(docs, budget, weights, repeats, seed, window)
+    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("whole") + F.col("_extra").cast("int"))
+    return found.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+
+
+def mixed(docs: DataFrame, size: F.Column, budget: float = 1.5, weights: Sequence[int] = (5, 2, 1), repeats: int = 2, seed: int = 17, window: int = DP_WINDOW) -> DataFrame:
+    """docs with every row as often as the mix takes it: all its columns, however many and whatever their names.
+
+    A stratum (source and length) keeps the last hash and id that it takes once more, so whole rows meet only that small table.
+    Rows that repeat an id in one stratum are then taken alike; else this is what `mix` says.
+    """
+    rows = ranked(docs.select("doc_id", "source", size.alias("size")), budget, weights, repeats, seed, window)
+    place = F.struct(_order(F.col("_hash")).alias("hash"), F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))
+    last = rows.where("size > 0").groupBy("source", "size").agg(F.first("whole").alias("whole"), F.max(F.when(F.col("_extra"), place)).alias("last"))
+    strata = cut(last.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "whole", "last"))
+    if strata.count() <= BROADCAST_STRATA:
+        strata = F.broadcast(strata)
+    hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("_source"), size.alias("_size"), _order(_hash(seed)).alias("_h"), F.col("doc_id").alias("_id"))
+    met = hashed.join(strata, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
+    mine = F.struct(F.col("_h").alias("hash"), F.col("_id").isNotNull().alias("known"), F.col("_id").alias("id"))
+    copies = F.col("whole") + (F.col("last").isNotNull() & (mine <= F.col("last"))).cast("int")
+    return met.select("row", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select("row.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
