@@ -96,7 +96,7 @@ def top_roles(spark, sf_dir):
 
 
 @query("""SELECT count(*) AS total, count(DISTINCT role) AS roles, sum(l)::BIGINT AS chars, round(avg(l), 6) AS average, min(l) AS least, round(quantile_cont(l, 0.5), 6) AS p50,
-round(quantile_cont(l, 0.9), 6) AS p90, round(quantile_cont(l, 0.99), 6) AS p99, max(l) AS most FROM (SELECT role, length(dialogue) AS l FROM u)""")
+round(CASE WHEN count(*) >= 10 THEN quantile_cont(l, 0.9) ELSE max(l) END, 6) AS p90, round(CASE WHEN count(*) >= 100 THEN quantile_cont(l, 0.99) ELSE max(l) END, 6) AS p99, max(l) AS most FROM (SELECT role, length(dialogue) AS l FROM u)""")
 def length_summary(spark, sf_dir):
     found = stats.length_summary(utterances(spark, sf_dir))
     return found.withColumns({c: F.round(c, 6) for c in ("average", "p50", "p90", "p99")})
@@ -112,7 +112,7 @@ def chunk_stats(spark, sf_dir):
     return stats.chunk_stats(utterances(spark, sf_dir)).withColumns({"average": F.round("average", 6), "roles": F.size("roles").cast("long")})
 
 
-@query("SELECT count(*) AS chunks, sum(n)::BIGINT AS dialogues, min(n) AS least, max(n) AS most, round(avg(n), 6) AS average, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.9), 6) AS p90 FROM (SELECT count(*) AS n FROM u GROUP BY chunk_id)")
+@query("SELECT count(*) AS chunks, sum(n)::BIGINT AS dialogues, min(n) AS least, max(n) AS most, round(avg(n), 6) AS average, round(quantile_cont(n, 0.5), 6) AS p50, round(CASE WHEN count(*) >= 10 THEN quantile_cont(n, 0.9) ELSE max(n) END, 6) AS p90 FROM (SELECT count(*) AS n FROM u GROUP BY chunk_id)")
 def chunk_density(spark, sf_dir):
     return stats.density(utterances(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("average", "p50", "p90")})
 
