@@ -34,7 +34,7 @@ STAND_OUT = 4
 #: Fixed value: left out of words.
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LANDMARKS, TOXIC_LANDMARKS = 60, 44
-DECAY, LENGTH = np.float32(0.8), 3
+DECAY, LENGTH = np.float32(0.5), 3
 #: Longer strings are read as overlapping pieces of this many bytes.
 PIECE = 32
 CACHE_WORDS = 1_000_000
@@ -173,10 +173,12 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float,
 
 
 class Machine:
-    """What a fit leaves: landmark words, a weight for the kernel with each, a bias, and a curve from margins to probabilities."""
+    """What a fit leaves: landmark words, a weight for the kernel with each, a bias, and a curve from a text's worst word and its
+    worst three together to a probability."""
 
-    def __init__(self, landmarks: list[bytes], weights: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0):
-        self.landmarks, self.weights, self.bias, self.slope, self.shift = landmarks, weights, bias, slope, shift
+    def __init__(self, landmarks: list[bytes], weights: np.ndarray, bias: float):
+        self.landmarks, self.weights, self.bias = landmarks, weights, bias
+        self.slopes, self.shift = np.zeros(2), 0.0
         self._kernel: Kernel | None = None
 
     def __getstate__(self) -> dict:
@@ -192,7 +194,7 @@ class Machine:
         return out
 
     def of_texts(self, texts: list[str | None], cache: dict[bytes, float] | None = None) -> np.ndarray:
-        """Margin of each text's worst word; of a text without words, that of a string like no landmark."""
+        """Margin of each text's worst word, and the mean of its worst three different ones; a string like no landmark stands for words that are not there."""
         cache = {} if cache is None else cache
         found = [units(t) if t else [] for t in texts]
         fresh = list(set().union(*found).difference(cache))
@@ -201,10 +203,15 @@ class Machine:
             fresh = list(set().union(*found))
         if fresh:
             cache.update(zip(fresh, self.margins(fresh).tolist(), strict=True))
-        return np.array([max(map(cache.__getitem__, u), default=self.bias) for u in found], float)
+        out = np.full((len(texts), 2), self.bias)
+        for i, u in enumerate(found):
+            top = sorted(map(cache.__getitem__, set(u)))[-3:]
+            if top:
+                out[i] = top[-1], (sum(top) + (3 - len(top)) * self.bias) / 3
+        return out
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
+    def probability(self, margins: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(margins @ self.slopes + self.shift, -40, 40)))
 
 
 def fit(texts: list[str], toxic: list[bool], prior: float, rounds: int = 3, cost: float = 40.0) -> Machine:
@@ -264,33 +271,32 @@ def fit(texts: list[str], toxic: list[bool], prior: float, rounds: int = 3, cost
         weights = squared_hinge(np.vstack([x[rows], extra]), label, weight, cost)
         margin = x @ weights[:-1] + weights[-1]
     machine = Machine(landmarks, whiten @ weights[:-1], float(weights[-1]))
-    score = machine.of_texts(texts)
-    machine.slope, machine.shift = _curve(score, y, prior)
+    machine.slopes, machine.shift = _curve(machine.of_texts(texts), y, prior)
     return machine
 
 
-def _curve(score: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
-    """Slope and shift of the logistic curve that fits the labels best, classes weighted to their true shares."""
+def _curve(score: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """Slopes and shift of the logistic curve that fits the labels best, classes weighted to their true shares."""
     if not len(score) or y.all() or not y.any():
-        return 1.0, 0.0
+        return np.zeros(2), 0.0
     weight = np.where(y, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-    x = np.stack([score, np.ones(len(score))], axis=1)
+    x = np.hstack([score, np.ones((len(score), 1))])
     sign = np.where(y, -1.0, 1.0)
 
     def loss(w: np.ndarray) -> float:
         return float((weight * np.logaddexp(0, sign * (x @ w))).sum() + 5e-4 * w @ w)
 
-    w = np.zeros(2)
+    w = np.zeros(3)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x.T * (weight * p * (1 - p))) @ x + 1e-3 * np.eye(2)
+        h = (x.T * (weight * p * (1 - p))) @ x + 1e-3 * np.eye(3)
         step = np.linalg.solve(h, x.T @ (weight * (p - y)) + 1e-3 * w)
         while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
             step = step / 2
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return w[:2], float(w[2])
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5, most: int = TRAIN) -> Machine:
@@ -312,7 +318,7 @@ def _scores(machine: Machine):
             done = 0
             for texts in text_runs(batch.column(1)):
                 worst = machine.of_texts(texts, cache)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[done : done + len(texts)], pa.array(worst), pa.array(machine.probability(worst))], ["doc_id", "margin", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[done : done + len(texts)], pa.array(worst[:, 0]), pa.array(machine.probability(worst))], ["doc_id", "margin", "score"])
                 done += len(texts)
             tidy()
 

@@ -326,7 +326,7 @@ def test_secrets_run_no_python(docs):
 
 def test_string_kernel():
     def brute(s, t):
-        return sum(0.8 ** (a[2] - a[0] + b[2] - b[0] + 2) for a in itertools.combinations(range(len(s)), 3) for b in itertools.combinations(range(len(t)), 3) if all(s[x] == t[y] for x, y in zip(a, b)))
+        return sum(float(toxicity.DECAY) ** (a[2] - a[0] + b[2] - b[0] + 2) for a in itertools.combinations(range(len(s)), 3) for b in itertools.combinations(range(len(t)), 3) if all(s[x] == t[y] for x, y in zip(a, b)))
 
     rng = random.Random(0)
     words = [bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 8))) for _ in range(40)]
