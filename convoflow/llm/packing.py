@@ -31,6 +31,10 @@ GENERATIONS = 6
 #: A bin that is filled to this share is settled.
 SETTLED = 0.995
 
+#: Text pieces that are remembered while documents are encoded: less than the encoder would by itself, as packing often ends
+#: a pipeline whose executors are already full.
+CACHE_PIECES = 150_000
+
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -42,11 +46,11 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     tokenizer = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(tokenizer, CACHE_PIECES)
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             done = 0
-            for part in map(encoder, text_runs(batch.column(1))):
+            for part in map(encoder, text_runs(batch.column(1), 1 << 18)):
                 at, piece, start, length, crc = [], [], [], [], []
                 for i, ids in enumerate(part, done):
                     wide = np.frombuffer(ids + end, encoder.dtype).astype("<u4")
@@ -193,7 +197,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, island_pieces: int = ISLAND
 
     Every row is placed once; repeated rows and null ids are rows like any other; an empty table gives an empty result.
     """
-    parts = cut(parts)
+    parts = cut(parts.select("doc_id", "piece", "start", "length", "ids_crc32"))
     schema = f"{PIECE}, no_id boolean, item long"
     # pandas would make floats of ids among nulls.
     numbered = parts.withColumns({"item": F.monotonically_increasing_id(), "no_id": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0).cast("long"))})

@@ -101,18 +101,26 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def suspect(text: Column) -> Column:
+    """Whether a text holds anything that a finding needs."""
+    text = F.coalesce(text, F.lit(""))
+    return text.rlike(NAMED) | text.contains("AKIA") | text.rlike(HEX)
+
+
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """docs (doc_id, text and any other columns) plus spans: start, kind (a place in KINDS) and end (exclusive) of every finding.
 
-    A null text is empty; rows that repeat an id and a text share their findings; null ids are ids of their own; an empty table
-    gives an empty result. Only texts with weak parts are joined, on their id and a hash of their text; all others pass.
+    A null text is empty; null ids and repeated rows are rows like any other; an empty table gives an empty result. Few texts
+    are suspect: only those are kept in the shared folder, numbered and, if they have weak parts, joined; all others pass.
+    Columns that are named like the new one, or like one of the steps between, are replaced.
     """
-    rows = scanned(docs)
-    key = ["_id", "_text"]
-    weak = rows.where(F.size("weak") > 0).withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_text": F.xxhash64("text")})
-    found = linked(weak.select(*key, "base", "weak"), key, scope)
-    joined = weak.join(found, key, "left").select(*docs.columns, all_spans(F.col("base"), F.col("found")).alias("spans"))
-    return rows.where(F.size("weak") == 0).select(*docs.columns, F.col("base").alias("spans")).unionByName(joined)
+    docs = docs.drop("spans", "base", "weak", "found", "_row", "_named", "_key", "_hex")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    clear = docs.where(~suspect(F.col("text"))).select(*columns, F.expr(NONE).alias("spans"))
+    rows = cut(scanned(docs.where(suspect(F.col("text"))))).withColumn("_row", F.monotonically_increasing_id())
+    weak = rows.where(F.size("weak") > 0)
+    joined = weak.join(linked(weak, ["_row"], scope), "_row", "left").select(*columns, all_spans(F.col("base"), F.col("found")).alias("spans"))
+    return clear.unionByName(rows.where(F.size("weak") == 0).select(*columns, F.col("base").alias("spans"))).unionByName(joined)
 
 
 def masked(text: Column, spans: Column, mask: str = MASK) -> Column:

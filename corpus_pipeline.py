@@ -15,30 +15,30 @@ from convoflow.llm.common import DOCUMENT_COLUMNS, new_folder, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.quality(docs).where("kept").select(*DOCUMENT_COLUMNS)
+    return quality.quality(docs.select(*DOCUMENT_COLUMNS)).where("kept").select(*DOCUMENT_COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least id."""
-    return jaccard.one_of_each(docs).select(*DOCUMENT_COLUMNS)
+    return jaccard.one_of_each(docs.select(*DOCUMENT_COLUMNS)).select(*DOCUMENT_COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret masked."""
-    found = secrets.scan(docs)
-    text = secrets.masked(F.col("text"), F.col("spans"))
-    chars = F.when(F.size("spans") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumns({"text": text, "n_chars": chars}).select(*DOCUMENT_COLUMNS)
+    found = secrets.scan(docs.select(*DOCUMENT_COLUMNS)).withColumn("_masked", secrets.masked(F.col("text"), F.col("spans")))
+    chars = F.when(F.size("spans") > 0, F.length("_masked").cast("long")).otherwise(F.col("n_chars"))
+    new = {"text": F.col("_masked"), "n_chars": chars}
+    return found.select(*[new.get(c, F.col(c)).alias(c) for c in DOCUMENT_COLUMNS])
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return mixing.mixed(docs, mixing.word_count()).select(*DOCUMENT_COLUMNS)
+    return mixing.mixed(docs.select(*DOCUMENT_COLUMNS), mixing.word_count()).select(*DOCUMENT_COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens, placed in sequences."""
-    return packing.pack(packing.pieces(docs))
+    return packing.pack(packing.pieces(docs.select(*DOCUMENT_COLUMNS)))
 
 
 STAGES = [
