@@ -424,6 +424,7 @@ def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Data
     Documents without words stay. Of rows that repeat an id and a text one stays. Only documents that a filter of fixed size
     cannot clear are joined with the ids that go, so most texts are not shuffled.
     """
+    docs = docs.drop("_listed")
     found = cut(near_duplicates(docs, n, percent).where("n_shingles > 0").select("doc_id", "component_id"))
     gone = found.where("NOT (doc_id <=> component_id)").select("doc_id").distinct()
     twice = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
@@ -441,3 +442,20 @@ def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Data
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+#: Whole sets against whole sets: right for any table, and quick for small ones.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) END) AS g FROM w
+  )
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), e AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * i >= 80 * (na.n + nb.n - i)
+), r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
+SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""

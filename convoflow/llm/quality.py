@@ -147,8 +147,10 @@ def quality(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """docs (text, lang, source and any other columns) plus q (the counts), base_failed and kept.
 
     A null text has no words and fails; null languages and sources are groups of their own; repeated rows are measured and
-    counted one by one; an empty table gives an empty result. Texts are read twice: for the sketches, then for the verdict.
+    counted one by one; an empty table gives an empty result; columns that already have the new names are replaced. Texts are
+    read twice: for the sketches, then for the verdict.
     """
+    docs = docs.drop("q", "base_failed", "kept")
     limits = cut(thresholds(sketch(measured(docs.select("lang", "source", "text"))), min_group))
     return judged(measured(docs), limits)
 

@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard_join": jaccard.ORACLE_SQL,
     "op6_quality": quality.ORACLE_SQL,
 }

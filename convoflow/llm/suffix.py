@@ -453,8 +453,10 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs (text and any other columns) plus spans: the byte spans of the text that other places repeat.
 
     Bytes are those of UTF-8; a null text is empty; texts shorter than `length` lose nothing; documents with equal texts lose
-    all of it; repeated rows and null ids are rows like any other; an empty table gives an empty result.
+    all of it; repeated rows and null ids are rows like any other; an empty table gives an empty result; columns named spans, k1
+    and k2 are replaced.
     """
+    docs = docs.drop("spans", "k1", "k2")
     texts = keyed(docs)
     return texts.join(repeated_spans(texts, length), ["k1", "k2"], "left").select(*docs.columns, "spans")
 
