@@ -199,7 +199,9 @@ def test_divide_skip():
         assert jaccard.divide_skip(query, others) == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("share", [200_000, 2])
+def test_components(spark, monkeypatch, share):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", share)
     links = [(1, 2), (2, 3), (5, 4), (7, 7), (8, 9), (9, 10), (10, 11), (11, 12), (12, 8), (2, 1)]
     found = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, **dict.fromkeys(range(8, 13), 8)}
