@@ -17,12 +17,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The characters that part words.
 SPACES = " \t\n\r\x0b\x0c"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes of an Arrow batch. Texts run from nothing to megabytes, so a number of rows alone bounds no memory.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Has this session hand Python workers batches of BATCH_BYTES (or of one row), unless its user has set a bound."""
+    if _BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_runs, tidy, words
+from .common import cut, small_batches, table, text_runs, tidy, words
 from .graph import components
 
 WORDS, PERCENT = 5, 80
@@ -374,6 +374,7 @@ def jaccard_links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> tu
     or one without words is of no class (0) and has no links; null ids are allowed; rows that repeat share a class.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     first = cut(rows.mapInArrow(_first_pass(n), "doc_id long, n_shingles long, class long, block int, counts binary"))
     documents = first.where("block IS NULL").select("doc_id", "n_shingles", "class")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_runs, tidy
+from .common import cut, small_batches, table, text_runs, tidy
 from .tokens import Encoder, default_tokenizer
 
 CAPACITY = 1024
@@ -65,7 +65,10 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                 columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
             tidy()
+        del encoder
+        tidy()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE)
 
 

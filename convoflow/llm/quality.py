@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, table, text_runs, tidy, words
+from .common import SPACES, cut, small_batches, table, text_runs, tidy, words
 
 MIN_GROUP = 200
 #: Quartile distances that a measure may lie beyond the quartiles.
@@ -68,6 +68,7 @@ def measures(texts: pa.Array) -> pa.Array:
 
 def measured(docs: DataFrame) -> DataFrame:
     """docs plus a struct column `q` of counts."""
+    small_batches(docs.sparkSession)
     kind = "struct<" + ", ".join(f"{c}: bigint" for c in COUNTS) + ">"
     return docs.withColumn("q", F.arrow_udf(measures, kind)("text"))
 

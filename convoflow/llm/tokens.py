@@ -13,6 +13,7 @@ twice leaves the same files.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import struct
 import uuid
@@ -40,6 +41,8 @@ def default_tokenizer() -> str:
 @functools.lru_cache(maxsize=2)
 def _loaded(path: str):
     """The tokenizer of a file, the narrowest type of its ids, and which ids open with a space."""
+    # Tasks are the parallelism here: a pool of threads in each worker takes memory and yields no speed.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
