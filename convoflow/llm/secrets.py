@@ -28,7 +28,7 @@ WEAK_ID = r"""(?i:access_?key_?id|key_?id|client_?id|account_?id|user_?name|user
 WEAK_SECRET = r"""(?i:password|passwd|secret|token|api_?key|passphrase|pwd|private_?key|credential)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{4,})"""
 BLOB = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])"
 ENDPOINT = r"""(?:https?|ftp|s3|amqp|mongodb|postgres(?:ql)?|mysql|redis)://[^\s"'<>]+|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{2,5})?(?![0-9.])"""
-#: A text without these has no secret part but hex runs.
+#: A text without these has no secret part but hex runs and key-like strings.
 NAMED = r"""(?i:password|passwd|secret|token|api_?key|passphrase|pwd|private_?key|credential)["']?\x20*[:=]"""
 
 #: Order of kinds among spans of one start.
@@ -66,12 +66,12 @@ def _clear_of(spans: Column, others: Column) -> Column:
 def scanned(docs: DataFrame) -> DataFrame:
     """docs plus base (strong spans, by start and kind) and weak (parts that overlap none of them, of texts that hold a secret part)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("_named", text.rlike(NAMED)).withColumn("_key", text.contains("AKIA")).withColumn("_hex", text.rlike(HEX))
+    rows = docs.withColumn("_named", text.rlike(NAMED)).withColumn("_key", text.contains("AKIA")).withColumn("_hex", text.rlike(HEX)).withColumn("_blob", text.rlike(BLOB))
     base = F.concat(_if(F.col("_named"), located(text, ASSIGN, "assign", 8)), _if(F.col("_key"), located(text, ACCESS, "access")), _if(F.col("_hex"), located(text, HEX, "hex")))
     rows = rows.withColumn("base", F.array_sort(base))
-    secret = F.col("_named") | F.col("_hex") | F.col("_key")
-    weak = F.concat(_if(F.col("_named"), located(text, WEAK_SECRET, "key")), _if(F.col("_key"), located(text, BLOB, "key")), _if(secret, located(text, WEAK_ID, "id")), _if(secret, located(text, ENDPOINT, "endpoint")))
-    return rows.withColumn("weak", _clear_of(weak, F.col("base"))).drop("_named", "_key", "_hex")
+    secret = F.col("_named") | F.col("_hex") | F.col("_key") | F.col("_blob")
+    weak = F.concat(_if(F.col("_named"), located(text, WEAK_SECRET, "key")), _if(F.col("_blob"), located(text, BLOB, "key")), _if(secret, located(text, WEAK_ID, "id")), _if(secret, located(text, ENDPOINT, "endpoint")))
+    return rows.withColumn("weak", _clear_of(weak, F.col("base"))).drop("_named", "_key", "_hex", "_blob")
 
 
 def linked(rows: DataFrame, key: list[str], scope: int = SCOPE) -> DataFrame:
@@ -104,7 +104,7 @@ def written(spans: Column) -> Column:
 def suspect(text: Column) -> Column:
     """Whether a text holds anything that a finding needs."""
     text = F.coalesce(text, F.lit(""))
-    return text.rlike(NAMED) | text.contains("AKIA") | text.rlike(HEX)
+    return text.rlike(NAMED) | text.contains("AKIA") | text.rlike(HEX) | (text.rlike(BLOB) & (text.rlike(WEAK_ID) | text.rlike(ENDPOINT)))
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -114,7 +114,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     are suspect: only those are kept in the shared folder, numbered and, if they have weak parts, joined; all others pass.
     Columns that are named like the new one, or like one of the steps between, are replaced.
     """
-    docs = docs.drop("spans", "base", "weak", "found", "_row", "_named", "_key", "_hex")
+    docs = docs.drop("spans", "base", "weak", "found", "_row", "_named", "_key", "_hex", "_blob")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     clear = docs.where(~suspect(F.col("text"))).select(*columns, F.expr(NONE).alias("spans"))
     rows = cut(scanned(docs.where(suspect(F.col("text"))))).withColumn("_row", F.monotonically_increasing_id())

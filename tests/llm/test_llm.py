@@ -316,6 +316,19 @@ def test_secrets(spark, docs, rows, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_key_like_strings_need_no_other_secret(spark):
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    assert len(key) == 40
+    texts = ["aws_access_key_id = ASIAX0000000EXAMPLE\naws_secret_access_key = " + key, "client_id=abc123 " + key, f"user: bob, {key}", f"ftp://h.io/x then {key}", key, f"user: bob{' x' * 400} {key}", "client_id=abc123 " + key + "0", "user: bob at https://h.io/x"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in secrets.scan(table).withColumn("masked", secrets.masked(F.col("text"), F.col("spans"))).collect()}
+    for i in range(4):
+        kinds = [secrets.KINDS[s["kind"]] for s in found[i]["spans"]]
+        assert sorted(kinds) == sorted(["endpoint" if i == 3 else "id", "key"]) and key not in found[i]["masked"]
+        assert [texts[i][s["start"] : s["end"]] for s in found[i]["spans"] if secrets.KINDS[s["kind"]] == "key"] == [key]
+    assert all(found[i]["spans"] == [] for i in range(4, 8))
+
+
 def test_secrets_run_no_python(docs):
     plan = secrets.scan(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
