@@ -5,7 +5,9 @@ of a minimizer that occurs again can hold a repeat. Those pieces, equal ones onc
 minimizer; each shard of pieces gets its suffix array by induced sorting (classify suffixes, sort the leftmost-smaller
 substrings, name them, recurse, induce) and its permuted common prefixes, and a stretch of the array whose common prefixes
 reach `length` and whose pieces count two or more together is a repeat. Nothing is decided by hashes of windows: minimizers
-only route, and every routed window is compared with all others of its minimizer.
+only route, and every routed window is compared with all others of its minimizer. A minimizer of very many distinct pieces (a
+passage that many texts share, each going on differently) would be one shard that grows with the input: its windows are
+counted one by one by their 128-bit digests, which Spark spreads over all tasks.
 
 Induction runs bucket by bucket with array operations, linear in the shard. Names too many for buckets are written as two
 digits, which keeps their order.
@@ -28,6 +30,8 @@ from .jaccard import _bloom_bits, id_filter
 LENGTH = 200
 GRAM = 24
 SHARD_BYTES = 3 << 20
+#: Distinct pieces of a minimizer (counted batch by batch, so rather too many) up to which they are sorted in one shard.
+HEAVY = 1 << 14
 #: Names up to which a recursion uses them as they are; more are written as two digits. Names of which there are no more than
 #: DIRECT are not recursed on but sorted by doubling, which array operations do faster.
 MAX_BUCKETS = 1024
@@ -317,14 +321,62 @@ def _occurrences(length: int, gram: int):
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """least, n: how often each minimizer occurs in a batch."""
+    """least, n, kinds: how often each minimizer occurs in a batch, and with how many distinct pieces (by half a digest)."""
     for batch in batches:
         all_ = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8")
-        least, n = np.unique(all_, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(n.astype(np.int64))], ["least", "n"])
+        half = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8")[::2]
+        order = np.lexsort((half, all_))
+        all_, half = all_[order], half[order]
+        least, heads, n = np.unique(all_, return_index=True, return_counts=True)
+        fresh = np.ones(len(all_), np.int64)
+        fresh[1:] = (all_[1:] != all_[:-1]) | (half[1:] != half[:-1])
+        kinds = np.add.reduceat(fresh, heads) if len(heads) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(n.astype(np.int64)), pa.array(kinds)], ["least", "n", "kinds"])
 
 
-def _routed(wanted):
+def _among(least: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Which minimizers are heavy; heavy is sorted."""
+    if not len(heavy):
+        return np.zeros(len(least), bool)
+    return heavy[np.minimum(np.searchsorted(heavy, least), len(heavy) - 1)] == least
+
+
+def _windows(length: int, gram: int, heavy):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """k1, k2, start and digest (two longs) of each window whose minimizer is heavy."""
+        for batch in batches:
+            done = 0
+            for texts in text_runs(batch.column(2)):
+                for i, text in enumerate(texts, done):
+                    data = _bytes(text)
+                    edges, least = minimizer_runs(np.frombuffer(data, np.uint8), length, gram)
+                    mine = np.flatnonzero(_among(least, heavy.value))
+                    if not len(mine):
+                        continue
+                    starts = np.concatenate([np.arange(edges[j], edges[j + 1]) for j in mine.tolist()])
+                    for at in range(0, len(starts), 1 << 16):
+                        part = starts[at : at + (1 << 16)]
+                        halves = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[a : a + length]) for a in part.tolist()]), "<i8").reshape(-1, 2)
+                        keys = [pa.array(np.full(len(part), batch.column(c)[i].as_py(), np.int64)) for c in (0, 1)]
+                        yield pa.RecordBatch.from_arrays([*keys, pa.array(part.astype(np.int32)), *(pa.array(np.ascontiguousarray(halves[:, c])) for c in (0, 1))], ["k1", "k2", "start", "h1", "h2"])
+                done += len(texts)
+            tidy()
+
+    return run
+
+
+def _repeated_windows(texts: DataFrame, length: int, gram: int, heavy) -> DataFrame:
+    """k1, k2, begin, stop of the windows of heavy minimizers that occur again. Those of very many places meet no join by key."""
+    windows = cut(texts.select("k1", "k2", "text").mapInArrow(_windows(length, gram, heavy), f"{KEY}, start int, h1 long, h2 long"))
+    counts = cut(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    often = counts.where(F.col("n") > HEAVY).select("h1", "h2", F.lit(True).alias("often"))
+    marked = windows.join(F.broadcast(often), ["h1", "h2"], "left")
+    few = marked.where("often IS NULL").join(counts.where(F.col("n") <= HEAVY), ["h1", "h2"], "left_semi")
+    begin = F.col("start").cast("long")
+    return marked.where("often").unionByName(few).select("k1", "k2", begin.alias("begin"), (begin + length).alias("stop"))
+
+
+def _routed(wanted, heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """digest, k1, k2, start of the pieces whose minimizer may be wanted."""
         for batch in batches:
@@ -335,7 +387,7 @@ def _routed(wanted):
                 digests = np.frombuffer(b"".join(part.column(4).to_pylist()), "S16")
                 count = np.array([len(x) // 4 for x in part.column(2).to_pylist()])
                 bits = _bloom_bits(least)
-                mine = np.flatnonzero(wanted.value[bits >> 3] >> (bits & 7) & 1)
+                mine = np.flatnonzero((wanted.value[bits >> 3] >> (bits & 7) & 1).astype(bool) & ~_among(least, heavy.value))
                 k1, k2 = (np.repeat(part.column(c).to_numpy(), count)[mine] for c in (0, 1))
                 raw = b"".join(part.column(4).to_pylist())
                 del digests
@@ -344,7 +396,7 @@ def _routed(wanted):
     return run
 
 
-def _contents(length: int, gram: int, wanted):
+def _contents(length: int, gram: int, wanted, heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """least, digest, n, piece: the pieces that may be wanted, equal ones of a run of texts once with their number."""
         for batch in batches:
@@ -354,7 +406,7 @@ def _contents(length: int, gram: int, wanted):
                     data = _bytes(text)
                     edges, least = minimizer_runs(np.frombuffer(data, np.uint8), length, gram)
                     bits = _bloom_bits(least)
-                    for i in np.flatnonzero(wanted.value[bits >> 3] >> (bits & 7) & 1).tolist():
+                    for i in np.flatnonzero((wanted.value[bits >> 3] >> (bits & 7) & 1).astype(bool) & ~_among(least, heavy.value)).tolist():
                         piece = data[edges[i] : edges[i + 1] + length - 1]
                         digest = xxhash.xxh3_128_digest(piece)
                         if digest in held:
@@ -428,13 +480,17 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
     """texts (k1, k2, text) -> k1, k2, spans: byte spans (begin, stop; they may overlap) of the texts that lose any."""
     spark = texts.sparkSession
     found = cut(texts.select("k1", "k2", "text").mapInArrow(_occurrences(length, gram), f"{KEY}, starts binary, least binary, digests binary"))
-    again = found.select("least").mapInArrow(_counted, "least long, n long").groupBy("least").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = found.select("least", "digests").mapInArrow(_counted, "least long, n long, kinds long").groupBy("least").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds"))
+    again = cut(counted.where("n > 1").select("least", (F.col("kinds") > HEAVY).alias("heavy")))
     wanted = spark.sparkContext.broadcast(id_filter(again.select("least")))
-    pieces = texts.select("text").mapInArrow(_contents(length, gram, wanted), "least long, digest binary, n long, piece binary")
+    heavy = spark.sparkContext.broadcast(np.sort(np.array([r["least"] for r in again.where("heavy").collect()], np.int64)))
+    pieces = texts.select("text").mapInArrow(_contents(length, gram, wanted, heavy), "least long, digest binary, n long, piece binary")
     shards = pieces.repartition("least").sortWithinPartitions("least", "digest")
     repeated = cut(shards.mapInArrow(_sorted_shards(length, shard_bytes), "digest binary, spans binary"))
-    places = found.mapInArrow(_routed(wanted), f"digest binary, {KEY}, start int")
+    places = found.mapInArrow(_routed(wanted, heavy), f"digest binary, {KEY}, start int")
     spans = places.join(repeated, "digest").select("k1", "k2", "start", "spans").mapInArrow(_intervals(length), f"{KEY}, begin long, stop long")
+    if len(heavy.value):
+        spans = spans.unionByName(_repeated_windows(texts, length, gram, heavy))
     return spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("begin", "stop"))).alias("spans"))
 
 

@@ -141,6 +141,37 @@ def test_suffix_dedup(docs, rows, empty):
     assert suffix.suffix_dedup(empty).count() == 0
 
 
+def test_edges_of_a_common_passage_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HEAVY", 20, raising=False)
+    real = suffix._sorted_shards
+
+    def watched(length, shard_bytes):
+        run = real(length, shard_bytes)
+
+        def checked(batches):
+            def seen():
+                kinds = {}
+                for batch in batches:
+                    for least, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                        kinds.setdefault(least, set()).add(digest)
+                    assert max(map(len, kinds.values()), default=0) <= 20
+                    yield batch
+
+            return run(seen())
+
+        return checked
+
+    monkeypatch.setattr(suffix, "_sorted_shards", watched)
+    rng = random.Random(8)
+    text = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    passage, other = text(500), text(300)
+    texts = [text(250) + passage + text(250) for _ in range(100)] + [text(250) + passage + other + "é" for _ in range(3)] + [other, passage, None, text(400)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    digest = F.arrow_udf(suffix._digest, "struct<n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept_sha256: string>")
+    got = {r["doc_id"]: tuple(r["d"]) for r in suffix.suffix_dedup(table).select("doc_id", digest("text", "spans").alias("d")).collect()}
+    assert got == dict(enumerate(brute_removed(texts, 200)))
+
+
 # ---- neighbours --------------------------------------------------------------------------------------------------------
 
 
