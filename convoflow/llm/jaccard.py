@@ -409,36 +409,51 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     A document without words is a component of its own. Null ids come last: a component of nothing else has a null id. An empty
     table gives an empty result.
     """
+    documents, component = _labelled(docs, n, percent)
+    joined = documents.where("n_shingles > 0").join(component.select("class", "component"), "class").select("doc_id", "n_shingles", "class", F.col("component").alias("component_id"))
+    return joined.unionByName(documents.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")))
+
+
+def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, text) -> documents (doc_id, n_shingles, class), and class, label (one for each component), component (its least id)."""
     documents, links = jaccard_links(docs, n, percent)
     least = documents.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     labels = components(links).withColumnRenamed("node", "class")
     named = cut(least.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")))
     whole = named.groupBy("label").agg(F.min("least").alias("component"))
-    component = named.join(whole, "label").select("class", "component")
-    joined = documents.where("n_shingles > 0").join(component, "class").select("doc_id", "n_shingles", "class", F.col("component").alias("component_id"))
-    return joined.unionByName(documents.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")))
+    return documents, named.join(whole, "label").select("class", "label", "component")
 
 
 def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs without all but one document of each group of near copies; the one with the least id stays, with all its columns.
 
-    Documents without words stay. Of rows that repeat an id and a text one stays. Only documents that a filter of fixed size
-    cannot clear are joined with the ids that go, so most texts are not shuffled.
+    Documents without words stay. Null ids come last, and ids may repeat: among rows of the least id (or none) one stays. Only
+    documents that a filter of fixed size cannot clear are joined with what goes, so most texts are not shuffled.
     """
-    docs = docs.drop("_listed")
-    found = cut(near_duplicates(docs, n, percent).where("n_shingles > 0").select("doc_id", "component_id"))
-    gone = found.where("NOT (doc_id <=> component_id)").select("doc_id").distinct()
-    twice = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    bits = docs.sparkSession.sparkContext.broadcast(id_filter(gone.unionByName(twice).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))))
+    docs = docs.drop("_listed", "_class")
+    documents, component = _labelled(docs, n, percent)
+    found = cut(documents.where("n_shingles > 0").groupBy("doc_id", "class").agg(F.count(F.lit(1)).alias("rows")).join(component.select("class", "label"), "class"))
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("first"))
+    # Ids and classes of which one row or none stays: all but the least of a component go.
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("class") == F.col("first.class"))
+    marked = cut(found.join(first, "label").withColumn("stays", stays).where("NOT stays OR rows > 1").select("doc_id", "class", "stays"))
+    gone = marked.where("NOT stays").select("doc_id", "class")
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(marked.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")).distinct()))
 
     def listed(ids: pa.Array) -> pa.Array:
         at = _bloom_bits(ids.fill_null(NO_ID).to_numpy(zero_copy_only=False))
         return pa.array((bits.value[at >> 3] >> (at & 7) & 1).astype(bool))
 
+    def classes(texts: pa.Array) -> pa.Array:
+        held = (shingles(text, n) for run_ in text_runs(texts) for text in run_)
+        return pa.array([class_of(h) if len(h) else None for h in held], pa.int64())
+
     named = docs.withColumn("_listed", F.arrow_udf(listed, "boolean")(F.col("doc_id").cast("long")))
-    clear, rest = named.where("NOT _listed"), named.where("_listed").dropDuplicates(["doc_id", "text"])
-    stay = rest.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti")
-    return clear.unionByName(stay).drop("_listed")
+    clear = named.where("NOT _listed").drop("_listed")
+    rest = cut(named.where("_listed").drop("_listed").withColumn("_class", F.arrow_udf(classes, "long")(F.col("text"))))
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (F.col("d._class") == F.col("g.class"))
+    stay = rest.where("_class IS NOT NULL").alias("d").join(gone.alias("g"), same, "left_anti").dropDuplicates(["doc_id", "_class"])
+    return clear.unionByName(stay.drop("_class")).unionByName(rest.where("_class IS NULL").drop("_class"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,6 +221,20 @@ def test_near_duplicates(docs, rows, empty, monkeypatch, small):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    a, b, c, d, e, f = ([f"w{rng.randint(0, 10**6)}" for _ in range(80)] for _ in range(6))
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    a2, c2, d2, e2 = near(a), near(c), near(d), near(e)
+    a, b, c, d, e, f = (" ".join(w) for w in (a, b, c, d, e, f))
+    rows = [(5, a), (5, b), (2, a2), (None, a), (None, f), (None, None), (None, " "), (None, ""), (7, c), (7, c2), (8, "x"), (8, "X"), (None, d), (None, d2), (9, e), (9, e), (None, e2), (9, None), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = Counter((r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs).collect())
+    for options in ([(7, c), (7, c2)], [(None, d), (None, d2)], [(8, "x"), (8, "X")]):
+        assert sum(found.pop(o, 0) for o in options) == 1
+    assert found == Counter([(2, a2), (5, b), (None, f), (None, None), (None, " "), (None, ""), (9, e), (9, None), (9, None)])
+
+
 def test_divide_skip():
     rng = np.random.default_rng(1)
     for _ in range(200):
