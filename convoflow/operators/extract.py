@@ -58,8 +58,11 @@ def extract(chunks: DataFrame, call: Callable[[str], str], parallelism: int = 8,
 def response_text(payload: F.Column) -> F.Column:
     """The answer in a raw reply of a chat or responses endpoint, stripped."""
     v = F.try_parse_json(payload)
-    found = [F.try_variant_get(v, path, "string") for path in ("$.output_text", "$.output[0].content[0].text", "$.output[1].content[0].text", "$.choices[0].message.content", "$.choices[0].text")]
-    return F.trim(F.coalesce(*found))
+    get = lambda of, path, type_="string": F.try_variant_get(of, path, type_)
+    contents = F.transform(get(v, "$.output", "array<variant>"), lambda item: F.coalesce(get(item, "$.content", "array<variant>"), F.array().cast("array<variant>")))
+    # Reasoning and tool items have no text, and a message may begin with other parts.
+    parts = F.filter(F.transform(F.flatten(contents), lambda part: get(part, "$.text")), lambda text: text != "")
+    return F.trim(F.coalesce(F.nullif(get(v, "$.output_text"), F.lit("")), F.get(parts, F.lit(0)), get(v, "$.choices[0].message.content"), get(v, "$.choices[0].text")))
 
 
 def failed(rows: DataFrame) -> DataFrame:

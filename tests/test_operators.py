@@ -230,3 +230,10 @@ def test_settings():
     assert Settings.from_env({"CONVOFLOW_MAX_TOKENS": "50", "CONVOFLOW_COVER_TOKENS": "5"}).max_tokens == 50
     with pytest.raises(ValueError):
         Settings(max_tokens=10, cover_tokens=10)
+
+
+def test_response_text_is_the_first_of_any_output(spark):
+    message = {"type": "message", "content": [{"type": "refusal"}, {"type": "output_text", "text": ""}, {"type": "output_text", "text": " yes "}, {"text": "later"}]}
+    outputs = [[{"type": "reasoning"}, {"type": "tool", "content": None}, {"type": "reasoning", "content": []}, message], [message], [], [{"content": "no list"}, message]]
+    payload = spark.createDataFrame([(i, json.dumps({"output": o})) for i, o in enumerate(outputs)], "i int, p string")
+    assert [r[0] for r in payload.orderBy("i").select(extract.response_text(F.col("p"))).collect()] == ["yes", "yes", None, "yes"]
