@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Fixed values of the contracts: what a word is, as a Java/Python pattern.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,14 +33,18 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder that the context was given.
+
+    There is no other choice: a folder of one machine would lose or split what executors write, so without a setting this is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
+    context = spark.sparkContext._jsc.sc()
     if not found:
-        current = context._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='convoflow-')}"
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(found)
+        if not context.getCheckpointDir().isDefined():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        return context.getCheckpointDir().get()
+    if not context.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(found)
     return found
 
 
@@ -54,6 +58,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a measured lookup table that every executor may be sent; all of them are a few dozen bytes wide.
+BROADCAST_ROWS = 200_000
+#: A key that more than this share of all rows have is hot, so there are fewer than HOT_KEYS of them.
+HOT_KEYS = 256
+
+
+def lookup(rows: DataFrame, found: DataFrame, keys: list[str], spread: list[str], how: str = "left") -> DataFrame:
+    """rows joined with a narrow table that has each of its keys once; null keys match each other. Columns named _hot and _salt are used.
+
+    The table is counted: up to BROADCAST_ROWS rows are broadcast. A larger one is joined by key, and keys that very many rows
+    share are spread over salts by the `spread` columns, so that no task meets them all.
+    """
+    names = [f"_key{i}" for i in range(len(keys))]
+    other = found.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], *[c for c in found.columns if c not in keys])
+    same = [rows[k].eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+    if found.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(other), same, how).drop(*names)
+    salts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    least = rows.count() // HOT_KEYS
+    hot = cut(counts.where(F.col("_n") > least).select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.lit(True).alias("_hot")))
+    marks = [f"_h{i}" for i in range(len(keys))]
+    left = rows.join(F.broadcast(hot), [rows[k].eqNullSafe(F.col(m)) for k, m in zip(keys, marks, strict=True)], "left").drop(*marks)
+    left = left.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    right = other.join(F.broadcast(hot), [F.col(n).eqNullSafe(F.col(m)) for n, m in zip(names, marks, strict=True)], "left").drop(*marks)
+    spread_out = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    right = right.withColumn("_other", F.explode(spread_out)).drop("_hot")
+    return left.join(right, [*[left[k].eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)], F.col("_salt") == F.col("_other")], how).drop(*names, "_salt", "_other")
+
+
 def words(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8. bytes.split() parts exactly at 0x20 and 0x09-0x0D; multi-byte characters hold none of them."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

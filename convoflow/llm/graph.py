@@ -40,19 +40,19 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges (a, b: long) -> node, label: the least node of every node's component, for nodes that have an edge.
 
     Each task first contracts its share of the edges. Then large-star and small-star steps follow in turn, until nothing
-    changes: the number of rounds grows with the logarithm of the longest path that is left. Repeated edges, loops and nulls do not matter (null ends are dropped); no edges give no rows.
+    changes, however many rounds that takes: their number grows with the logarithm of the longest path that is left. Where all
+    edges fit one share, the contraction is already the answer. Repeated edges, loops and nulls do not matter (null ends are
+    dropped); no edges give no rows.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     shares = -(-now.count() // LOCAL_EDGES) or 1
     now = cut(now.coalesce(shares).mapInArrow(_contract, "a long, b long"))
     state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    for _ in range(rounds if shares > 1 else 0):
-        if not state[0]:
-            break
+    while shares > 1 and state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: every greater neighbour is tied to the least one.
         large = both.join(_least(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

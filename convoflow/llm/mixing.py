@@ -6,7 +6,8 @@ that are left, which closes the remaining budget. Which documents of a length go
 agree and every length keeps a random sample of its documents.
 
 Only the histogram (distinct lengths of a source) is ever gathered; documents are ranked within hash buckets of about
-RANK_BUCKET rows, so neither a hot source nor a length that a third of all documents share meets in one task.
+RANK_BUCKET rows, equal rows as one with their number, so neither a hot source nor a length nor a row that a third of all
+documents share meets in one task.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, lookup
 
 #: Words of a source's budget that are left to the dynamic program.
 DP_WINDOW = 8192
@@ -111,33 +112,30 @@ def _plan(window: int):
     return plan
 
 
-#: Strata (sources times distinct lengths) that are sent to every executor; more are joined.
-BROADCAST_STRATA = 500_000
-
-
 def ranked(docs: DataFrame, budget: float, weights: Sequence[int], repeats: int, seed: int, window: int) -> DataFrame:
-    """docs (doc_id, source, size) -> plus source_no, source_size, target, whole, _hash and _extra: whether this row is taken once more."""
-    rows = cut(docs.select("doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size")))
-    histogram = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    """docs (doc_id, source, size, tie) -> each distinct row once: plus rows (how many there are), source_size, target, whole, _hash, and extra: how many of them are taken once more."""
+    size = F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size")
+    rows = cut(docs.select("doc_id", "source", size, "tie").groupBy("doc_id", "source", "size", "tie").agg(F.count(F.lit(1)).alias("rows")))
+    histogram = rows.groupBy("source", "size").agg(F.sum("rows").alias("n"))
     targets = cut(source_targets(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), budget, weights, repeats))
-    by_source = histogram.alias("h").join(targets.alias("t"), F.col("h.source").eqNullSafe(F.col("t.source"))).select("source_no", "size", "n", "target")
-    plan = cut(by_source.groupBy("source_no").applyInPandas(_plan(window), "source_no long, size long, n long, whole long, extra long"))
-    placed = rows.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("doc_id", "r.source", "size", "source_no", "source_size", "target")
-    placed = placed.join(plan, ["source_no", "size"])
+    by_source = lookup(histogram, targets, ["source"], ["size"], "inner").select("source_no", "size", "n", "target")
+    plan = cut(by_source.groupBy("source_no").applyInPandas(_plan(window), "source_no long, size long, n long, whole long, extra long").withColumnRenamed("extra", "_stratum"))
+    placed = lookup(lookup(rows, targets, ["source"], ["doc_id", "tie"], "inner"), plan, ["source_no", "size"], ["doc_id", "tie"], "inner")
     unit = F.shiftrightunsigned("_hash", 11) / F.lit(float(1 << 53))
     placed = placed.withColumn("_hash", _hash(seed)).withColumn("_bucket", F.floor(unit * F.ceil(F.col("n") / RANK_BUCKET)))
     key = ["source_no", "size", "_bucket"]
     # Only lengths of more than one bucket need to know what the buckets before theirs hold.
     before = Window.partitionBy("source_no", "size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    held = placed.where(F.col("n") > RANK_BUCKET).groupBy(*key).agg(F.count(F.lit(1)).alias("_held"))
+    held = placed.where(F.col("n") > RANK_BUCKET).groupBy(*key).agg(F.sum("rows").alias("_held"))
     held = held.select(*key, F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(_order(F.col("_hash")), "doc_id"))
-    found = placed.withColumn("_rank", rank).join(held, key, "left")
-    return found.withColumn("_extra", F.col("_rank") + F.coalesce(F.col("_before"), F.lit(0)) <= F.col("extra"))
+    upto = F.sum("rows").over(Window.partitionBy(*key).orderBy(_order(F.col("_hash")), "doc_id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = placed.withColumn("_upto", upto).join(held, key, "left")
+    left = F.col("_stratum") - F.coalesce(F.col("_before"), F.lit(0)) - F.col("_upto") + F.col("rows")
+    return found.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("rows"), left)))
 
 
 def _hash(seed: int) -> F.Column:
-    return F.xxhash64(F.col("doc_id"), F.lit(seed))
+    return F.xxhash64(F.col("doc_id"), F.col("tie"), F.lit(seed))
 
 
 def _order(hashed: F.Column) -> F.Column:
@@ -146,38 +144,50 @@ def _order(hashed: F.Column) -> F.Column:
 
 
 def mix(docs: DataFrame, budget: float = 1.5, weights: Sequence[int] = (5, 2, 1), repeats: int = 2, seed: int = 17, window: int = DP_WINDOW) -> DataFrame:
-    """docs with doc_id, source, size -> doc_id, source, size, source_size, target, copies: one row per row of docs.
+    """docs with doc_id, source, size and tie -> doc_id, source, size, source_size, target, copies: one row per row of docs.
 
-    copies is how often the mix takes a document, at most `repeats`. Documents without words are never taken; a null source is
-    a source of its own, last in order; null ids are ranked like any other value; repeated rows count and are taken one by one,
-    in an order that their equal values cannot tell apart; an empty table gives an empty result. Other columns are not read.
+    copies is how often the mix takes a document, at most `repeats`. tie (a number, such as a hash of the text) tells rows of
+    one id apart. Documents without words are never taken; a null source is a source of its own, last in order; null ids are
+    ranked like any other value; rows that are wholly equal are counted first, and as many of them are taken once more as the
+    plan says; an empty table gives an empty result. Other columns are not read.
     """
     found = ranked(docs, budget, weights, repeats, seed, window)
-    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("whole") + F.col("_extra").cast("int"))
-    return found.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("copy")
+    each = found.select("doc_id", "source", "size", "source_size", "target", "whole", "extra", copy)
+    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("whole") + (F.col("copy") <= F.col("extra")).cast("int"))
+    return each.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+
+
+def row_hash(docs: DataFrame) -> F.Column:
+    """A tie for `mix` that tells all rows apart but those that are wholly equal."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixed(docs: DataFrame, size: F.Column, budget: float = 1.5, weights: Sequence[int] = (5, 2, 1), repeats: int = 2, seed: int = 17, window: int = DP_WINDOW) -> DataFrame:
-    """docs with every row as often as the mix takes it: all its columns, however many and whatever their names.
+    """docs with every row as often as `mix` takes it, tied by `row_hash`: all its columns, however many and whatever their names.
 
-    A stratum (source and length) keeps the last hash and id that it takes once more, so whole rows meet only that small table.
-    Rows that repeat an id in one stratum are then taken alike; else this is what `mix` says.
+    A stratum (source and length) keeps the last place in the order that it takes once more, so whole rows meet only that small
+    table. Only where that place has more equal rows than are taken, they are gathered as one row with a number.
     """
-    rows = ranked(docs.select("doc_id", "source", size.alias("size")), budget, weights, repeats, seed, window)
-    place = F.struct(_order(F.col("_hash")).alias("hash"), F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))
-    last = rows.where("size > 0").groupBy("source", "size").agg(F.first("whole").alias("whole"), F.max(F.when(F.col("_extra"), place)).alias("last"))
-    strata = cut(last.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "whole", "last"))
-    if strata.count() <= BROADCAST_STRATA:
-        strata = F.broadcast(strata)
-    hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("_source"), size.alias("_size"), _order(_hash(seed)).alias("_h"), F.col("doc_id").alias("_id"))
-    met = hashed.join(strata, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
-    mine = F.struct(F.col("_h").alias("hash"), F.col("_id").isNotNull().alias("known"), F.col("_id").alias("id"))
-    copies = F.col("whole") + (F.col("last").isNotNull() & (mine <= F.col("last"))).cast("int")
-    return met.select("row", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select("row.*")
+    tie = row_hash(docs)
+    rows = ranked(docs.select("doc_id", "source", size.alias("size"), tie.alias("tie")), budget, weights, repeats, seed, window)
+    place = [_order(F.col("_hash")).alias("hash"), F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"), F.col("tie").alias("tie")]
+    last = F.max(F.when(F.col("extra") > 0, F.struct(*place, "extra", "rows")))
+    strata = cut(rows.where("size > 0").groupBy("source", "size").agg(F.first("whole").alias("whole"), last.alias("last")))
+    strata = strata.select(F.col("source").alias("_source"), F.col("size").alias("_size"), "whole", "last")
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("_source"), size.alias("_size"), F.col("doc_id"), tie.alias("tie"))
+    named = named.withColumn("_hash", _hash(seed)).withColumn("mine", F.struct(*place)).select("row", "_source", "_size", "mine")
+    met = lookup(named, strata, ["_source", "_size"], ["mine"], "inner")
+    at = F.struct(*[F.col(f"last.{c}").alias(c) for c in ("hash", "known", "id", "tie")])
+    some = F.coalesce(F.col("mine").eqNullSafe(at) & (F.col("last.extra") < F.col("last.rows")), F.lit(False))
+    copies = F.col("whole") + (F.col("last").isNotNull() & (F.col("mine") <= at)).cast("int")
+    whole = met.where(~some).select("row", copies.cast("long").alias("copies"))
+    equal = met.where(some).groupBy("_source", "_size").agg(F.first("row").alias("row"), F.first(F.col("last.rows") * F.col("whole") + F.col("last.extra")).alias("copies"))
+    return whole.unionByName(equal.select("row", "copies")).select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("tie"))
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -17,7 +17,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from convoflow.llm import graph, jaccard, mixing, neighbours, packing, quality, scoring, secrets, suffix, tokens, toxicity
+from convoflow.llm import common, graph, jaccard, mixing, neighbours, packing, quality, scoring, secrets, suffix, tokens, toxicity
 from convoflow.llm.queries import ORACLE_SQL, QUERIES
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, _hash string"
@@ -72,7 +72,7 @@ def test_counts_come_as_near_as_can_be():
 
 
 def test_mix(spark, docs, rows, empty):
-    sized = docs.withColumn("size", mixing.word_count())
+    sized = docs.withColumns({"size": mixing.word_count(), "tie": mixing.row_hash(docs)})
     found = [r.asDict() for r in mixing.mix(sized).collect()]
     again = [r.asDict() for r in mixing.mix(sized.repartition(3)).collect()]
     key = lambda r: r["doc_id"]
@@ -99,12 +99,32 @@ def test_mix(spark, docs, rows, empty):
         assert mine[0]["target"] == pytest.approx(target[s])
         assert abs(sum(r["copies"] * r["size"] for r in mine) - target[s]) <= 2
     assert all(r["copies"] in (0, 1, 2) for r in found)
-    assert mixing.mix(empty.withColumn("size", F.lit(1))).count() == 0
+    assert mixing.mix(empty.withColumns({"size": F.lit(1), "tie": F.lit(1)})).count() == 0
     taken = mixing.mixed(docs, mixing.word_count())
     assert taken.columns == docs.columns
     assert Counter(r["doc_id"] for r in taken.collect()) == Counter({r["doc_id"]: r["copies"] for r in found if r["copies"]})
 
 
+def test_mix_of_repeated_rows(spark):
+    rows = [(i if i > 20 else 7, "a b c" if i % 2 else f"a b c{i}", "de", "s", 5, "x") for i in range(60)] + [(None, "a b c", "de", "s", 5, "x")] * 9
+    docs = spark.createDataFrame(rows, DOC).repartition(3)
+    sized = docs.withColumns({"size": mixing.word_count(), "tie": mixing.row_hash(docs)})
+    for budget in (0.31, 1.14, 1.9):
+        found = mixing.mix(sized, budget=budget).collect()
+        taken = sum(r["copies"] * r["size"] for r in found)
+        assert len(found) == len(rows) and abs(taken - budget * 3 * len(rows)) <= 2
+        assert Counter(r["doc_id"] for r in mixing.mixed(docs, mixing.word_count(), budget=budget).collect()) == Counter(x for r in found for x in [r["doc_id"]] * r["copies"])
+
+
+def test_lookup_of_large_tables(spark, monkeypatch):
+    rows = spark.createDataFrame([(i % 3 if i < 600 else i, None if i % 5 == 0 else "k", i) for i in range(900)], "a long, b string, i long")
+    found = rows.select("a", "b").distinct().where("a <> 700").withColumn("v", F.col("a") * 2)
+    want = sorted(map(repr, common.lookup(rows, found, ["a", "b"], ["i"]).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(map(repr, common.lookup(rows, found, ["a", "b"], ["i"]).collect())) == want and len(want) == 900
+    assert common.lookup(rows, found, ["a", "b"], ["i"], "inner").count() == 899
+
+
 # ---- suffix arrays -----------------------------------------------------------------------------------------------------
 
 
