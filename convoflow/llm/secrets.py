@@ -2,9 +2,10 @@
 
 Three strong patterns are always reported. Weaker parts of credentials (named identifiers, short or unusually named secrets,
 key-like strings, endpoints) mean little alone: they are reported only where complementary parts, a secret with an identifier
-or an endpoint, lie within one scope. Scopes are stretches of SCOPE code points, each overlapping half of the next, so parts
-less than half a scope apart always share one. Parts and scopes meet in an interval join on (document, scope number): each
-part lies in two scopes, what a scope holds is aggregated before the join, and no pairs of parts are ever made.
+or an endpoint, lie within one scope: at most SCOPE code points between the end of one and the start of the other. That is an
+interval join: every part lies in the stretches of SCOPE code points that it covers, every weak part looks into those that its
+scope reaches, and parts that meet there are compared by their distance. It is a semi-join, so no pairs of parts are rows, and
+a stretch holds no more parts than fit into it.
 
 Positions are those of code points: the text is split at the matches, and the lengths of what lies between are added up.
 """
@@ -64,7 +65,11 @@ def _clear_of(spans: Column, others: Column) -> Column:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """docs plus base (strong spans, by start and kind) and weak (parts that overlap none of them, of texts that hold a secret part)."""
+    """docs plus base (strong spans, by start and kind) and weak (parts that overlap none of them).
+
+    Identifiers and endpoints are looked for where the text holds any secret part: elsewhere they have no complement. A null text
+    is empty; columns of the new names, and those of the steps between, must not be there.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.withColumn("_named", text.rlike(NAMED)).withColumn("_key", text.contains("AKIA")).withColumn("_hex", text.rlike(HEX)).withColumn("_blob", text.rlike(BLOB))
     base = F.concat(_if(F.col("_named"), located(text, ASSIGN, "assign", 8)), _if(F.col("_key"), located(text, ACCESS, "access")), _if(F.col("_hex"), located(text, HEX, "hex")))
@@ -75,20 +80,23 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def linked(rows: DataFrame, key: list[str], scope: int = SCOPE) -> DataFrame:
-    """rows (key, base, weak) -> key, found: the weak spans that lie in a scope with complementary parts."""
-    parts = rows.select(*key, F.explode(F.concat(F.transform("base", lambda s: F.struct(s.alias("span"), F.lit(False).alias("weak"))), F.transform("weak", lambda s: F.struct(s.alias("span"), F.lit(True).alias("weak"))))).alias("p"))
-    half = scope // 2
-    number = F.floor(F.col("span.start") / half).cast("int")
-    placed = parts.select(*key, "p.*").withColumn("scope", F.explode(F.array(number - 1, number)))
-    kind = F.col("span.kind")
-    has = {
-        "secret": F.max(kind.isin(*[KINDS.index(k) for k in ("assign", "hex", "key")])),
-        "id": F.max(kind.isin(*[KINDS.index(k) for k in ("access", "id")])),
-        "endpoint": F.max(kind == KINDS.index("endpoint")),
-    }
-    scopes = placed.groupBy(*key, "scope").agg(*[c.alias(n) for n, c in has.items()]).where("secret AND (id OR endpoint)")
-    inside = placed.where("weak").join(scopes.select(*key, "scope"), [*key, "scope"], "left_semi")
-    return inside.groupBy(*key).agg(F.collect_set("span").alias("found"))
+    """rows (key, base, weak) -> key, found: the weak spans that have a complementary part, weak or strong, within the scope.
+
+    Spans that overlap are no distance apart. Rows without weak spans, and those whose spans have no complement, are left out.
+    """
+    secret = F.col("kind").isin(*[KINDS.index(k) for k in ("assign", "hex", "key")])
+
+    def every(low: Column, high: Column) -> Column:
+        return F.explode(F.sequence(F.floor(low / scope), F.floor(high / scope)))
+
+    parts = rows.select(*key, F.explode(F.concat("base", "weak")).alias("p")).select(*key, "p.*")
+    parts = parts.select(*[F.col(c).alias(f"_{c}") for c in key], secret.alias("_secret"), F.col("start").alias("_start"), F.col("end").alias("_end"), every(F.col("start"), F.col("end")).alias("_stretch"))
+    asked = rows.select(*key, F.explode("weak").alias("span")).select(*key, "span", "span.*")
+    asked = asked.select(*key, "span", "start", "end", secret.alias("secret"), every(F.col("start") - scope, F.col("end") + scope).alias("stretch"))
+    near = (F.col("_start") - F.col("end") <= scope) & (F.col("start") - F.col("_end") <= scope)
+    same = [F.col(c) == F.col(f"_{c}") for c in key] + [F.col("stretch") == F.col("_stretch"), F.col("secret") != F.col("_secret")]
+    met = asked.join(parts, [*same, near], "left_semi")
+    return met.groupBy(*key).agg(F.collect_set("span").alias("found"))
 
 
 def all_spans(base: Column, found: Column) -> Column:
@@ -124,7 +132,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
-    """text with each run of spans replaced by mask."""
+    """text with each run of spans replaced by mask; spans that overlap are one run. A null text, or one without spans, stays as it is."""
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]

@@ -360,20 +360,32 @@ def brute_secrets(text):
     return sorted(found)
 
 
+WEAK = {"id": secrets.WEAK_ID, "key": secrets.WEAK_SECRET, "blob": secrets.BLOB, "endpoint": secrets.ENDPOINT}
+
+
+def brute_all_secrets(text, scope=secrets.SCOPE):
+    """All spans by hand: weak parts clear of strong ones, kept where a complement ends or begins within the scope."""
+    base = brute_secrets(text)
+    weak = {(m.start(), secrets.KINDS.index("key" if kind == "blob" else kind), m.end()) for kind, p in WEAK.items() for m in re.finditer(p, text or "", re.ASCII)}
+    weak = {w for w in weak if all(w[0] >= b[2] or b[0] >= w[2] for b in base)}
+    parts = [*base, *weak]
+    secret = lambda s: secrets.KINDS[s[1]] in ("assign", "hex", "key")
+    near = lambda a, b: a[0] - b[2] <= scope and b[0] - a[2] <= scope
+    return sorted([*base, *(w for w in weak if any(secret(w) != secret(p) and near(w, p) for p in parts))])
+
+
+def random_secret_texts(n=400, seed=5):
+    rng = random.Random(seed)
+    bits = ["password", "=", ": ", "token", " ", "short", "longenough1", "AKIA", "ABCD1234EFGH", "0a1b" * 8, "é", "\n", "secret", "'", "pwd=abcd", "https://h.io/x", "user: bob", "." * 150, " " + "Zz9/" * 10 + " ", "." * 390, "10.0.0.1"]
+    return ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(n)] + [None, "AKIA" * 500, "token = " + "a" * 5000 + " user: bob", "", "user: bob" + "x " * 195 + "pwd=abcd"]
+
+
 def test_secrets(spark, docs, rows, empty):
-    rng = random.Random(5)
-    bits = ["password", "=", ": ", "token", " ", "short", "longenough1", "AKIA", "ABCD1234EFGH", "0a1b" * 8, "é", "\n", "secret", "'", "pwd=abcd", "https://h.io/x", "user: bob", "." * 150]
-    texts = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))) for i in range(400)] + [(400, None), (401, "AKIA" * 500), (402, "token = " + "a" * 5000)]
+    texts = list(enumerate(random_secret_texts()))
     table = spark.createDataFrame(texts, "doc_id long, text string")
     found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.scan(table).collect()}
-    for i, text in texts:
-        base = brute_secrets(text)
-        assert [s for s in found[i] if s[1] < 3] == base
-        # The interval join by hand: scopes of 400, every 200.
-        parts = {(s[0], s[1]) for s in found[i]}
-        kinds = {k for _, k in parts}
-        if kinds - {0, 1, 2}:
-            assert kinds & {0, 2, 4} and kinds & {1, 3, 5}
+    assert {i: found[i] for i, _ in texts} == {i: brute_all_secrets(t) for i, t in texts}
+    assert sum(len(v) for v in found.values()) > sum(len(brute_secrets(t)) for _, t in texts) + 50
     linked = spark.createDataFrame([(1, "user: bob pwd=abcd"), (2, "pwd=abcd"), (3, "user: bob" + " x" * 400 + " pwd=abcd"), (4, "login to https://h.io/x")], "doc_id long, text string")
     assert {r["doc_id"]: [s[1] for s in r["spans"]] for r in secrets.scan(linked).collect()} == {1: [3, 4], 2: [], 3: [], 4: []}
     masked = secrets.scan(linked.where("doc_id = 1")).select(secrets.masked(F.col("text"), F.col("spans"))).first()[0]
@@ -381,6 +393,26 @@ def test_secrets(spark, docs, rows, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_links_do_not_depend_on_where_the_text_begins(spark):
+    gaps = [0, 199, 200, 310, 399, 400, 401, 500]
+    texts = [("." * shift + " user: bob " + "," * gap + " pwd=abcd", gap + 2) for gap in gaps for shift in (0, 1, 150, 199, 390, 777)]
+    table = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    for r in secrets.scan(table).collect():
+        assert len(r["spans"]) == (2 if texts[r["doc_id"]][1] <= secrets.SCOPE else 0)
+
+
+def test_secret_query(spark, tmp_path):
+    texts = [(i, t, "en", "s", 1) for i, t in enumerate(random_secret_texts(150, 6))]
+    spark.createDataFrame(texts, DOC.rpartition(",")[0]).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in QUERIES["op7_secrets"](spark, str(tmp_path)).collect()}
+    written = lambda spans: ",".join(f"{secrets.KINDS[k]}:{a}:{z}" for a, k, z in spans)
+    for i, t, *_ in texts:
+        base = brute_secrets(t)
+        n = Counter(secrets.KINDS[k] for _, k, _ in base)
+        want = (n["assign"], n["access"], n["hex"], hashlib.sha256(written(base).encode()).hexdigest(), written(brute_all_secrets(t)))
+        assert tuple(found[i][c] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")) == want
+
+
 def test_key_like_strings_need_no_other_secret(spark):
     key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
     assert len(key) == 40
