@@ -58,6 +58,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: what follows reads only the columns that it needs. Any column names will do."""
+    folder = new_folder(df.sparkSession, name)
+    df.toDF(*[f"c{i}" for i in range(len(df.columns))]).write.parquet(folder)
+    return df.sparkSession.read.parquet(folder).toDF(*df.columns)
+
+
 #: Rows of a measured lookup table that every executor may be sent; all of them are a few dozen bytes wide.
 BROADCAST_ROWS = 200_000
 #: A key that more than this share of all rows have is hot, so there are fewer than HOT_KEYS of them.

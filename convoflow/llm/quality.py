@@ -1,12 +1,13 @@
 """Quality rules whose thresholds adapt to each language and source.
 
-Every document is measured; the measures of the documents that pass the base rules go into quantile sketches per language and
-source. A sketch is a table of counts by bucket, whose buckets keep seven significant bits (relative error below 1/64), so
-sketches merge by adding counts: partial sums within each task, then per source, per language and over everything. A group
-with fewer than MIN_GROUP documents is judged by the merged sketch of its language, or of all. The thresholds are then joined
-to the documents, and those outside are rejected.
-
-Only bucket counts are shuffled: a hot source is as many rows as it has buckets.
+Every document is measured once; the measures of the documents that pass the base rules go into quantile sketches per language
+and source. A sketch is a table of counts by bucket, whose buckets keep seven significant bits (relative error below 1/64), so
+sketches merge by adding counts: partial sums within each task, then per source, per language and over everything. Each group
+leans on its parents by weight, never by a switch: its distribution counts with its documents, that of its language with
+PARENT_WEIGHS documents more, and within that the distribution of everything in the same way. The thresholds are then joined to
+the documents, and those outside are rejected.
+
+Only bucket counts are shuffled, never texts: a hot source is as many rows as it has buckets.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, small_batches, table, text_runs, tidy, words
+from .common import SPACES, cut, lookup, small_batches, stored, table, text_runs, tidy, words
 
-MIN_GROUP = 200
+#: Documents as which a group's parent counts in its thresholds.
+PARENT_WEIGHS = 200
 #: Quartile distances that a measure may lie beyond the quartiles.
 REACH = 4
 #: Measure, least quartile distance, and whether low values are rejected as well. Shares are in millionths, lengths in thousandths.
@@ -67,7 +69,7 @@ def measures(texts: pa.Array) -> pa.Array:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """docs plus a struct column `q` of counts."""
+    """docs plus a struct column `q` of counts; a null text has none of anything. A column named q is replaced."""
     small_batches(docs.sparkSession)
     kind = "struct<" + ", ".join(f"{c}: bigint" for c in COUNTS) + ">"
     return docs.withColumn("q", F.arrow_udf(measures, kind)("text"))
@@ -104,63 +106,67 @@ def merged(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "measure", "low").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, measure, n_docs, least, most of every sketch: the quartiles, and REACH quartile distances beyond."""
-    group = Window.partitionBy(*keys, "measure")
-    rows = sketches.withColumn("_upto", F.sum("n").over(group.orderBy("low"))).withColumn("_all", F.sum("n").over(group))
+def thresholds(sketches: DataFrame, parent: int = PARENT_WEIGHS) -> DataFrame:
+    """lang, source, fences: a map from measure to (least, most), one row per language and source.
+
+    Quartiles are those of the group's distribution with its parents' weight in it; the fences lie REACH quartile distances
+    beyond. The buckets of everything are a few thousand at most, as many as the number format has.
+    """
+    own = sketches.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.col("measure").alias("_m"), F.col("low").alias("_b"), F.col("n").alias("own"))
+    lang = merged(sketches, ["lang"]).select(F.col("lang").alias("_pl"), F.col("measure").alias("_pm"), F.col("low").alias("_pb"), F.col("n").alias("of_lang"))
+    whole = merged(sketches, []).select("measure", "low", F.col("n").alias("of_all"))
+    cells = sketches.select("lang", "source", "measure").distinct().join(F.broadcast(whole), "measure")
+    cells = cells.join(own, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("measure") == F.col("_m")) & (F.col("low") == F.col("_b")), "left")
+    cells = cells.join(lang, F.col("lang").eqNullSafe(F.col("_pl")) & (F.col("measure") == F.col("_pm")) & (F.col("low") == F.col("_pb")), "left")
+    group = Window.partitionBy("lang", "source", "measure")
+    counts = ["own", "of_lang", "of_all"]
+    cells = cells.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    cells = cells.withColumns({f"{c}_upto": F.sum(c).over(group.orderBy("low")).cast("double") for c in counts} | {f"{c}_sum": F.sum(c).over(group).cast("double") for c in counts})
+    w = F.lit(float(parent))
+    upto = F.col("own_upto") + w * (F.col("of_lang_upto") + w * F.col("of_all_upto") / F.col("of_all_sum")) / (F.col("of_lang_sum") + w)
+    cells = cells.withColumn("_upto", upto).withColumn("_all", F.col("own_sum") + w)
 
     def quartile(k: int) -> F.Column:
         return F.min(F.when(4 * F.col("_upto") >= k * F.col("_all"), F.col("low")))
 
-    found = rows.groupBy(*keys, "measure").agg(F.max("_all").alias("n_docs"), quartile(1).alias("_q1"), quartile(3).alias("_q3"))
+    found = cells.groupBy("lang", "source", "measure").agg(quartile(1).alias("_q1"), quartile(3).alias("_q3"))
     least_spread = F.coalesce(*[F.when(F.col("measure") == m, F.lit(u)) for m, u, _ in MEASURES])
     both = F.col("measure").isin(*[m for m, _, b in MEASURES if b])
     reach = REACH * F.greatest(F.col("_q3") - F.col("_q1"), least_spread)
-    return found.select(*keys, "measure", "n_docs", F.when(both, F.col("_q1") - reach).otherwise(F.lit(-1)).cast("long").alias("least"), (F.col("_q3") + reach).cast("long").alias("most"))
-
+    fence = F.struct(F.when(both, F.col("_q1") - reach).otherwise(F.lit(-1)).cast("long").alias("least"), (F.col("_q3") + reach).cast("long").alias("most"))
+    return found.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("measure", fence.alias("fence")))).alias("fences"))
 
-def thresholds(sketches: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """lang, source, fences: a map from measure to (least, most), one row per language and source."""
-    own = fences(sketches, ["lang", "source"]).alias("o")
-    by_lang = merged(sketches, ["lang"])
-    lang, whole = fences(by_lang, ["lang"]).alias("l"), fences(merged(by_lang, []), []).alias("w")
-    rows = own.join(lang, F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.measure") == F.col("l.measure"))).join(whole, F.col("o.measure") == F.col("w.measure"))
 
-    def pick(c: str) -> F.Column:
-        return F.when(F.col("o.n_docs") >= min_group, F.col(f"o.{c}")).when(F.col("l.n_docs") >= min_group, F.col(f"l.{c}")).otherwise(F.col(f"w.{c}"))
-
-    entry = F.struct(F.col("o.measure").alias("measure"), F.struct(pick("least").alias("least"), pick("most").alias("most")).alias("fence"))
-    return rows.groupBy("o.lang", "o.source").agg(F.map_from_entries(F.collect_list(entry)).alias("fences"))
-
-
-def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
-    """rows (lang, source, q, ...) plus base_failed and kept."""
+def judged(rows: DataFrame, limits: DataFrame, spread: list[str]) -> DataFrame:
+    """rows (lang, source, q, ...) plus base_failed and kept; limits: one row per language and source."""
     failed = base_failed(F.col("q.n_words"), F.col("q.n_repeat_words"))
-    joined = rows.alias("r").join(limits.alias("t"), F.col("r.lang").eqNullSafe(F.col("t.lang")) & F.col("r.source").eqNullSafe(F.col("t.source")), "left")
+    joined = lookup(rows, limits, ["lang", "source"], spread)
     inside = F.lit(True)
     for (m, _, _), value in zip(MEASURES, rates(F.col("q")), strict=True):
-        fence = F.col("t.fences")[m]
+        fence = F.col("fences")[m]
         inside = inside & F.coalesce(value.between(fence["least"], fence["most"]), F.lit(True))
-    return joined.select("r.*", failed.alias("base_failed"), (~failed & inside).alias("kept"))
+    return joined.select(*rows.columns, failed.alias("base_failed"), (~failed & inside).alias("kept"))
 
 
-def quality(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def quality(docs: DataFrame, parent: int = PARENT_WEIGHS) -> DataFrame:
     """docs (text, lang, source and any other columns) plus q (the counts), base_failed and kept.
 
     A null text has no words and fails; null languages and sources are groups of their own; repeated rows are measured and
-    counted one by one; an empty table gives an empty result; columns that already have the new names are replaced. Texts are
-    read twice: for the sketches, then for the verdict.
+    counted one by one; an empty table gives an empty result; columns that already have the new names, or are named fences, are
+    replaced. Texts are read and measured once and kept in the shared folder with their counts, from which the sketches read
+    only the counts.
     """
-    docs = docs.drop("q", "base_failed", "kept")
-    limits = cut(thresholds(sketch(measured(docs.select("lang", "source", "text"))), min_group))
-    return judged(measured(docs), limits)
+    docs = docs.drop("q", "base_failed", "kept", "fences")
+    rows = stored(measured(docs), "measured")
+    limits = cut(thresholds(sketch(rows), parent))
+    return judged(rows, limits, ["text"])
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     # Without the texts the measured rows are narrow enough to keep, so that each text is read once.
     rows = cut(measured(docs).drop("text"))
-    found = judged(rows, thresholds(sketch(rows)))
+    found = judged(rows, cut(thresholds(sketch(rows))), ["doc_id"])
     return found.select("doc_id", *[F.col(f"q.{c}") for c in COUNTS if c != "n_lines"], "base_failed", "kept")
 
 
@@ -187,21 +193,26 @@ b AS (
 ),
 v AS (SELECT rid, lang, source, base_failed, x.measure AS measure, x.value AS value, x.spread AS spread, x.both AS both_sides FROM (SELECT *, unnest(ms) AS x FROM b)),
 k AS (SELECT lang, source, measure, spread, both_sides, (value >> greatest(length(bin(value)) - 7, 0)) << greatest(length(bin(value)) - 7, 0) AS low FROM v WHERE NOT base_failed),
-levels AS (
-  SELECT 1 AS level, lang, source, measure, spread, both_sides, low FROM k UNION ALL
-  SELECT 2, lang, NULL, measure, spread, both_sides, low FROM k UNION ALL
-  SELECT 3, NULL, NULL, measure, spread, both_sides, low FROM k
+g AS (SELECT lang, source, measure, spread, both_sides, low, count(*) AS n FROM k GROUP BY ALL),
+gl AS (SELECT lang, measure, low, sum(n) AS n FROM g GROUP BY ALL),
+ga AS (SELECT measure, low, sum(n) AS n FROM g GROUP BY ALL),
+cells AS (
+  SELECT h.lang, h.source, h.measure, h.spread, h.both_sides, ga.low, coalesce(g.n, 0) AS own, coalesce(gl.n, 0) AS of_lang, ga.n AS of_all
+  FROM (SELECT DISTINCT lang, source, measure, spread, both_sides FROM g) h JOIN ga ON ga.measure = h.measure
+  LEFT JOIN g ON g.lang IS NOT DISTINCT FROM h.lang AND g.source IS NOT DISTINCT FROM h.source AND g.measure = h.measure AND g.low = ga.low
+  LEFT JOIN gl ON gl.lang IS NOT DISTINCT FROM h.lang AND gl.measure = h.measure AND gl.low = ga.low
+),
+s AS (
+  SELECT *, (sum(own) OVER c)::DOUBLE AS own_upto, (sum(of_lang) OVER c)::DOUBLE AS lang_upto, (sum(of_all) OVER c)::DOUBLE AS all_upto,
+    (sum(own) OVER p)::DOUBLE AS own_sum, (sum(of_lang) OVER p)::DOUBLE AS lang_sum, (sum(of_all) OVER p)::DOUBLE AS all_sum
+  FROM cells WINDOW c AS (PARTITION BY lang, source, measure ORDER BY low), p AS (PARTITION BY lang, source, measure)
 ),
-s AS (SELECT level, lang, source, measure, spread, both_sides, low, count(*) AS n FROM levels GROUP BY ALL),
-u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY low) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM s),
-q AS (SELECT level, lang, source, measure, spread, both_sides, max(total) AS n_docs, min(low) FILTER (WHERE 4 * upto >= total) AS q1, min(low) FILTER (WHERE 4 * upto >= 3 * total) AS q3 FROM u GROUP BY ALL),
+u AS (SELECT *, own_upto + 200::DOUBLE * (lang_upto + 200::DOUBLE * all_upto / all_sum) / (lang_sum + 200::DOUBLE) AS upto, own_sum + 200::DOUBLE AS total FROM s),
+q AS (SELECT lang, source, measure, spread, both_sides, min(low) FILTER (WHERE 4 * upto >= total) AS q1, min(low) FILTER (WHERE 4 * upto >= 3 * total) AS q3 FROM u GROUP BY ALL),
 f AS (SELECT *, CASE WHEN both_sides THEN q1 - 4 * greatest(q3 - q1, spread) ELSE -1 END AS least, q3 + 4 * greatest(q3 - q1, spread) AS most FROM q),
 j AS (
-  SELECT v.rid, bool_and(o.measure IS NULL OR CASE WHEN o.n_docs >= 200 THEN value BETWEEN o.least AND o.most WHEN g.n_docs >= 200 THEN value BETWEEN g.least AND g.most ELSE value BETWEEN a.least AND a.most END) AS inside
-  FROM v
-  LEFT JOIN f o ON o.level = 1 AND o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source AND o.measure = v.measure
-  LEFT JOIN f g ON g.level = 2 AND g.lang IS NOT DISTINCT FROM v.lang AND g.measure = v.measure
-  LEFT JOIN f a ON a.level = 3 AND a.measure = v.measure
+  SELECT v.rid, bool_and(coalesce(value BETWEEN f.least AND f.most, true)) AS inside FROM v
+  LEFT JOIN f ON f.lang IS NOT DISTINCT FROM v.lang AND f.source IS NOT DISTINCT FROM v.source AND f.measure = v.measure
   GROUP BY v.rid
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND inside AS kept

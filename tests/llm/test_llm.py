@@ -347,6 +347,21 @@ def test_quality(spark, empty):
     assert quality.quality(empty).count() == 0
 
 
+def test_thresholds_lean_on_parents_by_weight(spark):
+    words = lambda i, k: " ".join("w" * k + f"{i}x{j}" for j in range(60))  # noqa: E731  longer words in one source
+    rows = [(i, words(i, 1 if i % 2 else 9), "en", "short" if i % 2 else "long", 1, "x") for i in range(80)]
+    table = quality.measured(spark.createDataFrame(rows, DOC))
+    fences = lambda w: {r["source"]: tuple(r["fences"]["mean_word"]) for r in quality.thresholds(quality.sketch(table), w).collect()}
+    alone, leaning, parents = fences(0), fences(30), fences(10**9)
+    assert alone["short"][1] < alone["long"][1] and parents["short"] == parents["long"]
+    assert alone["short"][1] <= leaning["short"][1] <= parents["short"][1]
+
+
+def test_no_text_is_shuffled_by_quality(spark, docs):
+    plan = quality.quality(docs.select("doc_id", "text", "lang", "source"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Broadcast" in plan
+
+
 # ---- secrets -----------------------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
