@@ -5,17 +5,22 @@ of a minimizer that occurs again can hold a repeat. Those pieces, equal ones onc
 minimizer; each shard of pieces gets its suffix array by induced sorting (classify suffixes, sort the leftmost-smaller
 substrings, name them, recurse, induce) and its permuted common prefixes, and a stretch of the array whose common prefixes
 reach `length` and whose pieces count two or more together is a repeat. Nothing is decided by hashes of windows: minimizers
-only route, and every routed window is compared with all others of its minimizer. A minimizer of very many distinct pieces (a
+only route, and every routed window is compared with all others of its route. A minimizer of very many distinct pieces (a
 passage that many texts share, each going on differently) would be one shard that grows with the input: its windows are
-counted one by one by their 128-bit digests, which Spark spreads over all tasks.
-
-Induction runs bucket by bucket with array operations, linear in the shard. Names too many for buckets are written as two
-digits, which keeps their order.
+parted by the place of the minimizer in them, HEAVY_STEP places together, and routed by what all windows of such a stretch
+have in common, all but a few bytes at their ends. So they spread over all shards, and what still shares a route differs in
+those few bytes only.
+
+Induction runs bucket by bucket with array operations, linear in the shard. Substrings are sorted by their symbols and types,
+as many as fit 64 bits at a time. What the recursion sorts is the string of their names without those that occur once after
+another such name: no comparison reads on past a name that occurs once. Names too many for buckets are written as two digits,
+which keeps their order.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +29,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_runs, tidy
+from .common import cut, lookup, table, text_runs, tidy
 from .jaccard import _bloom_bits, id_filter
 
 LENGTH = 200
-GRAM = 24
+GRAM = 48
 SHARD_BYTES = 3 << 20
-#: Distinct pieces of a minimizer (counted batch by batch, so rather too many) up to which they are sorted in one shard.
-HEAVY = 1 << 14
-#: Names up to which a recursion uses them as they are; more are written as two digits. Names of which there are no more than
-#: DIRECT are not recursed on but sorted by doubling, which array operations do faster.
+#: Distinct pieces of a minimizer up to which they are sorted in one shard, and the window starts that a piece of others covers.
+HEAVY, HEAVY_STEP = 1 << 14, 4
+#: Names up to which a recursion uses them as they are; more are written as two digits.
 MAX_BUCKETS = 1024
-DIRECT = 1 << 20
+#: Bytes of a text that are read at a time: places have 28 bits beside the hash of a minimizer.
+STRETCH = 1 << 27
 
 _U = np.uint64
 
@@ -116,20 +121,80 @@ def _induce(text: np.ndarray, smaller: np.ndarray, starts: np.ndarray, seeds: np
     return sa
 
 
-def by_doubling(names: np.ndarray) -> np.ndarray:
-    """Suffix array of a short string of names, the last of which is the least and unique."""
-    n, step = len(names), 1
-    rank = names.astype(np.int64)
+def substring_names(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """For each leftmost-smaller substring, how many are less: equal ones have the same name.
+
+    A symbol and its type make one digit, so that no substring is the beginning of another, and as many digits as 64 bits hold
+    are compared at a time, for those substrings that are still tied.
+    """
+    bits = max(1, int(2 * sigma - 1).bit_length())
+    at_once = 64 // bits
+    digit = text.astype(np.uint64) << _U(1) | smaller
+    span = np.append(np.diff(lms) + 1, 1)
+
+    def key(which: np.ndarray, done: int) -> np.ndarray:
+        out = np.zeros(len(which), np.uint64)
+        for j in range(done, done + at_once):
+            inside = span[which] > j
+            out <<= _U(bits)
+            out[inside] |= digit[lms[which[inside]] + j]
+        return out
+
+    def ranked(which: np.ndarray, order: np.ndarray, fresh: np.ndarray, base: np.ndarray) -> None:
+        """Names in the order given; fresh: where a new one begins; base: what each item's group starts from."""
+        place = np.arange(len(order))
+        heads = np.maximum.accumulate(np.where(fresh, place, 0))
+        names[which[order]] = base + heads
+
+    names = np.zeros(len(lms), np.int64)
+    everything = np.arange(len(lms))
+    first = key(everything, 0)
+    order = np.argsort(first, kind="stable")
+    ranked(everything, order, np.concatenate([[True], first[order][1:] != first[order][:-1]]), np.zeros(len(lms), np.int64))
+    done = at_once
     while True:
-        after = np.zeros(n, np.int64)
-        after[:-step] = rank[step:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        step *= 2
-        if rank[order[-1]] == n - 1 or step >= n:
-            return order.astype(np.int32)
+        tied = np.bincount(names, minlength=len(lms))[names] > 1
+        live = np.flatnonzero(tied & (span > done))
+        if not len(live):
+            return names
+        keys = key(live, done)
+        order = np.lexsort((keys, names[live]))
+        old, keys = names[live][order], keys[order]
+        group = np.concatenate([[True], old[1:] != old[:-1]])
+        start = np.maximum.accumulate(np.where(group, np.arange(len(old)), 0))
+        ranked(live, order, group | np.concatenate([[True], keys[1:] != keys[:-1]]), old - start)
+        done += at_once
+
+
+def _sorted_lms(names: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of a string of names; the last is the least and occurs once, equal names have equal counts of lesser ones."""
+    n = len(names)
+    shared = np.bincount(names, minlength=n)[names] > 1
+    out = np.empty(n, np.int64)
+    out[names[~shared]] = np.flatnonzero(~shared)
+    if not shared.any():
+        return out
+    # Each stretch of names that occur again, with the one after it, which occurs once and ends every comparison.
+    kept = np.flatnonzero(shared | np.concatenate([[False], shared[:-1]]))
+    used = np.zeros(n, bool)
+    used[names[kept]] = True
+    reduced = np.append(np.cumsum(used)[names[kept]], 0)
+    count = int(reduced.max()) + 1
+    if count <= MAX_BUCKETS:
+        order = suffix_array(reduced, count)
+    else:
+        base = int(np.ceil(np.sqrt(count))) + 1
+        digits = np.zeros(2 * len(reduced) - 1, np.int32)
+        digits[:-1:2] = reduced[:-1] // base + 1
+        digits[1::2] = reduced[:-1] % base + 1
+        order = suffix_array(digits, base + 2)
+        order = order[order % 2 == 0] // 2
+    order = kept[order[1:]]
+    order = order[shared[order]]
+    of = names[order]
+    heads = np.maximum.accumulate(np.where(np.concatenate([[True], of[1:] != of[:-1]]), np.arange(len(of)), 0))
+    out[of + np.arange(len(of)) - heads] = order
+    return out
 
 
 def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
@@ -141,45 +206,7 @@ def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
     smaller = classify(text)
     starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]).astype(np.int32) + 1
-    sa = _induce(text, smaller, starts, lms)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    ordered = sa[is_lms[sa]]
-    del sa
-    # Names: a substring equals the one before it if it is as long and all symbols are equal.
-    span = np.ones(n, np.int32)
-    span[lms[:-1]] = np.diff(lms) + 1
-    same = np.zeros(len(ordered), bool)
-    left, right = ordered[:-1], ordered[1:]
-    live = np.flatnonzero(span[left] == span[right])
-    k = 0
-    while len(live):
-        a, b = left[live], right[live]
-        over = span[a] <= k
-        same[live[over] + 1] = True
-        live, a, b = live[~over], a[~over], b[~over]
-        live = live[text[a + k] == text[b + k]]
-        k += 1
-    names = np.cumsum(~same) - 1
-    count = int(names[-1]) + 1
-    if count < len(lms):
-        of = np.empty(n, np.int32)
-        of[ordered] = names
-        reduced = of[lms]  # the sentinel's name is 0, and its only one
-        if len(reduced) <= DIRECT:
-            lms = lms[by_doubling(reduced)]
-        elif count <= MAX_BUCKETS:
-            lms = lms[suffix_array(reduced, count)]
-        else:
-            base = int(np.ceil(np.sqrt(count))) + 1
-            digits = np.zeros(2 * len(reduced) - 1, np.int32)
-            digits[:-1:2] = reduced[:-1] // base + 1
-            digits[1::2] = reduced[:-1] % base + 1
-            order = suffix_array(digits, base + 2)
-            lms = lms[order[order % 2 == 0] // 2]
-    else:
-        lms = ordered
-    return _induce(text, smaller, starts, lms)
+    return _induce(text, smaller, starts, lms[_sorted_lms(substring_names(text, smaller, lms, sigma))])
 
 
 def permuted_prefixes(text: np.ndarray, sa: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -267,14 +294,18 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-def minimizer_runs(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where each run of window starts begins whose windows share one place of their (leftmost) minimizer, with the end; and the minimizers.
+def minimizer_runs(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each run of window starts begins whose windows share one place of their (leftmost) minimizer, with the end; the minimizers; and their places.
 
-    Places have 28 bits, hashes are compared by their other 36: texts may have 256 MB.
+    Places have 28 bits and hashes are compared by their other 36, so a longer text is read in stretches; a run that goes on in
+    the next one is two.
     """
     n = len(data) - length + 1
     if n < 1:
-        return np.zeros(1, np.int64), np.zeros(0, np.int64)
+        return np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if n > STRETCH:
+        parts = [(a, minimizer_runs(data[a : a + STRETCH + length - 1], length, gram)) for a in range(0, n, STRETCH)]
+        return np.append(np.concatenate([a + edges[:-1] for a, (edges, _, _) in parts]), n), np.concatenate([least for _, (_, least, _) in parts]), np.concatenate([a + at for a, (_, _, at) in parts])
     h = gram_hashes(data, gram)
     width, size = length - gram + 1, 1
     least = (h >> _U(28) << _U(28)) | np.arange(len(h), dtype=np.uint64)
@@ -283,7 +314,29 @@ def minimizer_runs(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray
         size *= 2
     least = np.minimum(least[:n], least[width - size :][:n])
     heads = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return np.append(heads, n), h[(least[heads] & _U((1 << 28) - 1)).astype(np.int64)].astype(np.int64)
+    at = (least[heads] & _U((1 << 28) - 1)).astype(np.int64)
+    return np.append(heads, n), h[at].astype(np.int64), at
+
+
+def heavy_pieces(data: bytes, edges: np.ndarray, places: np.ndarray, runs: list[int], length: int) -> Iterator[tuple[int, int, bytes]]:
+    """route, first start and bytes of the pieces of heavy runs.
+
+    Windows that hold their minimizer at one of HEAVY_STEP neighbouring places are a piece; its route is the hash of the bytes
+    that all possible windows of those places share. Equal windows hold it at the same place, so they have the same route.
+    """
+    core = length - HEAVY_STEP + 1
+    for j in runs:
+        begin, stop, at = int(edges[j]), int(edges[j + 1]), int(places[j])
+        while begin < stop:
+            step = (at - begin) // HEAVY_STEP
+            latest = at - step * HEAVY_STEP  # the last start whose windows belong here
+            upto = min(stop, latest + 1)
+            yield _signed(xxhash.xxh3_64_intdigest(data[latest : latest + core], seed=step + 1)), begin, data[begin : upto - 1 + length]
+            begin = upto
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _bytes(text: str | None) -> bytes:
@@ -308,7 +361,7 @@ def _occurrences(length: int, gram: int):
                 out: tuple[list, list, list] = ([], [], [])
                 for text in texts:
                     data = _bytes(text)
-                    edges, least = minimizer_runs(np.frombuffer(data, np.uint8), length, gram)
+                    edges, least, _ = minimizer_runs(np.frombuffer(data, np.uint8), length, gram)
                     out[0].append(edges[:-1].astype("<i4").tobytes())
                     out[1].append(least.astype("<i8").tobytes())
                     out[2].append(b"".join([xxhash.xxh3_128_digest(data[a : z + length - 1]) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]))
@@ -341,41 +394,41 @@ def _among(least: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     return heavy[np.minimum(np.searchsorted(heavy, least), len(heavy) - 1)] == least
 
 
-def _windows(length: int, gram: int, heavy):
+def _of_heavy(heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """k1, k2, start and digest (two longs) of each window whose minimizer is heavy."""
+        """least, half a digest: the distinct pieces of a batch whose minimizer may be heavy."""
         for batch in batches:
+            all_ = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8")
+            half = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8")[::2]
+            mine = _among(all_, heavy.value)
+            found = np.unique(np.stack([all_[mine], half[mine]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["least", "half"])
+
+    return run
+
+
+def _heavy_places(length: int, gram: int, heavy):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """digest, k1, k2, start of the pieces of heavy minimizers."""
+        for batch in batches:
+            k1, k2 = (batch.column(c).to_pylist() for c in (0, 1))
             done = 0
             for texts in text_runs(batch.column(2)):
+                out: list[tuple] = []
                 for i, text in enumerate(texts, done):
                     data = _bytes(text)
-                    edges, least = minimizer_runs(np.frombuffer(data, np.uint8), length, gram)
-                    mine = np.flatnonzero(_among(least, heavy.value))
-                    if not len(mine):
-                        continue
-                    starts = np.concatenate([np.arange(edges[j], edges[j + 1]) for j in mine.tolist()])
-                    for at in range(0, len(starts), 1 << 16):
-                        part = starts[at : at + (1 << 16)]
-                        halves = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[a : a + length]) for a in part.tolist()]), "<i8").reshape(-1, 2)
-                        keys = [pa.array(np.full(len(part), batch.column(c)[i].as_py(), np.int64)) for c in (0, 1)]
-                        yield pa.RecordBatch.from_arrays([*keys, pa.array(part.astype(np.int32)), *(pa.array(np.ascontiguousarray(halves[:, c])) for c in (0, 1))], ["k1", "k2", "start", "h1", "h2"])
+                    edges, least, places = minimizer_runs(np.frombuffer(data, np.uint8), length, gram)
+                    mine = np.flatnonzero(_among(least, heavy.value)).tolist()
+                    out += [(xxhash.xxh3_128_digest(piece), k1[i], k2[i], start) for _, start, piece in heavy_pieces(data, edges, places, mine, length)]
                 done += len(texts)
+                if out:
+                    columns = list(zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int32())], ["digest", "k1", "k2", "start"])
             tidy()
 
     return run
 
 
-def _repeated_windows(texts: DataFrame, length: int, gram: int, heavy) -> DataFrame:
-    """k1, k2, begin, stop of the windows of heavy minimizers that occur again. Those of very many places meet no join by key."""
-    windows = cut(texts.select("k1", "k2", "text").mapInArrow(_windows(length, gram, heavy), f"{KEY}, start int, h1 long, h2 long"))
-    counts = cut(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    often = counts.where(F.col("n") > HEAVY).select("h1", "h2", F.lit(True).alias("often"))
-    marked = windows.join(F.broadcast(often), ["h1", "h2"], "left")
-    few = marked.where("often IS NULL").join(counts.where(F.col("n") <= HEAVY), ["h1", "h2"], "left_semi")
-    begin = F.col("start").cast("long")
-    return marked.where("often").unionByName(few).select("k1", "k2", begin.alias("begin"), (begin + length).alias("stop"))
-
-
 def _routed(wanted, heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """digest, k1, k2, start of the pieces whose minimizer may be wanted."""
@@ -404,15 +457,16 @@ def _contents(length: int, gram: int, wanted, heavy):
                 held: dict[bytes, list] = {}
                 for text in texts:
                     data = _bytes(text)
-                    edges, least = minimizer_runs(np.frombuffer(data, np.uint8), length, gram)
+                    edges, least, places = minimizer_runs(np.frombuffer(data, np.uint8), length, gram)
                     bits = _bloom_bits(least)
-                    for i in np.flatnonzero((wanted.value[bits >> 3] >> (bits & 7) & 1).astype(bool) & ~_among(least, heavy.value)).tolist():
-                        piece = data[edges[i] : edges[i + 1] + length - 1]
+                    hot = _among(least, heavy.value)
+                    routed = ((int(least[i]), 0, data[edges[i] : edges[i + 1] + length - 1]) for i in np.flatnonzero((wanted.value[bits >> 3] >> (bits & 7) & 1).astype(bool) & ~hot).tolist())
+                    for route, _, piece in itertools.chain(routed, heavy_pieces(data, edges, places, np.flatnonzero(hot).tolist(), length)):
                         digest = xxhash.xxh3_128_digest(piece)
                         if digest in held:
                             held[digest][1] += 1
                         else:
-                            held[digest] = [int(least[i]), 1, piece]
+                            held[digest] = [route, 1, piece]
                 if held:
                     least, n, piece = zip(*held.values(), strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), pa.array(list(held), pa.binary()), pa.array(n, pa.int64()), pa.array(piece, pa.binary())], ["least", "digest", "n", "piece"])
@@ -483,14 +537,19 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
     counted = found.select("least", "digests").mapInArrow(_counted, "least long, n long, kinds long").groupBy("least").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds"))
     again = cut(counted.where("n > 1").select("least", (F.col("kinds") > HEAVY).alias("heavy")))
     wanted = spark.sparkContext.broadcast(id_filter(again.select("least")))
-    heavy = spark.sparkContext.broadcast(np.sort(np.array([r["least"] for r in again.where("heavy").collect()], np.int64)))
+    # Counted batch by batch a piece that all batches hold seems to be many: those that seem heavy are counted exactly.
+    heavy = np.sort(np.array([r["least"] for r in again.where("heavy").collect()], np.int64))
+    if len(heavy):
+        kinds = found.select("least", "digests").mapInArrow(_of_heavy(spark.sparkContext.broadcast(heavy)), "least long, half long").distinct()
+        heavy = np.sort(np.array([r["least"] for r in kinds.groupBy("least").count().where(F.col("count") > HEAVY).collect()], np.int64))
+    heavy = spark.sparkContext.broadcast(heavy)
     pieces = texts.select("text").mapInArrow(_contents(length, gram, wanted, heavy), "least long, digest binary, n long, piece binary")
     shards = pieces.repartition("least").sortWithinPartitions("least", "digest")
     repeated = cut(shards.mapInArrow(_sorted_shards(length, shard_bytes), "digest binary, spans binary"))
     places = found.mapInArrow(_routed(wanted, heavy), f"digest binary, {KEY}, start int")
-    spans = places.join(repeated, "digest").select("k1", "k2", "start", "spans").mapInArrow(_intervals(length), f"{KEY}, begin long, stop long")
     if len(heavy.value):
-        spans = spans.unionByName(_repeated_windows(texts, length, gram, heavy))
+        places = places.unionByName(texts.select("k1", "k2", "text").mapInArrow(_heavy_places(length, gram, heavy), f"digest binary, {KEY}, start int"))
+    spans = places.join(repeated, "digest").select("k1", "k2", "start", "spans").mapInArrow(_intervals(length), f"{KEY}, begin long, stop long")
     return spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("begin", "stop"))).alias("spans"))
 
 
@@ -514,7 +573,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     docs = docs.drop("spans", "k1", "k2")
     texts = keyed(docs)
-    return texts.join(repeated_spans(texts, length), ["k1", "k2"], "left").select(*docs.columns, "spans")
+    able = F.octet_length(F.coalesce(F.col("text"), F.lit(""))) >= length
+    spans = cut(repeated_spans(texts.where(able), length))
+    short = docs.where(~able).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    # Texts of one key lose the same bytes; keys of very many texts are spread.
+    long = lookup(texts.where(able).withColumn("_row", F.monotonically_increasing_id()), spans, ["k1", "k2"], ["_row"])
+    return long.select(*docs.columns, "spans").unionByName(short)
 
 
 def _digest(texts: pa.Array, spans: pa.Array) -> pa.Array:
