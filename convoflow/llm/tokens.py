@@ -2,8 +2,9 @@
 
 A folder holds numbered shards in ascending document order. Each shard is two files: `NNNNNN.ids`, the ids alone, raw and
 little-endian, one document after the other; and `NNNNNN.mph`, a minimal perfect hash over the shard's document keys, whose
-slot of a key holds the key's fingerprint, its offset and its length. Looking a key up reads a fixed number of words, whatever
-the shard's size; a key that the shard does not hold is told by its fingerprint (wrong once in 2**32).
+slot of a key holds the key's fingerprint, its offset and its length. Ranks of the hash's bits are stored block by block, so
+looking a key up seeks to a few words, whatever the shard's size; a key that the shard does not hold is told by its fingerprint
+(wrong once in 2**32).
 
 Shards are ranges of document ids with about equal counts, found from the id column alone, so texts are encoded where they
 are read and only ids are shuffled. Writers stream, write under an attempt's own name and rename, so that a task that runs
@@ -40,18 +41,19 @@ def default_tokenizer() -> str:
 
 @functools.lru_cache(maxsize=2)
 def _loaded(path: str):
-    """The tokenizer of a file, the narrowest type of its ids, and which ids open with a space."""
+    """The tokenizer of a file, the narrowest type of its ids, which ids open with a space, and a pattern of its added tokens."""
     # Tasks are the parallelism here: a pool of threads in each worker takes memory and yields no speed.
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     vocabulary = tokenizer.get_vocab()
     size = max(vocabulary.values()) + 1
     opens = np.zeros(size, dtype=bool)
     opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
-    return tokenizer, np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4"), opens
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    whole = re.compile("|".join(map(re.escape, added))) if added else None
+    return tokenizer, np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4"), opens, whole
 
 
 class Encoder:
@@ -59,11 +61,12 @@ class Encoder:
 
     That pre-tokenizer always starts a new unit at a single space between two characters that are not white space, and merges
     never cross units. So a text's ids are those of its space-separated pieces, one after the other, and each distinct piece
-    is handed to the library once. Texts with other uses of spaces are parted only at such places.
+    is handed to the library once. Texts with other uses of spaces are parted only at such places, and texts that hold an added
+    token of the file (which the library finds before it looks for spaces) are handed over whole.
     """
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
-        self.tokenizer, self.dtype, self.opens = _loaded(path)
+        self.tokenizer, self.dtype, self.opens, self.added = _loaded(path)
         self.cache: dict[str, bytes | None] = {}
         self.cache_pieces = cache_pieces
         self.stops = {c: self._whole([c])[0] for c in ".,"}
@@ -73,8 +76,6 @@ class Encoder:
 
     def _learn(self, pieces: set[str]) -> None:
         """Adds the ids of each piece as they are after a single space; None for pieces that must not be parted from what is around them."""
-        if len(self.cache) + len(pieces) > self.cache_pieces:
-            self.cache.clear()
         todo, stopped = [], []
         for piece in pieces:
             if not piece or piece[0].isspace() or piece[-1].isspace():
@@ -99,7 +100,7 @@ class Encoder:
             held[piece] = held[piece[:-1]] + self.stops[piece[-1]]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").split(" ") for t in texts]
+        split = [(t or "").split(" ") if not (t and self.added and self.added.search(t)) else [""] for t in texts]
         self._need(split)
         heads = self._whole([s[0] if s[0] else " " for s in split])
         out, get = [], self.cache.__getitem__
@@ -120,14 +121,15 @@ class Encoder:
             wanted.update(pieces[1:])
         missing = wanted.difference(self.cache)
         if missing:
-            if len(self.cache) + len(missing) > self.cache_pieces:
-                self.cache.clear()
-                missing = wanted
+            if len(self.cache) + len(missing) > self.cache_pieces:  # frequent pieces are among those wanted now
+                self.cache = {p: self.cache[p] for p in wanted.difference(missing)}
             self._learn(missing)
 
     def _odd(self, text: str) -> bytes:
         if not text:
             return b""
+        if self.added and self.added.search(text):
+            return self._whole([text])[0]
         pieces = re.split(r"(?<=\S) (?=\S)", text)
         ids = self._whole([pieces[0], *(" " + p for p in pieces[1:])])
         return b"".join(ids)
@@ -135,7 +137,9 @@ class Encoder:
 
 # ---- minimal perfect hash ----------------------------------------------------------------------------------------------
 
-MAGIC = b"MPHIDS1\0"
+MAGIC = b"MPHIDS2\0"
+#: Words of 64 bits between two stored ranks.
+RANK_WORDS = 8
 _U = np.uint64
 
 
@@ -153,15 +157,28 @@ def key_hash(doc_ids: np.ndarray, null: np.ndarray, copies: np.ndarray) -> np.nd
     return mix64(h + copies.astype(np.uint64), 2) ^ null.astype(np.uint64)
 
 
+def rank(before: np.ndarray, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of bits at `at`, given what precedes their block and the block's words: the number of set bits before (-1 if not set), and whether they are set."""
+    word, bit = at // 64 % RANK_WORDS, (at % 64).astype(np.uint64)
+    mine = words[np.arange(len(at)), word]
+    below = np.where(np.arange(RANK_WORDS) < word[:, None], np.bitwise_count(words), 0).sum(axis=1, dtype=np.int64)
+    held = (mine >> bit & _U(1)).astype(bool)
+    return np.where(held, before + below + np.bitwise_count(mine & ((_U(1) << bit) - _U(1))), -1), held
+
+
 class PerfectHash:
     """Levels of bit arrays: a key owns the first level's bit that no other key left there shares; its slot is the bit's rank."""
 
     LOAD = 1.7
 
-    def __init__(self, sizes: list[int], bits: np.ndarray, seed: int):
-        self.sizes, self.bits, self.seed = sizes, bits, seed
+    def __init__(self, sizes: list[int], bits: np.ndarray, seed: int, ranks: np.ndarray | None = None):
+        self.sizes, self.seed = sizes, seed
         self.base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(bits).astype(np.int64))])
+        self.blocks = np.append(bits, np.zeros(-len(bits) % RANK_WORDS, "<u8")).reshape(-1, RANK_WORDS)
+        if ranks is None:
+            counts = np.bitwise_count(self.blocks).sum(axis=1, dtype=np.int64)
+            ranks = np.cumsum(counts) - counts
+        self.ranks = ranks
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
@@ -187,10 +204,7 @@ class PerfectHash:
             if not len(todo):
                 break
             at = (mix64(keys[todo], self.seed + level) % _U(size)).astype(np.int64) + self.base[level]
-            word, bit = self.bits[at >> 6], (at & 63).astype(np.uint64)
-            held = (word >> bit & _U(1)).astype(bool)
-            below = np.bitwise_count(word & ((_U(1) << bit) - _U(1))).astype(np.int64)
-            out[todo[held]] = (self.ranks[at >> 6] + below)[held]
+            out[todo], held = rank(self.ranks[at // (64 * RANK_WORDS)], self.blocks[at // (64 * RANK_WORDS)], at)
             todo = todo[~held]
         return out
 
@@ -223,7 +237,8 @@ class ShardIndex:
 
     def to_bytes(self) -> bytes:
         head = MAGIC + struct.pack("<QQQQ", len(self.fingerprints), len(self.mph.sizes), self.mph.seed, self.itemsize)
-        return b"".join([head, np.array(self.mph.sizes, "<u8").tobytes(), self.mph.bits.tobytes(), self.fingerprints.tobytes(), self.offsets.tobytes(), self.lengths.tobytes()])
+        parts = [np.array(self.mph.sizes, "<u8"), self.mph.blocks, self.mph.ranks.astype("<u8"), self.fingerprints, self.offsets, self.lengths]
+        return b"".join([head, *(p.tobytes() for p in parts)])
 
     @classmethod
     def from_bytes(cls, data: bytes) -> ShardIndex:
@@ -239,8 +254,41 @@ class ShardIndex:
             return found
 
         sizes = take("<u8", levels).astype(np.int64).tolist()
-        bits = take("<u8", sum(sizes) // 64)
-        return cls(PerfectHash(sizes, bits, seed), take("<u4", n), take("<u8", n), take("<u8", n), itemsize)
+        blocks = -(-(sum(sizes) // 64) // RANK_WORDS)
+        bits, ranks = take("<u8", blocks * RANK_WORDS), take("<u8", blocks).astype(np.int64)
+        return cls(PerfectHash(sizes, bits, seed, ranks), take("<u4", n), take("<u8", n), take("<u8", n), itemsize)
+
+
+def find_in_file(index, key: np.ndarray) -> tuple[int, int, int]:
+    """Offset, length (-1: not held) and item size of one key (an array of one), from an open `.mph` file.
+
+    Each level that is probed is one read of a block of bits and one of its rank; then the slot's three numbers are read. A key
+    passes two levels on average, whatever the shard's size, and never more than the levels that there are.
+    """
+
+    def take(dtype: str, count: int, at: int) -> np.ndarray:
+        return np.frombuffer(index.read_at(count * np.dtype(dtype).itemsize, at), dtype)
+
+    if index.read_at(8, 0) != MAGIC:
+        raise ValueError("not an index of token shards")
+    n, levels, seed, itemsize = take("<u8", 4, 8).tolist()
+    sizes = take("<u8", levels, 40).astype(np.int64)
+    blocks = -(-(int(sizes.sum()) // 64) // RANK_WORDS)
+    bits_at = 40 + 8 * levels
+    ranks_at = bits_at + 8 * RANK_WORDS * blocks
+    slots_at = ranks_at + 8 * blocks
+    base = 0
+    for level, size in enumerate(sizes.tolist()):
+        at = (mix64(key, seed + level) % _U(size)).astype(np.int64) + base
+        block = int(at[0]) // (64 * RANK_WORDS)
+        slot, held = rank(take("<u8", 1, ranks_at + 8 * block).astype(np.int64), take("<u8", RANK_WORDS, bits_at + 8 * RANK_WORDS * block)[None], at)
+        if held[0]:
+            s = int(slot[0])
+            if take("<u4", 1, slots_at + 4 * s)[0] != ShardIndex.fingerprint(key)[0]:
+                break
+            return int(take("<u8", 1, slots_at + 4 * n + 8 * s)[0]), int(take("<u8", 1, slots_at + 12 * n + 8 * s)[0]), itemsize
+        base += size
+    return 0, -1, itemsize
 
 
 # ---- shards ------------------------------------------------------------------------------------------------------------
@@ -429,22 +477,20 @@ def read_shards(keys: DataFrame, folder: str, manifest: DataFrame, bounds: list[
 
 
 def lookup(folder: str, bounds: list[int], doc_id: int | None, copy: int = 0) -> np.ndarray | None:
-    """The ids of one document: one index probe and one read; None if it is not there."""
+    """The ids of one document, by a few small reads of its shard's index and one of its payload; None if it is not there."""
     filesystem, root = _filesystem(folder)
     null = np.array([doc_id is None])
     ids = np.array([doc_id or 0], np.int64)
     name = f"{root}/{shard_name(len(bounds) if null[0] else int(np.searchsorted(np.array(bounds, np.int64), ids)[0]))}"
     try:
-        with filesystem.open_input_stream(f"{name}.mph") as found:
-            index = ShardIndex.from_bytes(found.read())
+        with filesystem.open_input_file(f"{name}.mph") as index:
+            offset, length, size = find_in_file(index, key_hash(ids, null, np.array([copy])))
     except FileNotFoundError:
         return None
-    offset, length = index.find(key_hash(ids, null, np.array([copy])))
-    if length[0] < 0:
+    if length < 0:
         return None
     with filesystem.open_input_file(f"{name}.ids") as payload:
-        payload.seek(int(offset[0]) * index.itemsize)
-        return np.frombuffer(payload.read(int(length[0]) * index.itemsize), f"<u{index.itemsize}")
+        return np.frombuffer(payload.read_at(length * size, offset * size), f"<u{size}")
 
 
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -308,9 +308,7 @@ def test_components(spark, monkeypatch, share):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(tokens.default_tokenizer())
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(tokens.default_tokenizer())
 
 
 def test_encoder(tokenizer):
@@ -331,6 +329,20 @@ def test_perfect_hash():
     assert (found == lengths).all() and (offsets == np.cumsum(lengths) - lengths).all()
     other = tokens.key_hash(np.arange(10**6, 10**6 + 3000), np.zeros(3000, bool), np.zeros(3000, np.int64))
     assert (index.find(other)[1] == -1).all()
+    for n in (0, 1, 5000):
+        reads = []
+
+        class File:
+            data = tokens.ShardIndex.build(keys[:n], offsets[:n], lengths[:n], 2).to_bytes()
+
+            def read_at(self, size, at):
+                reads.append(size)
+                return self.data[at : at + size]
+
+        for i in range(0, n, 97):
+            assert tokens.find_in_file(File(), keys[i : i + 1]) == (offsets[i], lengths[i], 2)
+        assert all(tokens.find_in_file(File(), other[i : i + 1])[1] == -1 for i in range(50))
+        assert max(reads) <= 8 * 60 and sum(reads) < 2000 * (n // 97 + 51)
 
 
 def test_token_shards(spark, docs, rows, empty, tokenizer, tmp_path):
@@ -351,6 +363,7 @@ def test_token_shards(spark, docs, rows, empty, tokenizer, tmp_path):
     assert at == sum(map(len, ids.values())) + len(ids[(False, 3, rows[3][1])])
     assert tokens.lookup(folder, bounds, 7).tolist() == ids[(False, 7, rows[7][1])]
     assert tokens.lookup(folder, bounds, 10**9) is None
+    assert all(tokens.lookup(folder, bounds, r[0]).tolist() == ids[(False, r[0], r[1] or "")] for r in rows if r[0] != 3)
     none, edges = tokens.write_shards(empty, f"file://{tmp_path}/none")
     assert none.count() == 0 and edges == []
 
