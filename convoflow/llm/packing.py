@@ -3,7 +3,10 @@
 A solution is a grouping of pieces into bins. Crossover takes whole well-filled bins of one parent into the other, removes the
 bins there that hold one of their pieces a second time, and best-fits the pieces so displaced. Pieces are dealt to shards;
 each shard is evolved on several islands, whose elites then migrate to one another and evolve on together. Bins that a shard
-fills well are settled; pieces of the others move on to shards of the next, much smaller round.
+fills well are settled, and the fuller half in any case; pieces of the others move on to shards of the next, smaller round,
+until all that is left is one shard. So half-filled bins of all shards meet, and the number of rounds is that of halvings.
+
+Where best fit is within a bin of the lower bound there is nothing to evolve: the bin that is not full moves on.
 
 Only pieces shorter than the capacity are packed; a full piece is a sequence. What is dealt out is one narrow row a piece,
 never text, and a shard holds about ISLAND_PIECES rows however large the input is.
@@ -26,8 +29,9 @@ from .tokens import Encoder, default_tokenizer
 CAPACITY = 1024
 ISLAND_PIECES = 8192
 ISLANDS = 2
-POPULATION = 4
-GENERATIONS = 6
+POPULATION = 8
+#: Generations at most, and those without a better grouping after which an island ends.
+GENERATIONS, PATIENCE = 60, 10
 #: A bin that is filled to this share is settled.
 SETTLED = 0.995
 
@@ -41,7 +45,8 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 2) -> DataFrame:
     """docs (doc_id, text) -> doc_id, piece, start, length, ids_crc32. Only longer documents are cut; their first piece may be shorter.
 
-    A null text is empty and still has its end id. Other columns are not read.
+    A null text is empty and still has its end id; null ids stay null; rows that repeat are cut each for itself, so their pieces
+    repeat; an empty table gives no pieces. Other columns are not read.
     """
     tokenizer = tokenizer or default_tokenizer()
 
@@ -141,34 +146,42 @@ def crossover(lengths: np.ndarray, giver: np.ndarray, taker: np.ndarray, capacit
     return best_fit(lengths, order, capacity, child, held)
 
 
-def evolve(lengths: np.ndarray, capacity: int, seed: int, elites: list[np.ndarray] = (), population: int = POPULATION, generations: int = GENERATIONS) -> np.ndarray:
-    """The best grouping found: elites and noisy best-fit-decreasing groupings at first, then the worst gives way to each better child."""
+def evolve(lengths: np.ndarray, capacity: int, seed: int, elites: list[np.ndarray] = (), enough: int = 0, population: int = POPULATION, generations: int = GENERATIONS) -> np.ndarray:
+    """The best grouping found: elites and noisy best-fit-decreasing groupings at first, then the worst gives way to each better child.
+
+    Ends with the generations, with PATIENCE of them without a better grouping, or `enough` bins above the lower bound.
+    """
     rng = np.random.default_rng(seed)
-    crowd = list(elites)
+    least = -(-int(lengths.sum()) // capacity) + enough
+    crowd = list(elites) or [best_fit(lengths, np.argsort(-lengths, kind="stable"), capacity)]
+    scores = [fitness(lengths, c, capacity) for c in crowd]
+    if -max(scores)[0] <= least:
+        return crowd[scores.index(max(scores))]
     while len(crowd) < max(2, population):
-        noise = rng.integers(0, 1 + 64 * (len(crowd) > 0), len(lengths))
+        noise = rng.integers(0, 65, len(lengths))
         crowd.append(best_fit(lengths, np.argsort(-lengths + noise, kind="stable"), capacity))
-    scores = [fitness(lengths, c, capacity) for c in crowd]
-    least = -(-int(lengths.sum()) // capacity)
-    for _ in range(generations * len(crowd)):
-        best = max(range(len(crowd)), key=scores.__getitem__)
-        if -scores[best][0] <= least:
-            break
-        a, b = rng.choice(len(crowd), 2, replace=False)
-        if scores[a] < scores[b]:
-            a, b = b, a
-        child = crossover(lengths, crowd[a], crowd[b], capacity, rng)
-        score, worst = fitness(lengths, child, capacity), min(range(len(crowd)), key=scores.__getitem__)
-        if score > scores[worst]:
-            crowd[worst], scores[worst] = child, score
+        scores.append(fitness(lengths, crowd[-1], capacity))
+    best, waited = max(scores), 0
+    while -best[0] > least and waited < PATIENCE and generations > 0:
+        for _ in range(len(crowd)):
+            a, b = rng.choice(len(crowd), 2, replace=False)
+            if scores[a] < scores[b]:
+                a, b = b, a
+            child = crossover(lengths, crowd[a], crowd[b], capacity, rng)
+            score, worst = fitness(lengths, child, capacity), min(range(len(crowd)), key=scores.__getitem__)
+            if score > scores[worst]:
+                crowd[worst], scores[worst] = child, score
+        generations -= 1
+        waited = 0 if max(scores) > best else waited + 1
+        best = max(best, *scores)
     return crowd[max(range(len(crowd)), key=scores.__getitem__)]
 
 
-def _island(capacity: int, seed: int):
+def _island(capacity: int, seed: int, last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         """One island's elite: a bin for every piece of its shard."""
         rows = rows.sort_values(["length", "item"], ascending=[False, True], kind="stable")
-        bins = evolve(rows["length"].to_numpy(np.int64), capacity, seed + int(rows["island"].iloc[0]))
+        bins = evolve(rows["length"].to_numpy(np.int64), capacity, seed + int(rows["island"].iloc[0]), enough=0 if last else 1)
         return rows.assign(bin=bins)
 
     return run
@@ -181,7 +194,7 @@ def _migrated(capacity: int, seed: int, last: bool):
         islands = [part for _, part in rows.groupby("island", sort=True)]
         first = islands[0]
         lengths = first["length"].to_numpy(np.int64)
-        bins = evolve(lengths, capacity, seed - 1, [p["bin"].to_numpy(np.int64) for p in islands])
+        bins = evolve(lengths, capacity, seed - 1, [p["bin"].to_numpy(np.int64) for p in islands], 0 if last else 1)
         bins = np.unique(bins, return_inverse=True)[1]
         order = np.argsort(bins, kind="stable")
         ends = np.cumsum(lengths[order])
@@ -189,7 +202,8 @@ def _migrated(capacity: int, seed: int, last: bool):
         heads = np.flatnonzero(np.diff(bins[order], prepend=-1))
         offset = np.empty(len(bins), np.int64)
         offset[order] = opens - np.repeat(opens[heads], np.diff([*heads, len(order)]))
-        settled = fill_of(lengths, bins)[bins] >= (0 if last else SETTLED * capacity)
+        fills = fill_of(lengths, bins)
+        settled = fills[bins] >= (0 if last else min(SETTLED * capacity, np.median(fills)))
         return first[[c for c in first if c not in ("island", "bin")]].assign(bin=bins, offset=offset, settled=settled)
 
     return run
@@ -213,17 +227,13 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, island_pieces: int = ISLAND
         shards = -(-count // island_pieces)
         dealt = left.withColumn("shard", F.pmod(F.xxhash64("item", F.lit(round_no)), F.lit(shards)))
         copies = dealt.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
-        elites = copies.groupBy("shard", "island").applyInPandas(_island(capacity, seed + 1000 * round_no), f"{schema}, shard long, island int, bin long")
+        elites = copies.groupBy("shard", "island").applyInPandas(_island(capacity, seed + 1000 * round_no, shards == 1), f"{schema}, shard long, island int, bin long")
         best = elites.groupBy("shard").applyInPandas(_migrated(capacity, seed + 1000 * round_no, shards == 1), f"{schema}, shard long, bin long, offset long, settled boolean")
         best = cut(best)
         number = F.lit(round_no << 56) + F.shiftleft("shard", 24) + F.col("bin")
         done.append(best.where("settled").select(*columns, number.alias("sequence_id"), "offset"))
         left, round_no = best.where("NOT settled").select(*columns, "item"), round_no + 1
-        before, count = count, left.count()
-        if count > 0.7 * before:
-            # Few bins can be filled well here: what is left stays as it is.
-            done.append(best.where("NOT settled").select(*columns, number.alias("sequence_id"), "offset"))
-            break
+        count = left.count()
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -571,6 +571,28 @@ def test_evolution_is_no_worse_than_best_fit():
         assert packing.fill_of(lengths, best).max() <= 100 and best.min() >= 0
 
 
+def test_evolution_gains_on_best_fit_where_lengths_are_hard():
+    """Triples that fill a bin exactly: the optimum is known, and best fit is far from it."""
+    rng = np.random.default_rng(1)
+    for n in (40, 80):
+        a = rng.integers(380, 491, n)
+        b = np.array([rng.integers(250, (1000 - x) // 2 + 1) for x in a])
+        lengths = rng.permutation(np.concatenate([a, b, 1000 - a - b]))
+        plain = packing.best_fit(lengths, np.argsort(-lengths, kind="stable"), 1000)
+        best = packing.evolve(lengths, 1000, 1)
+        assert n <= len(np.unique(best)) <= len(np.unique(plain)) - 2
+
+
+def test_open_bins_of_all_shards_meet(spark):
+    """Lengths of which no bin can be filled well: every round settles half, and the last one is a single shard."""
+    lengths = [600] * 300 + [410] * 300 + [30] * 40
+    parts = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], packing.PIECE)
+    found = packing.pack(parts, island_pieces=50).collect()
+    assert check_packing(parts.collect(), found) <= 305
+    parts = spark.createDataFrame([(i, 0, 0, 600, 0) for i in range(200)], packing.PIECE)
+    assert check_packing(parts.collect(), packing.pack(parts, island_pieces=20).collect()) == 200
+
+
 # ---- scoring -----------------------------------------------------------------------------------------------------------
 
 
