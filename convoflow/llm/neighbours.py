@@ -1,26 +1,31 @@
 """Approximate nearest neighbours with a forest of hash prefixes.
 
 Each tree hashes a vector to a long string of bits, the sides of random hyperplanes through the middle of the data, and keeps
-the strings of its rows as a sorted array. A query goes down every tree to its longest matching prefix, of a length that
-differs from tree to tree, and then up all trees at once, a bit at a time, until the rows under the prefixes are enough; these
-are ranked by their exact distance.
-
-Rows are dealt to blocks, each with a forest of its own over all its rows, and the stated queries meet the blocks in blocks of
-queries. So memory is bounded, copies of one vector are spread, and what a block returns is ten rows a query. How many
-candidates are enough is fitted on a sample of at most SAMPLE vectors, against brute force there.
+the strings of its rows as a sorted array. A query goes down every tree to its longest matching prefix, which a binary search
+finds beside its own place and whose length differs from tree to tree. Then it goes up all trees at once, a bit at a time from
+the longest of these prefixes, a tree joining in when its own length is reached, until the rows under the prefixes are enough;
+these are ranked by their exact distance.
+
+Rows are dealt to blocks, each with a forest of its own over all its rows. The stated queries go to every block; a task builds
+the forest of a block once and streams the queries past it in batches. So memory is that of a block and a batch, copies of one
+vector are spread, and only the nearest ten of a query leave a task: the last choice among blocks is a window whose limit
+applies before its shuffle. How many candidates are enough is fitted on a sample of at most SAMPLE vectors, against brute force
+there. Queries meet all blocks, so work grows as rows times queries.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small_batches, table
 
 TREES, BITS = 32, 60
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 2_048
+BLOCK_ROWS = 16_384
 SAMPLE, SAMPLE_QUERIES = 4_096, 128
 #: Recall on the sample that the fit asks for, above the 0.9 that is promised of the whole.
 RECALL = 0.96
@@ -44,20 +49,37 @@ class Forest:
         centred = vectors - self.middle
         return np.stack([((centred @ p) > 0) @ weights for p in self.planes])
 
+    def descend(self, codes: np.ndarray) -> np.ndarray:
+        """trees x queries: the length of the longest prefix that a row of the tree shares with the query."""
+        depth = np.zeros(codes.shape, np.int64)
+        if not self.n:
+            return depth
+        for t in range(self.trees):
+            at = np.searchsorted(self.sorted[t], codes[t])
+            for beside in (np.maximum(at - 1, 0), np.minimum(at, self.n - 1)):
+                apart = (self.sorted[t][beside] ^ codes[t]).astype(np.float64)  # 60 bits: frexp may round up to the next power
+                length = np.frexp(apart)[1]
+                length -= (length > 0) & (self.sorted[t][beside] ^ codes[t] < np.left_shift(1, np.maximum(length - 1, 0)))
+                depth[t] = np.maximum(depth[t], self.bits - length)
+        return depth
+
     def candidates(self, queries: np.ndarray, enough: float) -> list[np.ndarray]:
         """For each query the places of rows under the longest prefixes that give `enough` rows, or all."""
         codes = self.codes(queries)  # trees x queries
+        longest = self.descend(codes)
         low, high = np.zeros(codes.shape, np.int64), np.zeros(codes.shape, np.int64)
-        live = np.arange(len(queries))
-        for depth in range(self.bits, -1, -1):  # up all trees at once
-            if not len(live):
-                break
+        start = longest.max(axis=0, initial=0)
+        short = np.ones(len(queries), bool)  # queries that have not got enough
+        for depth in range(int(start.max(initial=0)), -1, -1):  # up all trees at once
             drop = self.bits - depth
             for t in range(self.trees):
+                live = np.flatnonzero(short & (longest[t] >= depth))
                 prefix = codes[t, live] >> drop
                 low[t, live] = np.searchsorted(self.sorted[t], prefix << drop)
                 high[t, live] = np.searchsorted(self.sorted[t], (prefix + 1) << drop)
-            live = live[(high - low)[:, live].sum(axis=0) < min(enough, self.trees * self.n)]
+            short &= (high - low).sum(axis=0) < min(enough, self.trees * self.n)
+            if not short.any():
+                break
         out = []
         for q in range(len(queries)):
             held = np.zeros(self.n, bool)
@@ -104,20 +126,45 @@ def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.where(good).where(F.exists("embedding", lambda x: x != 0))
 
 
+def _vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def _search(k: int, enough: dict[int, float]):
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(queries):
-            vectors, ids = np.stack(rows["embedding"].to_numpy()), rows["vec_id"].to_numpy(np.int64)
-            wanted = np.stack(queries["embedding"].to_numpy())
-            forest = Forest(vectors)
-            found = forest.candidates(wanted, enough.get(vectors.shape[1], float(TREES)) * len(vectors))
-            for query_id, query, near in zip(queries["vec_id"].to_numpy(np.int64).tolist(), wanted, found, strict=True):
-                near = near[ids[near] != query_id]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """query_id, vec_id, score: the k nearest of every block. Rows (size, block, asked, vec_id, embedding) come sorted, a block's rows before its queries."""
+        key, forest = None, None
+        ids, rows = [], []  # of the block that is being read
+
+        def answered(queries: np.ndarray, query_ids: np.ndarray) -> pa.RecordBatch:
+            out: tuple[list, list, list] = ([], [], [])
+            found = forest.candidates(queries, enough.get(vectors.shape[1], float(TREES)) * len(vectors))
+            for query_id, query, near in zip(query_ids.tolist(), queries, found, strict=True):
+                near = near[row_ids[near] != query_id]
                 score = distances(vectors[near], query)
-                best = _nearest(score, ids[near], k)
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[near][best], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                best = _nearest(score, row_ids[near], k)
+                for column, values in zip(out, (np.full(len(best), query_id), row_ids[near][best], score[best]), strict=True):
+                    column.append(values)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            size, block, asked = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            fresh = (np.diff(size) != 0) | (np.diff(block) != 0) | (np.diff(asked) != 0)
+            cuts = [0, *(np.flatnonzero(fresh) + 1).tolist(), batch.num_rows]
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == z:
+                    continue
+                if (mine := (int(size[a]), int(block[a]))) != key:
+                    key, forest, ids, rows = mine, None, [], []
+                part_ids, part = batch.column(3)[a:z].to_numpy(), _vectors(batch.column(4)[a:z])
+                if not asked[a]:
+                    ids.append(part_ids)
+                    rows.append(part)
+                elif rows:
+                    if forest is None:
+                        vectors, row_ids = np.concatenate(rows), np.concatenate(ids)
+                        forest = Forest(vectors)
+                    yield answered(part, part_ids)
 
     return run
 
@@ -126,26 +173,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """vectors and queries (vec_id, embedding) -> query_id, rank, vec_id, score: the k nearest found of each query, never itself.
 
     Only vectors that `usable` keeps take part, and only those of a query's own length are compared with it. Rows that repeat an
-    id and a vector count once; a query that meets fewer than k rows gets all; empty tables give an empty result.
+    id and a vector count once; a query that meets fewer than k rows gets all; empty tables give an empty result; other columns
+    are not read, whatever their names.
     """
+    small_batches(vectors.sparkSession)
     rows, wanted = cut(usable(vectors).distinct()), usable(queries).distinct()
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()  # a bounded sample
+    # A bounded sample, smaller than any of several blocks: the share of rows that is enough falls as a block grows.
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(SAMPLE, BLOCK_ROWS // 2)).collect()
     by_size: dict[int, list] = {}
     for row in sample:
         by_size.setdefault(len(row["embedding"]), []).append(row["embedding"])
     enough = {size: fit_enough(np.array(held), k) for size, held in by_size.items()}
     blocks = -(-rows.count() // BLOCK_ROWS) or 1
-    query_blocks = -(-wanted.count() // BLOCK_QUERIES) or 1
-
-    def every(n: int) -> F.Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-
-    key = [F.size("embedding").alias("size"), "block", "query_block"]
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("query_block", every(query_blocks))
-    asked = wanted.withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks))).withColumn("block", every(blocks))
-    found = placed.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_search(k, enough), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("score", "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")
+    columns = [F.size("embedding").alias("size"), "block", "asked", "vec_id", "embedding"]
+    placed = rows.withColumns({"block": F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)), "asked": F.lit(0)}).select(*columns)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    asked = wanted.withColumn("block", every).withColumn("asked", F.lit(1)).select(*columns)
+    dealt = placed.unionByName(asked).repartition("size", "block").sortWithinPartitions("size", "block", "asked")
+    found = dealt.mapInArrow(_search(k, enough), "query_id long, vec_id long, score double").distinct()
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
