@@ -71,16 +71,16 @@ BROADCAST_ROWS = 200_000
 HOT_KEYS = 256
 
 
-def lookup(rows: DataFrame, found: DataFrame, keys: list[str], spread: list[str], how: str = "left") -> DataFrame:
-    """rows joined with a narrow table that has each of its keys once; null keys match each other. Columns named _hot and _salt are used.
+def lookup(rows: DataFrame, found: DataFrame, keys: list[str], spread: list[str], how: str = "left", wide: bool = False) -> DataFrame:
+    """rows joined with a table that has each of its keys once; null keys match each other. Columns named _hot and _salt are used.
 
-    The table is counted: up to BROADCAST_ROWS rows are broadcast. A larger one is joined by key, and keys that very many rows
+    The table is counted: up to BROADCAST_ROWS rows are broadcast, unless they are wide. Any other is joined by key, and keys that very many rows
     share are spread over salts by the `spread` columns, so that no task meets them all.
     """
     names = [f"_key{i}" for i in range(len(keys))]
     other = found.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], *[c for c in found.columns if c not in keys])
     same = [rows[k].eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
-    if found.count() <= BROADCAST_ROWS:
+    if not wide and found.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(other), same, how).drop(*names)
     salts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

@@ -577,7 +577,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = cut(repeated_spans(texts.where(able), length))
     short = docs.where(~able).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
     # Texts of one key lose the same bytes; keys of very many texts are spread.
-    long = lookup(texts.where(able).withColumn("_row", F.monotonically_increasing_id()), spans, ["k1", "k2"], ["_row"])
+    long = lookup(texts.where(able).withColumn("_row", F.monotonically_increasing_id()), spans, ["k1", "k2"], ["_row"], wide=True)
     return long.select(*docs.columns, "spans").unionByName(short)
 
 
