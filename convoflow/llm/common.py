@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -35,14 +37,17 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder that the context was given.
 
-    There is no other choice: a folder of one machine would lose or split what executors write, so without a setting this is an error.
+    Where neither is set, a run on one machine (a local master, as in tests) gets a temporary one; on a cluster such a folder
+    would lose or split what executors write, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext._jsc.sc()
     if not found:
-        if not context.getCheckpointDir().isDefined():
+        if context.getCheckpointDir().isDefined():
+            return context.getCheckpointDir().get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        return context.getCheckpointDir().get()
+        found = f"file://{tempfile.mkdtemp(prefix='convoflow-')}"
     if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
