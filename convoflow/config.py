@@ -29,11 +29,26 @@ class Settings:
 
     @classmethod
     def from_env(cls, environ=os.environ, prefix: str = "CONVOFLOW_") -> Settings:
-        """Fields that the environment names, as their own types; null and unknown names are left alone."""
+        """Fields that the environment names, as their own types; null and unknown names are left alone. A reply window is at least
+        1 there, and a threshold lies between 0 and 1."""
         kinds = {"max_tokens": int, "cover_tokens": int, "reply_window": int, "reply_confidence": float, "min_confidence": float, "max_retries": int, "retry_delay": float, "parallelism": int, "temperature": float}
         found = {k: kind(environ[prefix + k.upper()]) for k, kind in kinds.items() if environ.get(prefix + k.upper())}
+        if "reply_window" in found:
+            found["reply_window"] = max(1, found["reply_window"])
+        if "reply_confidence" in found:
+            found["reply_confidence"] = min(1.0, max(0.0, found["reply_confidence"]))
+        if flag := environ.get(f"{prefix}FAIL_ON_PARSE_ERROR"):
+            found["fail_on_parse_error"] = flag.strip().lower() in ("1", "true", "yes", "on")
         return cls(**found)
 
+    @classmethod
+    def from_file(cls, path: str, environ=os.environ) -> Settings:
+        """The same from NAME=value lines; what the environment itself names goes before."""
+        with open(path, encoding="utf-8") as found:
+            pairs = (line.partition("=") for line in map(str.strip, found) if line and not line.startswith("#") and "=" in line)
+            named = {k.strip().removeprefix("export ").strip(): v.strip().strip("'\"") for k, _, v in pairs}
+        return cls.from_env({**named, **environ})
+
 
 #: Chat endpoints by name, with the variables that hold their key and address, and their defaults.
 PLATFORMS = {
@@ -54,3 +69,13 @@ def platform(name: str, environ=os.environ) -> dict[str, str | None]:
         raise ValueError(f"unknown platform {name!r}; known: {', '.join(PLATFORMS)}")
     key, base = PLATFORMS[name]
     return {"name": name, "api_key": environ.get(key), "base_url": environ.get(base)}
+
+
+#: Beginnings of the names of models that the newer of the two endpoints serves.
+RESPONSES_MODELS = ("gpt-5", "o3", "o4", "gpt-4.1", "gpt-4o")
+
+
+def endpoint(platform_name: str, model: str, base_url: str | None = None) -> str:
+    """"responses" where the platform or its address is that of the maker of those models and the name is one of theirs, else "chat"."""
+    makers = platform_name.lower() == "openai" or "openai" in (base_url or "").lower()
+    return "responses" if makers and any(m in model.lower() for m in RESPONSES_MODELS) else "chat"

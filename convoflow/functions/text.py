@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 import string
 
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: What str.strip() removes, and where str.splitlines() splits.
@@ -33,15 +33,19 @@ def sentences(line: Column) -> Column:
 
 
 def legal(text: Column, min_chars: int | None = None, max_chars: int | None = None, deny: list[str] | None = None) -> Column:
-    """Stripped length in bounds, no replacement or control characters, no denied pattern. Patterns that do not compile are left out."""
+    """Stripped length in bounds, no replacement or control characters, no denied pattern.
+
+    Named groups may be written as in Python; patterns that the JVM, which runs them, cannot compile are left out.
+    """
     size = F.length(strip(text))
     found = (size >= max(1, min_chars or 1)) & ~F.contains(text, F.lit(REPLACEMENT)) & ~text.rlike(CONTROL)
     if max_chars is not None:
         found = found & (size <= max_chars)
     for pattern in deny or []:
+        pattern = pattern.replace("(?P<", "(?<")
         try:
-            re.compile(pattern)
-        except re.error:
+            SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+        except IllegalArgumentException:
             continue
         found = found & ~text.rlike(pattern)
     return F.coalesce(found, F.lit(False))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convoflow.functions.text import strip, template
+from convoflow.sources import jsonl, sinks
 
 #: Fixed value: the system message where none is given.
 DEFAULT_SYSTEM = "生成对输入内容的回复。"
@@ -24,9 +25,9 @@ def usable(pairs: DataFrame, min_confidence: float | None = None, dedupe: bool =
     return rows
 
 
-def _system(text: str | None, template_text: str | None) -> Column | None:
+def _system(text: str | None, template_text: str | None, of: str = "") -> Column | None:
     if template_text:
-        names = {"from_role": "pair.from", "to_role": "pair.to", "src_role": "source.role", "tgt_role": "reply.role"}
+        names = {"from_role": f"{of}pair.from", "to_role": f"{of}pair.to", "src_role": f"{of}source.role", "tgt_role": f"{of}reply.role"}
         return template(template_text, {k: F.col(c) for k, c in names.items()})
     return F.lit(text or DEFAULT_SYSTEM)
 
@@ -45,69 +46,76 @@ def single_turn(pairs: DataFrame, reverse: bool = False, system_text: str | None
     return pairs.select(messages.alias("messages"), *extra)
 
 
-def _chains(max_turns: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """session and place of each sample of a bucket: chains that go on from the side that answered, nearest first."""
-        rows = rows.sort_values(["s", "r", "at"], kind="stable").reset_index(drop=True)
-        waiting: dict[tuple, list[int]] = {}
-        for i in reversed(range(len(rows))):
-            waiting.setdefault((rows["s_chunk"][i], rows["s_role"][i], rows["s"][i]), []).append(i)
-        session, place, used, n = [0] * len(rows), [0] * len(rows), [False] * len(rows), 0
-        for seed in range(len(rows)):
-            if used[seed]:
-                continue
-            at, step = seed, 0
-            while at is not None:
-                used[at], session[at], place[at] = True, n, step
-                step += 1
-                open_ = waiting.get((rows["r_chunk"][at], rows["r_role"][at], rows["r"][at]), []) if step < max_turns else []
-                while open_ and used[open_[-1]]:
-                    open_.pop()
-                at = open_.pop() if open_ else None
-            n += 1
-        return rows.assign(session=session, place=place)[["at", "session", "place"]].astype("int64")
-
-    return run
+def _chained(edges: list[dict], chunk: int, max_turns: int) -> list[list[int]]:
+    """Places of each session's edges: chains that go on from the side that answered, nearest first. Edges come in order."""
+    waiting: dict[tuple, list[int]] = {}
+    for i in reversed(range(len(edges))):
+        waiting.setdefault((edges[i]["s_role"], edges[i]["s"]), []).append(i)
+    used, out = [False] * len(edges), []
+    for seed in range(len(edges)):
+        if used[seed]:
+            continue
+        at, held = seed, []
+        while at is not None:
+            used[at] = True
+            held.append(at)
+            edge = edges[at]
+            open_ = waiting.get((edge["r_role"], edge["r"]), []) if len(held) < max_turns and edge["r_chunk"] == chunk else []
+            while open_ and used[open_[-1]]:
+                open_.pop()
+            at = open_.pop() if open_ else None
+        out.append(held)
+    return out
+
+
+def _buckets(pairs: DataFrame, max_turns: int) -> DataFrame:
+    """chunk_id, role_a, role_b, edges (sorted, each with its whole row), session and places (into edges): one row a session.
+
+    A bucket is the talk of two roles within one chunk, so it is as small as a chunk. It is gathered once; only its narrow
+    edges go to Python.
+    """
+    key = {"chunk_id": F.col("source.chunk_id"), "role_a": F.least("pair.from", "pair.to"), "role_b": F.greatest("pair.from", "pair.to")}
+    edge = F.struct(
+        F.col("source.dialogue_index").alias("s"), F.col("reply.dialogue_index").alias("r"), F.col("reply.chunk_id").alias("r_chunk"),
+        F.col("source.role").alias("s_role"), F.col("reply.role").alias("r_role"), F.struct(*[F.col(f"`{c}`") for c in pairs.columns]).alias("row"),
+    )
+    held = pairs.groupBy(*[c.alias(n) for n, c in key.items()]).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
 
+    def chains(edges: pa.Array, chunks: pa.Array) -> pa.Array:
+        return pa.array([_chained(e, c, max_turns) for e, c in zip(edges.to_pylist(), chunks.to_pylist(), strict=True)], pa.list_(pa.list_(pa.int32())))
 
-def sessions(pairs: DataFrame, max_turns: int = 1) -> DataFrame:
-    """Samples plus bucket columns (chunk_id, role_a, role_b), session (from 0 in a bucket, by first sample) and place in it.
+    narrow = F.transform("edges", lambda e: F.struct(e["s"].alias("s"), e["r"].alias("r"), e["r_chunk"].alias("r_chunk"), e["s_role"].alias("s_role"), e["r_role"].alias("r_role")))
+    found = held.withColumn("_chains", F.arrow_udf(chains, "array<array<int>>")(narrow, "chunk_id"))
+    return found.select(*key, "edges", F.posexplode("_chains").alias("session", "places")).withColumn("session", F.col("session").cast("long"))
 
-    A bucket is the talk of two roles within one chunk, so it is as small as a chunk.
-    """
-    rows = pairs.withColumns({"chunk_id": F.col("source.chunk_id"), "role_a": F.least("pair.from", "pair.to"), "role_b": F.greatest("pair.from", "pair.to")})
-    key = ["chunk_id", "role_a", "role_b"]
-    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy(*key).orderBy("source.dialogue_index", "reply.dialogue_index", "reply.chunk_id")).cast("long"))
-    flat = rows.select(*key, "at", F.col("source.dialogue_index").alias("s"), F.col("reply.dialogue_index").alias("r"), F.col("source.chunk_id").alias("s_chunk"), F.col("reply.chunk_id").alias("r_chunk"), F.col("source.role").alias("s_role"), F.col("reply.role").alias("r_role"))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        found = _chains(max_turns)(part)
-        return found.assign(**{k: part[k].iloc[0] for k in key})
-
-    placed = flat.groupBy(*key).applyInPandas(run, "at long, session long, place long, chunk_id long, role_a string, role_b string")
-    return rows.join(placed, [*key, "at"]).drop("at")
+def sessions(pairs: DataFrame, max_turns: int = 1) -> DataFrame:
+    """Samples plus bucket columns (chunk_id, role_a, role_b), session (from 0 in a bucket, by first sample) and place in it."""
+    rows = _buckets(pairs, max_turns).select("chunk_id", "role_a", "role_b", "session", "edges", F.posexplode("places").alias("place", "at"))
+    return rows.select(F.get("edges", F.col("at"))["row"].alias("row"), "chunk_id", "role_a", "role_b", "session", F.col("place").cast("long").alias("place")).select("row.*", "chunk_id", "role_a", "role_b", "session", "place")
 
 
 def stitched(pairs: DataFrame, max_turns: int = 1, reverse: bool = False, system_text: str | None = None, system_template: str | None = None, meta: bool = False) -> DataFrame:
     """One record for each session: its first sample gives two messages, each later one the side that is new."""
     key = ["chunk_id", "role_a", "role_b", "session"]
-    head = _system(system_text, system_template)
-    rows = sessions(pairs, max_turns).withColumn("_system", head if head is not None else F.lit(None).cast("string"))
-    turns = F.array_sort(F.collect_list(F.struct("place", "source", "reply", "pair", "confidence", "_system")))
-    rows = rows.groupBy(*key).agg(turns.alias("turns")).withColumn("first", F.element_at("turns", 1))
+    turns = F.transform("places", lambda i: F.get("edges", i)["row"])
+    rows = _buckets(pairs, max_turns).select(*key, turns.alias("turns")).withColumn("first", F.element_at("turns", 1))
+    head = _system(system_text, system_template, "first.")
+    rows = rows.withColumn("_system", head if head is not None else F.lit(None).cast("string"))
     user, assistant = (F.col("first.pair.to"), F.col("first.pair.from")) if reverse else (F.col("first.pair.from"), F.col("first.pair.to"))
     opening = ("first.reply.text", "first.source.text") if reverse else ("first.source.text", "first.reply.text")
     body = F.array(_message("user", strip(opening[0])), _message("assistant", strip(opening[1])))
     role = lambda t: F.when(t["pair"]["from"] == assistant, F.lit("user")).when(t["pair"]["from"] == user, F.lit("assistant"))
     later = F.transform(F.slice("turns", 2, F.greatest(F.size("turns") - 1, F.lit(0))), lambda t: _message(role(t), strip(t["reply"]["text"])))
     later = F.filter(later, lambda m: m["role"].isNotNull())
-    lead = F.when(F.col("first._system").isNotNull() & (F.col("first._system") != ""), F.array(_message("system", F.col("first._system")))).otherwise(F.expr("CAST(array() AS array<struct<role: string, content: string>>)"))
+    lead = F.when(F.col("_system") != "", F.array(_message("system", F.col("_system")))).otherwise(F.expr("CAST(array() AS array<struct<role: string, content: string>>)"))
     about = F.struct(F.col("first.pair").alias("pair"), "chunk_id", F.size("turns").alias("turns"), F.transform("turns", lambda t: F.array(t["source"]["dialogue_index"], t["reply"]["dialogue_index"])).alias("indices"), F.transform("turns", lambda t: t["confidence"]).alias("confidences"))
     return rows.select(*key, F.concat(lead, body, later).alias("messages"), *([about.alias("meta")] if meta else []))
 
 
-def convert(pairs: DataFrame, mode: str = "pair", min_confidence: float | None = None, reverse: bool = False, system_text: str | None = None, system_template: str | None = None, max_turns: int = 1, meta: bool = False, dedupe: bool = False) -> DataFrame:
-    rows = usable(pairs, min_confidence, dedupe)
+def convert(pairs: DataFrame, mode: str = "pair", min_confidence: float | None = None, reverse: bool = False, system_text: str | None = None, system_template: str | None = None, max_turns: int = 1, meta: bool = False, dedupe: bool = False, order: tuple[str, ...] = ()) -> DataFrame:
+    """Samples that are usable, as records of one turn each ("pair") or of sessions ("stitch")."""
+    rows = usable(pairs, min_confidence, dedupe, order)
     if mode == "pair":
         return single_turn(rows, reverse, system_text, system_template, meta)
     if mode == "stitch":
@@ -115,6 +123,17 @@ def convert(pairs: DataFrame, mode: str = "pair", min_confidence: float | None =
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def convert_files(spark: SparkSession, inputs: list[str], output: str, mode: str = "pair", **settings) -> int:
+    """Pair files, folders and patterns to one set of chat records under output; returns how many.
+
+    Of equal texts (dedupe) the first by file and line stays. Lines that are no pair are left out.
+    """
+    rows = jsonl.pairs(jsonl.json_lines(spark, jsonl.discover(spark, inputs)))
+    records = convert(rows, mode, order=("file", "line_no"), **settings)
+    sinks.write_json_lines(records.select("messages", *[c for c in records.columns if c == "meta"]), output, "overwrite")
+    return spark.read.text(output).count()
+
+
 def message_rows(records: DataFrame, *keys: str) -> DataFrame:
     """keys, pos, role, content."""
     return records.select(*keys, F.posexplode("messages").alias("pos", "m")).select(*keys, F.col("pos").cast("long").alias("pos"), "m.role", "m.content")

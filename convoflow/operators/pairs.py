@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoflow.functions.text import ALL, legal, strip
+from convoflow.operators import validate as rules
+from convoflow.sources import jsonl
 
 
 def roles(utterances: DataFrame) -> DataFrame:
@@ -14,9 +16,9 @@ def roles(utterances: DataFrame) -> DataFrame:
 
 
 def all_ordered(roles_: DataFrame) -> DataFrame:
-    """Every ordered pair of two roles. The table of roles is small; it is made so by a grouping."""
+    """Every ordered pair of two roles: as many rows as there are such pairs, so for listing, not for joining."""
     names = roles_.select("role").distinct()
-    return names.select(F.col("role").alias("from_role")).crossJoin(names.select(F.col("role").alias("to_role"))).where("from_role <> to_role")
+    return names.select(F.col("role").alias("from_role")).join(names.select(F.col("role").alias("to_role")), F.col("from_role") != F.col("to_role"))
 
 
 def wanted_pairs(utterances: DataFrame, pairs: list[str] | None = None) -> DataFrame:
@@ -37,7 +39,7 @@ def wanted_pairs(utterances: DataFrame, pairs: list[str] | None = None) -> DataF
 
 def build_pairs(
     utterances: DataFrame,
-    wanted: DataFrame,
+    wanted: DataFrame | None = None,
     min_confidence: float | None = 0.8,
     strict: bool = False,
     require_confidence: bool = False,
@@ -49,7 +51,8 @@ def build_pairs(
 ) -> DataFrame:
     """utterances (chunk_id, dialogue_index, role, dialogue, reply, line_no) -> source, reply, pair, confidence.
 
-    Of utterances that repeat a key the last counts, once for each. strict: a confidence is required, the stated target role
+    wanted: directions (from_role, to_role); without it any two different roles will do, and no table of them is made. A link
+    names its target's chunk; one with a null chunk leads nowhere. Of utterances that repeat a key the last counts, once for each. strict: a confidence is required, the stated target role
     must be the target's, and stands in for nothing.
     """
     if strict:
@@ -57,7 +60,7 @@ def build_pairs(
     key = Window.partitionBy("chunk_id", "dialogue_index")
     latest = F.row_number().over(key.orderBy(F.col("line_no").desc()))
     index = utterances.withColumn("_copies", F.count(F.lit(1)).over(key)).withColumn("_n", latest).where("_n = 1").drop("_n")
-    target = F.coalesce(F.col("reply.target_chunk_id"), F.col("chunk_id"))
+    target = F.col("reply.target_chunk_id")
     child = index.where("reply.target_index IS NOT NULL").select(
         F.struct("chunk_id", "dialogue_index", strip("role").alias("role"), F.col("dialogue").alias("text")).alias("c"),
         target.alias("t_chunk"), F.col("reply.target_index").alias("t_index"), strip("reply.target_role").alias("t_role"), F.col("reply.confidence").alias("confidence"), "_copies",
@@ -71,23 +74,47 @@ def build_pairs(
     if min_confidence is not None:
         linked = linked.where(F.coalesce((F.col("confidence") >= min_confidence) & ~F.isnan("confidence"), F.lit(False)))
     linked = linked.where(legal(F.col("p.text"), *source_chars, deny) & legal(F.col("c.text"), *reply_chars, deny))
-    direct = wanted.select(F.col("from_role").alias("_f"), F.col("to_role").alias("_t"), F.lit(True).alias("_direct"))
-    linked = linked.join(direct, (F.col("p.role") == F.col("_f")) & (F.col("c.role") == F.col("_t")), "left").drop("_f", "_t")
-    source_role: Column = F.when(F.col("_direct"), F.col("p.role"))
-    if fallback:
-        other = wanted.select(F.col("from_role").alias("_f"), F.col("to_role").alias("_t"), F.lit(True).alias("_other"))
-        linked = linked.join(other, (F.col("t_role") == F.col("_f")) & (F.col("c.role") == F.col("_t")), "left").drop("_f", "_t")
-        source_role = F.coalesce(source_role, F.when(F.col("_other"), F.col("t_role")))
+    c_role, p_role, t_role = F.col("c.role"), F.col("p.role"), F.col("t_role")
+    if wanted is None:
+        source_role: Column = F.when(p_role != c_role, p_role)
+        if fallback:
+            named = roles(utterances).select(F.col("role").alias("_f"), F.lit(True).alias("_other"))
+            linked = linked.join(named, t_role == F.col("_f"), "left").drop("_f")
+            source_role = F.coalesce(source_role, F.when(F.col("_other") & (t_role != c_role), t_role))
+    else:
+        direct = wanted.select(F.col("from_role").alias("_f"), F.col("to_role").alias("_t"), F.lit(True).alias("_direct"))
+        linked = linked.join(direct, (p_role == F.col("_f")) & (c_role == F.col("_t")), "left").drop("_f", "_t")
+        source_role = F.when(F.col("_direct"), p_role)
+        if fallback:
+            other = direct.withColumnRenamed("_direct", "_other")
+            linked = linked.join(other, (t_role == F.col("_f")) & (c_role == F.col("_t")), "left").drop("_f", "_t")
+            source_role = F.coalesce(source_role, F.when(F.col("_other"), t_role))
     linked = linked.withColumn("_role", source_role).where("_role IS NOT NULL")
     side = lambda s, role: F.struct(F.col(f"{s}.chunk_id").alias("chunk_id"), F.col(f"{s}.dialogue_index").alias("dialogue_index"), role.alias("role"), F.col(f"{s}.text").alias("text"))
     rows = linked.select(side("p", F.col("_role")).alias("source"), side("c", F.col("c.role")).alias("reply"), F.struct(F.col("_role").alias("from"), F.col("c.role").alias("to")).alias("pair"), "confidence", "_copies")
     return rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("source", "reply", "pair", "confidence")
 
 
+def from_lines(rows: DataFrame, wanted: list[str] | None = None, validated: bool = False, **settings) -> DataFrame:
+    """Raw lines (file, line_no, value, v) to samples; validated: lines that break a rule are an error before anything is paired."""
+    if validated:
+        rules.check(rows)
+    found = jsonl.utterances(rows)
+    return build_pairs(found, wanted_pairs(found, wanted) if wanted else None, **settings)
+
+
 def pair_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("pair.from").alias("from_role"), F.col("pair.to").alias("to_role")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def role_mentions(pairs: DataFrame) -> DataFrame:
-    """How often a role is named by samples: as a pair's end and as a side's role."""
-    return pairs.select(F.explode(F.array_compact(F.array("pair.from", "pair.to", "source.role", "reply.role"))).alias("role")).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+    """How often a role is named by samples: as a pair's end, as a side's role, and in columns from_role and to_role of older samples."""
+    named = ["pair.from", "pair.to", "source.role", "reply.role", *[c for c in ("from_role", "to_role") if c in pairs.columns]]
+    return pairs.select(F.explode(F.array(*named)).alias("role")).where("role <> ''").groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+
+
+def role_mentions_of_lines(rows: DataFrame) -> DataFrame:
+    """The same from raw pair lines (v), in whichever fields they name roles; lines that are no object count nothing."""
+    fields = ["$.pair.from", "$.pair.to", "$.source.role", "$.reply.role", "$.from_role", "$.to_role"]
+    named = F.array(*[F.try_variant_get("v", f, "string") for f in fields])
+    return rows.where(jsonl.is_object(F.col("v"))).select(F.explode(named).alias("role")).where("role <> ''").groupBy("role").agg(F.count(F.lit(1)).alias("n"))

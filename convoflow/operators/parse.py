@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,17 +29,37 @@ def strip_fence(text: Column) -> Column:
     return F.regexp_replace(strip(text), FENCE, "")
 
 
+#: A string, closed or not, or a bracket outside strings.
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\Z)|[\[\]]', re.S)
+
+
+def _closings(text: str, start: int) -> dict[int, int | None]:
+    """Every bracket that opens from start on, outside strings, and the place behind the one that closes it."""
+    found: dict[int, int | None] = {}
+    open_: list[int] = []
+    for token in _TOKEN.finditer(text, start):
+        if token[0] == "[":
+            open_.append(token.start())
+            found[token.start()] = None
+        elif token[0] == "]" and open_:
+            found[open_.pop()] = token.end()
+    return found
+
+
 def first_array(text: str | None) -> str | None:
-    """The first stretch of a text, by where it starts, that reads as a JSON list."""
-    decoder = json.JSONDecoder()
-    start = (text or "").find("[")
+    """The first stretch of a text, by where it starts, that reads as a JSON list. One nested too deeply to be read is none."""
+    text = text or ""
+    ends: dict[int, int | None] = {}
+    start = text.find("[")
     while start >= 0:
-        try:
-            found, end = decoder.raw_decode(text, start)
-            if isinstance(found, list):
+        if start not in ends:  # the first, or one within what was taken for a string
+            ends |= _closings(text, start)
+        if end := ends[start]:
+            try:
+                json.loads(text[start:end])
                 return text[start:end]
-        except ValueError:
-            pass
+            except (ValueError, RecursionError):
+                pass
         start = text.find("[", start + 1)
     return None
 
@@ -47,10 +68,11 @@ def _arrays(texts: pa.Array) -> pa.Array:
     return pa.array([first_array(t) for t in texts.to_pylist()], pa.string())
 
 
-def script(responses: DataFrame) -> DataFrame:
+def script(responses: DataFrame, fail_on_parse_error: bool = False) -> DataFrame:
     """responses (..., response) plus items (a variant list, or null) and parse_status: ok or failed.
 
-    The response is read as it is; only one that is no JSON at all is searched for its first list, without its fence.
+    The response is read as it is; only one that is no JSON at all is searched for its first list, without its fence. One that
+    has none is a row that says so, or, if asked for, an error of the whole run.
     """
     whole = F.try_parse_json(F.coalesce("response", F.lit("")))
     rows = responses.withColumn("_whole", whole).withColumn("_bare", strip_fence(F.coalesce("response", F.lit("")))).withColumn("_inner", F.try_parse_json("_bare"))
@@ -63,7 +85,8 @@ def script(responses: DataFrame) -> DataFrame:
     broken = rows.where("_whole IS NULL").withColumn("items", F.coalesce(listed(F.col("_inner")), searched))
     read = rows.where("_whole IS NOT NULL").withColumn("items", listed(F.col("_whole")))
     out = read.unionByName(broken).drop("_whole", "_bare", "_inner")
-    return out.withColumn("parse_status", F.when(F.col("items").isNull(), F.lit("failed")).otherwise(F.lit("ok")))
+    bad = F.raise_error(F.concat(F.lit("no JSON list in response: "), F.substring(F.regexp_replace(F.coalesce("response", F.lit("")), r"\s+", " "), 1, 400))) if fail_on_parse_error else F.lit("failed")
+    return out.withColumn("parse_status", F.when(F.col("items").isNull(), bad).otherwise(F.lit("ok")))
 
 
 def clean_reply(index: Column, target: Column, confidence: Column, window: int = 6, threshold: float = 0.65) -> Column:
@@ -72,7 +95,7 @@ def clean_reply(index: Column, target: Column, confidence: Column, window: int =
 
 
 def utterances(parsed: DataFrame, keys: tuple[str, ...] = ("chunk_id",), window: int = 6, threshold: float = 0.65) -> DataFrame:
-    """parsed (keys, items) -> keys, dialogue_index, role, dialogue, reply: items with a role and a dialogue, numbered from 0."""
+    """parsed (keys, items) -> keys, dialogue_index, role, dialogue, reply: items with a role and a dialogue, numbered from 0. Replies stay within their chunk."""
     items = parsed.where("items IS NOT NULL").select(*keys, F.posexplode(F.col("items").cast("array<variant>")).alias("at", "item"))
     text = lambda path: F.when(at(F.col("item"), path).isNotNull() & (kind(at(F.col("item"), path)) != "VOID"), strip(F.try_variant_get("item", path, "string")))
     rows = items.where(is_object(F.col("item"))).select(*keys, "at", "item", text("$.role").alias("role"), text("$.dialogue").alias("dialogue")).where("role <> '' AND dialogue <> ''")
@@ -81,6 +104,6 @@ def utterances(parsed: DataFrame, keys: tuple[str, ...] = ("chunk_id",), window:
     number = kind(at(reply, "$.confidence")).isNull() | kind(at(reply, "$.confidence")).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
     target = F.when(kind(at(reply, "$.target_index")) == "BIGINT", F.try_variant_get(reply, "$.target_index", "bigint"))
     confidence = F.when(number, F.coalesce(F.try_variant_get(reply, "$.confidence", "double"), F.lit(1.0)))
-    link = F.struct(target.alias("target_index"), F.lit(None).cast("long").alias("target_chunk_id"), F.try_variant_get(reply, "$.target_role", "string").alias("target_role"), confidence.alias("confidence"))
+    link = F.struct(target.alias("target_index"), (F.col("chunk_id") if "chunk_id" in keys else F.lit(None)).cast("long").alias("target_chunk_id"), F.try_variant_get(reply, "$.target_role", "string").alias("target_role"), confidence.alias("confidence"))
     kept = is_object(reply) & clean_reply(F.col("dialogue_index"), target, confidence, window, threshold)
     return rows.select(*keys, "dialogue_index", "role", "dialogue", F.when(kept, link).alias("reply"))

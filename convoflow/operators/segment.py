@@ -1,18 +1,20 @@
 """Documents into token-bounded, overlapping chunks.
 
-Lines are split and cleaned by expressions; the fold over a document's lines depends on their order and runs within the
-document, one Arrow batch of documents at a time, without a shuffle.
+The fold over a document's lines depends on their order and runs within the document, one Arrow batch of documents at a time,
+without a shuffle. Splitting and cleaning is also there as expressions, for use by themselves.
 """
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convoflow.functions.text import lines, sentences
+from convoflow.functions.text import SENTENCE_END, lines, sentences
 
 Tokens = Callable[[str], int]
 
@@ -27,6 +29,30 @@ def split_sentences(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line_no", F.posexplode(sentences(F.col("line"))).alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("long"))
 
 
+_ENDS = re.compile(SENTENCE_END)
+
+
+@functools.lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def token_counter(path: str) -> Tokens:
+    """Counts tokens by a file of the tokenizers library; each worker loads it once."""
+    return functools.partial(_count, path)
+
+
+def _count(path: str, text: str) -> int:
+    return len(_tokenizer(path).encode(text, add_special_tokens=False).ids)
+
+
+def count_column(text: str, tokens: Tokens) -> F.Column:
+    """The token count of a column of texts, null for null."""
+    return F.arrow_udf(lambda found: pa.array([None if t is None else tokens(t) for t in found.to_pylist()], pa.int64()), "long")(text)
+
+
 def _packed(parts: list[str], tokens: Tokens, limit: int) -> list[str]:
     """Sentences of one long line, joined while the joined text stays within the limit; a longer one stands alone."""
     out: list[str] = []
@@ -38,8 +64,8 @@ def _packed(parts: list[str], tokens: Tokens, limit: int) -> list[str]:
     return out
 
 
-def fold(found: list[str], split: list[list[str]], tokens: Tokens, max_tokens: int, cover_tokens: int) -> list[str]:
-    """Chunks of a document's lines; split[i]: the sentences of line i.
+def fold(found: list[str], tokens: Tokens, max_tokens: int, cover_tokens: int) -> list[str]:
+    """Chunks of a document's lines.
 
     A full chunk is closed and the next starts with as many lines before as fit into cover_tokens, unless the next line would
     then not fit; a line that fits nowhere stands alone, and one above max_tokens is cut into sentences.
@@ -53,7 +79,7 @@ def fold(found: list[str], split: list[list[str]], tokens: Tokens, max_tokens: i
         if size > max_tokens:
             if held:
                 chunks.append("\n".join(held))
-            chunks += _packed(split[i], tokens, max_tokens)
+            chunks += _packed([part for part in _ENDS.split(line) if part], tokens, max_tokens)
             held, used = [], 0
             continue
         if held and used + size + 1 > max_tokens:
@@ -73,11 +99,12 @@ def fold(found: list[str], split: list[list[str]], tokens: Tokens, max_tokens: i
 
 
 def segment(docs: DataFrame, tokens: Tokens = len, max_tokens: int = 1000, cover_tokens: int = 100) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, chunk_id (from 0 in each document), chunk_text. tokens: counts a text's tokens; characters by default."""
-    cut = docs.select("doc_id", lines(F.coalesce("text", F.lit(""))).alias("lines")).withColumn("split", F.transform("lines", sentences))
+    """docs (doc_id, text) -> doc_id, chunk_id (from 0 in each document), chunk_text. tokens: counts a text's tokens; characters by default. A null text has no chunks."""
 
-    def chunks(found: pa.Array, split: pa.Array) -> pa.Array:
-        return pa.array([fold(f, s, tokens, max_tokens, cover_tokens) for f, s in zip(found.to_pylist(), split.to_pylist(), strict=True)], pa.list_(pa.string()))
+    def chunks(texts: pa.Array) -> pa.Array:
+        # str.splitlines() and str.strip() are what `lines` says in expressions.
+        found = ([s for line in (t.as_py() or "").splitlines() if (s := line.strip())] for t in texts)
+        return pa.array([fold(f, tokens, max_tokens, cover_tokens) for f in found], pa.list_(pa.string()))
 
-    made = cut.select("doc_id", F.arrow_udf(chunks, "array<string>")("lines", "split").alias("chunks"))
+    made = docs.select("doc_id", F.arrow_udf(chunks, "array<string>")("text").alias("chunks"))
     return made.select("doc_id", F.posexplode("chunks").alias("chunk_id", "chunk_text")).withColumn("chunk_id", F.col("chunk_id").cast("long"))

@@ -77,7 +77,9 @@ def ordered(utterances: DataFrame) -> DataFrame:
 
 
 def of_chunks(utterances: DataFrame, chunk_ids: list[int]) -> DataFrame:
-    return utterances.where(F.col("chunk_id").isin(*chunk_ids))
+    """Those of the given chunks; an utterance without a chunk is an error."""
+    known = F.when(F.col("chunk_id").isNull(), F.raise_error(F.lit("an utterance has no chunk_id"))).otherwise(F.col("chunk_id"))
+    return utterances.where(known.isin(*chunk_ids))
 
 
 def head(rows: DataFrame, n: int = 8, *order: str) -> DataFrame:

@@ -16,47 +16,50 @@ def _whole(v: Column) -> Column:
     return F.when(kind(v) == "BIGINT", F.try_variant_get(v, "$", "bigint")).cast("long")
 
 
-def _flag(rows: DataFrame, bad: Column, code: str) -> DataFrame:
-    return rows.where(bad).select("line_no", "chunk_id", "dialogue_index", F.lit(code).alias("code"))
+def _number(v: Column, path: str) -> Column:
+    return F.when(kind(at(v, path)).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, path, "double"))
 
 
-def errors(rows: DataFrame) -> DataFrame:
-    """rows (line_no, v: a variant) -> line_no, chunk_id, dialogue_index, code, one row for each broken rule."""
+def _read(rows: DataFrame) -> DataFrame:
+    """Every line once: its keys, whether it is usable, and the first rule of its own that it breaks; turn is its place among lines of its key."""
     v = F.col("v")
     chunk, index = _whole(at(v, "$.chunk_id")), _whole(at(v, "$.dialogue_index"))
-    usable = is_object(v) & F.coalesce(chunk >= 0, F.lit(False))
-    code = F.when(v.isNull(), F.lit("E_JSON")).when(~is_object(v), F.lit("E_NOT_OBJECT")).otherwise(F.lit("E_CHUNK_ID"))
-    lines = rows.select("line_no", "v", F.when(is_object(v), chunk).alias("chunk_id"), F.when(is_object(v), index).alias("dialogue_index"))
-    found = [lines.where(~usable).select("line_no", "chunk_id", "dialogue_index", code.alias("code"))]
-    empty = lines.agg(F.count_if(usable).alias("n")).where("n = 0")
-    found.append(empty.select(*[F.lit(None).cast("long").alias(c) for c in ERRORS[:3]], F.lit("E_EMPTY").alias("code")))
-    held = lines.where(usable)
-    # The first broken rule of a row; a repeated index counts among rows whose index is good.
-    good = F.coalesce(F.col("dialogue_index") >= 0, F.lit(False))
-    turn = F.row_number().over(Window.partitionBy("chunk_id", "dialogue_index", good).orderBy("line_no"))
     text = lambda path: F.coalesce((kind(at(v, path)) == "STRING") & (strip(F.try_variant_get(v, path, "string")) != ""), F.lit(False))
     reply = at(v, "$.reply")
-    rule = (
-        F.when(~good, F.lit("E_INDEX"))
-        .when(F.col("turn") > 1, F.lit("E_DUP_INDEX"))
-        .when(~text("$.role"), F.lit("E_ROLE"))
-        .when(~text("$.dialogue"), F.lit("E_DIALOGUE"))
-        .when(~(reply.isNull() | (kind(reply) == "VOID") | is_object(reply)), F.lit("E_REPLY_TYPE"))
-    )
-    ruled = held.withColumn("turn", turn).withColumn("code", rule)
-    found.append(ruled.where("code IS NOT NULL").select(*ERRORS))
-    rest = ruled.where("code IS NULL").drop("code", "turn")
-    rank = F.row_number().over(Window.partitionBy("chunk_id").orderBy("dialogue_index")) - 1
-    found.append(_flag(rest.withColumn("_rank", rank), F.col("_rank") != F.col("dialogue_index"), "E_GAP"))
-    # Reply targets: chunks count as present even if all their rows fell out.
-    chunks = held.select("chunk_id").distinct().join(rest.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")), "chunk_id", "left").select(F.col("chunk_id").alias("_t"), F.coalesce("n", F.lit(0)).alias("_size"))
-    targets = rest.select(F.col("chunk_id").alias("_tc"), F.col("dialogue_index").alias("_ti"), F.lit(True).alias("_there"))
-    links = rest.where(is_object(reply)).select("line_no", "chunk_id", "dialogue_index", reply.alias("r"))
-    r = F.col("r")
+    lines = rows.select("line_no", F.when(is_object(v), chunk).alias("chunk_id"), F.when(is_object(v), index).alias("dialogue_index"), F.when(is_object(reply), reply).alias("r"),
+        (is_object(v) & F.coalesce(chunk >= 0, F.lit(False))).alias("usable"),
+        F.when(v.isNull(), F.lit("E_JSON")).when(~is_object(v), F.lit("E_NOT_OBJECT")).otherwise(F.lit("E_CHUNK_ID")).alias("_line"),
+        F.when(~text("$.role"), F.lit("E_ROLE")).when(~text("$.dialogue"), F.lit("E_DIALOGUE")).when(~(reply.isNull() | (kind(reply) == "VOID") | is_object(reply)), F.lit("E_REPLY_TYPE")).alias("_content"))
+    # Lines without a chunk are a rule's breach already: they need no window, and are spread over groups of their own.
+    lines = lines.withColumn("_group", F.when(F.col("usable"), F.col("chunk_id")).otherwise(-1 - F.pmod(F.xxhash64("line_no"), F.lit(4096))))
+    good = F.coalesce(F.col("dialogue_index") >= 0, F.lit(False))
+    turn = F.row_number().over(Window.partitionBy("_group", "dialogue_index", good).orderBy("line_no"))
+    rule = F.when(~F.col("usable"), F.col("_line")).when(~good, F.lit("E_INDEX")).when(F.col("_turn") > 1, F.lit("E_DUP_INDEX")).otherwise(F.col("_content"))
+    return lines.withColumn("_turn", turn).withColumn("rule", rule).drop("_line", "_content", "_turn")
+
+
+def errors(rows: DataFrame) -> DataFrame:
+    """rows (line_no, v: a variant) -> line_no, chunk_id, dialogue_index, code, one row for each broken rule.
+
+    Lines are read once for their own rules; the targets of replies are looked up among them by two joins on their keys.
+    """
+    read = _read(rows)
+    sound = read.where("usable AND rule IS NULL")
+    chunks = read.where("usable").groupBy(F.col("chunk_id").alias("_t")).agg(F.count_if(F.col("rule").isNull()).alias("_size"))
+    targets = sound.select(F.col("chunk_id").alias("_tc"), F.col("dialogue_index").alias("_ti"), F.lit(True).alias("_there"))
+    whole = F.col("rule").isNull()
+    rank = F.row_number().over(Window.partitionBy("_group", whole).orderBy("dialogue_index")) - 1
+    r, own = F.col("r"), F.col("tc") == F.col("chunk_id")
     given = at(r, "$.target_chunk_id")
-    links = links.withColumn("ti", _whole(at(r, "$.target_index"))).withColumn("tc", F.when(given.isNull(), F.col("chunk_id")).otherwise(_whole(given)))
-    links = links.join(chunks, F.col("tc") == F.col("_t"), "left").join(targets, (F.col("tc") == F.col("_tc")) & (F.col("ti") == F.col("_ti")), "left")
-    own = F.col("tc") == F.col("chunk_id")
+    lines = read.withColumns({
+        "_gap": F.when(whole & (rank != F.col("dialogue_index")), F.lit("E_GAP")),
+        "ti": F.when(whole, _whole(at(r, "$.target_index"))),
+        "tc": F.when(whole & r.isNotNull(), F.when(given.isNull(), F.col("chunk_id")).otherwise(_whole(given))),
+        "_confidence": F.when(~F.coalesce(_number(r, "$.confidence").between(0, 1) & ~F.isnan(_number(r, "$.confidence")), F.lit(False)), F.lit("E_CONFIDENCE")),
+        "_role": F.when(~F.coalesce(kind(at(r, "$.target_role")).isin("STRING", "VOID"), F.lit(True)), F.lit("E_TARGET_ROLE")),
+        "_linked": whole & r.isNotNull(),
+    })
+    lines = lines.drop("r").join(chunks, F.col("tc") == F.col("_t"), "left").join(targets, (F.col("tc") == F.col("_tc")) & (F.col("ti") == F.col("_ti")), "left")
     broken = (
         F.when(~F.coalesce(F.col("ti") >= 0, F.lit(False)), F.lit("E_TARGET_INDEX"))
         .when(~F.coalesce(F.col("tc") >= 0, F.lit(False)), F.lit("E_TARGET_CHUNK"))
@@ -66,18 +69,29 @@ def errors(rows: DataFrame) -> DataFrame:
         .when(~own & (F.col("ti") >= F.col("_size")), F.lit("E_RANGE"))
         .when(F.col("_there").isNull(), F.lit("E_TARGET_MISSING"))
     )
-    links = links.withColumn("code", broken)
-    found.append(links.where("code IS NOT NULL").select(*ERRORS))
-    sound = links.where("code IS NULL")
-    confidence = F.when(kind(at(r, "$.confidence")).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(r, "$.confidence", "double"))
-    found.append(_flag(sound, ~F.coalesce(confidence.between(0, 1) & ~F.isnan(confidence), F.lit(False)), "E_CONFIDENCE"))
-    role = kind(at(r, "$.target_role"))
-    found.append(_flag(sound, ~F.coalesce(role.isin("STRING", "VOID"), F.lit(True)), "E_TARGET_ROLE"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    lines = lines.withColumn("_link", F.when(F.col("_linked"), broken))
+    fits = F.col("_linked") & F.col("_link").isNull()
+    codes = F.array_compact(F.array("rule", "_gap", "_link", F.when(fits, F.col("_confidence")), F.when(fits, F.col("_role"))))
+    found = lines.select("line_no", "chunk_id", "dialogue_index", F.explode(codes).alias("code"))
+    usable = is_object(F.col("v")) & F.coalesce(_whole(at(F.col("v"), "$.chunk_id")) >= 0, F.lit(False))
+    empty = rows.agg(F.count_if(usable).alias("n")).where("n = 0")
+    return found.unionByName(empty.select(*[F.lit(None).cast("long").alias(c) for c in ERRORS[:3]], F.lit("E_EMPTY").alias("code")))
 
 
 def passes(rows: DataFrame) -> bool:
     return errors(rows).isEmpty()
+
+
+def check(rows: DataFrame) -> None:
+    """An error that lists the first findings, if there are any."""
+    found = errors(rows).orderBy(F.col("line_no").asc_nulls_first(), "code").take(5)
+    if found:
+        raise ValueError("lines break rules: " + "; ".join(f"line {r['line_no']}: {r['code']}" for r in found))
+
+
+def validated_copy(rows: DataFrame, path: str) -> bool:
+    """Lines (line_no, value, v) that break no rule, written as they are in their order; False, and no copy, if any does."""
+    if not passes(rows):
+        return False
+    rows.orderBy(*[c for c in ("file", "line_no") if c in rows.columns]).select("value").write.text(path)
+    return True

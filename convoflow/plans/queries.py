@@ -11,7 +11,7 @@ from convoflow.functions import text
 from convoflow.operators import chat, pairs, parse, segment, stats, validate
 from convoflow.streaming import resume
 
-from .conversations import UTTERANCES_SQL, raw_lines, table, utterances
+from .conversations import ERRORS_SQL, UTTERANCES_SQL, raw_lines, table, utterances
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,8 +32,7 @@ def query(sql: str | None = None, base: str | None = UTTERANCES_SQL):
 
 
 def _samples(spark: SparkSession, sf_dir: str, **settings) -> DataFrame:
-    rows = utterances(spark, sf_dir)
-    return pairs.build_pairs(rows, pairs.wanted_pairs(rows), **settings)
+    return pairs.build_pairs(utterances(spark, sf_dir), **settings)
 
 
 def _flat(samples: DataFrame) -> DataFrame:
@@ -46,7 +45,7 @@ def _flat(samples: DataFrame) -> DataFrame:
 def _pairs_sql(strict: bool, least: float | None) -> str:
     source = "p.role" if strict else "CASE WHEN p.role <> c.role THEN p.role WHEN c.t_role IN (SELECT role FROM u) AND c.t_role <> c.role THEN c.t_role END"
     return f"""SELECT * FROM (SELECT c.chunk_id, p.dialogue_index AS source_index, c.dialogue_index AS reply_index, {source} AS from_role, c.role AS to_role, p.dialogue AS source_text, c.dialogue AS reply_text, c.confidence
-FROM u c JOIN u p ON p.chunk_id = c.chunk_id AND p.dialogue_index = c.t_index
+FROM u c JOIN u p ON p.chunk_id = c.t_chunk AND p.dialogue_index = c.t_index
 WHERE {LEGAL_SQL.format(c="p.dialogue")} AND {LEGAL_SQL.format(c="c.dialogue")} {"AND c.t_role = p.role AND p.role <> c.role" if strict else ""} {f"AND c.confidence >= {least}" if least is not None else ""}) WHERE from_role IS NOT NULL"""
 
 
@@ -186,7 +185,16 @@ def chat_stitched_sessions(spark, sf_dir):
     return rows.agg(F.min("source.dialogue_index").alias("first_source"), F.min("reply.dialogue_index").alias("first_reply"), F.count(F.lit(1)).alias("turns")).drop("session")
 
 
-@query()
+_MESSAGES_SQL = f"""SELECT chunk_id, role_a, role_b, session, pos::BIGINT AS pos, role, content FROM (
+  SELECT *, dense_rank() OVER (PARTITION BY chunk_id, role_a, role_b ORDER BY s0, r0) - 1 AS session, row_number() OVER (PARTITION BY chunk_id, role_a, role_b, s0, r0 ORDER BY place, part) - 1 AS pos FROM (
+    SELECT *, unnest(CASE WHEN place = 0 THEN [{{'part': 0, 'role': 'system', 'content': '{chat.DEFAULT_SYSTEM}'}}, {{'part': 1, 'role': 'user', 'content': source_text}}, {{'part': 2, 'role': 'assistant', 'content': reply_text}}]
+      WHEN from_role = t0 THEN [{{'part': 0, 'role': 'user', 'content': reply_text}}] WHEN from_role = f0 THEN [{{'part': 0, 'role': 'assistant', 'content': reply_text}}] ELSE [] END, recursive := true)
+    FROM (SELECT chunk_id, role_a, role_b, from_role, depth % 3 AS place, trim(source_text, {WHITE_SQL}) AS source_text, trim(reply_text, {WHITE_SQL}) AS reply_text,
+      first(from_role) OVER c AS f0, first(to_role) OVER c AS t0, first(source_index) OVER c AS s0, first(reply_index) OVER c AS r0
+      FROM walk WINDOW c AS (PARTITION BY chunk_id, role_a, role_b, head_s, head_r, depth // 3 ORDER BY depth))))"""
+
+
+@query(_MESSAGES_SQL, UTTERANCES_SQL.replace("WITH base", "WITH RECURSIVE base") + _STITCH_SQL)
 def chat_stitched_messages(spark, sf_dir):
     samples = chat.usable(_samples(spark, sf_dir, strict=True, min_confidence=0.5))
     return chat.message_rows(chat.stitched(samples, 3), "chunk_id", "role_a", "role_b", "session")
@@ -211,32 +219,31 @@ def segment_chunks(spark, sf_dir):
 
 
 def _responses(spark, sf_dir):
-    """A model's answer for each conversation, wrapped in one of several ways."""
-    rows = utterances(spark, sf_dir).where("chunk_id % 2 = 0")
+    """A model's answer for each conversation, wrapped in one of several ways; every seventh holds no list."""
+    rows = utterances(spark, sf_dir)
     item = F.struct(F.col("dialogue_index").alias("at"), F.struct("role", "dialogue", F.struct("reply.target_index", "reply.target_role", "reply.confidence").alias("reply")).alias("item"))
     body = rows.groupBy("chunk_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"])).alias("body"))
-    way = F.pmod(F.col("chunk_id") / 2, F.lit(5))
+    way = F.pmod("chunk_id", F.lit(7))
     wrapped = (
         F.when(way == 0, F.col("body"))
         .when(way == 1, F.concat(F.lit('{"script": '), F.col("body"), F.lit("}")))
         .when(way == 2, F.concat(F.lit("```json\n"), F.col("body"), F.lit("\n```")))
         .when(way == 3, F.concat(F.lit("<think>[1]</think>\n"), F.col("body")))
-        .otherwise(F.concat(F.lit("Here [not json] it is: "), F.col("body"), F.lit(" done.")))
+        .when(way == 4, F.concat(F.lit("Here [not json] it is: "), F.col("body"), F.lit(" done.")))
+        .when(way == 5, F.concat(F.repeat(F.lit("["), F.lit(3000)), F.lit("no end, then "), F.col("body")))
+        .otherwise(F.lit('{"error": "no list"}'))
     )
     return body.select("chunk_id", wrapped.alias("response"))
 
 
-_WAYS_SQL = "SELECT chunk_id, (chunk_id / 2) % 5 AS way FROM (SELECT DISTINCT chunk_id FROM u WHERE chunk_id % 2 = 0)"
-
-
-@query("SELECT chunk_id, dialogue_index, role, dialogue, CASE WHEN t_index IS NOT NULL AND dialogue_index - t_index <= 6 AND coalesce(confidence, 1.0) >= 0.65 THEN t_index END AS target_index FROM u WHERE chunk_id % 2 = 0")
+@query("SELECT chunk_id, dialogue_index, role, dialogue, CASE WHEN t_index IS NOT NULL AND dialogue_index - t_index <= 6 AND coalesce(confidence, 1.0) >= 0.65 THEN t_index END AS target_index FROM u WHERE chunk_id % 7 <> 6")
 def parsed_responses(spark, sf_dir):
     rows = _responses(spark, sf_dir).withColumn("response", parse.strip_reasoning(F.col("response")))
     found = parse.utterances(parse.script(rows))
     return found.select("chunk_id", "dialogue_index", "role", "dialogue", F.col("reply.target_index").alias("target_index"))
 
 
-@query(f"SELECT chunk_id, 'ok' AS parse_status FROM ({_WAYS_SQL})")
+@query("SELECT DISTINCT chunk_id, CASE WHEN chunk_id % 7 = 6 THEN 'failed' ELSE 'ok' END AS parse_status FROM u")
 def parse_status(spark, sf_dir):
     rows = _responses(spark, sf_dir).withColumn("response", parse.strip_reasoning(F.col("response")))
     return parse.script(rows).select("chunk_id", "parse_status")
@@ -248,7 +255,7 @@ def reply_links_kept(spark, sf_dir):
     return utterances(spark, sf_dir).select("chunk_id", "dialogue_index", kept.alias("kept"))
 
 
-@query()
+@query(ERRORS_SQL.lstrip(", "), UTTERANCES_SQL + ",")
 def validation_errors(spark, sf_dir):
     rows = raw_lines(spark, sf_dir).withColumn("v", F.try_parse_json("value"))
     return validate.errors(rows)

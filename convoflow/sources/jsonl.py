@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,21 +11,61 @@ from convoflow.functions.text import strip
 
 
 def documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Whole UTF-8 text files: doc_id (their place in the order of paths), path, text."""
+    """Whole UTF-8 text files: doc_id (their place in the order of paths), path, text. Only the paths are sorted, not the texts."""
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return rows.withColumn("doc_id", (F.row_number().over(Window.orderBy("path")) - 1).cast("long")).select("doc_id", "path", "text")
+    names = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path")).distinct()
+    numbered = names.select((F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("doc_id"), "path")
+    return rows.join(numbered, "path").select("doc_id", "path", "text")
+
+
+def discover(spark: SparkSession, inputs: list[str], recursive: bool = False) -> list[str]:
+    """The files that inputs stand for, each once and sorted: a folder for its `.jsonl` files (and the `.json` ones
+    that Spark writes), a pattern for the `.jsonl` files that match, and any other path for itself. What is not there is warned of."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    found: set[str] = set()
+    for name in inputs:
+        path = hadoop.Path(name)
+        system = path.getFileSystem(configuration)
+        many = any(c in name for c in "*?[]")
+        held: list[str] = []
+        for status in (system.globStatus(path) if many else [system.getFileStatus(path)] if system.exists(path) else None) or []:
+            if status.isFile() and (not many or str(status.getPath()).lower().endswith(".jsonl")):
+                held.append(str(status.getPath()))
+            elif status.isDirectory() and not many:
+                inside = system.listFiles(status.getPath(), recursive)
+                while inside.hasNext():
+                    child = inside.next().getPath()
+                    if child.getName().lower().endswith((".jsonl", ".json")) and not child.getName().startswith(("_", ".")):
+                        held.append(str(child))
+        if not held:
+            warnings.warn(f"no input at {name}", stacklevel=2)
+        found.update(held)
+    return sorted(found)
 
 
 def json_lines(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
     """file, line_no (from 1), value, v (a variant, null where the line is no JSON); blank lines are left out.
 
-    Duplicate keys: the last wins. Files are split by line within a task, so one file's lines are numbered in one task.
+    Duplicate keys: the last wins, unless the session says otherwise (spark.sql.variant.allowDuplicateKeys is set if it is not).
+    Spark splits large files; a line's number is its place in its split and the lines of the splits before, of which only the
+    counts are gathered.
     """
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    reader = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*")
-    whole = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r\n|\n|\r", -1)).alias("at", "value"))
-    rows = whole.where(strip("value") != "").select("file", (F.col("at") + 1).cast("long").alias("line_no"), "value")
-    return rows.withColumn("v", F.try_parse_json("value"))
+    if "spark.sql.variant.allowDuplicateKeys" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    lines = spark.read.option("recursiveFileLookup", recursive).text(path)
+    rows = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
+    splits = rows.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select(F.col("file").alias("_file"), F.col("_block").alias("_start"), "_first", before.alias("_before"))
+    numbered = rows.where(strip("value") != "").join(splits, (F.col("file") == F.col("_file")) & (F.col("_block") == F.col("_start")))
+    return numbered.select("file", (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "value").withColumn("v", F.try_parse_json("value"))
+
+
+def strict(rows: DataFrame) -> DataFrame:
+    """The rows; one that is no JSON object is an error that names its file and line."""
+    where = F.concat(F.lit("no JSON object: "), F.col("file"), F.lit(":"), F.col("line_no").cast("string"))
+    return rows.withColumn("v", F.when(is_object(F.col("v")), F.col("v")).otherwise(F.raise_error(where).cast("variant")))
 
 
 def kind(v: Column) -> Column:

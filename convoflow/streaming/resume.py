@@ -9,8 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def remaining(chunks: DataFrame, completed: DataFrame) -> DataFrame:
-    return chunks.join(completed.select("chunk_id").distinct(), "chunk_id", "left_anti")
+def remaining(chunks: DataFrame, completed: DataFrame, keys: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
+    return chunks.join(completed.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def mark(completed: DataFrame, path: str) -> None:
+    """Adds chunk_id lines to a marker file, those that it does not hold yet."""
+    known = completed.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = known.getFileSystem(completed.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(known)
+    new = completed.select("chunk_id").distinct()
+    new = remaining(new, completed_ids(completed.sparkSession.read.text(path))) if there else new
+    new.select(F.col("chunk_id").cast("string")).write.mode("append").text(path)
 
 
 def kept_output(utterances: DataFrame, completed: DataFrame) -> DataFrame:
