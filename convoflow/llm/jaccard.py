@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table, text_runs, tidy, words
+from .common import cut, lookup, small_batches, table, text_runs, tidy, words
 from .graph import components
 
 WORDS, PERCENT = 5, 80
@@ -362,8 +362,10 @@ def _texts(n: int, wanted):
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """pairs (a, b) -> a, b, linked."""
-    whole = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
+    """pairs (a, b) -> a, b, linked. A hub that is in very many pairs is spread over tasks by its partners."""
+    texts = texts.groupBy("class").agg(F.min("text").alias("text"))
+    whole = lookup(pairs, texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), ["a"], ["b"], "inner", wide=True)
+    whole = whole.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
     return cut(whole.select("a", "b", "text_a", "text_b").mapInArrow(_verify(n, percent), "a long, b long, linked boolean"))
 
 
@@ -393,7 +395,8 @@ def jaccard_links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> tu
     stars = families.join(hubs, "family").where(fits & (F.col("node") != F.col("h.node"))).select(F.col("h.node").alias("a"), F.col("node").alias("b"))
     pairs = cut(counted.where("n >= needed").select("a", "b").unionByName(stars).distinct())
     involved = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(families.select(F.col("node").alias("class"))).distinct()
-    ids = documents.join(involved, "class", "left_semi").groupBy("class").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("doc_id"))
+    # One row a class before the join: a class of very many copies is no hot key.
+    ids = documents.groupBy("class").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("doc_id")).join(involved, "class", "left_semi")
     wanted = spark.sparkContext.broadcast(id_filter(ids.select("doc_id")))
     known = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     texts = cut(known.mapInArrow(_texts(n, wanted), "class long, text string"))
@@ -410,7 +413,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     table gives an empty result.
     """
     documents, component = _labelled(docs, n, percent)
-    joined = documents.where("n_shingles > 0").join(component.select("class", "component"), "class").select("doc_id", "n_shingles", "class", F.col("component").alias("component_id"))
+    joined = lookup(documents.where("n_shingles > 0"), component.select("class", "component"), ["class"], ["doc_id"], "inner").select("doc_id", "n_shingles", "class", F.col("component").alias("component_id"))
     return joined.unionByName(documents.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")))
 
 
@@ -421,7 +424,7 @@ def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
     labels = components(links).withColumnRenamed("node", "class")
     named = cut(least.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")))
     whole = named.groupBy("label").agg(F.min("least").alias("component"))
-    return documents, named.join(whole, "label").select("class", "label", "component")
+    return documents, cut(named.join(whole, "label").select("class", "label", "component"))
 
 
 def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -432,7 +435,8 @@ def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Data
     """
     docs = docs.drop("_listed", "_class")
     documents, component = _labelled(docs, n, percent)
-    found = cut(documents.where("n_shingles > 0").groupBy("doc_id", "class").agg(F.count(F.lit(1)).alias("rows")).join(component.select("class", "label"), "class"))
+    counted = documents.where("n_shingles > 0").groupBy("doc_id", "class").agg(F.count(F.lit(1)).alias("rows"))
+    found = cut(lookup(counted, component.select("class", "label"), ["class"], ["doc_id"], "inner"))
     first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("first"))
     # Ids and classes of which one row or none stays: all but the least of a component go.
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("class") == F.col("first.class"))

@@ -301,6 +301,32 @@ def test_near_duplicates(docs, rows, empty, monkeypatch, small):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+def test_a_family_of_unlike_members(spark, monkeypatch):
+    """Documents that one long list ties together, most of them alike in nothing else, with near copies and a chain among them."""
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    monkeypatch.setattr(jaccard, "FAMILY_BLOCK", 6)
+    rng = random.Random(31)
+    shared = [f"s{i}" for i in range(9)]
+    own = lambda k: [f"w{rng.randint(0, 10**6)}" for _ in range(k)]
+    texts = [own(20) + shared + own(12) for _ in range(40)]
+    texts += [[*t[:-1], "other"] for t in texts[:10]] + [["new", *t] for t in texts[40:45]]
+    step = own(60)
+    for i in range(0, 30, 3):  # each is near the next, the ends are unlike
+        texts.append([*step[: 60 - i], *own(0), *[f"x{j}" for j in range(i)]] + shared)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect()} == brute_components(rows)
+
+
+def test_long_paths(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 2)
+    path = list(range(300))
+    random.Random(2).shuffle(path)
+    links = [*zip(path, path[1:]), (1000, 1001)]
+    found = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(links, "a long, b long").repartition(8)).collect()}
+    assert found == dict.fromkeys(path, 0) | {1000: 1000, 1001: 1000}
+
+
 def test_one_of_each_with_null_and_repeated_ids(spark):
     rng = random.Random(12)
     a, b, c, d, e, f = ([f"w{rng.randint(0, 10**6)}" for _ in range(80)] for _ in range(6))
