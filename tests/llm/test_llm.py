@@ -584,10 +584,28 @@ def test_toxicity(spark, empty):
     score = {r["doc_id"]: r["score"] for r in toxicity.toxicity(odd, machine).collect()}
     assert score[1] >= 0.5 and score[2] >= 0.5 and score[3] > score[4] and score[5] == score[6] < 0.5
     assert toxicity.toxicity(empty, machine).count() == 0
+    again = toxicity.fit_on(docs.withColumns({c: F.lit("x") for c in ("toxic", "words", "score", "margin")}).repartition(7), marks.unionByName(marks))
+    assert again.landmarks == machine.landmarks and np.allclose(again.weights, machine.weights)
+    small = toxicity.fit_on(docs, marks, most=50, most_sentences=200)
+    assert len(small.landmarks) and np.isfinite(small.weights).all()
     blank = toxicity.fit_on(docs, marks.limit(0))
     assert len({r["score"] for r in toxicity.toxicity(docs, blank).collect()}) == 1
 
 
+def test_toxicity_query_by_held_out_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    found = {r["doc_id"]: r for r in QUERIES["op8_toxicity"](spark, folder).collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    assert len(found) == spark.read.parquet(f"{folder}/documents.parquet").count()
+    for i, r in found.items():
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5) and 0 <= r["score"] <= 1
+    held = [i for i in found if found[i]["held_out"] and labels.get(i) is not None]
+    right = [found[i]["predicted"] == labels[i] for i in held]
+    assert np.mean(right) > 0.9 and sum(found[i]["predicted"] for i in held if labels[i] == 1) >= 0.5 * sum(labels[i] for i in held)
+
+
 # ---- packing -----------------------------------------------------------------------------------------------------------
 
 
