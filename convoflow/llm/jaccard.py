@@ -424,7 +424,7 @@ def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
     labels = components(links).withColumnRenamed("node", "class")
     named = cut(least.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")))
     whole = named.groupBy("label").agg(F.min("least").alias("component"))
-    return documents, cut(named.join(whole, "label").select("class", "label", "component"))
+    return documents, cut(lookup(named, cut(whole), ["label"], ["class"], "inner").select("class", "label", "component"))
 
 
 def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -440,7 +440,7 @@ def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Data
     first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("first"))
     # Ids and classes of which one row or none stays: all but the least of a component go.
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("class") == F.col("first.class"))
-    marked = cut(found.join(first, "label").withColumn("stays", stays).where("NOT stays OR rows > 1").select("doc_id", "class", "stays"))
+    marked = cut(lookup(found, cut(first), ["label"], ["class", "doc_id"], "inner").withColumn("stays", stays).where("NOT stays OR rows > 1").select("doc_id", "class", "stays"))
     gone = marked.where("NOT stays").select("doc_id", "class")
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(marked.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")).distinct()))
 
