@@ -31,7 +31,7 @@ ISLAND_PIECES = 8192
 ISLANDS = 2
 POPULATION = 8
 #: Generations at most, and those without a better grouping after which an island ends.
-GENERATIONS, PATIENCE = 60, 10
+GENERATIONS, PATIENCE = 60, 4
 #: A bin that is filled to this share is settled.
 SETTLED = 0.995
 
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             done = 0
-            for part in map(encoder, text_runs(batch.column(1), 1 << 18)):
+            for part in map(encoder, text_runs(batch.column(1))):
                 at, piece, start, length, crc = [], [], [], [], []
                 for i, ids in enumerate(part, done):
                     wide = np.frombuffer(ids + end, encoder.dtype).astype("<u4")
