@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from .common import cut, new_folder, table, text_runs, tidy
 
 SHARD_BYTES = 64 << 20
 #: Pieces an encoder remembers before it starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -78,9 +79,9 @@ class Encoder:
         """Adds the ids of each piece as they are after a single space; None for pieces that must not be parted from what is around them."""
         todo, stopped = [], []
         for piece in pieces:
-            if not piece or piece[0].isspace() or piece[-1].isspace():
+            if not piece or len(piece.strip()) < len(piece):
                 self.cache[piece] = None
-            elif piece[-1] in self.stops and piece[:-1].isalpha() and max(piece) < "ɐ":
+            elif piece[-1] in self.stops and piece[:-1].isalpha() and (piece.isascii() or max(piece) < "ɐ"):
                 stopped.append(piece)
             else:
                 todo.append(piece)
@@ -89,7 +90,7 @@ class Encoder:
         for i in range(0, len(todo), 4096):
             part = todo[i : i + 4096]
             joined = [" " + " ".join(part[j : j + 64]) for j in range(0, len(part), 64)]
-            ids = np.concatenate([np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+            ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)), self.dtype)
             at = np.flatnonzero(self.opens[ids])
             if len(at) != len(part):
                 held.update(zip(part, self._whole([" " + p for p in part]), strict=True))
