@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, small_batches, table, text_runs, tidy
 from .tokens import CACHE_PIECES as ENCODER_PIECES
-from .tokens import Encoder, default_tokenizer
+from .tokens import Encoder, default_tokenizer, kept_encoder
 
 CAPACITY = 1024
 ISLAND_PIECES = 8192
@@ -43,16 +43,17 @@ CACHE_PIECES = 150_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 2, cache_pieces: int = CACHE_PIECES) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 2, cache_pieces: int = CACHE_PIECES, keep: bool = False) -> DataFrame:
     """docs (doc_id, text) -> doc_id, piece, start, length, ids_crc32. Only longer documents are cut; their first piece may be shorter.
 
     A null text is empty and still has its end id; null ids stay null; rows that repeat are cut each for itself, so their pieces
-    repeat; an empty table gives no pieces. Other columns are not read.
+    repeat; an empty table gives no pieces. Other columns are not read. With `keep` a Python worker holds what it remembers until its
+    next task, which saves time and takes the memory in between.
     """
     tokenizer = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, cache_pieces)
+        encoder = (kept_encoder if keep else Encoder)(tokenizer, cache_pieces)
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             done = 0
@@ -242,4 +243,4 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, island_pieces: int = ISLAND
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(pieces(table(spark, sf_dir, "documents"), cache_pieces=ENCODER_PIECES))
+    return pack(pieces(table(spark, sf_dir, "documents"), cache_pieces=ENCODER_PIECES, keep=True))

@@ -136,6 +136,12 @@ class Encoder:
         return b"".join(ids)
 
 
+@functools.lru_cache(maxsize=1)
+def kept_encoder(path: str, cache_pieces: int = CACHE_PIECES) -> Encoder:
+    """An encoder that a Python worker keeps: what one task has learnt, the worker's next need not learn again."""
+    return Encoder(path, cache_pieces)
+
+
 # ---- minimal perfect hash ----------------------------------------------------------------------------------------------
 
 MAGIC = b"MPHIDS2\0"
@@ -335,7 +341,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, bounds: list[in
     edges = np.array(bounds, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = kept_encoder(tokenizer)
         end = b"" if end_id is None else np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             ids, null = _ids_of(batch.column(0))
