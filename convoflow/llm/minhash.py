@@ -6,9 +6,11 @@ ROWS components make a band, a band's value is a bucket, and documents of equal
 the star between its least class and the others, never its pairs, and each edge is confirmed on the full sets of both ends.
 
 A star that does not hold (its hub is unlike some member) leaves a bucket whose members are still apart. Those, and only those,
-are looked at again: small buckets by the pairs that are apart, larger ones in blocks against each other, without a row for a
-pair; so a bucket never loses a link between two of its members, however large it is. A pair of similarity 0.8 shares no bucket at
-all with a probability of about (1 - 0.8 ** ROWS) ** (BINS / ROWS), 5 in 10 million here; pairs that are more alike, by less.
+are looked at again: buckets of up to SMALL classes by the pairs that are apart. A larger one mostly holds documents that a common
+passage ties together, whose pairs would be the square of their number; all classes of such buckets are joined once by the exact
+T-occurrence search of `jaccard`, which walks no list of a common shingle. So no bucket loses a link between two of its members,
+however large it is. A pair of similarity 0.8 shares no bucket at all with a probability of about
+(1 - 0.8 ** ROWS) ** (BINS / ROWS), 5 in 10 million here; pairs that are more alike, by less.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, lookup, small_batches, stored, table, text_runs, tidy
 from .graph import components
-from .jaccard import PERCENT, _bloom_bits, _family_links, class_of, id_filter, shingles
+from .jaccard import PERCENT, _bloom_bits, _texts, class_of, id_filter, jaccard_links, shingles
 
 WORDS, BINS, ROWS = 2, 288, 6
-#: Classes of an unresolved bucket up to which its pairs that are apart are listed; larger ones are compared block by block.
+#: Classes of an unresolved bucket up to which its pairs that are apart are listed; those of larger ones are joined exactly.
 SMALL = 8
 
 
@@ -89,21 +91,20 @@ def _first_pass(n: int, k: int, rows: int):
 
 def _sets(n: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """class, text and hashes (sorted 64-bit numbers) of the documents that may be wanted, one of a class in each task."""
+        """class and hashes (sorted 64-bit numbers) of the documents that may be wanted, one of a class in each task."""
         seen: set[int] = set()
         for batch in batches:
             at = _bloom_bits(batch.column(0).to_numpy())
             mine = batch.filter(pa.array((wanted.value[at >> 3] >> (at & 7) & 1).astype(bool)))
             for part in text_runs(mine.column(1)):
-                found: dict[int, tuple[str, bytes]] = {}
+                found: dict[int, bytes] = {}
                 for text in part:
                     h = shingles(text, n)
                     if len(h) and (c := class_of(h)) not in seen:
                         seen.add(c)
-                        found[c] = (text, h.tobytes())
+                        found[c] = h.tobytes()
                 if found:
-                    texts, sets = zip(*found.values(), strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(texts, pa.string()), pa.array(sets, pa.binary())], ["class", "text", "hashes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["class", "hashes"])
             tidy()
 
     return run
@@ -147,16 +148,18 @@ def minhash_links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, k: in
     read = docs.select(F.col("doc_id").cast("long"), "text")
     first = stored(read.mapInArrow(_first_pass(n, k, rows), "doc_id long, n_shingles long, class long, buckets array<long>"), "minhash")
     documents = first.select("doc_id", "n_shingles", "class")
-    members = first.where("buckets IS NOT NULL").select("class", F.col("n_shingles").alias("size"), F.explode("buckets").alias("bucket"))
+    # One row a class before its buckets are spread out, so copies in many tasks do not multiply them.
+    classes = first.where("buckets IS NOT NULL").groupBy("class").agg(F.first("n_shingles").alias("size"), F.first("buckets").alias("buckets"))
+    members = stored(classes, "classes").select("class", "size", F.explode("buckets").alias("bucket"))
     # A bucket's least and greatest class; partial minima come before the shuffle, so a crowded bucket is no hot spot.
     hubs = members.groupBy("bucket").agg(F.min(F.struct("class", "size")).alias("hub"), F.max("class").alias("last")).where("hub.class <> last")
-    shared = stored(lookup(members, stored(hubs.select("bucket", "hub"), "hubs"), ["bucket"], ["class"], "inner").distinct(), "buckets")
+    shared = stored(lookup(members, stored(hubs.select("bucket", "hub"), "hubs"), ["bucket"], ["class"], "inner"), "buckets")
     stars = shared.where(F.col("class") != F.col("hub.class")).where(_fits(percent, "size", "hub.size"))
     stars = cut(stars.select(F.col("hub.class").alias("a"), F.col("class").alias("b")).distinct())
-    ids = documents.where("n_shingles > 0").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("doc_id")).join(shared.select("class").distinct(), "class", "left_semi")
-    wanted = spark.sparkContext.broadcast(id_filter(ids.select("doc_id")))
+    ids = cut(documents.where("n_shingles > 0").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("doc_id")).join(shared.select("class").distinct(), "class", "left_semi"))
     known = read.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text")
-    sets = stored(known.mapInArrow(_sets(n, wanted), "class long, text string, hashes binary"), "sets")
+    wanted = spark.sparkContext.broadcast(id_filter(ids.select("doc_id")))
+    sets = stored(known.mapInArrow(_sets(n, wanted), "class long, hashes binary"), "sets")
     one = sets.groupBy("class").agg(F.min("hashes").alias("hashes"))
     links = _confirm(stars, one, percent)
     # What the stars leave apart: buckets with classes of more than one label.
@@ -171,9 +174,11 @@ def minhash_links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, k: in
     apart = (F.col("i.bucket") == F.col("j.bucket")) & (F.col("i.class") < F.col("j.class")) & (F.col("i.label") != F.col("j.label"))
     pairs = i.join(j, apart).where(_fits(percent, "i.size", "j.size")).select(F.col("i.class").alias("a"), F.col("j.class").alias("b")).distinct()
     links = links.unionByName(_confirm(cut(pairs.join(stars, ["a", "b"], "left_anti")), one, percent))
-    large = lookup(named, tally.where(F.col("m") > SMALL), ["bucket"], ["class"], "inner").select(F.col("bucket").alias("family"), F.col("class").alias("node"))
-    texts = sets.groupBy("class").agg(F.min("text").alias("text"))
-    return documents, links.unionByName(_family_links(cut(large), texts, cut(components(links)), n, percent))
+    crowded = cut(named.join(tally.where(F.col("m") > SMALL), "bucket", "left_semi").select("class").distinct())
+    among = spark.sparkContext.broadcast(id_filter(ids.join(crowded, "class", "left_semi").select("doc_id")))
+    texts = known.mapInArrow(_texts(n, among), "class long, text string").join(crowded, "class", "left_semi")
+    one_each = stored(texts.groupBy("class").agg(F.min("text").alias("text")).select(F.col("class").alias("doc_id"), "text"), "crowded")
+    return documents, links.unionByName(jaccard_links(one_each, n, percent)[1])
 
 
 _NO_ID = -(1 << 63)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, minhash, mixing, neighbours, packing, quality, scoring, secrets, suffix, tokens, toxicity
+from . import collocations, divergence, jaccard, minhash, mixing, neighbours, packing, quality, scoring, secrets, suffix, tokens, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,11 +15,15 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_packing": packing.op9_packing,
     "op10_lm_scores": scoring.op10_lm_scores,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_collocations": collocations.op12_collocations,
     "op13_minhash": minhash.op13_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_jaccard_join": jaccard.ORACLE_SQL,
     "op6_quality": quality.ORACLE_SQL,
+    "op11_divergence": divergence.ORACLE_SQL,
+    "op12_collocations": collocations.ORACLE_SQL,
     "op13_minhash": minhash.ORACLE_SQL,
 }
