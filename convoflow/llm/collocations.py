@@ -116,7 +116,7 @@ def count_trie(x: np.ndarray, pair: np.ndarray, words: list[bytes], depth: int)
     """Numbers of words (0: a break) -> levels 2 to depth, each as (parent, word, count) of its nodes in the order of their phrases.
 
     pair: whether the pair that starts at a place counts; deeper nodes run over such pairs only. A parent is a place in the
-    level above, for level 2 a word; words are places among the given ones in their order.
+    level above, for level 2 a word; a word is its place among the given ones when they are sorted.
     """
     order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
     rank = np.empty(len(words), np.int64)
@@ -134,7 +134,7 @@ def count_trie(x: np.ndarray, pair: np.ndarray, words: list[bytes], depth: int)
 
 
 def _serialised(levels, words: list[bytes]) -> Iterator[tuple[bytes, bytes, bytes]]:
-    """(first word, second word, sub-trie): lines of depth, word and count in the order of the walk, compressed."""
+    """A trie over sorted words as (first word, second word, sub-trie): lines of depth, word and count in the order of the walk, compressed."""
     parents, names, counts = zip(*levels, strict=True)
     starts = [np.searchsorted(p, np.arange(len(names[i]) + 1)) for i, p in enumerate(parents[1:])]
 
@@ -161,7 +161,7 @@ def _tries(sketch, depth: int, least: int):
             place = np.zeros(len(all_words), np.int64)
             place[used] = np.arange(len(used))
             words = [all_words[i] for i in used]
-            rows = list(_serialised(count_trie(place[x], pair, words, depth), words))
+            rows = list(_serialised(count_trie(place[x], pair, words, depth), sorted(words)))
             for i in range(0, len(rows), 10_000):
                 first, second, tries = zip(*rows[i : i + 10_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([shard.lang] * len(first), pa.string()), *(pa.array(c, pa.binary()) for c in (first, second, tries))], ["lang", "first", "second", "trie"])
