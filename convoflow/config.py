@@ -16,8 +16,10 @@ class Settings:
     max_retries: int = 3
     retry_delay: float = 2.0
     parallelism: int = 8
+    wave_chunks: int = 512
     temperature: float = 1.0
     fail_on_parse_error: bool = False
+    remap_targets: bool = False
 
     def __post_init__(self) -> None:
         if self.max_tokens <= self.cover_tokens:
@@ -31,14 +33,15 @@ class Settings:
     def from_env(cls, environ=os.environ, prefix: str = "CONVOFLOW_") -> Settings:
         """Fields that the environment names, as their own types; null and unknown names are left alone. A reply window is at least
         1 there, and a threshold lies between 0 and 1."""
-        kinds = {"max_tokens": int, "cover_tokens": int, "reply_window": int, "reply_confidence": float, "min_confidence": float, "max_retries": int, "retry_delay": float, "parallelism": int, "temperature": float}
+        kinds = {"max_tokens": int, "cover_tokens": int, "reply_window": int, "reply_confidence": float, "min_confidence": float, "max_retries": int, "retry_delay": float, "parallelism": int, "wave_chunks": int, "temperature": float}
         found = {k: kind(environ[prefix + k.upper()]) for k, kind in kinds.items() if environ.get(prefix + k.upper())}
         if "reply_window" in found:
             found["reply_window"] = max(1, found["reply_window"])
         if "reply_confidence" in found:
             found["reply_confidence"] = min(1.0, max(0.0, found["reply_confidence"]))
-        if flag := environ.get(f"{prefix}FAIL_ON_PARSE_ERROR"):
-            found["fail_on_parse_error"] = flag.strip().lower() in ("1", "true", "yes", "on")
+        for name in ("fail_on_parse_error", "remap_targets"):
+            if flag := environ.get(f"{prefix}{name.upper()}"):
+                found[name] = flag.strip().lower() in ("1", "true", "yes", "on")
         return cls(**found)
 
     @classmethod

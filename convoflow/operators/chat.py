@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from convoflow import keys
 from convoflow.functions.text import strip, template
 from convoflow.sources import jsonl, sinks
 
@@ -14,12 +17,12 @@ DEFAULT_SYSTEM = "生成对输入内容的回复。"
 
 
 def usable(pairs: DataFrame, min_confidence: float | None = None, dedupe: bool = False, order: tuple[str, ...] = ()) -> DataFrame:
-    """Samples with text on both sides and enough confidence; of equal texts the first, in `order` or by place."""
+    """Samples with text on both sides and enough confidence; of equal texts, in whatever documents, the first, in `order` or by place."""
     rows = pairs.where((strip("source.text") != "") & (strip("reply.text") != ""))
     if min_confidence is not None:
         rows = rows.where(F.coalesce((F.col("confidence") >= min_confidence) & ~F.isnan("confidence"), F.lit(False)))
     if dedupe:
-        by = order or ("source.chunk_id", "source.dialogue_index", "reply.dialogue_index")
+        by = order or (*keys.document(pairs), "source.chunk_id", "source.dialogue_index", "reply.dialogue_index")
         turn = F.row_number().over(Window.partitionBy(strip("source.text"), strip("reply.text")).orderBy(*by))
         rows = rows.withColumn("_n", turn).where("_n = 1").drop("_n")
     return rows
@@ -36,14 +39,15 @@ def _message(role: Column | str, content: Column) -> Column:
     return F.struct((F.lit(role) if isinstance(role, str) else role).alias("role"), content.alias("content"))
 
 
-def single_turn(pairs: DataFrame, reverse: bool = False, system_text: str | None = None, system_template: str | None = None, meta: bool = False) -> DataFrame:
-    """One record for each sample: system, user, assistant."""
+def single_turn(pairs: DataFrame, reverse: bool = False, system_text: str | None = None, system_template: str | None = None, meta: bool = False, doc: Sequence[str] | None = None) -> DataFrame:
+    """One record for each sample, with its document columns: system, user, assistant."""
+    by = keys.document(pairs, doc)
     user, assistant = ("reply.text", "source.text") if reverse else ("source.text", "reply.text")
     head = _system(system_text, system_template)
     body = F.array(_message("user", strip(user)), _message("assistant", strip(assistant)))
     messages = F.concat(F.array(_message("system", head)), body) if head is not None else body
-    extra = [F.struct("pair", "source", "reply", "confidence").alias("meta")] if meta else []
-    return pairs.select(messages.alias("messages"), *extra)
+    extra = [F.struct(*by, "pair", "source", "reply", "confidence").alias("meta")] if meta else []
+    return pairs.select(*by, messages.alias("messages"), *extra)
 
 
 def _chained(edges: list[dict], chunk: int, max_turns: int) -> list[list[int]]:
@@ -68,13 +72,13 @@ def _chained(edges: list[dict], chunk: int, max_turns: int) -> list[list[int]]:
     return out
 
 
-def _buckets(pairs: DataFrame, max_turns: int) -> DataFrame:
-    """chunk_id, role_a, role_b, edges (sorted, each with its whole row), session and places (into edges): one row a session.
+def _buckets(pairs: DataFrame, max_turns: int, by: list[str]) -> DataFrame:
+    """Document columns, chunk_id, role_a, role_b, edges (sorted, each with its whole row), session and places (into edges): one row a session.
 
-    A bucket is the talk of two roles within one chunk, so it is as small as a chunk. It is gathered once; only its narrow
-    edges go to Python.
+    A bucket is the talk of two roles within one chunk of a document, so it is as small as a chunk. It is gathered once; only its
+    narrow edges go to Python.
     """
-    key = {"chunk_id": F.col("source.chunk_id"), "role_a": F.least("pair.from", "pair.to"), "role_b": F.greatest("pair.from", "pair.to")}
+    key = {**{c: F.col(c) for c in by}, "chunk_id": F.col("source.chunk_id"), "role_a": F.least("pair.from", "pair.to"), "role_b": F.greatest("pair.from", "pair.to")}
     edge = F.struct(
         F.col("source.dialogue_index").alias("s"), F.col("reply.dialogue_index").alias("r"), F.col("reply.chunk_id").alias("r_chunk"),
         F.col("source.role").alias("s_role"), F.col("reply.role").alias("r_role"), F.struct(*[F.col(f"`{c}`") for c in pairs.columns]).alias("row"),
@@ -89,17 +93,18 @@ def _buckets(pairs: DataFrame, max_turns: int) -> DataFrame:
     return found.select(*key, "edges", F.posexplode("_chains").alias("session", "places")).withColumn("session", F.col("session").cast("long"))
 
 
-def sessions(pairs: DataFrame, max_turns: int = 1) -> DataFrame:
+def sessions(pairs: DataFrame, max_turns: int = 1, doc: Sequence[str] | None = None) -> DataFrame:
     """Samples plus bucket columns (chunk_id, role_a, role_b), session (from 0 in a bucket, by first sample) and place in it."""
-    rows = _buckets(pairs, max_turns).select("chunk_id", "role_a", "role_b", "session", "edges", F.posexplode("places").alias("place", "at"))
+    rows = _buckets(pairs, max_turns, keys.document(pairs, doc)).select("chunk_id", "role_a", "role_b", "session", "edges", F.posexplode("places").alias("place", "at"))
     return rows.select(F.get("edges", F.col("at"))["row"].alias("row"), "chunk_id", "role_a", "role_b", "session", F.col("place").cast("long").alias("place")).select("row.*", "chunk_id", "role_a", "role_b", "session", "place")
 
 
-def stitched(pairs: DataFrame, max_turns: int = 1, reverse: bool = False, system_text: str | None = None, system_template: str | None = None, meta: bool = False) -> DataFrame:
-    """One record for each session: its first sample gives two messages, each later one the side that is new."""
-    key = ["chunk_id", "role_a", "role_b", "session"]
+def stitched(pairs: DataFrame, max_turns: int = 1, reverse: bool = False, system_text: str | None = None, system_template: str | None = None, meta: bool = False, doc: Sequence[str] | None = None) -> DataFrame:
+    """One record for each session, with its bucket's columns: its first sample gives two messages, each later one the side that is new."""
+    by = keys.document(pairs, doc)
+    key = [*by, "chunk_id", "role_a", "role_b", "session"]
     turns = F.transform("places", lambda i: F.get("edges", i)["row"])
-    rows = _buckets(pairs, max_turns).select(*key, turns.alias("turns")).withColumn("first", F.element_at("turns", 1))
+    rows = _buckets(pairs, max_turns, by).select(*key, turns.alias("turns")).withColumn("first", F.element_at("turns", 1))
     head = _system(system_text, system_template, "first.")
     rows = rows.withColumn("_system", head if head is not None else F.lit(None).cast("string"))
     user, assistant = (F.col("first.pair.to"), F.col("first.pair.from")) if reverse else (F.col("first.pair.from"), F.col("first.pair.to"))
@@ -109,17 +114,17 @@ def stitched(pairs: DataFrame, max_turns: int = 1, reverse: bool = False, system
     later = F.transform(F.slice("turns", 2, F.greatest(F.size("turns") - 1, F.lit(0))), lambda t: _message(role(t), strip(t["reply"]["text"])))
     later = F.filter(later, lambda m: m["role"].isNotNull())
     lead = F.when(F.col("_system") != "", F.array(_message("system", F.col("_system")))).otherwise(F.expr("CAST(array() AS array<struct<role: string, content: string>>)"))
-    about = F.struct(F.col("first.pair").alias("pair"), "chunk_id", F.size("turns").alias("turns"), F.transform("turns", lambda t: F.array(t["source"]["dialogue_index"], t["reply"]["dialogue_index"])).alias("indices"), F.transform("turns", lambda t: t["confidence"]).alias("confidences"))
+    about = F.struct(*by, F.col("first.pair").alias("pair"), "chunk_id", F.size("turns").alias("turns"), F.transform("turns", lambda t: F.array(t["source"]["dialogue_index"], t["reply"]["dialogue_index"])).alias("indices"), F.transform("turns", lambda t: t["confidence"]).alias("confidences"))
     return rows.select(*key, F.concat(lead, body, later).alias("messages"), *([about.alias("meta")] if meta else []))
 
 
-def convert(pairs: DataFrame, mode: str = "pair", min_confidence: float | None = None, reverse: bool = False, system_text: str | None = None, system_template: str | None = None, max_turns: int = 1, meta: bool = False, dedupe: bool = False, order: tuple[str, ...] = ()) -> DataFrame:
-    """Samples that are usable, as records of one turn each ("pair") or of sessions ("stitch")."""
+def convert(pairs: DataFrame, mode: str = "pair", min_confidence: float | None = None, reverse: bool = False, system_text: str | None = None, system_template: str | None = None, max_turns: int = 1, meta: bool = False, dedupe: bool = False, order: tuple[str, ...] = (), doc: Sequence[str] | None = None) -> DataFrame:
+    """Samples that are usable, as records of one turn each ("pair") or of sessions ("stitch"); sessions stay within a document."""
     rows = usable(pairs, min_confidence, dedupe, order)
     if mode == "pair":
-        return single_turn(rows, reverse, system_text, system_template, meta)
+        return single_turn(rows, reverse, system_text, system_template, meta, doc)
     if mode == "stitch":
-        return stitched(rows, max_turns, reverse, system_text, system_template, meta)
+        return stitched(rows, max_turns, reverse, system_text, system_template, meta, doc)
     raise ValueError(f"unknown mode {mode!r}")
 
 

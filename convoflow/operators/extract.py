@@ -26,8 +26,8 @@ def replay(chunks: DataFrame, responses: DataFrame) -> DataFrame:
     return chunks.join(responses.select("doc_id", "chunk_id", "response"), ["doc_id", "chunk_id"], "left").withColumn("status", status)
 
 
-def extract(chunks: DataFrame, call: Callable[[str], str], parallelism: int = 8, retries: int = 3, delay: float = 2.0) -> DataFrame:
-    """chunks (doc_id, chunk_id, chunk_text) plus response, status and error; call: a function from a chunk to a model's response.
+def extract(chunks: DataFrame, call: Callable[[str], str], parallelism: int = 8, retries: int = 3, delay: float = 2.0, keys: tuple[str, ...] = ("doc_id", "chunk_id")) -> DataFrame:
+    """chunks (keys, chunk_text) plus response, status and error; call: a function from a chunk to a model's response.
 
     Calls in flight are the partitions; each is tried again after a growing pause, and a chunk that keeps failing is a row that
     says so, not a failed job.
@@ -51,8 +51,9 @@ def extract(chunks: DataFrame, call: Callable[[str], str], parallelism: int = 8,
             status = ["ok" if e is None else "failed" for e in errors]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(responses, pa.string()), pa.array(status), pa.array(errors, pa.string())], [*batch.schema.names, "response", "status", "error"])
 
-    rows = chunks.select("doc_id", "chunk_id", "chunk_text")
-    return rows.repartition(parallelism).mapInArrow(run, "doc_id long, chunk_id long, chunk_text string, response string, status string, error string")
+    rows = chunks.select(*keys, "chunk_text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.repartition(parallelism).mapInArrow(run, f"{schema}, response string, status string, error string")
 
 
 def response_text(payload: F.Column) -> F.Column:

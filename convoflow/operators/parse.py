@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoflow.functions.text import strip
+from convoflow.keys import renamed, same
+from convoflow.operators import schema as schemas
 from convoflow.sources.jsonl import at, is_object, kind
 
 #: Reasoning blocks and code fences.
@@ -94,16 +96,26 @@ def clean_reply(index: Column, target: Column, confidence: Column, window: int =
     return F.coalesce((target >= 0) & (target < index) & (index - target <= window) & ~F.isnan(confidence) & (confidence >= threshold), F.lit(False))
 
 
-def utterances(parsed: DataFrame, keys: tuple[str, ...] = ("chunk_id",), window: int = 6, threshold: float = 0.65) -> DataFrame:
-    """parsed (keys, items) -> keys, dialogue_index, role, dialogue, reply: items with a role and a dialogue, numbered from 0. Replies stay within their chunk."""
+def utterances(parsed: DataFrame, keys: tuple[str, ...] = ("chunk_id",), window: int = 6, threshold: float = 0.65, schema: schemas.Schema | None = None, remap: bool = False) -> DataFrame:
+    """parsed (keys, items) -> keys, dialogue_index, role, dialogue, reply, and the schema's attributes: items with a role and a dialogue, numbered from 0.
+
+    Replies stay within their chunk. A target is the number that an item has among those that are kept, or with `remap` the one
+    that the model gave it, its place in the list as it came: links then lead to the item that was meant, and one whose target
+    was left out leads nowhere. The window and the order are those of the kept items either way.
+    """
     items = parsed.where("items IS NOT NULL").select(*keys, F.posexplode(F.col("items").cast("array<variant>")).alias("at", "item"))
     text = lambda path: F.when(at(F.col("item"), path).isNotNull() & (kind(at(F.col("item"), path)) != "VOID"), strip(F.try_variant_get("item", path, "string")))
     rows = items.where(is_object(F.col("item"))).select(*keys, "at", "item", text("$.role").alias("role"), text("$.dialogue").alias("dialogue")).where("role <> '' AND dialogue <> ''")
-    rows = rows.withColumn("dialogue_index", (F.row_number().over(Window.partitionBy(*keys).orderBy("at")) - 1).cast("long"))
+    by = [k for k in keys if k != "chunk_text"]
+    rows = rows.withColumn("dialogue_index", (F.row_number().over(Window.partitionBy(*by).orderBy("at")) - 1).cast("long"))
     reply = at(F.col("item"), "$.reply")
     number = kind(at(reply, "$.confidence")).isNull() | kind(at(reply, "$.confidence")).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
     target = F.when(kind(at(reply, "$.target_index")) == "BIGINT", F.try_variant_get(reply, "$.target_index", "bigint"))
+    if remap:
+        meant = rows.select(*renamed(by, "_m_"), F.col("at").cast("long").alias("_at"), F.col("dialogue_index").alias("_meant"))
+        rows = rows.withColumn("_target", target).join(meant, same(by, "_m_") & (F.col("_target") == F.col("_at")), "left")
+        target = F.col("_meant")
     confidence = F.when(number, F.coalesce(F.try_variant_get(reply, "$.confidence", "double"), F.lit(1.0)))
     link = F.struct(target.alias("target_index"), (F.col("chunk_id") if "chunk_id" in keys else F.lit(None)).cast("long").alias("target_chunk_id"), F.try_variant_get(reply, "$.target_role", "string").alias("target_role"), confidence.alias("confidence"))
     kept = is_object(reply) & clean_reply(F.col("dialogue_index"), target, confidence, window, threshold)
-    return rows.select(*keys, "dialogue_index", "role", "dialogue", F.when(kept, link).alias("reply"))
+    return rows.select(*keys, "dialogue_index", "role", "dialogue", F.when(kept, link).alias("reply"), *(schema.columns(F.col("item")) if schema else []))

@@ -39,6 +39,13 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """A public tokenizer's file, where the package that lists them is installed."""
+    from public_tokenizers import path
+
+    return str(path(name))
+
+
 def token_counter(path: str) -> Tokens:
     """Counts tokens by a file of the tokenizers library; each worker loads it once."""
     return functools.partial(_count, path)

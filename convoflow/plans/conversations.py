@@ -44,9 +44,36 @@ u AS (
 )"""
 
 
-def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """line_no and value: the utterances as JSON lines, with a fault of each kind in some of them."""
-    rows = utterances(spark, sf_dir).withColumn("f", F.pmod(F.col("chunk_id") * 31 + F.col("dialogue_index") * 7, F.lit(40)))
+#: Conversations that are the chunks of one document.
+CHUNKS = 50
+
+
+def of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same utterances as those of documents of CHUNKS conversations each: doc_id, and chunk_id and targets that every document counts from 0."""
+    rows = utterances(spark, sf_dir)
+    target = F.when(F.col("reply").isNotNull(), F.col("reply").withField("target_chunk_id", F.col("reply.target_chunk_id") % CHUNKS))
+    return rows.withColumns({"doc_id": F.floor(F.col("chunk_id") / CHUNKS).cast("long"), "chunk_id": F.col("chunk_id") % CHUNKS, "reply": target})
+
+
+DOCUMENTS_SQL = UTTERANCES_SQL.replace("conv_id AS chunk_id", f"conv_id // {CHUNKS} AS doc_id, conv_id % {CHUNKS} AS chunk_id").replace("THEN conv_id END AS t_chunk", f"THEN conv_id % {CHUNKS} END AS t_chunk")
+
+
+def by_document(sql: str) -> str:
+    """A query by chunks as one by documents and chunks."""
+    for one, both in (
+        ("SELECT chunk_id", "SELECT doc_id, chunk_id"), ("SELECT c.chunk_id", "SELECT c.doc_id, c.chunk_id"), ("SELECT e.chunk_id", "SELECT e.doc_id, e.chunk_id"),
+        ("BY chunk_id", "BY doc_id, chunk_id"), ("p.chunk_id = c.t_chunk", "p.doc_id = c.doc_id AND p.chunk_id = c.t_chunk"), ("y.chunk_id = x.chunk_id", "y.doc_id = x.doc_id AND y.chunk_id = x.chunk_id"),
+        ("e.chunk_id = w.chunk_id", "e.doc_id = w.doc_id AND e.chunk_id = w.chunk_id"), ("(SELECT role FROM u)", "(SELECT x.role FROM u x WHERE x.doc_id = c.doc_id)"),
+        ("SELECT line_no", "SELECT doc_id, line_no"), ("BY chunk,", "BY doc_id, chunk,"), ("SELECT chunk,", "SELECT doc_id, chunk,"), ("GROUP BY chunk\n", "GROUP BY doc_id, chunk\n"),
+        ("ON s.chunk = g.tc", "ON s.doc_id = g.doc_id AND s.chunk = g.tc"), ("t.rule IS NULL AND", "t.rule IS NULL AND t.doc_id = g.doc_id AND"), ("SELECT NULL, NULL, NULL, 'E_EMPTY' WHERE NOT EXISTS (SELECT 1 FROM r WHERE chunk >= 0)", "SELECT doc_id, NULL, NULL, NULL, 'E_EMPTY' FROM r GROUP BY doc_id HAVING coalesce(max(chunk), -1) < 0"),
+    ):
+        sql = sql.replace(one, both)
+    return sql
+
+
+def raw_lines(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """line_no (and doc_id) and value: the utterances as JSON lines, with a fault of each kind in some of them."""
+    rows = (utterances(spark, sf_dir) if rows is None else rows).withColumn("f", F.pmod(F.col("chunk_id") * 31 + F.col("dialogue_index") * 7, F.lit(40)))
     quoted = lambda c: F.to_json(F.struct(F.col(c).alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("x")))) - 6)
     index = F.when(F.col("f") == 3, F.lit("-1")).when((F.col("f") == 4) & (F.col("dialogue_index") > 0), (F.col("dialogue_index") - 1).cast("string")).when(F.col("f") == 5, (F.col("dialogue_index") + 100).cast("string")).otherwise(F.col("dialogue_index").cast("string"))
     target = F.when(F.col("f") == 9, F.lit("true")).when(F.col("f") == 10, F.col("dialogue_index").cast("string")).otherwise(F.col("reply.target_index").cast("string"))
@@ -59,7 +86,7 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"chunk_id": '), F.when(F.col("f") == 2, F.lit("true")).otherwise(F.col("chunk_id").cast("string")), F.lit(', "dialogue_index": '), index,
         F.lit(', "role": '), F.when(F.col("f") == 6, F.lit('" "')).otherwise(quoted("role")), F.lit(', "dialogue": '), F.when(F.col("f") == 7, F.lit('""')).otherwise(quoted("dialogue")), F.lit(', "reply": '), link, F.lit("}"),
     )
-    return rows.select("line_no", F.when(F.col("f") == 0, F.lit('{"chunk_id":')).when(F.col("f") == 1, F.lit("[1]")).otherwise(whole).alias("value"))
+    return rows.select(*[c for c in ("doc_id",) if c in rows.columns], "line_no", F.when(F.col("f") == 0, F.lit('{"chunk_id":')).when(F.col("f") == 1, F.lit("[1]")).otherwise(whole).alias("value"))
 
 
 #: Errors of the raw lines in SQL: the faults by number, as they are put in above, and then the rules by their order.

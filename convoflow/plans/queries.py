@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoflow.functions import text
-from convoflow.operators import chat, pairs, parse, segment, stats, validate
+from convoflow.operators import chat, cuts, pairs, parse, segment, stats, validate
+from convoflow.operators.schema import Attribute, Schema
 from convoflow.streaming import resume
 
-from .conversations import ERRORS_SQL, UTTERANCES_SQL, raw_lines, table, utterances
+from .conversations import DOCUMENTS_SQL, ERRORS_SQL, UTTERANCES_SQL, by_document, of_documents, raw_lines, table, utterances
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,9 +36,9 @@ def _samples(spark: SparkSession, sf_dir: str, **settings) -> DataFrame:
     return pairs.build_pairs(utterances(spark, sf_dir), **settings)
 
 
-def _flat(samples: DataFrame) -> DataFrame:
+def _flat(samples: DataFrame, *doc: str) -> DataFrame:
     return samples.select(
-        F.col("source.chunk_id").alias("chunk_id"), F.col("source.dialogue_index").alias("source_index"), F.col("reply.dialogue_index").alias("reply_index"),
+        *doc, F.col("source.chunk_id").alias("chunk_id"), F.col("source.dialogue_index").alias("source_index"), F.col("reply.dialogue_index").alias("reply_index"),
         F.col("pair.from").alias("from_role"), F.col("pair.to").alias("to_role"), F.col("source.text").alias("source_text"), F.col("reply.text").alias("reply_text"), "confidence",
     )
 
@@ -213,11 +214,36 @@ def sentence_split(spark, sf_dir):
     return segment.split_sentences(segment.clean_lines(table(spark, sf_dir, "documents")))
 
 
-@query()
+#: Prefix sums, range lookups and pointers, with the pointers followed one by one; lines above the limit are packed by sentences.
+_SEGMENT_SQL = f"""WITH RECURSIVE l AS (SELECT *, length(line) AS s FROM ({_LINES_SQL})
+), p AS (SELECT *, sum(s) OVER w - s AS p, sum(s + 1) OVER w - s - 1 AS q, coalesce(lag(s) OVER w > 1000, true) AND s <= 1000 AS begins, count(*) OVER (PARTITION BY doc_id) AS n FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)
+), o AS (SELECT a.doc_id, a.line_no, any_value(a.p) - min(b.p) AS cover, min(b.line_no) AS first FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.line_no <= a.line_no AND b.p >= a.p - 100 WHERE a.s <= 1000 GROUP BY a.doc_id, a.line_no
+), f AS (SELECT p.*, CASE WHEN cover + s + 1 <= 1000 THEN cover ELSE 0 END AS cover, CASE WHEN cover + s + 1 <= 1000 THEN first ELSE p.line_no END AS first FROM p JOIN o ON o.doc_id = p.doc_id AND o.line_no = p.line_no
+), e AS (SELECT a.doc_id, a.line_no, any_value(a.first) AS first, any_value(a.begins) AS begins, coalesce(min(b.line_no), any_value(a.n)) AS until FROM f a LEFT JOIN p b ON a.doc_id = b.doc_id AND b.line_no > a.line_no AND a.cover + b.q + b.s + 1 - a.q > 1000 GROUP BY a.doc_id, a.line_no
+), c AS (SELECT * FROM e WHERE begins UNION SELECT e.* FROM c JOIN e ON e.doc_id = c.doc_id AND e.line_no = c.until
+), t AS (SELECT c.doc_id, c.line_no, 0 AS part, string_agg(l.line, chr(10) ORDER BY l.line_no) AS chunk_text FROM c JOIN l ON l.doc_id = c.doc_id AND l.line_no >= c.first AND l.line_no < c.until GROUP BY c.doc_id, c.line_no
+), z AS (SELECT doc_id, line_no, string_split(list_reduce(list_filter(string_split(regexp_replace(line, '([。！？?!])', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''), lambda a, x: a || CASE WHEN length(string_split(a, chr(1))[-1]) + length(x) <= 1000 THEN '' ELSE chr(1) END || x), chr(1)) AS ps FROM l WHERE s > 1000
+), u AS (SELECT * FROM t UNION ALL SELECT doc_id, line_no, unnest(range(len(ps))), unnest(ps) FROM z)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, part) - 1 AS chunk_id, chunk_text FROM u"""
+
+
+@query(_SEGMENT_SQL, None)
 def segment_chunks(spark, sf_dir):
     return segment.segment(table(spark, sf_dir, "documents"))
 
 
+@query(_SEGMENT_SQL, None)
+def segment_chunks_by_rows(spark, sf_dir):
+    """The same chunks from rows of lines, by prefix sums and pointer jumping."""
+    return cuts.segment_rows(table(spark, sf_dir, "documents"))
+
+
+@query()
+def segment_chunks_by_tokens(spark, sf_dir):
+    """Chunks of a given tokenizer's tokens; no SQL knows them, so the tests hold them against the fold."""
+    return cuts.segment_rows(table(spark, sf_dir, "documents"), segment.token_counter(segment.tokenizer_file()), 512, 64)
+
+
 def _responses(spark, sf_dir):
     """A model's answer for each conversation, wrapped in one of several ways; every seventh holds no list."""
     rows = utterances(spark, sf_dir)
@@ -294,3 +320,112 @@ def processed_chunks(spark, sf_dir):
 def pair_file_names(spark, sf_dir):
     found = pairs.pair_counts(_samples(spark, sf_dir, strict=True))
     return found.select("from_role", "to_role", text.pair_file_name(F.col("from_role"), F.col("to_role")).alias("name"))
+
+
+# ---- documents that number their chunks alike ---------------------------------------------------------------------------
+
+
+def _document_samples(spark: SparkSession, sf_dir: str, **settings) -> DataFrame:
+    return pairs.build_pairs(of_documents(spark, sf_dir), **settings)
+
+
+def _document_sql(sql: str, base: str = DOCUMENTS_SQL) -> dict:
+    return {"sql": by_document(sql), "base": base}
+
+
+@query(**_document_sql(_pairs_sql(True, 0.8)))
+def document_pairs_strict(spark, sf_dir):
+    found = _document_samples(spark, sf_dir, strict=True)
+    return _flat(found, "doc_id")
+
+
+@query(**_document_sql(_pairs_sql(False, None)))
+def document_pairs_relaxed(spark, sf_dir):
+    return _flat(_document_samples(spark, sf_dir, min_confidence=None), "doc_id")
+
+
+@query("SELECT DISTINCT a.doc_id, a.role AS from_role, 'assistant' AS to_role FROM u a JOIN u b ON a.doc_id = b.doc_id AND b.role = 'assistant' WHERE a.role <> 'assistant'", DOCUMENTS_SQL)
+def document_pairs_wildcard(spark, sf_dir):
+    return pairs.wanted_pairs(of_documents(spark, sf_dir), ["ALL,assistant"])
+
+
+@query(**_document_sql(_MESSAGES_SQL, DOCUMENTS_SQL.replace("WITH base", "WITH RECURSIVE base") + by_document(_STITCH_SQL)))
+def document_chat_messages(spark, sf_dir):
+    samples = chat.usable(_document_samples(spark, sf_dir, strict=True, min_confidence=0.5))
+    return chat.message_rows(chat.stitched(samples, 3), "doc_id", "chunk_id", "role_a", "role_b", "session")
+
+
+@query(**_document_sql(ERRORS_SQL.lstrip(", "), DOCUMENTS_SQL + ","))
+def document_validation_errors(spark, sf_dir):
+    rows = raw_lines(spark, sf_dir, of_documents(spark, sf_dir)).withColumn("v", F.try_parse_json("value"))
+    return validate.errors(rows)
+
+
+@query("SELECT doc_id, chunk_id, count(*) AS dialogues, sum(length(dialogue))::BIGINT AS chars, min(length(dialogue)) AS least, max(length(dialogue)) AS most, round(avg(length(dialogue)), 6) AS average, count(DISTINCT role) AS roles FROM u GROUP BY doc_id, chunk_id", DOCUMENTS_SQL)
+def document_chunk_stats(spark, sf_dir):
+    return stats.chunk_stats(of_documents(spark, sf_dir)).withColumns({"average": F.round("average", 6), "roles": F.size("roles").cast("long")})
+
+
+@query("SELECT doc_id, from_role, role AS to_role, count(*) AS n FROM (SELECT doc_id, role, lag(role) OVER (PARTITION BY doc_id, chunk_id ORDER BY dialogue_index) AS from_role FROM u) WHERE from_role IS NOT NULL GROUP BY ALL", DOCUMENTS_SQL)
+def document_role_transitions(spark, sf_dir):
+    return stats.transitions(of_documents(spark, sf_dir), per=["doc_id"])
+
+
+@query("SELECT doc_id, role, n FROM (SELECT doc_id, role, count(*) AS n, min((chunk_id, dialogue_index)) AS f FROM u GROUP BY doc_id, role) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) <= 2", DOCUMENTS_SQL)
+def document_top_roles(spark, sf_dir):
+    return stats.top_roles(of_documents(spark, sf_dir), 2, ["doc_id"])
+
+
+@query("SELECT doc_id, chunk_id FROM u GROUP BY doc_id, chunk_id QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY max(line_no) DESC) > 1", DOCUMENTS_SQL)
+def document_processed_chunks(spark, sf_dir):
+    return resume.processed_ids(of_documents(spark, sf_dir))
+
+
+@query("SELECT d.doc_id, min(d.chunk_id)::BIGINT AS chunk_id FROM (SELECT doc_id, chunk_id + 1 AS chunk_id FROM u WHERE line_no % 7 <> 6 UNION SELECT doc_id, 0 FROM u WHERE line_no % 7 <> 6) d ANTI JOIN (SELECT doc_id, chunk_id FROM u WHERE line_no % 7 <> 6) x ON x.doc_id = d.doc_id AND x.chunk_id = d.chunk_id GROUP BY d.doc_id", DOCUMENTS_SQL)
+def document_first_missing_chunk(spark, sf_dir):
+    return resume.first_missing(of_documents(spark, sf_dir).where("line_no % 7 <> 6"))
+
+
+# ---- schemas and numbering ----------------------------------------------------------------------------------------------
+
+SCHEMA = Schema("Who speaks, and how?", (Attribute("tone", "string", "one word", optional=True), Attribute("words", "integer")))
+
+
+def _with_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Utterances as items with two more attributes, some of them of a wrong type or missing."""
+    rows = utterances(spark, sf_dir).withColumn("f", F.pmod(F.col("line_no"), F.lit(9)))
+    tone = F.when(F.col("f") == 0, F.lit("7")).when(F.col("f") == 1, F.lit("null")).when(F.col("f") == 2, F.lit('" dry "')).otherwise(F.lit('"warm"'))
+    words = F.when(F.col("f") == 3, F.lit('"many"')).when(F.col("f") == 4, F.lit("1.5")).when(F.col("f") == 5, F.lit("null")).otherwise(F.size(F.split("dialogue", " ")).cast("string"))
+    core = F.to_json(F.struct("chunk_id", "dialogue_index", "role", "dialogue", F.struct("reply.target_index", "reply.target_role", F.coalesce("reply.confidence", F.lit(0.9)).alias("confidence")).alias("reply")))
+    bare = F.to_json(F.struct("chunk_id", "dialogue_index", "role", "dialogue"))
+    whole = F.when(F.col("reply").isNull(), bare).otherwise(core)
+    item = F.concat(F.substring(whole, 1, F.length(whole) - 1), F.lit(', "tone": '), tone, F.when(F.col("f") == 6, F.lit("")).otherwise(F.concat(F.lit(', "words": '), words)), F.lit("}"))
+    return rows.select("chunk_id", "dialogue_index", "line_no", item.alias("item"))
+
+
+@query("""SELECT chunk_id, dialogue_index, role, dialogue, CASE WHEN line_no % 9 = 2 THEN 'dry' WHEN line_no % 9 > 1 THEN 'warm' END AS tone,
+CASE WHEN line_no % 9 NOT IN (3, 4, 5, 6) THEN len(string_split(dialogue, ' ')) END::BIGINT AS words FROM u""")
+def schema_responses(spark, sf_dir):
+    items = _with_attributes(spark, sf_dir).groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("dialogue_index", "item"))).alias("items"))
+    responses = items.select("chunk_id", F.concat(F.lit('{"script": ['), F.array_join(F.transform("items", lambda x: x["item"]), ", "), F.lit("]}")).alias("response"))
+    return parse.utterances(parse.script(responses), schema=SCHEMA).drop("reply")
+
+
+@query("""SELECT line_no, chunk_id, dialogue_index, 'E_ATTRIBUTE:' || CASE WHEN line_no % 9 = 0 THEN 'tone' ELSE 'words' END AS code FROM u WHERE line_no % 9 IN (0, 3, 4, 5, 6)
+UNION ALL SELECT c.line_no, c.chunk_id, c.dialogue_index, 'E_TARGET_MISSING' FROM u c JOIN u p ON p.chunk_id = c.chunk_id AND p.dialogue_index = c.t_index WHERE c.line_no % 9 NOT IN (0, 3, 4, 5, 6) AND p.line_no % 9 IN (0, 3, 4, 5, 6)
+UNION ALL SELECT line_no, chunk_id, dialogue_index, 'E_GAP' FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY dialogue_index) - 1 AS place FROM u WHERE line_no % 9 NOT IN (0, 3, 4, 5, 6)) WHERE place <> dialogue_index""")
+def schema_errors(spark, sf_dir):
+    rows = _with_attributes(spark, sf_dir).select("line_no", F.try_parse_json("item").alias("v"))
+    return validate.errors(rows, schema=SCHEMA).where("code <> 'E_EMPTY'")
+
+
+@query("""SELECT c.chunk_id, k.place AS dialogue_index, c.role, t.place AS target_index FROM u c
+JOIN (SELECT chunk_id, dialogue_index, row_number() OVER (PARTITION BY chunk_id ORDER BY dialogue_index) - 1 AS place FROM u WHERE line_no % 4 <> 1) k ON k.chunk_id = c.chunk_id AND k.dialogue_index = c.dialogue_index
+LEFT JOIN (SELECT chunk_id, dialogue_index, row_number() OVER (PARTITION BY chunk_id ORDER BY dialogue_index) - 1 AS place FROM u WHERE line_no % 4 <> 1) t ON t.chunk_id = c.chunk_id AND t.dialogue_index = c.t_index AND coalesce(c.confidence, 1.0) >= 0.65 AND k.place - t.place <= 6""")
+def remapped_replies(spark, sf_dir):
+    """Every fourth item has no text and is left out; links keep to the numbers that the model has given."""
+    said = F.when(F.pmod("line_no", F.lit(4)) == 1, F.lit(" ")).otherwise(F.col("dialogue"))
+    item = F.struct("dialogue_index", F.struct("role", said.alias("dialogue"), F.struct("reply.target_index", "reply.target_role", "reply.confidence").alias("reply")).alias("item"))
+    rows = utterances(spark, sf_dir).groupBy("chunk_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"])).alias("response"))
+    found = parse.utterances(parse.script(rows), remap=True)
+    return found.select("chunk_id", "dialogue_index", "role", F.col("reply.target_index").alias("target_index"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -111,6 +112,18 @@ def utterances(rows: DataFrame) -> DataFrame:
     return found.where("chunk_id IS NOT NULL AND dialogue_index IS NOT NULL")
 
 
+def as_lines(utterances: DataFrame, doc: Sequence[str] = (), attributes: Sequence[str] = ()) -> DataFrame:
+    """Typed utterances as the lines that they are in a file: document columns, line_no, value, v. Null fields stand there as null.
+
+    Where lines are not numbered, rows of a document are numbered in the order of their keys, those that repeat one by content.
+    """
+    fields = [c for c in ("chunk_id", "dialogue_index", "role", "dialogue", "reply", *attributes) if c in utterances.columns]
+    order = Window.partitionBy(*doc).orderBy("chunk_id", "dialogue_index", "role", "dialogue")
+    rows = utterances if "line_no" in utterances.columns else utterances.withColumn("line_no", F.row_number().over(order).cast("long"))
+    found = rows.select(*doc, "line_no", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+    return found.withColumn("v", F.try_parse_json("value"))
+
+
 def pairs(rows: DataFrame) -> DataFrame:
     """Coerced reading of pair lines; rows without both sides are left out, and pair names default to the sides' roles."""
     v = F.col("v")
