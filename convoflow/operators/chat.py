@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 from convoflow import keys
 from convoflow.functions.text import strip, template
+from convoflow.operators import stitch
+from convoflow.shared import cut
 from convoflow.sources import jsonl, sinks
 
 #: Fixed value: the system message where none is given.
 DEFAULT_SYSTEM = "生成对输入内容的回复。"
+#: Samples of a bucket up to which it is gathered in one row and folded; the sessions of a longer one are found by links.
+BUCKET_ROWS = 10_000
 
 
 def usable(pairs: DataFrame, min_confidence: float | None = None, dedupe: bool = False, order: tuple[str, ...] = ()) -> DataFrame:
@@ -93,18 +97,51 @@ def _buckets(pairs: DataFrame, max_turns: int, by: list[str]) -> DataFrame:
     return found.select(*key, "edges", F.posexplode("_chains").alias("session", "places")).withColumn("session", F.col("session").cast("long"))
 
 
-def sessions(pairs: DataFrame, max_turns: int = 1, doc: Sequence[str] | None = None) -> DataFrame:
-    """Samples plus bucket columns (chunk_id, role_a, role_b), session (from 0 in a bucket, by first sample) and place in it."""
-    rows = _buckets(pairs, max_turns, keys.document(pairs, doc)).select("chunk_id", "role_a", "role_b", "session", "edges", F.posexplode("places").alias("place", "at"))
-    return rows.select(F.get("edges", F.col("at"))["row"].alias("row"), "chunk_id", "role_a", "role_b", "session", F.col("place").cast("long").alias("place")).select("row.*", "chunk_id", "role_a", "role_b", "session", "place")
+def _is_long(pairs: DataFrame, by: list[str], limit: int) -> bool:
+    key = [F.col(c) for c in by] + [F.col("source.chunk_id"), F.least("pair.from", "pair.to"), F.greatest("pair.from", "pair.to")]
+    return not pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).isEmpty()
 
 
-def stitched(pairs: DataFrame, max_turns: int = 1, reverse: bool = False, system_text: str | None = None, system_template: str | None = None, meta: bool = False, doc: Sequence[str] | None = None) -> DataFrame:
+def sessions(pairs: DataFrame, max_turns: int = 1, doc: Sequence[str] | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Samples plus bucket columns (chunk_id, role_a, role_b), session (from 0 in a bucket, by first sample) and place in it.
+
+    Where a bucket has more than bucket_rows samples, buckets that are forests are stitched by links and only others gathered:
+    the sessions are the same.
+    """
+    by = keys.document(pairs, doc)
+    key = [*by, "chunk_id", "role_a", "role_b", "session", "place"]
+    if _is_long(pairs, by, bucket_rows):
+        edges = cut(stitch.numbered(pairs, by))
+        linked = stitch.placed(edges.where("forest"), by, max_turns).select(*key, "row")
+        others = edges.where("NOT forest").select("row.*")
+        folded = _folded(others, max_turns, by).select(*key, "row")
+        rows = linked.unionByName(folded)
+    else:
+        rows = _folded(pairs, max_turns, by)
+    return rows.select(F.col("row"), *key).select("row.*", *[c for c in key if c not in by])
+
+
+def _folded(pairs: DataFrame, max_turns: int, by: list[str]) -> DataFrame:
+    rows = _buckets(pairs, max_turns, by).select(*by, "chunk_id", "role_a", "role_b", "session", "edges", F.posexplode("places").alias("place", "at"))
+    return rows.select(*by, "chunk_id", "role_a", "role_b", "session", F.col("place").cast("long").alias("place"), F.get("edges", F.col("at"))["row"].alias("row"))
+
+
+def _turns(pairs: DataFrame, max_turns: int, by: list[str], bucket_rows: int) -> DataFrame:
+    """Bucket columns, session, turns: its samples in order."""
+    key = [*by, "chunk_id", "role_a", "role_b", "session"]
+    if not _is_long(pairs, by, bucket_rows):
+        return _buckets(pairs, max_turns, by).select(*key, F.transform("places", lambda i: F.get("edges", i)["row"]).alias("turns"))
+    rows = sessions(pairs, max_turns, by, bucket_rows)
+    row = F.struct(*[F.col(f"`{c}`") for c in pairs.columns]).alias("row")
+    found = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", row))).alias("turns"))
+    return found.select(*key, F.transform("turns", lambda t: t["row"]).alias("turns"))
+
+
+def stitched(pairs: DataFrame, max_turns: int = 1, reverse: bool = False, system_text: str | None = None, system_template: str | None = None, meta: bool = False, doc: Sequence[str] | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One record for each session, with its bucket's columns: its first sample gives two messages, each later one the side that is new."""
     by = keys.document(pairs, doc)
     key = [*by, "chunk_id", "role_a", "role_b", "session"]
-    turns = F.transform("places", lambda i: F.get("edges", i)["row"])
-    rows = _buckets(pairs, max_turns, by).select(*key, turns.alias("turns")).withColumn("first", F.element_at("turns", 1))
+    rows = _turns(pairs, max_turns, by, bucket_rows).withColumn("first", F.element_at("turns", 1))
     head = _system(system_text, system_template, "first.")
     rows = rows.withColumn("_system", head if head is not None else F.lit(None).cast("string"))
     user, assistant = (F.col("first.pair.to"), F.col("first.pair.from")) if reverse else (F.col("first.pair.from"), F.col("first.pair.to"))

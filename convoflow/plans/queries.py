@@ -201,6 +201,13 @@ def chat_stitched_messages(spark, sf_dir):
     return chat.message_rows(chat.stitched(samples, 3), "chunk_id", "role_a", "role_b", "session")
 
 
+@query(_MESSAGES_SQL, UTTERANCES_SQL.replace("WITH base", "WITH RECURSIVE base") + _STITCH_SQL)
+def chat_messages_by_links(spark, sf_dir):
+    """The same messages where no bucket is gathered in one row: sessions are found by pointer doubling."""
+    samples = chat.usable(_samples(spark, sf_dir, strict=True, min_confidence=0.5))
+    return chat.message_rows(chat.stitched(samples, 3, bucket_rows=0), "chunk_id", "role_a", "role_b", "session")
+
+
 _LINES_SQL = rf"SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: trim(x, {WHITE_SQL})), lambda x: x <> '') AS ls FROM documents)"
 
 

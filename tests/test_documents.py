@@ -293,3 +293,45 @@ def test_targets_are_mapped_to_what_is_kept(spark):
     links = lambda **more: [r["reply"] and r["reply"]["target_index"] for r in parse.utterances(rows, **more).where("chunk_id = 0").orderBy("dialogue_index").collect()]
     assert links(remap=True) == [None, 0, 1, None, 3, None]
     assert links() == [None, 0, None, 1, None, None]
+
+
+# ---- stitching by links ------------------------------------------------------------------------------------------------
+
+PAIR = "source struct<chunk_id: bigint, dialogue_index: bigint, role: string, text: string>, reply struct<chunk_id: bigint, dialogue_index: bigint, role: string, text: string>, pair struct<from: string, to: string>, confidence double"
+
+
+def forests(seed, n=40):
+    """Edges of random forests in several buckets of two documents, a chain above 100 turns, and buckets that are no forests."""
+    rng = random.Random(seed)
+    rows = []
+
+    def edge(doc, chunk, a, b, r_chunk=None):
+        ra, rb = "AB"[a % 2], "AB"[(a + 1) % 2]
+        rows.append((doc, (chunk, a, ra, f"{a}"), (chunk if r_chunk is None else r_chunk, b, rb, f"{b}"), (ra, rb), 1.0))
+
+    for doc in (1, 2):
+        for chunk in range(4):
+            for i in range(1, n):
+                if rng.random() < 0.8 and (before := [j for j in range(i) if (i - j) % 2]):
+                    edge(doc, chunk, rng.choice(before[-4:]), i)
+    for i in range(1, 250):
+        edge(1, 50, i - 1, i)
+    for i in range(1, 9):  # repeated samples, a reply before its source, a reply in another chunk
+        edge(1, 60, i - 1, i)
+        edge(1, 60, i - 1, i)
+        edge(2, 61, i, i - 1)
+        edge(2, 62, i - 1, i, 62 if i % 3 else 63)
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("turns", [1, 3, 100, 1000])
+def test_links_give_the_sessions_of_the_fold(spark, turns):
+    samples = spark.createDataFrame(forests(turns), "doc_id long, " + PAIR).repartition(3)
+    key = ("doc_id", "chunk_id", "role_a", "role_b", "session", "place")
+    rows = lambda limit: sorted(tuple(r[c] for c in key) + (r["source"]["dialogue_index"], r["reply"]["dialogue_index"], r["reply"]["chunk_id"]) for r in chat.sessions(samples, turns, bucket_rows=limit).collect())
+    assert rows(0) == rows(10_000)
+    if turns == 100:
+        records = lambda limit: sorted(map(str, chat.stitched(samples, turns, meta=True, bucket_rows=limit).collect()))
+        assert records(5) == records(10_000)
+    assert chat.sessions(samples.limit(0), turns, bucket_rows=0).count() == 0
