@@ -3,17 +3,18 @@
 A first pass counts words, and adjacent pairs in a sketch of fixed size. A sketch never counts too little, so a pair that it
 says is rare is rare, and no frequent phrase runs across it; where it is full it only clears less. A second pass builds a trie of
 what is left for each shard of about SHARD_WORDS words: level by level, a node is its parent and a word, and nodes are numbered in
-the order of their phrases. A shard's trie is serialised sorted, one sub-trie for each pair of first words. Sub-tries of a
-prefix range are merged k ways, FAN_IN at a time; the walk through a merged trie knows the counts on its path, which are the left
-parts of every cut. The right parts come along suffix links: a phrase without its first word is a node one level up, which has
+the order of their phrases. A shard's trie is serialised sorted, cut where prefix ranges of first words end, and the parts of a
+range are merged k ways, FAN_IN at a time; the walk through a merged trie knows the counts on its path, which are the left parts
+of every cut. The right parts come along suffix links: a phrase without its first word is a node one level up, which has
 its own right parts already.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -29,8 +30,10 @@ from .jaccard import SKETCH_BITS, SKETCH_BLOCKS, frequency_sketch
 DEPTH, LEAST, FACTOR, TOP = 5, 100, 1000, 2000
 #: Words of a shard, and distinct words that a task counts before it hands them on.
 SHARD_WORDS, HELD = 2_000_000, 300_000
-#: Sub-tries that are merged at a time, and shards of one prefix that one task merges.
-FAN_IN, SHARDS_A_TASK = 64, 1024
+#: Parts that are merged at a time, and parts of one prefix range that one task merges.
+FAN_IN, SHARDS_A_TASK = 16, 1024
+#: Words of a prefix range, about, and ranges at most; frequent words that their bounds are taken from. Bounds only route.
+RANGE_WORDS, RANGES, BOUND_WORDS = 250_000, 65_536, 200_000
 _BREAK = b"\xff"  # no UTF-8 text has it
 _PIECES = bytes.maketrans(bytes(range(0x41, 0x5B)) + b".,;:!?\x0a\x0b\x0c\x0d", bytes(range(0x61, 0x7B)) + _BREAK * 10)
 
@@ -133,26 +136,38 @@ def count_trie(x: np.ndarray, pair: np.ndarray, words: list[bytes], depth: int)
     return levels
 
 
-def _serialised(levels, words: list[bytes]) -> Iterator[tuple[bytes, bytes, bytes]]:
-    """A trie over sorted words as (first word, second word, sub-trie): lines of depth, word and count in the order of the walk, compressed."""
+def _serialised(levels, words: list[bytes], bounds: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """A trie over sorted words as (prefix range, sub-trie): lines of depth, word and count in the order of the walk, compressed.
+
+    A range begins with its bound; a first word's own line has no count, as words are counted already.
+    """
     parents, names, counts = zip(*levels, strict=True)
     starts = [np.searchsorted(p, np.arange(len(names[i]) + 1)) for i, p in enumerate(parents[1:])]
+    lines: list[bytes] = []
 
-    def walk(level: int, node: int, out: list[bytes]) -> None:
-        out.append(b"%d %s %d" % (level + 2, words[names[level][node]], counts[level][node]))
+    def walk(level: int, node: int) -> None:
+        lines.append(b"%d %s %d" % (level + 2, words[names[level][node]], counts[level][node]))
         if level < len(starts):
             for child in range(starts[level][node], starts[level][node + 1]):
-                walk(level + 1, child, out)
+                walk(level + 1, child)
 
+    now, word = 0, -1
     for root in range(len(names[0])):
-        lines: list[bytes] = []
-        walk(0, root, lines)
-        yield words[parents[0][root]], words[names[0][root]], zlib.compress(b"\n".join(lines), 1)
-
-
-def _tries(sketch, depth: int, least: int):
+        if parents[0][root] != word:
+            word = parents[0][root]
+            if (mine := bisect.bisect_right(bounds, words[word])) != now:
+                if lines:
+                    yield now, zlib.compress(b"\n".join(lines), 1)
+                now, lines = mine, []
+            lines.append(b"1 %s 0" % words[word])
+        walk(0, root)
+    if lines:
+        yield now, zlib.compress(b"\n".join(lines), 1)
+
+
+def _tries(sketch, bounds, depth: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """lang, first, second, trie: the sub-tries of each shard."""
+        """lang, prefix, trie: the sub-tries of each shard."""
         for shard in _shards(batches, lambda s: s.size > SHARD_WORDS):
             x, at = shard.read()
             pair = (x[:-1] > 0) & (x[1:] > 0) & (sketch.value[at] >= min(least, 65535))
@@ -161,16 +176,17 @@ def _tries(sketch, depth: int, least: int):
             place = np.zeros(len(all_words), np.int64)
             place[used] = np.arange(len(used))
             words = [all_words[i] for i in used]
-            rows = list(_serialised(count_trie(place[x], pair, words, depth), sorted(words)))
-            for i in range(0, len(rows), 10_000):
-                first, second, tries = zip(*rows[i : i + 10_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([shard.lang] * len(first), pa.string()), *(pa.array(c, pa.binary()) for c in (first, second, tries))], ["lang", "first", "second", "trie"])
+            found = _serialised(count_trie(place[x], pair, words, depth), sorted(words), bounds.value.get(shard.lang, []))
+            yield from _rows(((shard.lang, prefix, trie) for prefix, trie in found), _PARTS, 64)
             tidy()
 
     return run
 
 
-#: A node of a sub-trie: its words behind the first, and its count.
+_PARTS = {"lang": pa.string(), "prefix": pa.int32(), "trie": pa.binary()}
+
+
+#: A node of a trie: its words, and its count.
 Node = tuple[tuple[bytes, ...], int]
 
 
@@ -178,13 +194,13 @@ def read_trie(trie: bytes) -> Iterator[Node]:
     path: list[bytes] = []
     for line in zlib.decompress(trie).split(b"\n"):
         depth, word, count = line.split(b" ")
-        del path[int(depth) - 2 :]
+        del path[int(depth) - 1 :]
         path.append(word)
         yield tuple(path), int(count)
 
 
 def write_trie(nodes: list[Node]) -> bytes:
-    return zlib.compress(b"\n".join(b"%d %s %d" % (len(path) + 1, path[-1], n) for path, n in nodes), 1)
+    return zlib.compress(b"\n".join(b"%d %s %d" % (len(path), path[-1], n) for path, n in nodes), 1)
 
 
 def merged(runs: list) -> list[Node]:
@@ -208,7 +224,7 @@ def _merged_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple,
         yield key, merged(waiting)
 
 
-def _rows(found: Iterator[tuple], kinds: dict[str, pa.DataType], a_batch: int = 20_000) -> Iterator[pa.RecordBatch]:
+def _rows(found: Iterable[tuple], kinds: dict[str, pa.DataType], a_batch: int = 20_000) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for row in found:
         held.append(row)
@@ -220,8 +236,7 @@ def _rows(found: Iterator[tuple], kinds: dict[str, pa.DataType], a_batch: int =
 
 
 def _premerge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"lang": pa.string(), "first": pa.binary(), "second": pa.binary(), "trie": pa.binary()}
-    yield from _rows(((*key[:3], write_trie(nodes)) for key, nodes in _merged_prefixes(batches)), kinds)
+    yield from _rows(((*key[:2], write_trie(nodes)) for key, nodes in _merged_prefixes(batches)), _PARTS, 64)
 
 
 def _walk(least: int):
@@ -229,12 +244,12 @@ def _walk(least: int):
         """lang, phrase, m, a, lefts: nodes that are frequent, with the counts on the path to each, from its first two words on."""
 
         def found() -> Iterator[tuple]:
-            for (lang, first, _), nodes in _merged_prefixes(batches):
+            for (lang, _), nodes in _merged_prefixes(batches):
                 path: list[int] = []
                 for words, n in nodes:
                     del path[len(words) - 1 :]
                     if n >= least:
-                        yield lang, b" ".join((first, *words)), len(words) + 1, n, list(path)
+                        yield lang, b" ".join(words), len(words), n, path[1:]
                     path.append(n)
 
         yield from _rows(found(), {"lang": pa.string(), "phrase": pa.binary(), "m": pa.int32(), "a": pa.int64(), "lefts": pa.list_(pa.int64())})
@@ -247,6 +262,27 @@ def _words_from(m: int, first: int) -> F.Column:
     return F.array_join(F.slice(F.split("phrase", " "), first, m), " ")
 
 
+def prefix_bounds(counted: DataFrame, least: int) -> dict[str, list[bytes]]:
+    """First words where prefix ranges begin, by language: of about RANGE_WORDS words each, and not more than RANGES in all.
+
+    They are quantiles of at most BOUND_WORDS frequent words, taken by a hash; languages of one range have none.
+    """
+    frequent = counted.where(F.col("n") >= least)
+    taken = frequent.orderBy(F.xxhash64("lang", "word"), "lang", "word").limit(BOUND_WORDS).collect()
+    total = frequent.agg(F.sum("n")).first()[0] or 0
+    share = (sum(r["n"] for r in taken) or 1) / (total or 1)
+    size = max(RANGE_WORDS, total / RANGES) * share
+    found: dict[str, list[bytes]] = {}
+    for lang, rows in groupby(sorted(taken, key=lambda r: (r["lang"], r["word"])), key=lambda r: r["lang"]):
+        held = 0
+        for r in rows:
+            if held >= size:
+                found.setdefault(lang, []).append(bytes(r["word"]))
+                held = 0
+            held += r["n"]
+    return found
+
+
 def frequent_phrases(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """docs (text, lang) -> phrases (lang, phrase, m, a, lefts, rights) of 2 to depth words, and all words (lang, word, n).
 
@@ -258,13 +294,15 @@ def frequent_phrases(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) ->
     first = stored(rows.mapInArrow(_first_pass, "lang string, word binary, n long, block int, counts binary"), "words")
     counted = stored(first.where("block IS NULL").groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
     sketch = spark.sparkContext.broadcast(frequency_sketch(first))
-    tries = stored(rows.mapInArrow(_tries(sketch, depth, least), "lang string, first binary, second binary, trie binary"), "tries")
-    key = ["lang", "first", "second"]
-    shards = tries.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if shards > SHARDS_A_TASK:  # a prefix of very many shards is merged in two steps
-        salted = tries.withColumn("salt", F.pmod(F.xxhash64("trie"), F.lit(-(-shards // SHARDS_A_TASK))))
+    bounds = spark.sparkContext.broadcast(prefix_bounds(counted, least))
+    parts = "lang string, prefix int, trie binary"
+    tries = stored(rows.mapInArrow(_tries(sketch, bounds, depth, least), parts), "tries")
+    key = ["lang", "prefix"]
+    most = tries.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > SHARDS_A_TASK:  # a range of very many parts is merged in two steps
+        salted = tries.withColumn("salt", F.pmod(F.xxhash64("trie"), F.lit(-(-most // SHARDS_A_TASK))))
         salted = salted.repartition(*key, "salt").sortWithinPartitions(*key, "salt").select(*key, "salt", "trie")
-        tries = stored(salted.mapInArrow(_premerge, "lang string, first binary, second binary, trie binary"), "tries")
+        tries = stored(salted.mapInArrow(_premerge, parts), "tries")
     ranges = tries.repartitionByRange(*key).sortWithinPartitions(*key)
     nodes = stored(ranges.mapInArrow(_walk(least), "lang string, phrase binary, m int, a long, lefts array<long>").withColumn("phrase", F.col("phrase").cast("string")), "phrases")
     words = counted.where(F.col("n") >= least).select("lang", F.col("word").cast("string").alias("phrase"), F.col("n").alias("a"))

@@ -137,7 +137,7 @@ PHRASE_COLUMNS = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 @pytest.mark.parametrize("small", [False, True])
 def test_collocations(spark, monkeypatch, small):
     if small:
-        for name, value in (("SHARD_WORDS", 300), ("HELD", 30), ("FAN_IN", 2), ("SHARDS_A_TASK", 3)):
+        for name, value in (("SHARD_WORDS", 300), ("HELD", 30), ("FAN_IN", 2), ("SHARDS_A_TASK", 3), ("RANGE_WORDS", 60), ("BOUND_WORDS", 30)):
             monkeypatch.setattr(collocations, name, value)
     rows = phrases()
     docs = spark.createDataFrame(rows, DOC).repartition(4)
