@@ -7,6 +7,7 @@ without a shuffle. Splitting and cleaning is also there as expressions, for use
 from __future__ import annotations
 
 import functools
+import os
 import re
 from collections.abc import Callable
 
@@ -34,6 +35,7 @@ _ENDS = re.compile(SENTENCE_END)
 
 @functools.lru_cache(maxsize=4)
 def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the threads
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -46,18 +48,36 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return str(path(name))
 
 
+class Counter:
+    """Counts tokens by a file of the tokenizers library, which each worker loads once: a text, or many at a time."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, text: str) -> int:
+        return len(_tokenizer(self.path).encode(text, add_special_tokens=False).ids)
+
+    def many(self, texts: list[str]) -> list[int]:
+        return [len(e.ids) for e in _tokenizer(self.path).encode_batch(texts, add_special_tokens=False)]
+
+
 def token_counter(path: str) -> Tokens:
-    """Counts tokens by a file of the tokenizers library; each worker loads it once."""
-    return functools.partial(_count, path)
+    return Counter(path)
 
 
-def _count(path: str, text: str) -> int:
-    return len(_tokenizer(path).encode(text, add_special_tokens=False).ids)
+def _sizes(tokens: Tokens, texts: list[str]) -> list[int]:
+    return tokens.many(texts) if isinstance(tokens, Counter) else [tokens(t) for t in texts]
 
 
 def count_column(text: str, tokens: Tokens) -> F.Column:
     """The token count of a column of texts, null for null."""
-    return F.arrow_udf(lambda found: pa.array([None if t is None else tokens(t) for t in found.to_pylist()], pa.int64()), "long")(text)
+
+    def counted(found: pa.Array) -> pa.Array:
+        texts = found.to_pylist()
+        sizes = iter(_sizes(tokens, [t for t in texts if t is not None]))
+        return pa.array([None if t is None else next(sizes) for t in texts], pa.int64())
+
+    return F.arrow_udf(counted, "long")(text)
 
 
 def _packed(parts: list[str], tokens: Tokens, limit: int) -> list[str]:
@@ -77,7 +97,7 @@ def fold(found: list[str], tokens: Tokens, max_tokens: int, cover_tokens: int) -
     A full chunk is closed and the next starts with as many lines before as fit into cover_tokens, unless the next line would
     then not fit; a line that fits nowhere stands alone, and one above max_tokens is cut into sentences.
     """
-    sizes = [tokens(line) for line in found]
+    sizes = _sizes(tokens, found)
     chunks: list[str] = []
     held: list[str] = []
     used = 0

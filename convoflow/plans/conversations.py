@@ -48,14 +48,19 @@ u AS (
 CHUNKS = 50
 
 
-def of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same utterances as those of documents of CHUNKS conversations each: doc_id, and chunk_id and targets that every document counts from 0."""
+def of_documents(spark: SparkSession, sf_dir: str, chunks: int = CHUNKS) -> DataFrame:
+    """The same utterances as those of documents of so many conversations each: doc_id, and chunk_id and targets that every document counts from 0."""
     rows = utterances(spark, sf_dir)
-    target = F.when(F.col("reply").isNotNull(), F.col("reply").withField("target_chunk_id", F.col("reply.target_chunk_id") % CHUNKS))
-    return rows.withColumns({"doc_id": F.floor(F.col("chunk_id") / CHUNKS).cast("long"), "chunk_id": F.col("chunk_id") % CHUNKS, "reply": target})
+    target = F.when(F.col("reply").isNotNull(), F.col("reply").withField("target_chunk_id", F.col("reply.target_chunk_id") % chunks))
+    return rows.withColumns({"doc_id": F.floor(F.col("chunk_id") / chunks).cast("long"), "chunk_id": F.col("chunk_id") % chunks, "reply": target})
 
 
-DOCUMENTS_SQL = UTTERANCES_SQL.replace("conv_id AS chunk_id", f"conv_id // {CHUNKS} AS doc_id, conv_id % {CHUNKS} AS chunk_id").replace("THEN conv_id END AS t_chunk", f"THEN conv_id % {CHUNKS} END AS t_chunk")
+def documents_sql(chunks: int = CHUNKS) -> str:
+    found = UTTERANCES_SQL.replace("conv_id AS chunk_id", f"conv_id // {chunks} AS doc_id, conv_id % {chunks} AS chunk_id")
+    return found.replace("THEN conv_id END AS t_chunk", f"THEN conv_id % {chunks} END AS t_chunk")
+
+
+DOCUMENTS_SQL = documents_sql()
 
 
 def by_document(sql: str) -> str:

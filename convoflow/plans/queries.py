@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convoflow import sql as surface
 from convoflow.functions import text
 from convoflow.operators import chat, cuts, pairs, parse, segment, stats, validate
 from convoflow.operators.schema import Attribute, Schema
 from convoflow.streaming import resume
 
-from .conversations import DOCUMENTS_SQL, ERRORS_SQL, UTTERANCES_SQL, by_document, of_documents, raw_lines, table, utterances
+from .conversations import DOCUMENTS_SQL, ERRORS_SQL, UTTERANCES_SQL, by_document, documents_sql, of_documents, raw_lines, table, utterances
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -201,6 +202,22 @@ def chat_stitched_messages(spark, sf_dir):
     return chat.message_rows(chat.stitched(samples, 3), "chunk_id", "role_a", "role_b", "session")
 
 
+@query("SELECT chunk_id, min(source_index) AS first_source, count(*) AS turns FROM walk GROUP BY chunk_id, role_a, role_b, head_s, head_r, depth // 3", UTTERANCES_SQL.replace("WITH base", "WITH RECURSIVE base") + _STITCH_SQL)
+def sql_stitched_sessions(spark, sf_dir):
+    """Pairing, buckets and sessions in Spark SQL alone: a self-join on reply links, and a table function over each bucket's samples in order."""
+    surface.register(spark)
+    surface.views(utterances=utterances(spark, sf_dir))
+    return spark.sql("""
+        WITH samples AS (
+          SELECT c.chunk_id AS bucket, p.dialogue_index AS s, c.dialogue_index AS r, c.chunk_id AS r_chunk, p.role AS s_role, c.role AS r_role, least(p.role, c.role) AS role_a, greatest(p.role, c.role) AS role_b
+          FROM convoflow_utterances c JOIN convoflow_utterances p ON p.chunk_id = c.reply.target_chunk_id AND p.dialogue_index = c.reply.target_index
+          WHERE c.reply.confidence >= 0.5 AND c.reply.target_role = p.role AND p.role <> c.role AND trim(p.dialogue) <> '' AND trim(c.dialogue) <> ''
+        )
+        SELECT t.chunk_id, min(t.s) AS first_source, count(*) AS turns
+        FROM stitch_samples(TABLE(SELECT bucket AS chunk_id, role_a, role_b, s, r, r_chunk, s_role, r_role FROM samples) PARTITION BY (chunk_id, role_a, role_b) ORDER BY (s, r, r_chunk, s_role, r_role), 3) t
+        GROUP BY t.chunk_id, t.role_a, t.role_b, t.session""")
+
+
 @query(_MESSAGES_SQL, UTTERANCES_SQL.replace("WITH base", "WITH RECURSIVE base") + _STITCH_SQL)
 def chat_messages_by_links(spark, sf_dir):
     """The same messages where no bucket is gathered in one row: sessions are found by pointer doubling."""
@@ -245,6 +262,14 @@ def segment_chunks_by_rows(spark, sf_dir):
     return cuts.segment_rows(table(spark, sf_dir, "documents"))
 
 
+@query(_SEGMENT_SQL, None)
+def sql_segment_chunks(spark, sf_dir):
+    """The same chunks in Spark SQL: a table function over each document's lines in order."""
+    surface.register(spark)
+    surface.views(docs=table(spark, sf_dir, "documents"))
+    return spark.sql("SELECT doc_id, chunk_id, chunk_text FROM segment_lines(TABLE(SELECT doc_id, line_no, line FROM convoflow_lines) PARTITION BY (doc_id) ORDER BY (line_no), 1000, 100)")
+
+
 @query()
 def segment_chunks_by_tokens(spark, sf_dir):
     """Chunks of a given tokenizer's tokens; no SQL knows them, so the tests hold them against the fold."""
@@ -368,6 +393,21 @@ def document_validation_errors(spark, sf_dir):
     return validate.errors(rows)
 
 
+@query("""SELECT doc_id, line_no, NULL::BIGINT AS chunk_id, NULL::BIGINT AS dialogue_index, 'E_JSON' AS code FROM u WHERE doc_id % 4 = 3
+UNION ALL SELECT DISTINCT doc_id, NULL, NULL, NULL, 'E_EMPTY' FROM u WHERE doc_id % 4 = 3
+UNION ALL SELECT doc_id, line_no, chunk_id, dialogue_index, CASE WHEN line_no % 5 = 2 THEN 'E_TARGET_ROLE' ELSE 'E_RANGE' END FROM u WHERE doc_id % 4 <> 3 AND t_index IS NOT NULL AND (line_no % 5 = 2 OR line_no % 5 = 1 AND chunk_id > 0)""", documents_sql(5))
+def document_validation_faults(spark, sf_dir):
+    """Documents without a usable line, targets beyond the size of an earlier chunk, target roles that are no text."""
+    rows = of_documents(spark, sf_dir, 5).withColumn("f", F.pmod("line_no", F.lit(5)))
+    index, chunk = F.col("reply.target_index"), F.col("chunk_id") - 1
+    beyond = F.format_string('{"target_index": 99, "target_chunk_id": %d, "confidence": 0.9}', chunk)
+    number = F.format_string('{"target_index": %d, "target_role": 5, "confidence": 0.9}', index)
+    link = F.when(index.isNull(), F.lit("null")).when((F.col("f") == 1) & (chunk >= 0), beyond).when(F.col("f") == 2, number).otherwise(F.lit("null"))
+    line = F.format_string('{"chunk_id": %d, "dialogue_index": %d, "role": "x", "dialogue": "y", "reply": %s}', "chunk_id", "dialogue_index", link)
+    value = F.when(F.col("doc_id") % 4 == 3, F.lit('{"chunk_id":')).otherwise(line)
+    return validate.errors(rows.select("doc_id", "line_no", F.try_parse_json(value).alias("v")))
+
+
 @query("SELECT doc_id, chunk_id, count(*) AS dialogues, sum(length(dialogue))::BIGINT AS chars, min(length(dialogue)) AS least, max(length(dialogue)) AS most, round(avg(length(dialogue)), 6) AS average, count(DISTINCT role) AS roles FROM u GROUP BY doc_id, chunk_id", DOCUMENTS_SQL)
 def document_chunk_stats(spark, sf_dir):
     return stats.chunk_stats(of_documents(spark, sf_dir)).withColumns({"average": F.round("average", 6), "roles": F.size("roles").cast("long")})

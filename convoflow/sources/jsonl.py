@@ -12,11 +12,10 @@ from convoflow.functions.text import strip
 
 
 def documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Whole UTF-8 text files: doc_id (their place in the order of paths), path, text. Only the paths are sorted, not the texts."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    names = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path")).distinct()
-    numbered = names.select((F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("doc_id"), "path")
-    return rows.join(numbered, "path").select("doc_id", "path", "text")
+    """Whole UTF-8 text files: doc_id (their place in the order of paths), path, text. The list of files gives the numbers, so every file is read once."""
+    rows = spark.read.text(path, wholetext=True)
+    names = spark.createDataFrame([(i, name) for i, name in enumerate(sorted(set(rows.inputFiles())))], "doc_id long, path string")
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).join(names, "path").select("doc_id", "path", "text")
 
 
 def discover(spark: SparkSession, inputs: list[str], recursive: bool = False) -> list[str]:

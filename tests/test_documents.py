@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from test_operators import SCHEMA, utterance
 
 from convoflow import keys
-from convoflow.config import Settings
+from convoflow import sql as surface
+from convoflow.config import Settings, platform
 from convoflow.operators import chat, cuts, pairs, parse, segment, stats, validate
 from convoflow.operators.schema import Schema
-from convoflow.sources import jsonl
+from convoflow.sources import ordered
 from convoflow.streaming import resume, run
 
 KEYED = "doc_id long, " + SCHEMA
@@ -335,3 +336,57 @@ def test_links_give_the_sessions_of_the_fold(spark, turns):
         records = lambda limit: sorted(map(str, chat.stitched(samples, turns, meta=True, bucket_rows=limit).collect()))
         assert records(5) == records(10_000)
     assert chat.sessions(samples.limit(0), turns, bucket_rows=0).count() == 0
+
+
+# ---- ordered parts, SQL, settings --------------------------------------------------------------------------------------
+
+
+def test_order_survives_appends(spark, tmp_path):
+    folder = str(tmp_path / "table")
+    rng = random.Random(3)
+    want = []
+    for start in (0, 1000, 500):
+        keys_ = [(i, f"r{i}") for i in range(start, start + 400)] + [(None, "none")] * (start == 0)
+        rng.shuffle(keys_)
+        added = ordered.append(spark.createDataFrame(keys_, "k long, v string").repartition(3), folder, ["k"], rows_a_file=70)
+        assert added == len(keys_)
+        want += [v for _, v in sorted(keys_, key=lambda r: (r[0] is not None, r[0]))]
+        assert ordered.is_sorted(spark, folder, ["k"]) is (start != 500)
+    assert ordered.append(spark.createDataFrame([], "k long, v string"), folder, ["k"]) == 0
+    found = ordered.read(spark, folder)
+    assert "Sort" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r["v"] for r in found.collect()] == want
+    lines = ordered.manifest(spark, folder).collect()
+    assert len(lines) > 12 and [r["before"] for r in lines] == [sum(x["rows"] for x in lines[:i]) for i in range(len(lines))]
+    assert [r["v"] for r in ordered.stretch(spark, folder, 395, 20).collect()] == want[395:415]
+    assert len(ordered.stretch(spark, folder, 395, 20).inputFiles()) < 4
+    spark.createDataFrame([(7, "broken")], "k long, v string").write.parquet(f"{folder}/parts/left")  # an append that broke
+    assert ordered.read(spark, folder).count() == len(want)
+
+
+def test_the_table_function_gives_the_chunks_of_the_fold(spark):
+    rng = random.Random(21)
+    docs = spark.createDataFrame([(i, "\n".join("".join(rng.choice("ab。c") for _ in range(rng.choice([1, 3, 9, 10, 11, 40]))) for _ in range(rng.choice([0, 1, 30])))) for i in range(30)], "doc_id long, text string")
+    surface.register(spark)
+    assert surface.views(docs=docs, prefix="t_") == ["t_documents", "t_lines"]
+    for limit, cover in ((10, 4), (12, 11), (9, 0)):
+        found = spark.sql(f"SELECT * FROM segment_lines(TABLE(SELECT * FROM t_lines) PARTITION BY (doc_id) ORDER BY (line_no), {limit}, {cover})")
+        assert sorted(map(tuple, found.collect())) == sorted((r["doc_id"], r["chunk_id"], r["chunk_text"]) for r in segment.segment(docs, len, limit, cover).collect())
+
+
+def test_a_window_that_is_no_number_is_the_usual_one():
+    assert [Settings(reply_window=x).reply_window for x in ("x", None, -3, 0, "4", 9)] == [6, 6, 0, 0, 4, 9]
+    assert Settings.from_env({"CONVOFLOW_REPLY_WINDOW": "many"}).reply_window == 6
+    assert Settings.from_env({"CONVOFLOW_REMAP_TARGETS": "on", "CONVOFLOW_WAVE_CHUNKS": "9"}) == Settings(remap_targets=True, wave_chunks=9)
+
+
+def test_platforms_need_their_key():
+    found = platform("openai", {"OPENAI_API_KEY": "k"})
+    assert found["model"] and found["base_url"].startswith("https://") and found["api_key"] == "k"
+    assert platform("openai", {"OPENAI_API_KEY": "k", "OPENAI_MODEL_NAME": "m", "OPENAI_BASE_URL": "u"})["model"] == "m"
+    with pytest.raises(ValueError, match="set GEMINI_API_KEY.*choose one that has its key: openai"):
+        platform("gemini", {"OPENAI_API_KEY": "k"})
+    with pytest.raises(ValueError, match="the key of another"):
+        platform("gemini", {})
+    with pytest.raises(ValueError, match="unknown platform"):
+        platform("none", {})
