@@ -7,7 +7,9 @@ interval join: every part lies in the stretches of SCOPE code points that it cov
 scope reaches, and parts that meet there are compared by their distance. It is a semi-join, so no pairs of parts are rows, and
 a stretch holds no more parts than fit into it.
 
-Positions are those of code points: the text is split at the matches, and the lengths of what lies between are added up.
+Positions are those of code points: the text is split at the matches, and the lengths of what lies between are added up. All
+work on one text grows with its length and the number of its spans: running sums and maxima are taken in blocks of BLOCK, overlaps
+are found by binary search, and a text is masked by stretches of STRETCH code points.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from .common import cut, table
 
 SCOPE = 400
 MASK = "[SECRET]"
+#: Spans whose running sums are taken at a time, and code points that are masked at a time.
+BLOCK, STRETCH = 64, 2048
 
 #: The patterns of strong spans. Runs of a class are maximal, so their least lengths can be part of the pattern.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -38,30 +42,66 @@ SPAN = "struct<start: int, kind: int, end: int>"
 NONE = f"CAST(array() AS array<{SPAN}>)"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), the value computed once: what a lambda's body names from outside is computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _in_blocks(values: Column) -> Column:
+    """An array as arrays of BLOCK of its values."""
+    n = F.ceil(F.size(values) / BLOCK).cast("int")
+    return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.slice(values, i * BLOCK + 1, BLOCK))
+
+
+def running(values: Column, add, nothing: Column) -> Column:
+    """For each value (a number) the sum, or whatever add says, of those before it: within blocks, and over blocks."""
+    start = F.struct(nothing.alias("at"), F.array().cast("array<int>").alias("before"))
+    step = lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.array_append(acc["before"], acc["at"]).alias("before"))
+    each = lambda array: F.aggregate(array, start, step)
+    blocks = lambda v: F.transform(_in_blocks(v), each)
+    joined = lambda b: F.flatten(F.zip_with(b, each(F.transform(b, lambda x: x["at"]))["before"], lambda x, base: F.transform(x["before"], lambda y: add(base, y))))
+    return _let(values, lambda v: _let(blocks(v), joined))
+
+
 def located(text: Column, pattern: str, kind: str, least: int = 0) -> Column:
-    """Spans of the leftmost non-overlapping matches; least: characters that the pattern's first group must have."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if least else matches
-    both = F.zip_with(matches, values, lambda m, v: F.struct(m.alias("m"), v.alias("v")))
-    steps = F.zip_with(F.split(text, pattern, -1), both, lambda p, b: F.struct(F.length(p).alias("gap"), F.length(b["m"]).alias("size"), F.length(b["v"]).alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(NONE).alias("spans"))
+    """Spans of the leftmost non-overlapping matches, in order; least: characters that the pattern's first group must have."""
+    matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
+    values = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.length) if least else F.array().cast("array<int>")
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.coalesce(x["size"], F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"))
-        held = F.when(x["value"] >= least, F.array_append(acc["spans"], span)).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), held.alias("spans"))
+    def spans(x: Column) -> Column:
+        sized = F.transform(x["matches"], lambda size, i: F.struct(F.get(x["gaps"], i).alias("gap"), size.alias("size"), (F.get(x["values"], i) if least else F.lit(0)).alias("value")))
+        at = running(F.zip_with(x["matches"], F.slice(x["gaps"], 1, F.size(x["matches"])), lambda m, g: m + g), lambda a, n: a + n, F.lit(0))
+        found = F.zip_with(sized, at, lambda s, n: F.struct((n + s["gap"]).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (n + s["gap"] + s["size"]).alias("end"), s["value"].alias("value")))
+        return F.transform(F.filter(found, lambda s: s["value"] >= least), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["spans"])
+    return _let(F.struct(matches.alias("matches"), values.alias("values"), gaps.alias("gaps")), lambda x: F.when(F.size(x["matches"]) > 0, spans(x)).otherwise(F.expr(NONE)))
 
 
 def _if(condition: Column, spans: Column) -> Column:
     return F.when(condition, spans).otherwise(F.expr(NONE))
 
 
-def _clear_of(spans: Column, others: Column) -> Column:
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
+def before(spans: Column, at: Column) -> Column:
+    """How many of the spans, which come in order, begin before a place: by binary search."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+    start = F.struct(F.lit(0).alias("low"), F.size(spans).alias("high"))
+
+    def step(acc: Column, _: Column) -> Column:
+        low, high = acc["low"], acc["high"]
+        middle = F.floor((low + high) / 2).cast("int")
+        less = F.get(spans, middle)["start"] < at
+        return F.when(low < high, F.when(less, F.struct((middle + 1).alias("low"), high.alias("high"))).otherwise(F.struct(low.alias("low"), middle.alias("high")))).otherwise(acc)
+
+    return F.aggregate(steps, start, step, lambda acc: acc["low"])
+
+
+def _clear_of(spans: Column, others: list[Column]) -> Column:
+    """The spans that meet none of the others; each array of others comes in order and without overlaps."""
+    clear = lambda other: lambda s: F.coalesce(F.get(other, before(other, s["end"]) - 1)["end"] <= s["start"], F.lit(True))
+    for other in others:
+        spans = F.filter(spans, clear(other))
+    return spans
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -72,11 +112,11 @@ def scanned(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.withColumn("_named", text.rlike(NAMED)).withColumn("_key", text.contains("AKIA")).withColumn("_hex", text.rlike(HEX)).withColumn("_blob", text.rlike(BLOB))
-    base = F.concat(_if(F.col("_named"), located(text, ASSIGN, "assign", 8)), _if(F.col("_key"), located(text, ACCESS, "access")), _if(F.col("_hex"), located(text, HEX, "hex")))
-    rows = rows.withColumn("base", F.array_sort(base))
+    strong = {"_assign": _if(F.col("_named"), located(text, ASSIGN, "assign", 8)), "_access": _if(F.col("_key"), located(text, ACCESS, "access")), "_hexes": _if(F.col("_hex"), located(text, HEX, "hex"))}
+    rows = rows.withColumns(strong).withColumn("base", F.array_sort(F.concat(*strong)))
     secret = F.col("_named") | F.col("_hex") | F.col("_key") | F.col("_blob")
     weak = F.concat(_if(F.col("_named"), located(text, WEAK_SECRET, "key")), _if(F.col("_blob"), located(text, BLOB, "key")), _if(secret, located(text, WEAK_ID, "id")), _if(secret, located(text, ENDPOINT, "endpoint")))
-    return rows.withColumn("weak", _clear_of(weak, F.col("base"))).drop("_named", "_key", "_hex", "_blob")
+    return rows.withColumn("weak", weak).withColumn("weak", _clear_of(F.col("weak"), [F.col(c) for c in strong])).drop("_named", "_key", "_hex", "_blob", *strong)
 
 
 def linked(rows: DataFrame, key: list[str], scope: int = SCOPE) -> DataFrame:
@@ -122,7 +162,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     are suspect: only those are kept in the shared folder, numbered and, if they have weak parts, joined; all others pass.
     Columns that are named like the new one, or like one of the steps between, are replaced.
     """
-    docs = docs.drop("spans", "base", "weak", "found", "_row", "_named", "_key", "_hex", "_blob")
+    docs = docs.drop("spans", "base", "weak", "found", "_row", "_named", "_key", "_hex", "_blob", "_assign", "_access", "_hexes")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     clear = docs.where(~suspect(F.col("text"))).select(*columns, F.expr(NONE).alias("spans"))
     rows = cut(scanned(docs.where(suspect(F.col("text"))))).withColumn("_row", F.monotonically_increasing_id())
@@ -132,14 +172,34 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
-    """text with each run of spans replaced by mask; spans that overlap are one run. A null text, or one without spans, stays as it is."""
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out"))
+    """text with each run of spans replaced by mask; spans that overlap are one run. A null text, or one without spans, stays as it is.
 
-    whole = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    Spans come in order. A stretch of the text knows the runs that begin in it, and how far the one before reaches into it.
+    """
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
+
+    def runs(s: Column) -> Column:
+        """Runs begin with spans that nothing before reaches into, and end where all before the next one has ended."""
+        reached = running(F.transform(s, lambda x: x["end"]), lambda a, x: F.greatest(a, x), F.lit(0))
+        seen = F.zip_with(s, reached, lambda x, r: F.struct(x["start"].alias("start"), r.alias("reached")))
+        fresh = F.filter(seen, lambda x: x["start"] >= x["reached"])
+        last = F.array_max(F.transform(s, lambda x: x["end"]))
+        return _let(F.struct(fresh.alias("fresh"), last.alias("last")), lambda x: F.transform(x["fresh"], lambda f, i: F.struct(f["start"].alias("start"), F.coalesce(F.get(x["fresh"], i + 1)["reached"], x["last"]).alias("end"))))
+
+    def stretch(held: Column, part: Column, i: Column) -> Column:
+        first, size = i * STRETCH, F.length(part)
+        low, high = before(held, first), before(held, first + size)
+        # What the stretch begins with may belong to a run before it.
+        begin = F.least(F.greatest(F.coalesce(F.get(held, low - 1)["end"], F.lit(0)) - first, F.lit(0)), size)
+
+        def joined(inside: Column) -> Column:
+            at = F.concat(F.array(begin), F.transform(inside, lambda s: F.least(s["end"] - first, size)))
+            to = F.concat(F.transform(inside, lambda s: s["start"] - first), F.array(size))
+            return F.array_join(F.zip_with(at, to, lambda a, z: F.substring(part, a + 1, z - a)), mask)
+
+        return _let(F.slice(held, low + 1, high - low), joined)
+
+    whole = _let(runs(spans), lambda held: F.array_join(F.transform(parts, lambda part, i: stretch(held, part, i)), ""))
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 

@@ -8,6 +8,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -540,6 +541,43 @@ def test_key_like_strings_need_no_other_secret(spark):
     assert all(found[i]["spans"] == [] for i in range(4, 8))
 
 
+def brute_mask(text, spans, mask=secrets.MASK):
+    out, at = "", 0
+    for start, _, end in spans:
+        if start >= at:
+            out += text[at:start] + mask
+        at = max(at, end)
+    return out + text[at:]
+
+
+@pytest.mark.parametrize(("block", "stretch"), [(64, 2048), (2, 7)])
+def test_texts_of_many_spans(spark, monkeypatch, block, stretch):
+    """Spans over the edges of blocks and stretches, spans within spans and side by side, and code points beyond one byte."""
+    monkeypatch.setattr(secrets, "BLOCK", block)
+    monkeypatch.setattr(secrets, "STRETCH", stretch)
+    rng = random.Random(block)
+    bits = ["secret=" + "0a1b" * 8, "0a1b" * 8 + "\n", " ", "é日😀", "user: bob ", "pwd=abcd ", "10.0.0.1 ", "AKIA" + "B2" * 8, "password: 'AKIA" + "C3" * 7 + "'", "plain words ", "https://h.io/" + "ab12" * 9 + " "]
+    texts = ["".join(rng.choice(bits) for _ in range(n)) for n in (0, 1, 5, 30, 30, 90, 400)] + [None]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.scan(table).withColumn("masked", secrets.masked(F.col("text"), F.col("spans"))).collect():
+        text, spans = texts[r["doc_id"]], brute_all_secrets(texts[r["doc_id"]])
+        assert [tuple(s) for s in r["spans"]] == spans
+        assert r["masked"] == (brute_mask(text, spans) if text else text)
+
+
+def test_work_grows_with_the_spans_of_a_text(spark):
+    def took(lines):
+        text = "".join(f"{'0123456789abcdef' * 2}{i % 10} id user: bob{i} from 10.0.{i % 250}.1\n" for i in range(lines))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.perf_counter()
+        found, size = secrets.scan(docs).select(F.size("spans"), F.length(secrets.masked(F.col("text"), F.col("spans")))).first()
+        assert found == 3 * lines and size == len(re.sub(r"[0-9a-f]{32,}|user: bob\d+|10\.0\.\d+\.1", secrets.MASK, text))
+        return time.perf_counter() - start
+
+    took(600)
+    assert took(6000) < 20 * took(600)
+
+
 def test_secrets_run_no_python(docs):
     plan = secrets.scan(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
