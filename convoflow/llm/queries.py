@@ -21,6 +21,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_dedup": suffix.ORACLE_SQL,
     "op4_jaccard_join": jaccard.ORACLE_SQL,
     "op6_quality": quality.ORACLE_SQL,
     "op11_divergence": divergence.ORACLE_SQL,

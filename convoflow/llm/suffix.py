@@ -605,3 +605,18 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = F.arrow_udf(_digest, "struct<n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept_sha256: string>")
     return found.select("doc_id", digest("text", "spans").alias("d")).select("doc_id", "d.*")
+
+
+#: All 200-byte windows of all texts, in hexadecimal, by their digests; long texts are read by stretches, as places in a string are counted from its start.
+ORACLE_SQL = r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), c AS (SELECT doc_id, j, substr(h, 512 * j + 1, 910) AS h FROM (SELECT doc_id, h, unnest(range((n - 200) // 256 + 1)) AS j FROM b WHERE n >= 200)
+), w AS (SELECT doc_id, 256 * j + o AS i, md5(substr(h, 2 * o + 1, 400)) AS k FROM (SELECT doc_id, j, h, unnest(range(least(256, length(h) // 2 - 199))) AS o FROM c)
+), r AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)
+), s AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM r
+), g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s
+), x AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS z FROM g GROUP BY doc_id, run
+), p AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM x
+), k AS (SELECT p.doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM p JOIN b ON b.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT b.doc_id, b.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM b LEFT JOIN k ON k.doc_id = b.doc_id
+"""
