@@ -119,7 +119,9 @@ def from_lines(rows: DataFrame, wanted: list[str] | None = None, validated: bool
     if validated:
         rules.check(rows, doc)
     found = jsonl.utterances(rows)
-    return build_pairs(found, wanted_pairs(found, wanted, doc) if wanted else None, doc=doc, **settings)
+    # All pairs of roles are a predicate; only named ones need a table.
+    named = wanted and not any(p.strip() in ALL for p in wanted)
+    return build_pairs(found, wanted_pairs(found, wanted, doc) if named else None, doc=doc, **settings)
 
 
 def pair_counts(pairs: DataFrame, doc: Sequence[str] = ()) -> DataFrame:

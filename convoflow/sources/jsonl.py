@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Sequence
 
@@ -14,8 +15,10 @@ from convoflow.functions.text import strip
 def documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Whole UTF-8 text files: doc_id (their place in the order of paths), path, text. The list of files gives the numbers, so every file is read once."""
     rows = spark.read.text(path, wholetext=True)
-    names = spark.createDataFrame([(i, name) for i, name in enumerate(sorted(set(rows.inputFiles())))], "doc_id long, path string")
-    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).join(names, "path").select("doc_id", "path", "text")
+    alike = lambda name: re.sub(r"^(\w+):/+", r"\1:/", name)  # noqa: E731  a list of files and a row's file may write the root differently
+    names = spark.createDataFrame([(i, name) for i, name in enumerate(sorted({alike(f) for f in rows.inputFiles()}))], "doc_id long, _file string")
+    read = rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return read.join(names, F.regexp_replace("path", r"^(\w+):/+", "$1:/") == F.col("_file")).select("doc_id", "path", "text")
 
 
 def discover(spark: SparkSession, inputs: list[str], recursive: bool = False) -> list[str]:
