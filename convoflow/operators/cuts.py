@@ -2,7 +2,7 @@
 
 What a chunk that begins with line i holds depends on i alone: the lines before it that fit the overlap, and those from it on that
 fit the rest. Both ends are range lookups in prefix sums, and a chunk reaches over fewer lines than it may hold tokens; so lines
-are dealt into blocks of that many, each with its neighbours, and a document's lines spread over tasks however long it is. The
+are dealt into blocks of that many, each with as many of its neighbours as a chunk can reach, and a document's lines spread over tasks however long it is. The
 line that no longer fits begins the next chunk: that is a pointer from line to line. The lines where chunks really begin are those
 that pointers lead to from the first one, found by doubling: in round k pointers jump 2^k chunks. A line above the limit ends what
 is before it, is cut into sentences by itself, and lets the next line begin anew.
@@ -61,9 +61,13 @@ def pointers(lines: DataFrame, by: list[str], max_tokens: int, cover_tokens: int
     does; `begins`: whether a chunk begins here in any case.
     """
     size = F.greatest(F.col("size"), F.lit(1)).cast("long")
-    own = F.floor(F.col("line_no") / max_tokens).cast("long")
+    # A chunk reaches over no more lines than half its tokens, and an overlap over no more than its own.
+    lines_a_block, ahead, behind = max(max_tokens, 16), max_tokens // 2 + 2, max(cover_tokens, 1)
+    own = F.floor(F.col("line_no") / lines_a_block).cast("long")
     rows = lines.select(*by, "line_no", size.alias("size"), (F.col("size") > max_tokens).alias("long"), own.alias("own"))
-    rows = rows.withColumn("block", F.explode(F.filter(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1), lambda b: b >= 0)))
+    place = F.col("line_no") - F.col("own") * lines_a_block
+    before, after = F.when((place < ahead) & (F.col("own") > 0), F.col("own") - 1), F.when(place >= lines_a_block - behind, F.col("own") + 1)
+    rows = rows.withColumn("block", F.explode(F.array_compact(F.array("own", before, after))))
     block = Window.partitionBy(*by, "block")
     along = block.orderBy("line_no")
     # Sums before a line, of sizes and of sizes with their line breaks, from the block's first neighbour on.
