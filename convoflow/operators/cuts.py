@@ -107,20 +107,31 @@ def segment_lines(lines: DataFrame, tokens: segment.Tokens | None = None, max_to
     any other; lines that repeat a number are not allowed.
     """
     by = keys.document(lines, doc)
+    lines = lines.select(*by, F.col("line_no").cast("long").alias("line_no"), "line")
     size = F.length("line") if tokens is None else segment.count_column("line", tokens)
-    sized = cut(lines.select(*by, F.col("line_no").cast("long").alias("line_no"), "line", size.cast("long").alias("size")))
+    # Only sizes are kept; lines are read again where chunks are written.
+    sized = cut(lines.select(*by, "line_no", size.cast("long").alias("size")))
     found = cut(pointers(sized, by, max_tokens, cover_tokens))
     starts = begun(found, by).select(*keys.renamed(by, "_s_"), F.col("line_no").alias("_start"))
-    whole = found.join(starts, keys.same(by, "_s_") & (F.col("line_no") == F.col("_start")), "left_semi").select(*by, "line_no", "first", "until")
+    whole = found.join(starts, keys.same(by, "_s_") & (F.col("line_no") == F.col("_start")), "left_semi")
     # The pieces of long lines stand where their line does.
-    pieces = packed(F.col("line"), max_tokens) if tokens is None else _packed_by(tokens, max_tokens)("line")
-    long = sized.where(F.col("size") > max_tokens).select(*by, "line_no", F.posexplode(pieces).alias("part", "chunk_text"))
-    held = whole.select(*by, "line_no", F.explode(F.sequence("first", F.col("until") - 1)).alias("_at"))
-    text = sized.select(*keys.renamed(by, "_t_"), F.col("line_no").alias("_line"), "line")
-    joined = held.join(text, keys.same(by, "_t_") & (F.col("_at") == F.col("_line"))).groupBy(*by, "line_no").agg(F.array_sort(F.collect_list(F.struct("_at", "line"))).alias("lines"))
-    made = joined.select(*by, "line_no", F.lit(0).alias("part"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("chunk_text"))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("line_no", "part")) - 1
-    return made.unionByName(long).withColumn("chunk_id", place.cast("long")).select(*by, "chunk_id", "chunk_text")
+    if tokens is None:
+        long, pieces = lines.where(F.length("line") > max_tokens), packed(F.col("line"), max_tokens)
+    else:
+        over = sized.where(F.col("size") > max_tokens).select(*keys.renamed(by, "_l_"), F.col("line_no").alias("_line"))
+        long, pieces = lines.join(over, keys.same(by, "_l_") & (F.col("line_no") == F.col("_line")), "left_semi"), _packed_by(tokens, max_tokens)("line")
+    long = long.select(*by, "line_no", F.posexplode(pieces).alias("part", "chunk_text"))
+    none = F.lit(None).cast("long")
+    places = whole.select(*by, "line_no", F.lit(0).alias("part"), "first", "until").unionByName(long.select(*by, "line_no", "part", none.alias("first"), none.alias("until")))
+    chunk_id = (F.row_number().over(Window.partitionBy(*by).orderBy("line_no", "part")) - 1).cast("long")
+    places = cut(places.withColumn("chunk_id", chunk_id))
+    held = places.where("first IS NOT NULL").select(*by, "chunk_id", F.explode(F.sequence("first", F.col("until") - 1)).alias("_at"))
+    text = lines.select(*keys.renamed(by, "_t_"), F.col("line_no").alias("_line"), "line")
+    joined = held.join(text, keys.same(by, "_t_") & (F.col("_at") == F.col("_line"))).groupBy(*by, "chunk_id").agg(F.array_sort(F.collect_list(F.struct("_at", "line"))).alias("lines"))
+    made = joined.select(*by, "chunk_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("chunk_text"))
+    named = places.where("first IS NULL").select(*keys.renamed(by, "_n_"), F.col("line_no").alias("_line"), F.col("part").alias("_part"), "chunk_id")
+    cut_up = long.join(named, keys.same(by, "_n_") & (F.col("line_no") == F.col("_line")) & (F.col("part") == F.col("_part")))
+    return made.unionByName(cut_up.select(*by, "chunk_id", "chunk_text"))
 
 
 def segment_rows(docs: DataFrame, tokens: segment.Tokens | None = None, max_tokens: int = 1000, cover_tokens: int = 100) -> DataFrame:
