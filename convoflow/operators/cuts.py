@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoflow import keys
-from convoflow.functions.text import SENTENCE_END, sentences
+from convoflow.functions.text import sentences
 from convoflow.operators import segment
-from convoflow.shared import cut
+from convoflow.shared import cut, small_batches, text_runs, tidy
 
 
 def packed(line: Column, limit: int) -> Column:
@@ -34,11 +34,20 @@ def packed(line: Column, limit: int) -> Column:
     return F.aggregate(sentences(line), start, step, lambda acc: F.when(acc["last"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["last"])))
 
 
-def _packed_by(tokens: segment.Tokens, limit: int):
-    import re
+def _measured(tokens: segment.Tokens, limit: int):
+    """A line's tokens and, if they are above the limit, what it is cut into."""
+    kind = pa.struct([("size", pa.int64()), ("pieces", pa.list_(pa.string()))])
 
-    ends = re.compile(SENTENCE_END)
-    return F.arrow_udf(lambda lines: pa.array([segment._packed([p for p in ends.split(x) if p], tokens, limit) for x in lines.to_pylist()], pa.list_(pa.string())), "array<string>")
+    def run(lines: pa.Array) -> pa.Array:
+        made = []
+        for part in text_runs(lines):
+            sizes = iter(segment._sizes(tokens, [x for x in part if x is not None]))
+            found = [(x, None if x is None else next(sizes)) for x in part]
+            made.append(pa.array([{"size": n, "pieces": segment.cut_line(x, tokens, limit) if n is not None and n > limit else None} for x, n in found], kind))
+        tidy()
+        return pa.concat_arrays(made) if made else pa.array([], kind)
+
+    return F.arrow_udf(run, "struct<size: bigint, pieces: array<string>>")
 
 
 def _found(rows: DataFrame, by: list[str], point: Column, asked: Column, strict: bool, name: str) -> DataFrame:
@@ -108,19 +117,20 @@ def segment_lines(lines: DataFrame, tokens: segment.Tokens | None = None, max_to
     """
     by = keys.document(lines, doc)
     lines = lines.select(*by, F.col("line_no").cast("long").alias("line_no"), "line")
-    size = F.length("line") if tokens is None else segment.count_column("line", tokens)
-    # Only sizes are kept; lines are read again where chunks are written.
-    sized = cut(lines.select(*by, "line_no", size.cast("long").alias("size")))
+    # Only sizes are kept, and the pieces of long lines where a function counts tokens; lines are read again where chunks are written.
+    if tokens is None:
+        sized = cut(lines.select(*by, "line_no", F.length("line").cast("long").alias("size")))
+        long = lines.where(F.length("line") > max_tokens).select(*by, "line_no", packed(F.col("line"), max_tokens).alias("_pieces"))
+    else:
+        small_batches(lines.sparkSession)
+        measured = cut(lines.select(*by, "line_no", _measured(tokens, max_tokens)("line").alias("_m")))
+        sized = measured.select(*by, "line_no", F.col("_m.size").alias("size"))
+        long = measured.where("_m.pieces IS NOT NULL").select(*by, "line_no", F.col("_m.pieces").alias("_pieces"))
     found = cut(pointers(sized, by, max_tokens, cover_tokens))
     starts = begun(found, by).select(*keys.renamed(by, "_s_"), F.col("line_no").alias("_start"))
     whole = found.join(starts, keys.same(by, "_s_") & (F.col("line_no") == F.col("_start")), "left_semi")
     # The pieces of long lines stand where their line does.
-    if tokens is None:
-        long, pieces = lines.where(F.length("line") > max_tokens), packed(F.col("line"), max_tokens)
-    else:
-        over = sized.where(F.col("size") > max_tokens).select(*keys.renamed(by, "_l_"), F.col("line_no").alias("_line"))
-        long, pieces = lines.join(over, keys.same(by, "_l_") & (F.col("line_no") == F.col("_line")), "left_semi"), _packed_by(tokens, max_tokens)("line")
-    long = long.select(*by, "line_no", F.posexplode(pieces).alias("part", "chunk_text"))
+    long = long.select(*by, "line_no", F.posexplode("_pieces").alias("part", "chunk_text"))
     none = F.lit(None).cast("long")
     places = whole.select(*by, "line_no", F.lit(0).alias("part"), "first", "until").unionByName(long.select(*by, "line_no", "part", none.alias("first"), none.alias("until")))
     chunk_id = (F.row_number().over(Window.partitionBy(*by).orderBy("line_no", "part")) - 1).cast("long")

@@ -390,3 +390,54 @@ def test_platforms_need_their_key():
         platform("gemini", {})
     with pytest.raises(ValueError, match="unknown platform"):
         platform("none", {})
+
+
+# ---- counts of tokens and the memory they take ------------------------------------------------------------------------
+
+
+def test_a_long_line_is_counted_and_cut_once(spark, tmp_path):
+    told = str(tmp_path / "told")
+
+    def tokens(text):
+        with open(told, "a", encoding="utf-8") as out:
+            out.write(text + "\n")
+        return len(text)
+
+    lines = spark.createDataFrame([(1, n, " ".join(f"{n}-{i}?" for i in range(30))) for n in range(4)], "doc_id long, line_no long, line string")
+    found = cuts.segment_lines(lines, tokens, 40, 12).orderBy("chunk_id").collect()
+    with open(told, encoding="utf-8") as asked:
+        texts = asked.read().splitlines()
+    assert len(texts) == len(set(texts)) > 100
+    assert [r["chunk_text"] for r in found] == segment.fold([r["line"] for r in lines.orderBy("line_no").collect()], len, 40, 12)
+
+
+def test_pieces_are_counted_as_the_library_counts_whole_texts():
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    library, counter, rng = Tokenizer.from_file(path), segment.token_counter(path), random.Random(11)
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    marks = [" ", "  ", "\t", "\xa0", "\x1c", "　", "?", "!", "。", "a", "I'll", "'s", "word", "漢字", "123", "<|endoftext|>", "-", "\x85", " 'm", "é", "\n", "😀"]
+    texts = ["".join(rng.choices(marks, k=rng.randint(0, 25))) for _ in range(600)]
+    assert counter.many(texts) == [count(t) for t in texts]
+    for text in texts:
+        parts = [p for p in segment._ENDS.split(text) if p]
+        assert [counter.packed(parts, n) for n in (3, 9)] == [segment._joined(parts, count, n) for n in (3, 9)]
+
+
+def test_packing_sentences_hands_each_text_to_the_library_about_once(monkeypatch):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    sizes = segment._Sizes(path)
+    monkeypatch.setattr(segment, "_sizes_by", lambda _: sizes)
+    asked, library = [], sizes.tokenizer
+
+    class Told:
+        def encode_batch_fast(self, texts, **kw):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **kw)
+
+    sizes.tokenizer = Told()
+    line = " ".join(f"word{i} of{i} it{i}?" for i in range(3000))
+    found = segment.cut_line(line, segment.token_counter(path), 512)
+    assert "".join(found) == line and len(found) > 20
+    assert sum(map(len, asked)) < 2 * len(line)
