@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convoflow.functions.text import SENTENCE_END, lines, sentences
-from convoflow.shared import text_runs
+from convoflow.shared import small_batches, text_runs, tidy
 
 Tokens = Callable[[str], int]
 
@@ -218,9 +218,14 @@ def segment(docs: DataFrame, tokens: Tokens = len, max_tokens: int = 1000, cover
     """docs (doc_id, text) -> doc_id, chunk_id (from 0 in each document), chunk_text. tokens: counts a text's tokens; characters by default. A null text has no chunks."""
 
     def chunks(texts: pa.Array) -> pa.Array:
-        # str.splitlines() and str.strip() are what `lines` says in expressions.
-        found = ([s for line in (t.as_py() or "").splitlines() if (s := line.strip())] for t in texts)
-        return pa.array([fold(f, tokens, max_tokens, cover_tokens) for f in found], pa.list_(pa.string()))
-
+        made = []
+        for run in text_runs(texts):
+            # str.splitlines() and str.strip() are what `lines` says in expressions.
+            found = ([s for line in (t or "").splitlines() if (s := line.strip())] for t in run)
+            made.append(pa.array([fold(f, tokens, max_tokens, cover_tokens) for f in found], pa.list_(pa.string())))
+        tidy()
+        return pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.string()))
+
+    small_batches(docs.sparkSession)
     made = docs.select("doc_id", F.arrow_udf(chunks, "array<string>")("text").alias("chunks"))
     return made.select("doc_id", F.posexplode("chunks").alias("chunk_id", "chunk_text")).withColumn("chunk_id", F.col("chunk_id").cast("long"))

@@ -7,6 +7,7 @@ import os
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_operators import SCHEMA, utterance
@@ -16,6 +17,7 @@ from convoflow import sql as surface
 from convoflow.config import Settings, platform
 from convoflow.operators import chat, cuts, pairs, parse, segment, stats, validate
 from convoflow.operators.schema import Schema
+from convoflow.shared import BATCH_BYTES
 from convoflow.sources import ordered
 from convoflow.streaming import resume, run
 
@@ -441,3 +443,12 @@ def test_packing_sentences_hands_each_text_to_the_library_about_once(monkeypatch
     found = segment.cut_line(line, segment.token_counter(path), 512)
     assert "".join(found) == line and len(found) > 20
     assert sum(map(len, asked)) < 2 * len(line)
+
+
+def test_documents_are_segmented_by_small_batches(spark):
+    session = spark.newSession()
+    docs = session.range(4000, numPartitions=1).selectExpr("id AS doc_id", "repeat('some words ', 1000) AS text")
+    size = F.arrow_udf(lambda texts: pa.array([texts.nbytes] * len(texts), pa.int64()), "long")
+    made = segment.segment(docs)
+    assert docs.select(size("text").alias("n")).agg(F.max("n")).first()[0] <= 2 * BATCH_BYTES
+    assert made.count() == 4000
