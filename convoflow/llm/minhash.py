@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, lookup, small_batches, stored, table, text_runs, tidy
@@ -30,6 +30,8 @@ from .jaccard import PERCENT, _bloom_bits, _texts, class_of, id_filter, jaccard_
 WORDS, BINS, ROWS = 2, 288, 6
 #: Classes of an unresolved bucket up to which its pairs that are apart are listed; those of larger ones are joined exactly.
 SMALL = 8
+#: Partners of a hub that are compared with it in one place.
+PARTNERS = 256
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -112,24 +114,32 @@ def _sets(n: int, wanted):
 
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """a, b of the rows (a, b, hashes of each) that reach the similarity."""
+        """a, b of the rows (a, salt, side, class, hashes) that reach the similarity with their hub, which comes before them (side 0)."""
+        key, hub = None, np.zeros(0, np.uint64)
         for batch in batches:
             linked = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                a, b = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                linked[i] = 100 * shared >= percent * (len(a) + len(b) - shared)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(linked))
+            rows = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
+            for i, (a, salt, side) in enumerate(rows):
+                hashes = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint64)
+                if not side:
+                    key, hub = (a, salt), hashes.copy()
+                elif key == (a, salt):
+                    shared = len(np.intersect1d(hub, hashes, assume_unique=True))
+                    linked[i] = 100 * shared >= percent * (len(hub) + len(hashes) - shared)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], ["a", "b"]).filter(pa.array(linked))
             tidy()
 
     return run
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that hold. A hub that is in very many pairs is spread over tasks by its partners."""
-    whole = lookup(pairs, sets.select(F.col("class").alias("a"), F.col("hashes").alias("hashes_a")), ["a"], ["b"], "inner", wide=True)
-    whole = whole.join(sets.select(F.col("class").alias("b"), F.col("hashes").alias("hashes_b")), "b")
-    return cut(whole.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_confirmed(percent), "a long, b long"))
+    """The pairs (a, b) that hold. Sets go to the hubs of their pairs; a hub of very many is sent to several tasks, to some of its partners each."""
+    salts = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("salts")))
+    partners = lookup(pairs, salts, ["a"], ["b"], "inner").select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), F.lit(1).alias("side"), F.col("b").alias("class"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))
+    hubs = salts.select("a", every.alias("salt"), F.lit(0).alias("side"), F.col("a").alias("class"))
+    whole = partners.unionByName(hubs).join(sets, "class").select("a", "salt", "side", "class", "hashes")
+    return cut(whole.repartition("a", "salt").sortWithinPartitions("a", "salt", "side").mapInArrow(_confirmed(percent), "a long, b long"))
 
 
 def _fits(percent: int, a: str, b: str):
@@ -151,16 +161,16 @@ def minhash_links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, k: in
     # One row a class before its buckets are spread out, so copies in many tasks do not multiply them.
     classes = first.where("buckets IS NOT NULL").groupBy("class").agg(F.first("n_shingles").alias("size"), F.first("buckets").alias("buckets"))
     members = stored(classes, "classes").select("class", "size", F.explode("buckets").alias("bucket"))
-    # A bucket's least and greatest class; partial minima come before the shuffle, so a crowded bucket is no hot spot.
-    hubs = members.groupBy("bucket").agg(F.min(F.struct("class", "size")).alias("hub"), F.max("class").alias("last")).where("hub.class <> last")
-    shared = stored(lookup(members, stored(hubs.select("bucket", "hub"), "hubs"), ["bucket"], ["class"], "inner"), "buckets")
+    # Members travel once, whatever their number: along a bucket its least class comes first. A bucket has a narrow row a class.
+    along = Window.partitionBy("bucket").orderBy("class")
+    placed = members.withColumns({"hub": F.first(F.struct("class", "size")).over(along), "next": F.lead("class").over(along)})
+    shared = stored(placed.where("next IS NOT NULL OR class <> hub.class").select("bucket", "class", "size", "hub"), "buckets")
     stars = shared.where(F.col("class") != F.col("hub.class")).where(_fits(percent, "size", "hub.size"))
     stars = cut(stars.select(F.col("hub.class").alias("a"), F.col("class").alias("b")).distinct())
     ids = cut(documents.where("n_shingles > 0").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("doc_id")).join(shared.select("class").distinct(), "class", "left_semi"))
     known = read.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text")
     wanted = spark.sparkContext.broadcast(id_filter(ids.select("doc_id")))
-    sets = stored(known.mapInArrow(_sets(n, wanted), "class long, hashes binary"), "sets")
-    one = sets.groupBy("class").agg(F.min("hashes").alias("hashes"))
+    one = stored(known.mapInArrow(_sets(n, wanted), "class long, hashes binary").groupBy("class").agg(F.min("hashes").alias("hashes")), "sets")
     links = _confirm(stars, one, percent)
     # What the stars leave apart: buckets with classes of more than one label.
     labels = cut(components(links))

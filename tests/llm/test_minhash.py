@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_llm import DOC, documents
 
-from convoflow.llm import minhash
+from convoflow.llm import common, minhash
 
 COLUMNS = ("doc_id", "n_shingles", "component_id", "kept")
 
@@ -86,3 +86,17 @@ def test_pairs_at_the_threshold_meet():
         union = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
         part = np.sort(rng.choice(union, len(union) * 4 // 5, replace=False))
         assert set(minhash.buckets(union)) & set(minhash.buckets(part))
+
+
+def test_all_buckets_travel_once_and_a_hub_of_many_partners_is_spread(spark, monkeypatch):
+    """Rows by class and bucket are joined with nothing, however large; links hold where partners of one hub lie in many places."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(minhash, "PARTNERS", 4, raising=False)
+    joined = []
+    monkeypatch.setattr(minhash, "lookup", lambda rows, *x, **kw: joined.append(rows.count()) or common.lookup(rows, *x, **kw))
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = [[*base[:i], f"n{i}", *base[i + 1 :]] for i in range(0, 60, 2)] + [[f"u{rng.randint(0, 10**6)}" for _ in range(30)] for _ in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
+    assert max(joined) < len(rows) * minhash.BINS // minhash.ROWS / 2
