@@ -90,9 +90,12 @@ def _first_pass(n: int):
             rows = len(sizes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], ["doc_id", "n_shingles", "class", "block", "counts"])
             tidy()
-        for block, part in enumerate(np.split(np.minimum(counts, 65535).astype("<u2"), SKETCH_BLOCKS)):
+        for block, part in enumerate(np.split(counts, SKETCH_BLOCKS)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([block], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["doc_id", "n_shingles", "class", "block", "counts"])
+                packed = zlib.compress(np.minimum(part, 65535).astype("<u2").tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([block], pa.int32()), pa.array([packed], pa.binary())], ["doc_id", "n_shingles", "class", "block", "counts"])
+        del counts, part
+        tidy()
 
     return run
 
@@ -444,17 +447,25 @@ def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Data
     gone = marked.where("NOT stays").select("doc_id", "class")
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(marked.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")).distinct()))
 
-    def listed(ids: pa.Array) -> pa.Array:
+    def marks(ids: pa.Array) -> np.ndarray:
         at = _bloom_bits(ids.fill_null(NO_ID).to_numpy(zero_copy_only=False))
-        return pa.array((bits.value[at >> 3] >> (at & 7) & 1).astype(bool))
+        return (bits.value[at >> 3] >> (at & 7) & 1).astype(bool)
 
-    def classes(texts: pa.Array) -> pa.Array:
-        held = (shingles(text, n) for run_ in text_runs(texts) for text in run_)
-        return pa.array([class_of(h) if len(h) else None for h in held], pa.int64())
+    def listed(ids: pa.Array) -> pa.Array:
+        return pa.array(marks(ids))
+
+    def classes(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        mine = pa.array(marks(ids))
+        held = (shingles(text, n) for run_ in text_runs(texts.filter(mine)) for text in run_)
+        found = iter([class_of(h) if len(h) else None for h in held])
+        tidy()
+        return pa.StructArray.from_arrays([mine, pa.array([next(found) if m else None for m in mine.to_pylist()], pa.int64())], ["listed", "class"])
 
-    named = docs.withColumn("_listed", F.arrow_udf(listed, "boolean")(F.col("doc_id").cast("long")))
-    clear = named.where("NOT _listed").drop("_listed")
-    rest = cut(named.where("_listed").drop("_listed").withColumn("_class", F.arrow_udf(classes, "long")(F.col("text"))))
+    clear = docs.where(~F.arrow_udf(listed, "boolean")(F.col("doc_id").cast("long")))
+    # Both in one function, which no filter parts: a second Python worker beside each task's first takes memory until it idles out.
+    both = F.arrow_udf(classes, "struct<listed: boolean, class: bigint>").asNondeterministic()
+    rest = docs.withColumn("_listed", both(F.col("doc_id").cast("long"), F.col("text"))).where("_listed.listed")
+    rest = cut(rest.withColumn("_class", F.col("_listed.class")).drop("_listed"))
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (F.col("d._class") == F.col("g.class"))
     stay = rest.where("_class IS NOT NULL").alias("d").join(gone.alias("g"), same, "left_anti").dropDuplicates(["doc_id", "_class"])
     return clear.unionByName(stay.drop("_class")).unionByName(rest.where("_class IS NULL").drop("_class"))
