@@ -2,7 +2,7 @@
 
 Equal strings of that length hold equal minimizers, so the starts of all windows fall into runs that share one, and only runs
 of a minimizer that occurs again can hold a repeat. Those pieces, equal ones once with their number, are dealt out by
-minimizer; each shard of pieces gets its suffix array by induced sorting (classify suffixes, sort the leftmost-smaller
+minimizer; a piece that meets no other there has nothing to be sorted among, and its number says what it is. Each shard of the rest gets its suffix array by induced sorting (classify suffixes, sort the leftmost-smaller
 substrings, name them, recurse, induce) and its permuted common prefixes, and a stretch of the array whose common prefixes
 reach `length` and whose pieces count two or more together is a repeat. Nothing is decided by hashes of windows: minimizers
 only route, and every routed window is compared with all others of its route. A minimizer of very many distinct pieces (a
@@ -37,6 +37,8 @@ GRAM = 48
 SHARD_BYTES = 3 << 20
 #: Distinct pieces of a minimizer up to which they are sorted in one shard, and the window starts that a piece of others covers.
 HEAVY, HEAVY_STEP = 1 << 14, 4
+#: Pieces that met no other and wait for a shard to be handed on with it.
+ALONE = 1 << 16
 #: Names up to which a recursion uses them as they are; more are written as two digits.
 MAX_BUCKETS = 1024
 #: Bytes of a text that are read at a time: places have 28 bits beside the hash of a minimizer.
@@ -481,11 +483,21 @@ def _sorted_shards(length: int, shard_bytes: int):
         digests: list[bytes] = []
         counts: list[int] = []
         pieces: list[bytes] = []
+        out: tuple[list, list] = ([], [])
         size, group = 0, 0  # group: where the pieces of the last minimizer begin
 
+        def alone() -> None:
+            """A piece that no other meets is sorted among nothing: all its starts are repeats, or it is a false alarm of the filter."""
+            nonlocal size
+            if len(pieces) == group + 1:
+                if counts[group] > 1:
+                    out[0].append(digests[group])
+                    out[1].append(np.array([0, len(pieces[group]) - length + 1], "<i4").tobytes())
+                size -= len(pieces[group])
+                del digests[group:], counts[group:], pieces[group:]
+
         def solve() -> pa.RecordBatch:
-            out: tuple[list, list] = ([], [])
-            for digest, again in zip(digests, repeats(pieces, counts, length), strict=True):
+            for digest, again in zip(digests, repeats(pieces, counts, length) if pieces else (), strict=True):
                 if again.any():
                     edge = np.flatnonzero(np.diff(again, prepend=False, append=False))
                     out[0].append(digest)
@@ -497,12 +509,10 @@ def _sorted_shards(length: int, shard_bytes: int):
         for batch in batches:
             for least, digest, n, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if least != last:
-                    if len(pieces) == group + 1 and counts[group] < 2:  # alone: a false alarm of the filter
-                        size -= len(pieces[group])
-                        del digests[group:], counts[group:], pieces[group:]
-                    if size >= shard_bytes:
+                    alone()
+                    if size >= shard_bytes or len(out[0]) >= ALONE:
                         yield solve()
-                        digests, counts, pieces, size = [], [], [], 0
+                        digests, counts, pieces, out, size = [], [], [], ([], []), 0
                     last, group = least, len(pieces)
                 if len(digests) > group and digests[-1] == digest:
                     counts[-1] += n
@@ -511,7 +521,8 @@ def _sorted_shards(length: int, shard_bytes: int):
                 counts.append(n)
                 pieces.append(piece)
                 size += len(piece)
-        if pieces:
+        alone()
+        if pieces or out[0]:
             yield solve()
 
     return run
