@@ -2,7 +2,7 @@
 
 Equal strings of that length hold equal minimizers, so the starts of all windows fall into runs that share one, and only runs
 of a minimizer that occurs again can hold a repeat. Those pieces, equal ones once with their number, are dealt out by
-minimizer; a piece that meets no other there has nothing to be sorted among, and its number says what it is. Each shard of the rest gets its suffix array by induced sorting (classify suffixes, sort the leftmost-smaller
+minimizer; a piece that can meet no other there has nothing to be sorted among, and its number says what it is. Each shard of the rest gets its suffix array by induced sorting (classify suffixes, sort the leftmost-smaller
 substrings, name them, recurse, induce) and its permuted common prefixes, and a stretch of the array whose common prefixes
 reach `length` and whose pieces count two or more together is a repeat. Nothing is decided by hashes of windows: minimizers
 only route, and every routed window is compared with all others of its route. A minimizer of very many distinct pieces (a
@@ -39,6 +39,8 @@ SHARD_BYTES = 3 << 20
 HEAVY, HEAVY_STEP = 1 << 14, 4
 #: Pieces that met no other and wait for a shard to be handed on with it.
 ALONE = 1 << 16
+#: Places of a minimizer in windows that are taken together when it is asked which of its pieces can meet.
+SIEVE_STEP = 40
 #: Names up to which a recursion uses them as they are; more are written as two digits.
 MAX_BUCKETS = 1024
 #: Bytes of a text that are read at a time: places have 28 bits beside the hash of a minimizer.
@@ -453,7 +455,7 @@ def _routed(wanted, heavy):
 
 def _contents(length: int, gram: int, wanted, heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """least, digest, n, piece: the pieces that may be wanted, equal ones of a run of texts once with their number."""
+        """least, digest, n, piece, at: the pieces that may be wanted, equal ones of a run of texts once with their number; at: where they hold the minimizer."""
         for batch in batches:
             for texts in text_runs(batch.column(0), 4 << 20):
                 held: dict[bytes, list] = {}
@@ -462,67 +464,97 @@ def _contents(length: int, gram: int, wanted, heavy):
                     edges, least, places = minimizer_runs(np.frombuffer(data, np.uint8), length, gram)
                     bits = _bloom_bits(least)
                     hot = _among(least, heavy.value)
-                    routed = ((int(least[i]), 0, data[edges[i] : edges[i + 1] + length - 1]) for i in np.flatnonzero((wanted.value[bits >> 3] >> (bits & 7) & 1).astype(bool) & ~hot).tolist())
-                    for route, _, piece in itertools.chain(routed, heavy_pieces(data, edges, places, np.flatnonzero(hot).tolist(), length)):
+                    routed = ((int(least[i]), int(places[i] - edges[i]), data[edges[i] : edges[i + 1] + length - 1]) for i in np.flatnonzero((wanted.value[bits >> 3] >> (bits & 7) & 1).astype(bool) & ~hot).tolist())
+                    spread = ((route, -1, piece) for route, _, piece in heavy_pieces(data, edges, places, np.flatnonzero(hot).tolist(), length))
+                    for route, at, piece in itertools.chain(routed, spread):
                         digest = xxhash.xxh3_128_digest(piece)
                         if digest in held:
                             held[digest][1] += 1
                         else:
-                            held[digest] = [route, 1, piece]
+                            held[digest] = [route, 1, piece, at]
                 if held:
-                    least, n, piece = zip(*held.values(), strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), pa.array(list(held), pa.binary()), pa.array(n, pa.int64()), pa.array(piece, pa.binary())], ["least", "digest", "n", "piece"])
+                    least, n, piece, at = zip(*held.values(), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), pa.array(list(held), pa.binary()), pa.array(n, pa.int64()), pa.array(piece, pa.binary()), pa.array(at, pa.int32())], ["least", "digest", "n", "piece", "at"])
             tidy()
 
     return run
 
 
+def meetings(pieces: list[bytes], places: list[int], length: int) -> list[bool]:
+    """Which pieces of a minimizer may share a window with another one of them; places: where they hold it.
+
+    Equal windows hold it at the same place, so pieces meet by what all windows of SIEVE_STEP neighbouring places have in common.
+    A piece without a place (-1) may meet all.
+    """
+    if len(pieces) == 1:
+        return [False]
+    step = min(SIEVE_STEP, length)
+    core = length - step + 1
+    first: dict[int, int] = {}
+    out = [at < 0 for at in places]
+    for i, (piece, at) in enumerate(zip(pieces, places, strict=True)):
+        begin, stop = 0, 0 if at < 0 else len(piece) - length + 1
+        while begin < stop:
+            k = (at - begin) // step
+            latest = at - k * step
+            other = first.setdefault(xxhash.xxh3_64_intdigest(piece[latest : latest + core], seed=k), i)
+            if other != i:
+                out[i] = out[other] = True
+            begin = latest + 1
+    return out
+
+
 def _sorted_shards(length: int, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """digest, spans (int32 pairs: first start, end) of pieces with repeats. Rows come sorted by minimizer and digest."""
-        digests: list[bytes] = []
-        counts: list[int] = []
-        pieces: list[bytes] = []
+        shard: tuple[list, list, list] = ([], [], [])  # digests, numbers and bytes of the pieces to be sorted
+        group: tuple[list, list, list, list] = ([], [], [], [])  # the same of the last minimizer, and where pieces hold it
         out: tuple[list, list] = ([], [])
-        size, group = 0, 0  # group: where the pieces of the last minimizer begin
-
-        def alone() -> None:
-            """A piece that no other meets is sorted among nothing: all its starts are repeats, or it is a false alarm of the filter."""
-            nonlocal size
-            if len(pieces) == group + 1:
-                if counts[group] > 1:
-                    out[0].append(digests[group])
-                    out[1].append(np.array([0, len(pieces[group]) - length + 1], "<i4").tobytes())
-                size -= len(pieces[group])
-                del digests[group:], counts[group:], pieces[group:]
+
+        def close() -> int:
+            """Deals out the group: what meets no other piece has nothing to be sorted among, and its number says what it is."""
+            size = 0
+            for digest, n, piece, meets in zip(*group[:3], meetings(group[2], group[3], length), strict=True):
+                if meets:
+                    for column, value in zip(shard, (digest, n, piece), strict=True):
+                        column.append(value)
+                    size += len(piece)
+                elif n > 1:
+                    out[0].append(digest)
+                    out[1].append(np.array([0, len(piece) - length + 1], "<i4").tobytes())
+            for column in group:
+                column.clear()
+            return size
 
         def solve() -> pa.RecordBatch:
-            for digest, again in zip(digests, repeats(pieces, counts, length) if pieces else (), strict=True):
+            for digest, again in zip(shard[0], repeats(shard[2], shard[1], length) if shard[2] else (), strict=True):
                 if again.any():
                     edge = np.flatnonzero(np.diff(again, prepend=False, append=False))
                     out[0].append(digest)
                     out[1].append(edge.astype("<i4").tobytes())
+            found = pa.RecordBatch.from_arrays([pa.array(o, pa.binary()) for o in out], ["digest", "spans"])
+            for column in (*shard, *out):
+                column.clear()
             tidy()
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], ["digest", "spans"])
+            return found
 
-        last = None
+        last, size = None, 0
         for batch in batches:
-            for least, digest, n, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for least, digest, n, piece, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if least != last:
-                    alone()
+                    size += close() if group[0] else 0
                     if size >= shard_bytes or len(out[0]) >= ALONE:
                         yield solve()
-                        digests, counts, pieces, out, size = [], [], [], ([], []), 0
-                    last, group = least, len(pieces)
-                if len(digests) > group and digests[-1] == digest:
-                    counts[-1] += n
+                        size = 0
+                    last = least
+                if group[0] and group[0][-1] == digest:
+                    group[1][-1] += n
                     continue
-                digests.append(digest)
-                counts.append(n)
-                pieces.append(piece)
-                size += len(piece)
-        alone()
-        if pieces or out[0]:
+                for column, value in zip(group, (digest, n, piece, at), strict=True):
+                    column.append(value)
+        if group[0]:
+            close()
+        if shard[0] or out[0]:
             yield solve()
 
     return run
@@ -554,7 +586,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
         kinds = found.select("least", "digests").mapInArrow(_of_heavy(spark.sparkContext.broadcast(heavy)), "least long, half long").distinct()
         heavy = np.sort(np.array([r["least"] for r in kinds.groupBy("least").count().where(F.col("count") > HEAVY).collect()], np.int64))
     heavy = spark.sparkContext.broadcast(heavy)
-    pieces = texts.select("text").mapInArrow(_contents(length, gram, wanted, heavy), "least long, digest binary, n long, piece binary")
+    pieces = texts.select("text").mapInArrow(_contents(length, gram, wanted, heavy), "least long, digest binary, n long, piece binary, at int")
     shards = pieces.repartition("least").sortWithinPartitions("least", "digest")
     repeated = cut(shards.mapInArrow(_sorted_shards(length, shard_bytes), "digest binary, spans binary"))
     places = found.mapInArrow(_routed(wanted, heavy), f"digest binary, {KEY}, start int")
