@@ -1,258 +1,521 @@
 """Phrase collocations by depth-limited count tries.
 
-A first pass counts words, and adjacent pairs in a sketch of fixed size. A sketch never counts too little, so a pair that it
-says is rare is rare, and no frequent phrase runs across it; where it is full it only clears less. A second pass builds a trie of
-what is left for each shard of about SHARD_WORDS words: level by level, a node is its parent and a word, and nodes are numbered in
-the order of their phrases. A shard's trie is serialised sorted, cut where prefix ranges of first words end, and the parts of a
-range are merged k ways, FAN_IN at a time; the walk through a merged trie knows the counts on its path, which are the left parts
-of every cut. The right parts come along suffix links: a phrase without its first word is a node one level up, which has
-its own right parts already.
+A first pass cuts the texts into shards of about SHARD_WORDS words, stored as numbers, and counts words, and adjacent pairs in a
+sketch of fixed size. Pairs that the sketch does not call rare are then counted exactly by their hashes, a range of hashes in a
+task; a bitmap of fixed size tells the frequent ones. Neither ever counts too little, so no frequent phrase runs across a pair
+that they clear, and where they are full they only clear less. A last pass builds a trie of what is left of each shard: level by
+level, a node is its parent and a word, and nodes are numbered in the order of their phrases. A shard's trie is serialised
+sorted, cut where prefix ranges of first words end (a heavy first word is dealt by the second), and the parts of a range are
+merged k ways, level by level; the paths of a merged trie have the left parts of every cut. The right parts come along suffix
+links: a phrase without its first word is a node one level up, which has its own right parts already.
 """
 
 from __future__ import annotations
 
 import bisect
-import heapq
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, small_batches, stored, table, tidy
+from .common import BATCH_BYTES, lookup, small_batches, stored, table, tidy
 from .jaccard import SKETCH_BITS, SKETCH_BLOCKS, frequency_sketch
 
 #: Fixed values of the contract: words of a phrase, occurrences of a candidate, factor of a score, phrases reported a language.
 DEPTH, LEAST, FACTOR, TOP = 5, 100, 1000, 2000
-#: Words of a shard, and distinct words that a task counts before it hands them on.
-SHARD_WORDS, HELD = 2_000_000, 300_000
-#: Parts that are merged at a time, and parts of one prefix range that one task merges.
-FAN_IN, SHARDS_A_TASK = 16, 1024
+#: Words of a shard, and bytes of text that a task holds in all its shards.
+SHARD_WORDS, HELD = 1_500_000, 24 << 20
+#: Bits of a pair's hash by which it is counted, bits that address the bitmap of frequent pairs (16 MB), pairs that a task counts at a time, about.
+PAIR_BITS, BITMAP_BITS, PAIRS_A_RANGE = 36, 27, 8_000_000
+#: Parts of at least so many, and nodes, that are merged at a time, and parts of one prefix range that one task merges.
+FAN_IN, NODES, SHARDS_A_TASK = 64, 1_000_000, 16_384
 #: Words of a prefix range, about, and ranges at most; frequent words that their bounds are taken from. Bounds only route.
-RANGE_WORDS, RANGES, BOUND_WORDS = 250_000, 65_536, 200_000
+RANGE_WORDS, RANGES, BOUND_WORDS = 2_000_000, 4096, 200_000
+#: Words up to this many bytes are hashed together.
+_SHORT = 64
 _BREAK = b"\xff"  # no UTF-8 text has it
-_PIECES = bytes.maketrans(bytes(range(0x41, 0x5B)) + b".,;:!?\x0a\x0b\x0c\x0d", bytes(range(0x61, 0x7B)) + _BREAK * 10)
+_PIECES = bytes.maketrans(bytes(range(0x41, 0x5B)) + b"\x09.,;:!?\x0a\x0b\x0c\x0d", bytes(range(0x61, 0x7B)) + b" " + _BREAK * 10)
 
 
-def tokens(text: bytes, stretch: int = 1 << 20) -> Iterator[list[bytes]]:
-    """A text's words, lower-cased, with a break between pieces: a stretch of whole pieces at a time."""
+def stretches(text: bytes, stretch: int = 1 << 20) -> Iterator[bytes]:
+    """A text lower-cased, with a break between pieces: a stretch of whole pieces at a time."""
     at = 0
     while at < len(text):
         end = at + stretch
-        part = text[at:end].translate(_PIECES)
-        while end < len(text) and _BREAK not in part:
-            part += text[end : end + stretch].translate(_PIECES)
+        parts = [text[at:end].translate(_PIECES)]
+        while end < len(text) and _BREAK not in parts[-1]:
+            parts.append(text[end : end + stretch].translate(_PIECES))
             end += stretch
+        part = b"".join(parts)
         if end < len(text):
             part = part[: part.rfind(_BREAK) + 1]
-        yield part.replace(_BREAK, b" \xff ").split()
+        yield part
         at += len(part)
 
 
-class _Numbers(dict):
-    """A number for each word, from 0 for the break on, as they come."""
+def numbered(text: bytes) -> tuple[np.ndarray, pa.BinaryArray]:
+    """Stretches -> their words as numbers in the order of pieces, 0 for breaks, and the words from number 1 on."""
+    raw = np.frombuffer((_BREAK + text).replace(_BREAK, b" \xff "), np.uint8)
+    keep = raw != 0x20
+    start = keep.copy()
+    start[1:] &= ~keep[:-1]
+    data = raw[keep]
+    ends = np.append(np.flatnonzero(start[keep]), len(data)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+    x = words.indices.to_numpy()
+    return x[np.append(True, (x[1:] > 0) | (x[:-1] > 0))], words.dictionary[1:]
+
+
+def _lengths(words: pa.BinaryArray) -> np.ndarray:
+    return pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _joined(words: pa.BinaryArray) -> np.ndarray:
+    """The bytes of all words, one behind the other."""
+    if not len(words):
+        return np.zeros(0, np.uint8)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    return np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+
+
+def _words(lengths: np.ndarray, data: np.ndarray) -> pa.BinaryArray:
+    ends = np.append(0, np.cumsum(lengths)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def word_hashes(words: pa.BinaryArray, lang: str) -> np.ndarray:
+    """64-bit hashes, of words of a language. Unlike words may share one: it only routes and clears."""
+    lengths = _lengths(words)
+    short = lengths <= _SHORT
+    found = np.zeros(len(words), np.uint64)
+    some = words.filter(pa.array(short))
+    if len(some):
+        data, size = _joined(some), lengths[short]
+        starts = np.cumsum(size) - size
+        powers = np.cumprod(np.full(_SHORT, 0x9E3779B97F4A7C15, np.uint64))
+        found[short] = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[np.arange(len(data)) - np.repeat(starts, size)], starts)
+    for i in np.flatnonzero(~short):
+        found[i] = xxhash.xxh3_64_intdigest(words[i].as_py())
+    found ^= np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        found = (found ^ found >> np.uint64(33)) * np.uint64(factor)
+    return found ^ found >> np.uint64(33)
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers from 0 on, compressed, each by the width that it needs."""
+    parts = []
+    for a in arrays:
+        width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(a) or int(a.max()) < 1 << 8 * w)
+        parts += [struct.pack("<BI", width, len(a)), a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()]
+    return zlib.compress(b"".join(parts), 1)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    raw, at, found = zlib.decompress(data), 0, []
+    while at < len(raw):
+        width, n = struct.unpack_from("<BI", raw, at)
+        planes = np.frombuffer(raw, np.uint8, width * n, at + 5).reshape(width, n)
+        found.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64))
+        at += 5 + width * n
+    return found
+
 
-    def __init__(self):
-        super().__init__({_BREAK: 0})
+class _Shard(NamedTuple):
+    """Words of one language as numbers, 0 between documents and pieces, and what the other numbers mean."""
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        return number
+    lang: str
+    x: np.ndarray
+    words: pa.BinaryArray
 
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The places where two words stand side by side, and the pairs' hashes."""
+        at = np.flatnonzero((self.x[:-1] > 0) & (self.x[1:] > 0))
+        hashes = np.append(np.zeros(1, np.uint64), word_hashes(self.words, self.lang))
+        mixed = (hashes[self.x[at]] * np.uint64(0x9E3779B97F4A7C15) ^ hashes[self.x[at + 1]]) * np.uint64(0xBF58476D1CE4E5B9)
+        return at, mixed ^ mixed << np.uint64(32)
 
-class _Shard:
-    """The words of one language in a shard, as numbers; documents and pieces are parted by 0."""
 
-    def __init__(self, lang: str):
-        self.lang, self.numbers, self.parts, self.size = lang, _Numbers(), [], 0
+def _top(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
-    def add(self, text: bytes) -> None:
-        for found in tokens(text):
-            self.parts.append(np.fromiter(map(self.numbers.__getitem__, found), np.int64, len(found)))
-            self.size += len(found)
-        self.parts.append(np.zeros(1, np.int64))
 
-    def read(self) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers, and for each place the sketch's counter of the pair that starts there."""
-        x = np.concatenate([*self.parts, np.zeros(1, np.int64)])
-        seed = xxhash.xxh3_64_intdigest(self.lang.encode())
-        hashes = np.array([xxhash.xxh3_64_intdigest(w, seed=seed) for w in self.numbers], np.uint64)
-        mixed = (hashes[x[:-1]] * np.uint64(0x9E3779B97F4A7C15) ^ hashes[x[1:]]) * np.uint64(0xBF58476D1CE4E5B9)
-        return x, (mixed >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _shards(batches: Iterator[pa.RecordBatch], most_words: int, most_bytes: int) -> Iterator[_Shard]:
+    """The shards of a partition's (lang, text: binary), each handed on when it is full, the largest when all hold too much."""
+    held: dict[str, list] = {}  # parts, words about, bytes
+    total = 0
 
+    def taken(lang: str) -> _Shard:
+        nonlocal total
+        parts, _, size = held.pop(lang)
+        total -= size
+        return _Shard(lang, *numbered(_BREAK.join(parts)))
 
-def _shards(batches: Iterator[pa.RecordBatch], full) -> Iterator[_Shard]:
-    """The shards of a partition's (lang, text: binary), each handed on when it is full."""
-    held: dict[str, _Shard] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            shard = held.setdefault(lang, _Shard(lang))
-            shard.add(text.as_py())
-            if full(shard):
-                yield held.pop(lang)
-    yield from held.values()
-
-
-def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, word, n in rows of kind 0, and the task's sketch of pairs in rows with a block."""
-    names = ["lang", "word", "n", "block", "counts"]
-    sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for shard in _shards(batches, lambda s: s.size > SHARD_WORDS // 4 or len(s.numbers) > HELD):
-        x, at = shard.read()
-        pair = (x[:-1] > 0) & (x[1:] > 0)
-        np.add.at(sketch, at[pair], 1)
-        n = np.bincount(x, minlength=len(shard.numbers))[1:]
-        words = list(shard.numbers)[1:]
-        rows = len(words)
-        yield pa.RecordBatch.from_arrays([pa.array([shard.lang] * rows, pa.string()), pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
-        tidy()
-    for block, part in enumerate(np.split(np.minimum(sketch, 65535).astype("<u2"), SKETCH_BLOCKS)):
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([block], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names)
+            for part in stretches(text.as_py()):
+                mine = held.setdefault(lang, [[], 0, 0])
+                mine[0].append(part)
+                mine[1] += part.count(b" ") + 1
+                mine[2] += len(part) + 1
+                total += len(part) + 1
+                if mine[1] > most_words:
+                    yield taken(lang)
+                elif total > most_bytes:
+                    yield taken(max(held, key=lambda name: held[name][2]))
+    while held:
+        yield taken(next(iter(held)))
 
 
-def count_trie(x: np.ndarray, pair: np.ndarray, words: list[bytes], depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Numbers of words (0: a break) -> levels 2 to depth, each as (parent, word, count) of its nodes in the order of their phrases.
+_FIRST = {"lang": pa.string(), "word": pa.binary(), "n": pa.int64(), "block": pa.int32(), "counts": pa.binary(), "shard": pa.binary()}
 
-    pair: whether the pair that starts at a place counts; deeper nodes run over such pairs only. A parent is a place in the
-    level above, for level 2 a word; a word is its place among the given ones when they are sorted.
-    """
-    order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
-    rank = np.empty(len(words), np.int64)
-    rank[order] = np.arange(len(words))
-    levels, at, node = [], np.flatnonzero(pair), None
-    for level in range(2, depth + 1):
-        if node is None:
-            above = rank[x[at]]
-        else:
-            goes_on = pair[np.minimum(at + level - 2, len(pair) - 1)] & (at + level - 2 < len(pair))
-            above, at = node[goes_on], at[goes_on]
-        found, node, counts = np.unique(above * len(words) + rank[x[at + level - 1]], return_inverse=True, return_counts=True)
-        levels.append((found // len(words), found % len(words), counts))
-    return levels
 
+def _first_rows(rows: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(rows, kind)) for name, kind in _FIRST.items()], list(_FIRST))
 
-def _serialised(levels, words: list[bytes], bounds: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    """A trie over sorted words as (prefix range, sub-trie): lines of depth, word and count in the order of the walk, compressed.
 
-    A range begins with its bound; a first word's own line has no count, as words are counted already.
-    """
-    parents, names, counts = zip(*levels, strict=True)
-    starts = [np.searchsorted(p, np.arange(len(names[i]) + 1)) for i, p in enumerate(parents[1:])]
-    lines: list[bytes] = []
-
-    def walk(level: int, node: int) -> None:
-        lines.append(b"%d %s %d" % (level + 2, words[names[level][node]], counts[level][node]))
-        if level < len(starts):
-            for child in range(starts[level][node], starts[level][node + 1]):
-                walk(level + 1, child)
-
-    now, word = 0, -1
-    for root in range(len(names[0])):
-        if parents[0][root] != word:
-            word = parents[0][root]
-            if (mine := bisect.bisect_right(bounds, words[word])) != now:
-                if lines:
-                    yield now, zlib.compress(b"\n".join(lines), 1)
-                now, lines = mine, []
-            lines.append(b"1 %s 0" % words[word])
-        walk(0, root)
-    if lines:
-        yield now, zlib.compress(b"\n".join(lines), 1)
-
-
-def _tries(sketch, bounds, depth: int, least: int):
+def _first_pass(most_words: int, most_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """lang, prefix, trie: the sub-tries of each shard."""
-        for shard in _shards(batches, lambda s: s.size > SHARD_WORDS):
-            x, at = shard.read()
-            pair = (x[:-1] > 0) & (x[1:] > 0) & (sketch.value[at] >= min(least, 65535))
-            used = np.unique(np.concatenate([[0], x[:-1][pair], x[1:][pair]]))
-            all_words = list(shard.numbers)
-            place = np.zeros(len(all_words), np.int64)
-            place[used] = np.arange(len(used))
-            words = [all_words[i] for i in used]
-            found = _serialised(count_trie(place[x], pair, words, depth), sorted(words), bounds.value.get(shard.lang, []))
-            yield from _rows(((shard.lang, prefix, trie) for prefix, trie in found), _PARTS, 64)
+        """lang, word, n in rows without a block, lang, shard in those of block -1, and the task's sketch of pairs in the others."""
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        for shard in _shards(batches, most_words, most_bytes):
+            if not len(shard.words):
+                continue
+            _, pair = shard.pairs()
+            at, counts = np.unique(_top(pair, SKETCH_BITS), return_counts=True)
+            sketch[at] += counts.astype(np.uint32)
+            del pair, at, counts
+            n = np.bincount(shard.x, minlength=len(shard.words) + 1)[1:]
+            yield _first_rows(len(n), lang=pa.array([shard.lang]).take(pa.array(np.zeros(len(n), np.int8))), word=shard.words, n=pa.array(n, pa.int64()))
+            # Frequent words have small numbers.
+            order = np.argsort(-n, kind="stable")
+            place = np.zeros(len(n) + 1, np.int64)
+            place[order + 1] = np.arange(1, len(n) + 1)
+            words = shard.words.take(pa.array(order))
+            row = packed(place[shard.x], _lengths(words), _joined(words))
+            yield _first_rows(1, lang=pa.array([shard.lang]), block=pa.array([-1], pa.int32()), shard=pa.array([row], pa.binary()))
             tidy()
+        for block, part in enumerate(np.split(np.minimum(sketch, 65535).astype("<u2"), SKETCH_BLOCKS)):
+            if part.any():
+                yield _first_rows(1, block=pa.array([block], pa.int32()), counts=pa.array([zlib.compress(part.tobytes(), 1)], pa.binary()))
+        del sketch, part
+        tidy()
 
     return run
 
 
-_PARTS = {"lang": pa.string(), "prefix": pa.int32(), "trie": pa.binary()}
+def _read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[_Shard]:
+    for batch in batches:
+        for lang, shard in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            x, lengths, data = unpacked(shard.as_py())
+            yield _Shard(lang, x, _words(lengths, data.astype(np.uint8)))
+
+
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else order
+    return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
+
+
+_PAIRS = {"part": pa.int32(), "pairs": pa.binary()}
+
+
+def _pairs(sketch, least: int, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """part, pairs: the hashes of a shard's pairs that the sketch does not call rare, by ranges of hashes, and their counts."""
+        starts = (np.arange(parts, dtype=np.int64) << PAIR_BITS) // parts
+
+        def found() -> Iterator[tuple]:
+            for shard in _read_shards(batches):
+                _, pair = shard.pairs()
+                pair = pair[sketch.value[_top(pair, SKETCH_BITS)] >= min(least, 65535)]
+                keys, counts = np.unique(_top(pair, PAIR_BITS), return_counts=True)
+                cuts = np.append(np.searchsorted(keys, starts), len(keys))
+                for part in np.flatnonzero(np.diff(cuts)):
+                    mine = slice(cuts[part], cuts[part + 1])
+                    yield int(part), packed(np.diff(keys[mine], prepend=0), counts[mine])
+                tidy()
+
+        yield from _rows(found(), _PAIRS)
+
+    return run
+
+
+def _frequent_pairs(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """bits: the places of frequent pairs in the bitmap. Rows come sorted by part."""
+
+        def found() -> Iterator[tuple]:
+            for _, rows in groupby(_values(batches), key=lambda row: row[0]):
+                keys, counts, waiting, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+                for _, pairs in rows:
+                    steps, n = unpacked(pairs)
+                    waiting.append((np.cumsum(steps), n))
+                    size += len(n)
+                    if size > max(NODES, len(keys)):
+                        keys, counts = _added(*(np.concatenate(c) for c in zip((keys, counts), *waiting, strict=True)))
+                        waiting, size = [], 0
+                keys, counts = _added(*(np.concatenate(c) for c in zip((keys, counts), *waiting, strict=True)))
+                bits = np.unique(keys[counts >= least] >> (PAIR_BITS - BITMAP_BITS))
+                if len(bits):
+                    yield (packed(np.diff(bits, prepend=0)),)
+
+        yield from _rows(found(), {"bits": pa.binary()})
+
+    return run
+
+
+def pair_bitmap(shards: DataFrame, sketch, least: int, parts: int) -> np.ndarray:
+    """A bit for each value that the leading BITMAP_BITS of a frequent pair's hash have, eight a byte."""
+    pairs = shards.mapInArrow(_pairs(sketch, least, parts), "part int, pairs binary").repartition("part").sortWithinPartitions("part")
+    bitmap = np.zeros(1 << BITMAP_BITS - 3, np.uint8)
+    for row in pairs.mapInArrow(_frequent_pairs(least), "bits binary").collect():
+        bits = np.cumsum(unpacked(row["bits"])[0])
+        np.bitwise_or.at(bitmap, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
+    return bitmap
+
+
+#: Nodes of a level in the order of their phrases: their places in the level above, their words' places, their counts.
+Level = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+class Trie(NamedTuple):
+    """Sorted words, and levels from the first words on. First words are counted elsewhere, and may have 0 here."""
+
+    words: pa.BinaryArray
+    levels: list[Level]
+
+    def size(self) -> int:
+        return sum(len(words) for _, words, _ in self.levels)
 
 
 #: A node of a trie: its words, and its count.
 Node = tuple[tuple[bytes, ...], int]
 
 
+def count_trie(x: np.ndarray, at: np.ndarray, words: pa.BinaryArray, depth: int) -> Trie:
+    """Numbers of words (0: a break) -> the trie of phrases that run over the pairs that start at some places."""
+    pair = np.zeros(len(x) + depth, bool)
+    pair[at] = True
+    used = np.zeros(len(words) + 1, bool)
+    used[x[at]] = used[x[at + 1]] = True
+    numbers = np.flatnonzero(used)
+    names = words.take(pa.array(numbers - 1))
+    order = pc.sort_indices(names).to_numpy()
+    numbers = numbers[order]
+    rank = np.zeros(len(words) + 1, np.int64)
+    rank[numbers] = np.arange(len(numbers))
+    first, node = np.unique(rank[x[at]], return_inverse=True)
+    levels: list[Level] = [(np.zeros(len(first), np.int64), first, np.zeros(len(first), np.int64))]
+    for level in range(2, depth + 1):
+        if level > 2:
+            goes_on = pair[at + level - 2]
+            node, at = node[goes_on], at[goes_on]
+        found, node, counts = np.unique(node * max(1, len(numbers)) + rank[x[at + level - 1]], return_inverse=True, return_counts=True)
+        levels.append(tuple(a.astype(np.int32) for a in (*divmod(found, max(1, len(numbers))), counts)))
+    return Trie(names.take(pa.array(order)), levels)
+
+
+def dump_trie(trie: Trie) -> bytes:
+    children = [np.bincount(level[0], minlength=len(above[0])) for above, level in zip(trie.levels, trie.levels[1:])]
+    return packed(_lengths(trie.words), _joined(trie.words), trie.levels[0][1], trie.levels[0][2], *(a for c, (_, words, counts) in zip(children, trie.levels[1:], strict=True) for a in (c, words, counts)))
+
+
+def load_trie(data: bytes) -> Trie:
+    lengths, names, words, counts, *rest = unpacked(data)
+    levels = [(np.zeros(len(words), np.int64), words, counts)]
+    for children, words, counts in zip(*(rest[i::3] for i in range(3)), strict=True):
+        levels.append((np.repeat(np.arange(len(children)), children), words, counts))
+    return Trie(_words(lengths, names.astype(np.uint8)), levels)
+
+
+def cut_trie(trie: Trie, first: np.ndarray, ranges: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, Trie]]:
+    """Prefix ranges and the sub-tries that belong there: from first on, for each first word, as many as ranges says, dealt by the second word's hash."""
+    parts, orders, levels = [], [], []
+    for level, (parents, words, counts) in enumerate(trie.levels[1:]):
+        if not level:
+            part = (first[parents] + (hashes[words] % ranges[parents]).astype(np.int64)).astype(np.int32)
+        else:
+            part = parts[-1][parents]
+        order = np.argsort(part, kind="stable")
+        if orders:
+            place = np.empty(len(orders[-1]), np.int32)
+            place[orders[-1]] = np.arange(len(place))
+            parents = place[parents]
+            del place
+        parts.append(part)
+        orders.append(order)
+        levels.append((parents[order], words[order], counts[order]))
+    found = np.unique(parts[0])
+    cuts = [np.append(np.searchsorted(part[order], found), len(part)) for part, order in zip(parts, orders, strict=True)]
+    for i, name in enumerate(found.tolist()):
+        mine = [tuple(a[c[i] : c[i + 1]] for a in level) for level, c in zip(levels, cuts, strict=True)]
+        roots, above = np.unique(mine[0][0], return_inverse=True)
+        mine = [(np.zeros(len(roots), np.int64), trie.levels[0][1][roots], trie.levels[0][2][roots]), (above, *mine[0][1:])] + [(p - c[i], w, n) for (p, w, n), c in zip(mine[1:], cuts, strict=False)]
+        used, places = np.unique(np.concatenate([words for _, words, _ in mine]), return_inverse=True)
+        places = np.split(places, np.cumsum([len(words) for _, words, _ in mine])[:-1])
+        yield name, Trie(trie.words.take(pa.array(used)), [(p, w, n) for (p, _, n), w in zip(mine, places, strict=True)])
+
+
+def merged_tries(tries: list[Trie]) -> Trie:
+    """Tries as one, the counts of equal paths added up."""
+    if len(tries) == 1:
+        return tries[0]
+    names = pa.concat_arrays([t.words for t in tries]).dictionary_encode()
+    order = pc.sort_indices(names.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    rank = rank[names.indices.to_numpy()]
+    first_word = np.cumsum([0] + [len(t.words) for t in tries])
+    levels: list[Level] = []
+    node = np.zeros(1, np.int64)
+    for level in range(max(len(t.levels) for t in tries)):
+        some = [(t.levels[level], first_word[i], i) for i, t in enumerate(tries) if level < len(t.levels)]
+        first_node = np.cumsum([0] + [len(t.levels[level - 1][1]) if 0 < level <= len(t.levels) else 0 for t in tries])
+        above = np.concatenate([p + first_node[i] for (p, _, _), _, i in some])
+        word = rank[np.concatenate([w + f for (_, w, _), f, _ in some])]
+        count = np.concatenate([n for (_, _, n), _, _ in some])
+        key = node[above] * max(1, len(order)) + word
+        sorted_ = np.argsort(key, kind="stable")
+        key = key[sorted_]
+        new = np.append(True, key[1:] != key[:-1])[: len(key)]
+        node = np.empty(len(key), np.int64)
+        node[sorted_] = np.cumsum(new) - 1
+        counts = np.add.reduceat(count[sorted_], np.flatnonzero(new)) if len(key) else count
+        levels.append((*divmod(key[new], max(1, len(order))), counts))
+    return Trie(names.dictionary.take(pa.array(order)), levels)
+
+
+def paths(trie: Trie, least: int = 0) -> Iterator[tuple[tuple[bytes, ...], list[int]]]:
+    """The words and the counts along the path to each node that counts at least so much, first words apart, and to all first words."""
+    above: dict[int, tuple] = {-1: ((), [])}
+    for level, (parents, words, counts) in enumerate(trie.levels):
+        some = np.flatnonzero(counts >= least) if level else np.arange(len(words))
+        now = {}
+        for i, parent, word, n in zip(some.tolist(), parents[some].tolist(), trie.words.take(pa.array(words[some])).to_pylist(), counts[some].tolist(), strict=True):
+            path, ns = above[parent if level else -1]
+            now[i] = (*path, word), [*ns, n]
+        yield from now.values()
+        above = now
+
+
 def read_trie(trie: bytes) -> Iterator[Node]:
-    path: list[bytes] = []
-    for line in zlib.decompress(trie).split(b"\n"):
-        depth, word, count = line.split(b" ")
-        del path[int(depth) - 1 :]
-        path.append(word)
-        yield tuple(path), int(count)
+    """The nodes in the order of the walk."""
+    return iter(sorted((path, counts[-1]) for path, counts in paths(load_trie(trie))))
+
+
+def trie_of(nodes: list[Node]) -> Trie:
+    """Nodes in the order of the walk as a trie; no node lacks the one above it."""
+    names = sorted({word for path, _ in nodes for word in path})
+    levels, places = [], {(): 0}
+    for level in range(1, max((len(path) for path, _ in nodes), default=1) + 1):
+        mine = [(path, n) for path, n in nodes if len(path) == level]
+        levels.append((np.array([places[path[:-1]] for path, _ in mine], np.int64), np.array([bisect.bisect_left(names, path[-1]) for path, _ in mine], np.int64), np.array([n for _, n in mine], np.int64)))
+        places = {path: i for i, (path, _) in enumerate(mine)}
+    return Trie(pa.array(names, pa.binary()), levels)
 
 
 def write_trie(nodes: list[Node]) -> bytes:
-    return zlib.compress(b"\n".join(b"%d %s %d" % (len(path), path[-1], n) for path, n in nodes), 1)
+    return dump_trie(trie_of(nodes))
 
 
-def merged(runs: list) -> list[Node]:
+def merged(runs: list[list[Node]]) -> list[Node]:
     """Sorted runs of nodes as one, the counts of equal paths added up."""
-    return [(path, sum(n for _, n in same)) for path, same in groupby(heapq.merge(*runs), key=lambda node: node[0])]
+    return sorted((path, counts[-1]) for path, counts in paths(merged_tries([trie_of(run) for run in runs])))
+
+
+class Bounds(NamedTuple):
+    """A language's prefix ranges: where they begin, and for each heavy first word its first range and how many it has."""
+
+    starts: list[bytes]
+    heavy: dict[bytes, tuple[int, int]]
+
+
+_PARTS = {"lang": pa.string(), "prefix": pa.int32(), "trie": pa.binary()}
+
+
+def _tries(bitmap, bounds, depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """lang, prefix, trie: the sub-tries of each shard."""
+
+        def found() -> Iterator[tuple]:
+            for shard in _read_shards(batches):
+                at, pair = shard.pairs()
+                bits = _top(pair, BITMAP_BITS)
+                at = at[bitmap.value[bits >> 3] >> (bits & 7).astype(np.uint8) & 1 > 0]
+                del pair, bits
+                if not len(at):
+                    continue
+                trie = count_trie(shard.x, at, shard.words, depth)
+                mine = bounds.value.get(shard.lang, Bounds([], {}))
+                first = trie.words.take(pa.array(trie.levels[0][1])).to_pylist()
+                dealt = [mine.heavy.get(word) or (bisect.bisect_right(mine.starts, word), 1) for word in first]
+                begins, ranges = (np.array(c, np.int64) for c in zip(*dealt, strict=True))
+                for prefix, part in cut_trie(trie, begins, ranges.astype(np.uint64), word_hashes(trie.words, shard.lang)):
+                    yield shard.lang, prefix, dump_trie(part)
+                tidy()
+
+        yield from _rows(found(), _PARTS)
+
+    return run
 
 
-def _merged_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[Node]]]:
-    """Rows sorted by their first columns, the last one a sub-trie: (those columns, merged nodes), FAN_IN runs at a time."""
-    key, waiting = None, []
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        for *mine, trie in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if tuple(mine) != key:
-                if key is not None:
-                    yield key, merged(waiting)
-                key, waiting = tuple(mine), []
-            waiting.append(list(read_trie(trie)))
-            if len(waiting) == FAN_IN:
-                waiting = [merged(waiting)]
-    if key is not None:
-        yield key, merged(waiting)
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _merged_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Trie]]:
+    """Rows sorted by their first columns, the last one a sub-trie: (those columns, the merged trie).
+
+    A trie is merged again only when as many nodes wait as it has, so each node is merged a few times however many parts there are.
+    """
+    for key, rows in groupby(_values(batches), key=lambda row: row[:-1]):
+        waiting: list[Trie] = []
+        held = size = 0
+        for row in rows:
+            waiting.append(load_trie(row[-1]))
+            size += waiting[-1].size()
+            if size - held > max(held, NODES) or (len(waiting) > FAN_IN and size - held > held):
+                waiting = [merged_tries(waiting)]
+                held = size = waiting[0].size()
+        yield key, merged_tries(waiting)
+        tidy()
 
 
 def _rows(found: Iterable[tuple], kinds: dict[str, pa.DataType], a_batch: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of so many, or of BATCH_BYTES in their last column where that is binary."""
     held: list[tuple] = []
+    size, binary = 0, list(kinds.values())[-1] == pa.binary()
     for row in found:
         held.append(row)
-        if len(held) == a_batch:
+        size += len(row[-1]) if binary else 0
+        if len(held) == a_batch or size > BATCH_BYTES:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds.values(), strict=True)], list(kinds))
-            held = []
+            held, size = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds.values(), strict=True)], list(kinds))
 
 
 def _premerge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _rows(((*key[:2], write_trie(nodes)) for key, nodes in _merged_prefixes(batches)), _PARTS, 64)
+    yield from _rows(((*key[:2], dump_trie(trie)) for key, trie in _merged_prefixes(batches)), _PARTS)
 
 
 def _walk(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """lang, phrase, m, a, lefts: nodes that are frequent, with the counts on the path to each, from its first two words on."""
-
-        def found() -> Iterator[tuple]:
-            for (lang, _), nodes in _merged_prefixes(batches):
-                path: list[int] = []
-                for words, n in nodes:
-                    del path[len(words) - 1 :]
-                    if n >= least:
-                        yield lang, b" ".join(words), len(words), n, path[1:]
-                    path.append(n)
-
-        yield from _rows(found(), {"lang": pa.string(), "phrase": pa.binary(), "m": pa.int32(), "a": pa.int64(), "lefts": pa.list_(pa.int64())})
+        found = ((lang, b" ".join(path), len(path), counts[-1], counts[1:-1]) for (lang, _), trie in _merged_prefixes(batches) for path, counts in paths(trie, least) if len(path) > 1)
+        yield from _rows(found, {"lang": pa.string(), "phrase": pa.binary(), "m": pa.int32(), "a": pa.int64(), "lefts": pa.list_(pa.int64())})
 
     return run
 
@@ -262,24 +525,33 @@ def _words_from(m: int, first: int) -> F.Column:
     return F.array_join(F.slice(F.split("phrase", " "), first, m), " ")
 
 
-def prefix_bounds(counted: DataFrame, least: int) -> dict[str, list[bytes]]:
-    """First words where prefix ranges begin, by language: of about RANGE_WORDS words each, and not more than RANGES in all.
+def prefix_bounds(counted: DataFrame, least: int) -> dict[str, Bounds]:
+    """Prefix ranges by language, of about RANGE_WORDS words each, and about RANGES in all.
 
-    They are quantiles of at most BOUND_WORDS frequent words, taken by a hash; languages of one range have none.
+    They begin at quantiles of at most BOUND_WORDS frequent words, taken by a hash. First words that fill a range alone, at most
+    RANGES, have ranges of their own, which their second words are dealt to.
     """
     frequent = counted.where(F.col("n") >= least)
-    taken = frequent.orderBy(F.xxhash64("lang", "word"), "lang", "word").limit(BOUND_WORDS).collect()
     total = frequent.agg(F.sum("n")).first()[0] or 0
-    share = (sum(r["n"] for r in taken) or 1) / (total or 1)
-    size = max(RANGE_WORDS, total / RANGES) * share
-    found: dict[str, list[bytes]] = {}
+    size = max(RANGE_WORDS, total // RANGES)
+    heavy = frequent.where(F.col("n") > size).collect()
+    rest = frequent.where(F.col("n") <= size)
+    taken = rest.orderBy(F.xxhash64("lang", "word"), "lang", "word").limit(BOUND_WORDS).collect()
+    share = sum(r["n"] for r in taken) / ((rest.agg(F.sum("n")).first()[0] or 0) or 1)
+    found: dict[str, Bounds] = {}
     for lang, rows in groupby(sorted(taken, key=lambda r: (r["lang"], r["word"])), key=lambda r: r["lang"]):
         held = 0
         for r in rows:
-            if held >= size:
-                found.setdefault(lang, []).append(bytes(r["word"]))
+            if held >= size * share:
+                found.setdefault(lang, Bounds([], {})).starts.append(bytes(r["word"]))
                 held = 0
             held += r["n"]
+    for lang, rows in groupby(sorted(heavy, key=lambda r: (r["lang"], r["word"])), key=lambda r: r["lang"]):
+        mine = found.setdefault(lang, Bounds([], {}))
+        base = len(mine.starts) + 1
+        for r in rows:
+            mine.heavy[bytes(r["word"])] = base, -(-r["n"] // size)
+            base += mine.heavy[bytes(r["word"])][1]
     return found
 
 
@@ -291,19 +563,22 @@ def frequent_phrases(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) ->
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    first = stored(rows.mapInArrow(_first_pass, "lang string, word binary, n long, block int, counts binary"), "words")
+    first = stored(rows.mapInArrow(_first_pass(SHARD_WORDS, HELD), "lang string, word binary, n long, block int, counts binary, shard binary"), "words")
     counted = stored(first.where("block IS NULL").groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
-    sketch = spark.sparkContext.broadcast(frequency_sketch(first))
+    shards = first.where("block = -1").select("lang", "shard")
+    sketch = spark.sparkContext.broadcast(frequency_sketch(first.where("block >= 0")))
     bounds = spark.sparkContext.broadcast(prefix_bounds(counted, least))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    bitmap = spark.sparkContext.broadcast(pair_bitmap(shards, sketch, least, -(-total // PAIRS_A_RANGE) or 1))
     parts = "lang string, prefix int, trie binary"
-    tries = stored(rows.mapInArrow(_tries(sketch, bounds, depth, least), parts), "tries")
+    tries = shards.mapInArrow(_tries(bitmap, bounds, depth), parts)
     key = ["lang", "prefix"]
-    most = tries.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    most = shards.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if most > SHARDS_A_TASK:  # a range of very many parts is merged in two steps
         salted = tries.withColumn("salt", F.pmod(F.xxhash64("trie"), F.lit(-(-most // SHARDS_A_TASK))))
         salted = salted.repartition(*key, "salt").sortWithinPartitions(*key, "salt").select(*key, "salt", "trie")
-        tries = stored(salted.mapInArrow(_premerge, parts), "tries")
-    ranges = tries.repartitionByRange(*key).sortWithinPartitions(*key)
+        tries = salted.mapInArrow(_premerge, parts)
+    ranges = tries.repartition(*key).sortWithinPartitions(*key)
     nodes = stored(ranges.mapInArrow(_walk(least), "lang string, phrase binary, m int, a long, lefts array<long>").withColumn("phrase", F.col("phrase").cast("string")), "phrases")
     words = counted.where(F.col("n") >= least).select("lang", F.col("word").cast("string").alias("phrase"), F.col("n").alias("a"))
     above = words.withColumn("rights", F.lit(None).cast("array<long>"))
