@@ -31,8 +31,8 @@ from .jaccard import SKETCH_BITS, SKETCH_BLOCKS, frequency_sketch
 
 #: Fixed values of the contract: words of a phrase, occurrences of a candidate, factor of a score, phrases reported a language.
 DEPTH, LEAST, FACTOR, TOP = 5, 100, 1000, 2000
-#: Words of a shard, and bytes of text that a task holds in all its shards.
-SHARD_WORDS, HELD = 1_500_000, 24 << 20
+#: Words and breaks of a shard, and bytes of text that a task holds in all its shards.
+SHARD_WORDS, HELD = 2_000_000, 24 << 20
 #: Bits of a pair's hash by which it is counted, bits that address the bitmap of frequent pairs (16 MB), pairs that a task counts at a time, about.
 PAIR_BITS, BITMAP_BITS, PAIRS_A_RANGE = 36, 27, 8_000_000
 #: Parts of at least so many, and nodes, that are merged at a time, and parts of one prefix range that one task merges.
@@ -119,12 +119,13 @@ def packed(*arrays: np.ndarray) -> bytes:
     return zlib.compress(b"".join(parts), 1)
 
 
-def unpacked(data: bytes) -> list[np.ndarray]:
+def unpacked(data: bytes, text: int = -1) -> list[np.ndarray]:
+    """The arrays as 64-bit numbers, but the one at `text`, which are bytes."""
     raw, at, found = zlib.decompress(data), 0, []
     while at < len(raw):
         width, n = struct.unpack_from("<BI", raw, at)
         planes = np.frombuffer(raw, np.uint8, width * n, at + 5).reshape(width, n)
-        found.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64))
+        found.append(planes[0] if len(found) == text else np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64))
         at += 5 + width * n
     return found
 
@@ -149,7 +150,7 @@ def _top(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _shards(batches: Iterator[pa.RecordBatch], most_words: int, most_bytes: int) -> Iterator[_Shard]:
-    """The shards of a partition's (lang, text: binary), each handed on when it is full, the largest when all hold too much."""
+    """The shards of a partition's (lang, text: binary), each handed on when it is full, the largest ones when all hold too much."""
     held: dict[str, list] = {}  # parts, words about, bytes
     total = 0
 
@@ -164,13 +165,15 @@ def _shards(batches: Iterator[pa.RecordBatch], most_words: int, most_bytes: int)
             for part in stretches(text.as_py()):
                 mine = held.setdefault(lang, [[], 0, 0])
                 mine[0].append(part)
-                mine[1] += part.count(b" ") + 1
+                mine[1] += part.count(b" ") + part.count(_BREAK) + 1
                 mine[2] += len(part) + 1
                 total += len(part) + 1
                 if mine[1] > most_words:
                     yield taken(lang)
                 elif total > most_bytes:
-                    yield taken(max(held, key=lambda name: held[name][2]))
+                    for name in sorted(held, key=lambda name: -held[name][2]):
+                        if total > most_bytes // 2:
+                            yield taken(name)
     while held:
         yield taken(next(iter(held)))
 
@@ -215,8 +218,8 @@ def _first_pass(most_words: int, most_bytes: int):
 def _read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[_Shard]:
     for batch in batches:
         for lang, shard in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            x, lengths, data = unpacked(shard.as_py())
-            yield _Shard(lang, x, _words(lengths, data.astype(np.uint8)))
+            x, lengths, data = unpacked(shard.as_py(), 2)
+            yield _Shard(lang, x, _words(lengths, data))
 
 
 def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -332,11 +335,11 @@ def dump_trie(trie: Trie) -> bytes:
 
 
 def load_trie(data: bytes) -> Trie:
-    lengths, names, words, counts, *rest = unpacked(data)
+    lengths, names, words, counts, *rest = unpacked(data, 1)
     levels = [(np.zeros(len(words), np.int64), words, counts)]
     for children, words, counts in zip(*(rest[i::3] for i in range(3)), strict=True):
         levels.append((np.repeat(np.arange(len(children)), children), words, counts))
-    return Trie(_words(lengths, names.astype(np.uint8)), levels)
+    return Trie(_words(lengths, names), levels)
 
 
 def cut_trie(trie: Trie, first: np.ndarray, ranges: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, Trie]]:

@@ -111,3 +111,13 @@ def test_heavy_words_have_ranges_of_their_own(spark, monkeypatch):
     rows = [("en", b"w%03d" % i, 30) for i in range(40)] + [("en", b"the", 950), ("en", b"rare", 3), ("de", b"a", 50)]
     found = collocations.prefix_bounds(spark.createDataFrame([(a, bytearray(w), n) for a, w, n in rows], "lang string, word binary, n long"), 10)
     assert set(found) == {"en"} and found["en"].heavy == {b"the": (len(found["en"].starts) + 1, 10)} and 5 <= len(found["en"].starts) <= 12
+
+
+def test_short_pieces_and_many_languages_fill_shards_too():
+    rows = [b"a.b,c d." * 200] * 3
+    shards = [s for b in [batches(rows)] for s in collocations._shards(b, 500, 1 << 20)]
+    assert len(shards) >= 3 and all(len(s.x) < 2500 for s in shards)
+    langs = [f"l{i % 50}" for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(langs), pa.array([b"one two three"] * 400, pa.binary())], ["lang", "text"])
+    shards = list(collocations._shards(iter([batch]), 1 << 20, 1000))
+    assert 50 < len(shards) < 300 and sum((s.x > 0).sum() for s in shards) == 1200
